@@ -104,48 +104,80 @@ def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return wide.unpivot([], cols, "column", "null_count")
 
 
-def iqr_bounds(df: DataFrame, cols=V.OUTLIER_COLUMNS, approx: bool = False) -> DataFrame:
-    """A4: quartiles (linear interpolation) and Tukey fences per column, one pass."""
-    aggs = []
+def quartiles(df: DataFrame, cols=V.OUTLIER_COLUMNS, approx: bool = False) -> DataFrame:
+    """One-row frame with ``<col>__1`` / ``<col>__3`` quartiles (linear interpolation)."""
+    def q(c: str, p: float) -> Column:
+        return (F.percentile_approx(F.col(c), p, 100_000) if approx else F.percentile(F.col(c), p)).cast("double")
+    return df.agg(*[q(c, p).alias(f"{c}__{i}") for c in cols for i, p in ((1, 0.25), (3, 0.75))])
+
+
+def _fences(qrow, c: str) -> tuple[Column, Column, Column, Column]:
+    q1, q3 = qrow[f"{c}__1"], qrow[f"{c}__3"]
+    return q1, q3, q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+
+
+def _bound_rows(qrow, cols, extra=None) -> Column:
+    items = []
     for c in cols:
-        q = (F.percentile_approx(F.col(c), [0.25, 0.75], 100_000) if approx
-             else F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))))
-        aggs.append(q.alias(c))
-    wide = df.agg(*aggs)
-    long = wide.unpivot([], cols, "column", "q")
-    q1, q3 = F.col("q")[0].cast("double"), F.col("q")[1].cast("double")
-    return long.select("column", q1.alias("q1"), q3.alias("q3"),
-                       (q1 - 1.5 * (q3 - q1)).alias("lower"), (q3 + 1.5 * (q3 - q1)).alias("upper"))
+        q1, q3, lo, hi = _fences(qrow, c)
+        fields = [F.lit(c).alias("column"), q1.alias("q1"), q3.alias("q3"), lo.alias("lower"), hi.alias("upper")]
+        if extra:
+            fields.append(extra(c).alias("n_outliers"))
+        items.append(F.struct(*fields))
+    return F.explode(F.array(*items))
+
+
+def iqr_bounds(df: DataFrame, cols=V.OUTLIER_COLUMNS, approx: bool = False) -> DataFrame:
+    """A4: quartiles and Tukey fences per column (one aggregate pass)."""
+    qs = quartiles(df, cols, approx)
+    return qs.select(_bound_rows(F.struct(*qs.columns), cols).alias("b")).select("b.*")
 
 
 def flag_outliers(df: DataFrame, cols=V.OUTLIER_COLUMNS, approx: bool = False) -> DataFrame:
     """Add ``<col>_is_outlier`` flags; rows are counted, never dropped."""
-    b = iqr_bounds(df, cols, approx)
-    fences = b.agg(*[F.struct(F.max(F.when(F.col("column") == c, F.col("lower"))).alias("lo"),
-                              F.max(F.when(F.col("column") == c, F.col("upper"))).alias("hi")).alias(c)
-                     for c in cols])
-    df2, s = with_scalars(df, fences, "__fences")
+    df2, s = with_scalars(df, quartiles(df, cols, approx), "__quartiles")
     flags = {}
     for c in cols:
-        lo, hi = s[c]["lo"], s[c]["hi"]
+        _, _, lo, hi = _fences(s, c)
         flags[f"{c}_is_outlier"] = F.coalesce((F.col(c) < lo) | (F.col(c) > hi), F.lit(False))
-    return df2.withColumns(flags).drop("__fences")
+    return df2.withColumns(flags).drop("__quartiles")
 
 
 def outlier_counts(df: DataFrame, cols=V.OUTLIER_COLUMNS, approx: bool = False) -> DataFrame:
-    """Per column, the fences and the number of rows outside them."""
-    flagged = flag_outliers(df, cols, approx)
-    wide = flagged.agg(*[F.count_if(F.col(f"{c}_is_outlier")).alias(c) for c in cols])
-    counts = wide.unpivot([], cols, "column", "n_outliers")
-    return iqr_bounds(df, cols, approx).join(counts, "column")
+    """Per column, the fences and the number of rows outside them: one pass for the
+    quartiles (a scalar subquery) and one counting pass."""
+    qs = quartiles(df, cols, approx)
+    df2, s = with_scalars(df, qs, "__quartiles")
+    counts = df2.agg(*[F.count_if((F.col(c) < _fences(s, c)[2]) | (F.col(c) > _fences(s, c)[3])).alias(f"{c}__n")
+                       for c in cols], F.first("__quartiles").alias("__quartiles"))
+    qrow = F.col("__quartiles")
+    return counts.select(_bound_rows(qrow, cols, extra=lambda c: F.col(f"{c}__n")).alias("b")).select("b.*")
 
 
 def clean(df: DataFrame, approx: bool = False) -> DataFrame:
     """The full cleaning chain of the analysis path, in its order:
     flag sentinel temps, NULL them, fill by (steel_kind, rolling_method) median with a
-    global fallback, median-fill numeric columns, mode-fill text columns."""
-    return (df.transform(flag_missing_temp)
-              .transform(sentinel_to_null)
-              .transform(lambda d: impute_group_median(d, approx=approx))
-              .transform(lambda d: fill_medians(d, approx=approx))
-              .transform(fill_modes))
+    global fallback, median-fill numeric columns, mode-fill text columns.
+
+    Every statistic the later steps need is unaffected by the earlier fills except the
+    temperature fallback, so all of them come from ONE aggregate over the group-filled
+    frame (a scalar subquery): the source is scanned for the group medians, for that
+    aggregate, and for the output - not once per step.
+    """
+    t = F.col("rolling_temp")
+    flagged = df.withColumn("rolling_temp_was_missing", F.coalesce(t <= 0, F.lit(False)).cast("int"))
+    med = group_medians(flagged, approx=approx)
+    joined = flagged.join(broadcast_bounded(med), list(TEMP_KEYS), "left")
+    grouped = F.coalesce(F.when(t > 0, t).cast("double"), F.col("group_median").cast("double"))
+    nums = [c for c in V.MEDIAN_FILL_COLUMNS if c in df.columns and c != "rolling_temp"]
+    cats = [c for c in V.MODE_FILL_COLUMNS if c in df.columns]
+    stats = joined.agg(
+        _median(grouped, approx).alias("rolling_temp"),
+        *[_median(F.col(c), approx).alias(c) for c in nums],
+        *[F.mode(c, deterministic=True).alias(c) for c in cats])
+    out, s = with_scalars(joined.withColumn("rolling_temp", grouped), stats, "__clean_stats")
+    fills = {"rolling_temp": F.coalesce(F.col("rolling_temp"), s["rolling_temp"])}
+    fills.update({c: F.coalesce(F.col(c).cast("double"), s[c]) for c in nums})
+    fills.update({c: F.coalesce(F.col(c), s[c]) for c in cats})
+    return out.withColumns(fills).drop("group_median", "__clean_stats").select(
+        *df.columns, "rolling_temp_was_missing")
