@@ -220,3 +220,147 @@ def alert_state(spark, sf_dir):
 def open_alerts(spark, sf_dir):
     return RU.alerts_view(current_alert_state(spark, sf_dir), "open").select(
         "plate_no", "rule_pos", "rule_code", "severity", "message", "triggered_at")
+
+
+# ----------------------------------------------------------------------------- step 4: normalise
+
+from platewise.operators import latest as LT  # noqa: E402
+from platewise.operators import normalize as NZ  # noqa: E402
+from platewise.operators import profile as PR  # noqa: E402
+from platewise.operators.rank import latest_by  # noqa: E402
+
+
+def loaded_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plates of an earlier load: those that already have furnace history."""
+    c = driver.coil(spark, sf_dir)
+    return NZ.with_parent(c, driver.furnace_history(spark, sf_dir), ["plate_no"])
+
+
+def spec_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spec codes after an incremental load: first the earlier plates, then all."""
+    first = NZ.assign_spec_codes(loaded_before(spark, sf_dir))
+    return NZ.assign_spec_codes(driver.coil(spark, sf_dir), existing=first)
+
+
+@query("product_specs")
+def product_specs(spark, sf_dir):
+    return spec_table(spark, sf_dir)
+
+
+@query("plates")
+def plates_q(spark, sf_dir):
+    return NZ.plates(driver.coil(spark, sf_dir), spec_table(spark, sf_dir))
+
+
+@query("furnace_records")
+def furnace_records_q(spark, sf_dir):
+    return NZ.furnace_records(driver.coil(spark, sf_dir))
+
+
+def _nullable_temp_as_double(df: DataFrame) -> DataFrame:
+    """Query outputs carry the NULL-able integer reading as DOUBLE (NaN-safe in pandas)."""
+    return df.withColumn("rolling_temp", F.col("rolling_temp").cast("double"))
+
+
+@query("rolling_records")
+def rolling_records_q(spark, sf_dir):
+    return _nullable_temp_as_double(NZ.rolling_records(driver.coil(spark, sf_dir)))
+
+
+@query("inspections")
+def inspections_q(spark, sf_dir):
+    return NZ.inspections(driver.coil(spark, sf_dir))
+
+
+@query("incremental_load")
+def incremental_load(spark, sf_dir):
+    return NZ.load_report(driver.coil(spark, sf_dir), loaded_before(spark, sf_dir))
+
+
+@query("fk_violations")
+def fk_violations(spark, sf_dir):
+    rolling = NZ.rolling_records(driver.coil(spark, sf_dir))
+    return NZ.missing_parent(rolling, driver.furnace_history(spark, sf_dir), ["plate_no"]).select(
+        "plate_no", "rolling_date", F.lit("furnace_record_missing").alias("violation"))
+
+
+@query("domain_violations")
+def domain_violations(spark, sf_dir):
+    return NZ.violation_summary(driver.coil(spark, sf_dir))
+
+
+@query("duplicate_keys")
+def duplicate_keys(spark, sf_dir):
+    return NZ.duplicate_keys(driver.furnace_history(spark, sf_dir), ["plate_no", "recorded_at"])
+
+
+# ----------------------------------------------------------------------------- step 5: latest records
+
+def normalized_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    c = driver.coil(spark, sf_dir)
+    specs = spec_table(spark, sf_dir)
+    return {"plate": NZ.plates(c, specs), "spec": specs, "furnace": driver.furnace_history(spark, sf_dir),
+            "rolling": NZ.rolling_records(c), "inspection": driver.inspection_history(c)}
+
+
+@query("latest_furnace")
+def latest_furnace(spark, sf_dir):
+    return LT.latest_furnace(driver.furnace_history(spark, sf_dir)).select(
+        "plate_no", "recorded_at", *LT.FURNACE_COLS)
+
+
+@query("latest_event_per_user")
+def latest_event_per_user(spark, sf_dir):
+    return latest_by(driver.events(spark, sf_dir), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()])
+
+
+@query("training_frame")
+def training_frame_q(spark, sf_dir):
+    t = normalized_tables(spark, sf_dir)
+    tf = LT.training_frame(t["plate"], t["spec"], t["furnace"], t["rolling"], t["inspection"])
+    return _nullable_temp_as_double(tf.withColumn("target", TK.target_from_defect("defect_type")))
+
+
+@query("serving_frame")
+def serving_frame_q(spark, sf_dir):
+    t = normalized_tables(spark, sf_dir)
+    return _nullable_temp_as_double(LT.serving_frame(t["plate"], t["spec"], t["furnace"], t["rolling"]))
+
+
+# ----------------------------------------------------------------------------- step 6: profiles
+
+def _defect() -> F.Column:
+    return F.col("scale") == V.SCALE_DEFECT
+
+
+@query("label_distribution")
+def label_distribution(spark, sf_dir):
+    return PR.value_distribution(driver.coil(spark, sf_dir), "scale")
+
+
+@query("defect_rate_by_hsb")
+def defect_rate_by_hsb(spark, sf_dir):
+    return PR.rate_by(driver.coil(spark, sf_dir), ["hsb"], _defect())
+
+
+@query("mean_drop_by_label")
+def mean_drop_by_label(spark, sf_dir):
+    cl = CL.clean(driver.coil(spark, sf_dir))
+    return PR.mean_by(cl, ["scale"], F.col("fur_soak_temp") - F.col("rolling_temp"), "mean_temp_drop")
+
+
+@query("temp_histogram")
+def temp_histogram(spark, sf_dir):
+    return PR.labelled_histogram(CL.clean(driver.coil(spark, sf_dir)), "rolling_temp", "scale", 40)
+
+
+@query("drop_boxplot")
+def drop_boxplot(spark, sf_dir):
+    cl = CL.clean(driver.coil(spark, sf_dir))
+    return PR.box_stats(cl, F.col("fur_soak_temp") - F.col("rolling_temp"), ["scale"])
+
+
+@query("descaling_parity")
+def descaling_parity(spark, sf_dir):
+    r = PR.rate_by(driver.coil(spark, sf_dir), ["descaling_count"], _defect())
+    return r.withColumn("is_odd", F.pmod("descaling_count", F.lit(2)) == 1)

@@ -274,3 +274,165 @@ SELECT plate_no, rule_pos, rule_code, severity, triggered_at, resolved_at, resol
 oracle("open_alerts", "WITH " + RULES.strip() + ",\n" + ALERT_STATE.strip() + """
 SELECT plate_no, rule_pos, rule_code, severity, message, triggered_at FROM state WHERE resolved_at IS NULL""",
        inspection=True)
+
+
+# ----------------------------------------------------------------------------- step 4: normalise
+
+SPECS = """
+fp AS (SELECT DISTINCT plate_no FROM furnace),
+l1 AS (SELECT DISTINCT spec_long, spec_country, steel_kind FROM coil WHERE plate_no IN (SELECT plate_no FROM fp)),
+s1 AS (SELECT printf('SPEC%03d', row_number() OVER (ORDER BY spec_long, spec_country, steel_kind)) AS spec_code,
+              spec_long, spec_country, steel_kind FROM l1),
+l2 AS (SELECT DISTINCT spec_long, spec_country, steel_kind FROM coil
+       EXCEPT SELECT spec_long, spec_country, steel_kind FROM s1),
+s2 AS (SELECT printf('SPEC%03d', (SELECT count(*) FROM s1) + row_number() OVER (ORDER BY spec_long, spec_country, steel_kind)) AS spec_code,
+              spec_long, spec_country, steel_kind FROM l2),
+specs AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2)"""
+
+PLATES = SPECS + """,
+plates AS (
+  SELECT c.plate_no, s.spec_code, CAST(TRY_CAST(c.pt_thick AS DOUBLE) AS INTEGER) AS pt_thick,
+         CAST(TRY_CAST(c.pt_width AS DOUBLE) AS INTEGER) AS pt_width, CAST(TRY_CAST(c.pt_length AS DOUBLE) AS INTEGER) AS pt_length,
+         c.rolling_date AS created_at
+  FROM coil c LEFT JOIN specs s ON s.spec_long = c.spec_long AND s.spec_country = c.spec_country AND s.steel_kind = c.steel_kind
+)"""
+
+ROLLING = """
+rolling AS (
+  SELECT plate_no, COALESCE(hsb = '적용', false) AS hsb_applied,
+         CASE WHEN starts_with(rolling_method, 'TMCP') THEN 'TMCP' WHEN starts_with(rolling_method, 'CR') THEN 'CR' END AS rolling_method,
+         CASE WHEN CAST(TRY_CAST(rolling_temp AS DOUBLE) AS INTEGER) > 0 THEN CAST(TRY_CAST(rolling_temp AS DOUBLE) AS INTEGER) END AS rolling_temp,
+         CAST(TRY_CAST(descaling_count AS DOUBLE) AS INTEGER) AS descaling_count, work_group, rolling_date
+  FROM coil
+)"""
+
+oracle("product_specs", "WITH " + SPECS.strip() + "\nSELECT * FROM specs", furnace=True)
+
+oracle("plates", "WITH " + PLATES.strip() + "\nSELECT * FROM plates", furnace=True)
+
+oracle("furnace_records", """
+SELECT plate_no,
+       TRY_CAST(NULLIF(regexp_extract(fur_no, '^(\\d+)', 1), '') AS INTEGER) AS fur_no,
+       TRY_CAST(NULLIF(regexp_extract(fur_input_row, '^(\\d+)', 1), '') AS INTEGER) AS fur_input_row,
+       CAST(TRY_CAST(fur_heat_temp AS DOUBLE) AS INTEGER) AS fur_heat_temp, CAST(TRY_CAST(fur_heat_time AS DOUBLE) AS INTEGER) AS fur_heat_time,
+       CAST(TRY_CAST(fur_soak_temp AS DOUBLE) AS INTEGER) AS fur_soak_temp, CAST(TRY_CAST(fur_soak_time AS DOUBLE) AS INTEGER) AS fur_soak_time,
+       CAST(TRY_CAST(fur_total_time AS DOUBLE) AS INTEGER) AS fur_total_time, rolling_date AS recorded_at
+FROM coil""")
+
+oracle("rolling_records", "WITH " + ROLLING.strip() + "\nSELECT * REPLACE (CAST(rolling_temp AS DOUBLE) AS rolling_temp) FROM rolling")
+
+oracle("inspections", """
+SELECT plate_no, CASE WHEN scale = '불량' THEN 'Scale' ELSE '없음' END AS defect_type,
+       'system-migration@plant.local' AS inspector_email, rolling_date AS inspected_at FROM coil""")
+
+oracle("incremental_load", """
+WITH seen AS (SELECT DISTINCT plate_no FROM coil WHERE plate_no IN (SELECT plate_no FROM furnace)),
+r AS (SELECT count(*) AS rows_read, count(*) FILTER (WHERE plate_no IN (SELECT plate_no FROM seen)) AS rows_skipped FROM coil)
+SELECT rows_read, rows_skipped, rows_read - rows_skipped AS plates_written, rows_read - rows_skipped AS furnace_written,
+       rows_read - rows_skipped AS rolling_written, rows_read - rows_skipped AS inspections_written FROM r""", furnace=True)
+
+oracle("fk_violations", """
+SELECT plate_no, rolling_date, 'furnace_record_missing' AS violation FROM coil c
+WHERE NOT EXISTS (SELECT 1 FROM furnace f WHERE f.plate_no = c.plate_no)""", furnace=True)
+
+_VIOL = {
+    "plate_no_missing": "plate_no IS NULL",
+    "steel_kind_domain": "NOT COALESCE(steel_kind IN ('C', 'T'), false)",
+    "pt_thick_not_positive": "NOT COALESCE(pt_thick > 0, false)",
+    "pt_width_not_positive": "NOT COALESCE(pt_width > 0, false)",
+    "pt_length_not_positive": "NOT COALESCE(pt_length > 0, false)",
+    "descaling_negative": "NOT COALESCE(descaling_count >= 0, false)",
+    "rolling_method_unknown": "NOT (COALESCE(starts_with(rolling_method, 'TMCP'), false) OR COALESCE(starts_with(rolling_method, 'CR'), false))",
+    "fur_no_unparsable": "TRY_CAST(NULLIF(regexp_extract(fur_no, '^(\\d+)', 1), '') AS INTEGER) IS NULL",
+    "fur_input_row_unparsable": "TRY_CAST(NULLIF(regexp_extract(fur_input_row, '^(\\d+)', 1), '') AS INTEGER) IS NULL",
+    "rolling_date_missing": "rolling_date IS NULL",
+}
+oracle("domain_violations", "\nUNION ALL\n".join(
+    f"SELECT {_q(k)} AS violation, count(*) FILTER (WHERE {v}) AS n_rows FROM coil" for k, v in _VIOL.items()))
+
+oracle("duplicate_keys", """
+SELECT plate_no, recorded_at, count(*) AS n FROM furnace GROUP BY plate_no, recorded_at HAVING count(*) > 1""",
+       furnace=True)
+
+# ----------------------------------------------------------------------------- step 5: latest records
+
+LATEST_FURNACE = """
+lf AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY plate_no ORDER BY recorded_at DESC, seq, l_partkey, l_suppkey, l_extendedprice) AS rn
+    FROM furnace) WHERE rn = 1
+)"""
+
+LATEST_INSPECTION = """
+li AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY plate_no ORDER BY inspected_at DESC, defect_type) AS rn
+    FROM inspection) WHERE rn = 1
+)"""
+
+SERVING_FRAME = PLATES + ",\n" + ROLLING.strip() + ",\n" + LATEST_FURNACE.strip() + """,
+serving AS (
+  SELECT p.plate_no, p.pt_thick, p.pt_width, p.pt_length, s.spec_country, s.steel_kind,
+         lf.fur_no, lf.fur_input_row, lf.fur_heat_temp, lf.fur_heat_time, lf.fur_soak_temp, lf.fur_soak_time, lf.fur_total_time,
+         r.hsb_applied, r.rolling_method, r.rolling_temp, r.descaling_count, r.work_group, r.rolling_date
+  FROM plates p JOIN specs s ON s.spec_code = p.spec_code
+  JOIN lf ON lf.plate_no = p.plate_no
+  JOIN rolling r ON r.plate_no = p.plate_no
+)"""
+
+TRAINING_FRAME = SERVING_FRAME + ",\n" + LATEST_INSPECTION.strip() + """,
+training AS (
+  SELECT s.*, li.defect_type, CAST(COALESCE(li.defect_type = 'Scale', false) AS INTEGER) AS target
+  FROM serving s JOIN li ON li.plate_no = s.plate_no
+)"""
+
+oracle("latest_furnace", "WITH " + LATEST_FURNACE.strip() + """
+SELECT plate_no, recorded_at, fur_no, fur_input_row, fur_heat_temp, fur_heat_time, fur_soak_temp, fur_soak_time, fur_total_time
+FROM lf""", furnace=True)
+
+oracle("latest_event_per_user", """
+SELECT event_id, ts, user_id, event_type, value, props FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
+
+oracle("training_frame", "WITH " + TRAINING_FRAME.strip() + "\nSELECT * REPLACE (CAST(rolling_temp AS DOUBLE) AS rolling_temp) FROM training", furnace=True, inspection=True)
+
+oracle("serving_frame", "WITH " + SERVING_FRAME.strip() + "\nSELECT * REPLACE (CAST(rolling_temp AS DOUBLE) AS rolling_temp) FROM serving", furnace=True)
+
+# ----------------------------------------------------------------------------- step 6: profiles
+
+oracle("label_distribution", """
+SELECT scale, count(*) AS n, count(*) / CAST((SELECT count(*) FROM coil) AS DOUBLE) AS share FROM coil GROUP BY scale""")
+
+oracle("defect_rate_by_hsb", """
+SELECT hsb, count(*) AS n, CAST(sum(CASE WHEN scale = '불량' THEN 1 ELSE 0 END) AS BIGINT) AS n_positive,
+       CAST(sum(CASE WHEN scale = '불량' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS rate
+FROM coil GROUP BY hsb""")
+
+oracle("mean_drop_by_label", "WITH " + ANALYSIS.strip() + """
+SELECT scale, count(*) AS n, avg(fur_soak_temp - rolling_temp) AS mean_temp_drop FROM cleaned GROUP BY scale""")
+
+oracle("temp_histogram", "WITH " + ANALYSIS.strip() + """,
+rng AS (SELECT CAST(min(rolling_temp) AS DOUBLE) AS lo, CAST(max(rolling_temp) AS DOUBLE) AS hi FROM cleaned),
+b AS (
+  SELECT scale, CASE WHEN hi = lo THEN 0 ELSE LEAST(CAST(floor((rolling_temp - lo) * 40 / (hi - lo)) AS INTEGER), 39) END AS bin,
+         lo, (hi - lo) / 40 AS w
+  FROM cleaned, rng WHERE rolling_temp IS NOT NULL
+)
+SELECT scale, bin, any_value(lo) + bin * any_value(w) AS bin_lo, any_value(lo) + (bin + 1) * any_value(w) AS bin_hi, count(*) AS n
+FROM b GROUP BY scale, bin""")
+
+oracle("drop_boxplot", "WITH " + ANALYSIS.strip() + """,
+v AS (SELECT scale, CAST(fur_soak_temp - rolling_temp AS DOUBLE) AS v FROM cleaned),
+q AS (SELECT scale, quantile_cont(v, 0.25) AS q1, median(v) AS median, quantile_cont(v, 0.75) AS q3 FROM v GROUP BY scale),
+j AS (SELECT v.*, q.q1, q.median, q.q3,
+             v.v >= q.q1 - 1.5 * (q.q3 - q.q1) AND v.v <= q.q3 + 1.5 * (q.q3 - q.q1) AS inside
+      FROM v JOIN q ON q.scale = v.scale)
+SELECT scale, q1, median, q3, min(CASE WHEN inside THEN v END) AS whisker_lo, max(CASE WHEN inside THEN v END) AS whisker_hi,
+       count(*) FILTER (WHERE NOT inside) AS n_fliers, count(*) AS n
+FROM j GROUP BY scale, q1, median, q3""")
+
+oracle("descaling_parity", """
+SELECT descaling_count, count(*) AS n, CAST(sum(CASE WHEN scale = '불량' THEN 1 ELSE 0 END) AS BIGINT) AS n_positive,
+       CAST(sum(CASE WHEN scale = '불량' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS rate,
+       ((descaling_count % 2) + 2) % 2 = 1 AS is_odd
+FROM coil GROUP BY descaling_count""")
