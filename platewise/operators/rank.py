@@ -9,7 +9,11 @@ task.  Instead:
   ``monotonically_increasing_id`` (partition id in the high bits, local index in the
   low 33 bits), and adds the exact offset of its partition.  The offset table has one
   row per partition - a proven bound - so its broadcast is safe.  No second shuffle of
-  the data is needed.
+  the data is needed.  Range bounds come from sampling, so two evaluations of the same
+  plan may cut partitions differently; the numbered data is therefore materialised once
+  with a reliable ``checkpoint()`` (shared checkpoint folder) and both the per-partition
+  counts and the rows are read from that one copy.  This also cuts the lineage, so an
+  executor loss later does not re-run the sort.
 * ``prefix_sums`` does the same for running totals of an already-aggregated table.
 * ``latest_by`` keeps one row per key with ``row_number() = 1``; Catalyst plans a
   partial ``WindowGroupLimit`` before the shuffle, so a key holding a third of the
@@ -21,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.session import ensure_checkpoint_dir
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -40,12 +46,12 @@ def global_rank(df: DataFrame, order: list, rank_col: str = "pos", partitions: i
 
     ``order`` must be a total order (end with a unique key), which makes the result
     deterministic and therefore safe to recompute after an executor loss.
-    Range partitions are fixed in number (REPARTITION_BY_NUM), so AQE does not
-    coalesce them and both uses of the exchange see the same partition ids.
+    The numbered rows are checkpointed, so the counts and the rows come from one copy.
     """
     n = _n_parts(df, partitions)
+    ensure_checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("__mid", F.monotonically_increasing_id()))
+              .withColumn("__mid", F.monotonically_increasing_id())).checkpoint(eager=True)
     ranged = ranged.withColumns({"__pid": F.shiftright("__mid", 33).cast("int"),
                                  "__local": F.col("__mid").bitwiseAND(F.lit(_LOW33))})
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
@@ -60,7 +66,9 @@ def prefix_sums(df: DataFrame, order: list, sums: dict[str, str], partitions: in
     over all preceding rows in ``order`` (a total order).  Intended for aggregated
     tables (one row per distinct score, day, ...)."""
     n = _n_parts(df, partitions)
-    ranged = df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id())
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = (df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id())
+              .checkpoint(eager=True))
     w_local = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumns({f"__l_{o}": F.coalesce(F.sum(c).over(w_local), F.lit(0)) for o, c in sums.items()})
     totals = ranged.groupBy("__pid").agg(*[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()])

@@ -27,7 +27,7 @@ def rule_array(temp: Column, soak: Column, hsb: Column) -> Column:
     The message interpolates the reading and the drop in the column's own type.
     """
     drop = soak - temp
-    r1 = F.when(~F.coalesce(hsb, F.lit(False)), _rule(V.RULE_HSB, V.SEVERITY_CRITICAL, F.lit(V.MSG_HSB)))
+    r1 = F.when(~F.coalesce(hsb.cast("boolean"), F.lit(False)), _rule(V.RULE_HSB, V.SEVERITY_CRITICAL, F.lit(V.MSG_HSB)))
     r2 = F.when(temp.isNotNull() & (temp >= V.ROLLING_TEMP_CRITICAL),
                 _rule(V.RULE_HOT, V.SEVERITY_CRITICAL,
                       F.concat(F.lit(V.MSG_HOT_HEAD), temp.cast("string"), F.lit(V.MSG_HOT_MID))))

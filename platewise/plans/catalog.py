@@ -364,3 +364,142 @@ def drop_boxplot(spark, sf_dir):
 def descaling_parity(spark, sf_dir):
     r = PR.rate_by(driver.coil(spark, sf_dir), ["descaling_count"], _defect())
     return r.withColumn("is_odd", F.pmod("descaling_count", F.lit(2)) == 1)
+
+
+# ----------------------------------------------------------------------------- step 7: splits
+
+from platewise.operators import attribution as AT  # noqa: E402
+from platewise.operators import metrics as ME  # noqa: E402
+from platewise.operators import score as SC  # noqa: E402
+from platewise.operators import splits as SP  # noqa: E402
+
+
+def coil_with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = driver.coil(spark, sf_dir)
+    return c.select("plate_no", "rolling_date", "work_group", TK.target_from_scale("scale").alias("target"))
+
+
+@query("time_split")
+def time_split_q(spark, sf_dir):
+    return SP.time_split(coil_with_target(spark, sf_dir)).select("plate_no", "rolling_date", "pos", "split")
+
+
+@query("split_profile")
+def split_profile_q(spark, sf_dir):
+    return SP.split_profile(SP.time_split(coil_with_target(spark, sf_dir)))
+
+
+@query("group_split")
+def group_split_q(spark, sf_dir):
+    return SP.group_split(coil_with_target(spark, sf_dir)).select("plate_no", "work_group", "split")
+
+
+def train_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SP.time_split(coil_with_target(spark, sf_dir)).filter(F.col("split") == "train")
+
+
+@query("stratified_folds")
+def stratified_folds_q(spark, sf_dir):
+    return SP.stratified_folds(train_part(spark, sf_dir), "target", "pos", 5).select("plate_no", "target", "fold")
+
+
+@query("background_sample")
+def background_sample_q(spark, sf_dir):
+    return SP.background_sample(train_part(spark, sf_dir), "plate_no", 100, 42).select("plate_no", "sample_rank")
+
+
+# ----------------------------------------------------------------------------- step 8: metrics
+
+def rulebook_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Serving features scored by the fixed linear-logistic rulebook scorer, with the
+    time split attached (positions by rolling_date, plate_no)."""
+    feats = serving_features(spark, sf_dir)
+    scored = SC.present(SC.score_linear(feats), "prob", "target")
+    split = SP.time_split(coil_with_target(spark, sf_dir)).select("plate_no", "split")
+    return scored.join(split, "plate_no")
+
+
+@query("score_fixed_linear")
+def score_fixed_linear(spark, sf_dir):
+    s = SC.present(SC.score_linear(serving_features(spark, sf_dir)), "prob", "target")
+    return s.select("plate_no", "predicted_prob", "predicted_label", "actual_label", "correct")
+
+
+@query("confusion")
+def confusion_q(spark, sf_dir):
+    s = SC.present(SC.score_linear(serving_features(spark, sf_dir)), "prob", "target")
+    return ME.confusion(s, "actual_label", "predicted_label")
+
+
+@query("threshold_metrics")
+def threshold_metrics_q(spark, sf_dir):
+    return ME.threshold_metrics(rulebook_scored(spark, sf_dir), "target", "prob", 0.5, by=["split"])
+
+
+@query("roc_auc")
+def roc_auc_q(spark, sf_dir):
+    return ME.roc_auc(rulebook_scored(spark, sf_dir), "target", "prob", by=["split"])
+
+
+@query("class_weights")
+def class_weights_q(spark, sf_dir):
+    return ME.class_weights(SP.time_split(coil_with_target(spark, sf_dir)), "target", by=["split"])
+
+
+# ----------------------------------------------------------------------------- step 9: scoring
+
+RULEBOOK_LABEL = "rulebook_logistic v1"
+SCENARIO_TEMPS = [850, 900, 950, 1000, 1050]
+
+
+def rulebook_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M16 on the flat log: impute -> features -> score -> rules (on the imputed reading)."""
+    base = CL.impute_group_median(serving_input(spark, sf_dir), global_after_group=False)
+    feats = FE.serving_features(base, keep=["plate_no", "target"])
+    scored = SC.present(SC.score_linear(feats), "prob", "target")
+    return RU.rule_hits(scored, temp_col="rolling_temp", soak_col="fur_soak_temp", hsb_col="hsb_applied")
+
+
+@query("risk_ranking")
+def risk_ranking(spark, sf_dir):
+    r = SC.risk_ranking(rulebook_file(spark, sf_dir), 200)
+    return r.select("plate_no", "predicted_prob", "predicted_label", RU.rule_codes().alias("fired_rules"),
+                    SC.risk_tier(F.col("predicted_prob")).alias("risk"), "n_total")
+
+
+@query("file_summary")
+def file_summary(spark, sf_dir):
+    return SC.file_summary(rulebook_file(spark, sf_dir), RULEBOOK_LABEL, True)
+
+
+@query("what_if_grid")
+def what_if_grid(spark, sf_dir):
+    inp = serving_input(spark, sf_dir)
+    grid = SC.scenario_grid(inp, SCENARIO_TEMPS)
+    feats = FE.serving_features(grid, keep=["plate_no", "scenario_temp"])
+    scored = SC.present(SC.score_linear(feats), "prob", None)
+    r = RU.rule_hits(scored, temp_col="rolling_temp", soak_col="fur_soak_temp", hsb_col="hsb_applied")
+    return r.select("plate_no", "scenario_temp", "predicted_prob", "predicted_label", RU.rule_codes().alias("fired_rules"))
+
+
+def rulebook_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = serving_features(spark, sf_dir)
+    train_keys = train_part(spark, sf_dir).select("plate_no")
+    bg_keys = SP.background_sample(train_keys, "plate_no", 100, 42).select("plate_no")
+    background = feats.join(bg_keys, "plate_no", "left_semi")
+    return AT.linear_attribution(feats, background, SC.RULEBOOK_COEFS, "plate_no")
+
+
+@query("linear_attribution")
+def linear_attribution(spark, sf_dir):
+    return rulebook_attributions(spark, sf_dir)
+
+
+@query("attribution_top5")
+def attribution_top5(spark, sf_dir):
+    return AT.top_attributions(rulebook_attributions(spark, sf_dir), "plate_no", V.TOP_N_ATTRIBUTIONS)
+
+
+@query("attribution_summary")
+def attribution_summary(spark, sf_dir):
+    return AT.attribution_summary(rulebook_attributions(spark, sf_dir), 12)

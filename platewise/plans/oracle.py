@@ -436,3 +436,182 @@ SELECT descaling_count, count(*) AS n, CAST(sum(CASE WHEN scale = '불량' THEN
        CAST(sum(CASE WHEN scale = '불량' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS rate,
        ((descaling_count % 2) + 2) % 2 = 1 AS is_odd
 FROM coil GROUP BY descaling_count""")
+
+
+# ----------------------------------------------------------------------------- step 7: splits
+
+TIME_SPLIT = """
+ts AS (
+  SELECT plate_no, rolling_date, work_group, CAST(COALESCE(scale = '불량', false) AS INTEGER) AS target,
+         row_number() OVER (ORDER BY rolling_date, plate_no) - 1 AS pos, count(*) OVER () AS n
+  FROM coil
+),
+tsplit AS (
+  SELECT *, CASE WHEN pos < n - floor(n * 0.15::DOUBLE) - floor(n * 0.15::DOUBLE) THEN 'train'
+                 WHEN pos < n - floor(n * 0.15::DOUBLE) THEN 'valid' ELSE 'test' END AS split
+  FROM ts
+),
+tr AS (SELECT * FROM tsplit WHERE split = 'train')"""
+
+oracle("time_split", "WITH " + TIME_SPLIT.strip() + "\nSELECT plate_no, rolling_date, pos, split FROM tsplit")
+
+oracle("split_profile", "WITH " + TIME_SPLIT.strip() + """
+SELECT split, count(*) AS n, min(rolling_date) AS min_date, max(rolling_date) AS max_date,
+       avg(CAST(target AS DOUBLE)) AS defect_rate,
+       string_agg(DISTINCT work_group, ',' ORDER BY work_group) AS groups
+FROM tsplit GROUP BY split""")
+
+oracle("group_split", """
+WITH g AS (SELECT DISTINCT work_group FROM coil WHERE work_group IS NOT NULL),
+gr AS (SELECT work_group, row_number() OVER (ORDER BY md5('42' || work_group), work_group) - 1 AS gpos,
+              count(*) OVER () AS gn FROM g),
+side AS (SELECT work_group, CASE WHEN gpos < ceil(gn * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM gr)
+SELECT c.plate_no, c.work_group, side.split FROM coil c LEFT JOIN side ON side.work_group = c.work_group""")
+
+
+def _fold_sql(k: int = 5) -> str:
+    cums, terms = [], []
+    for f in range(k):
+        cums.append(f"(floor((b - {f} + {k - 1}) / {k}) - floor((a - {f} + {k - 1}) / {k}))")
+        if f < k - 1:
+            terms.append(f"CAST(({' + '.join(cums)}) <= r AS INTEGER)")
+    return " + ".join(terms)
+
+
+oracle("stratified_folds", "WITH " + TIME_SPLIT.strip() + """,
+fl AS (SELECT arg_min(target, pos) AS first_label FROM tr),
+enc AS (SELECT tr.*, CAST(tr.target != fl.first_label AS INTEGER) AS enc FROM tr, fl),
+cnt AS (SELECT count(*) FILTER (WHERE enc = 0) AS n0, count(*) AS n FROM enc),
+rr AS (SELECT enc.plate_no, enc.target, row_number() OVER (PARTITION BY enc.enc ORDER BY enc.pos) - 1 AS r,
+              CASE WHEN enc.enc = 0 THEN 0 ELSE cnt.n0 END AS a, CASE WHEN enc.enc = 0 THEN cnt.n0 ELSE cnt.n END AS b
+       FROM enc, cnt)
+SELECT plate_no, target, CAST(""" + _fold_sql(5) + """ AS INTEGER) AS fold FROM rr""")
+
+oracle("background_sample", "WITH " + TIME_SPLIT.strip() + """
+SELECT plate_no, CAST(row_number() OVER (ORDER BY h, plate_no) AS INTEGER) AS sample_rank
+FROM (SELECT plate_no, md5('42' || plate_no) AS h FROM tr ORDER BY h, plate_no LIMIT 100)""")
+
+# ----------------------------------------------------------------------------- step 8: metrics
+
+from platewise.operators.score import RULEBOOK_COEFS, RULEBOOK_INTERCEPT  # noqa: E402
+
+_Z = f"CAST({RULEBOOK_INTERCEPT!r} AS DOUBLE)" + "".join(
+    f" + CAST({w!r} AS DOUBLE) * CAST({c} AS DOUBLE)" for c, w in RULEBOOK_COEFS.items())
+
+SCORED = SERVING_INPUT + ",\nfeats AS (" + SERVING_FEATURES_SELECT + "\n),\n" + f"""scored AS (
+  SELECT *, CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_Z}))) AS prob FROM feats
+),
+pres AS (
+  SELECT *, prob >= 0.5 AS predicted_label, round(prob, 4) AS predicted_prob, CAST(target AS BOOLEAN) AS actual_label
+  FROM scored
+)"""
+
+SCORED_SPLIT = SCORED + ",\n" + TIME_SPLIT.strip() + """,
+ss AS (SELECT pres.*, tsplit.split FROM pres JOIN tsplit ON tsplit.plate_no = pres.plate_no)"""
+
+
+def _ratio(num: str, den: str) -> str:
+    return f"round(COALESCE(CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0.0), 0.0), 4)"
+
+
+oracle("score_fixed_linear", "WITH " + SCORED.strip() + """
+SELECT plate_no, predicted_prob, predicted_label, actual_label, actual_label = predicted_label AS correct FROM pres""")
+
+oracle("confusion", "WITH " + SCORED.strip() + """
+SELECT count(*) FILTER (WHERE actual_label AND predicted_label) AS tp,
+       count(*) FILTER (WHERE NOT actual_label AND predicted_label) AS fp,
+       count(*) FILTER (WHERE NOT actual_label AND NOT predicted_label) AS tn,
+       count(*) FILTER (WHERE actual_label AND NOT predicted_label) AS fn
+FROM pres""")
+
+oracle("threshold_metrics", "WITH " + SCORED_SPLIT.strip() + """,
+cm AS (
+  SELECT split, count(*) FILTER (WHERE target = 1 AND prob >= 0.5) AS tp, count(*) FILTER (WHERE target = 0 AND prob >= 0.5) AS fp,
+         count(*) FILTER (WHERE target = 0 AND prob < 0.5) AS tn, count(*) FILTER (WHERE target = 1 AND prob < 0.5) AS fn
+  FROM ss GROUP BY split)
+SELECT split, tp, fp, tn, fn, """ + _ratio("tp + tn", "tp + fp + tn + fn") + " AS accuracy, " + _ratio("tp", "tp + fp")
+       + " AS precision, " + _ratio("tp", "tp + fn") + " AS recall, " + _ratio("2 * tp", "2 * tp + fp + fn") + " AS f1 FROM cm")
+
+oracle("roc_auc", "WITH " + SCORED_SPLIT.strip() + """,
+ps AS (SELECT split, prob, CAST(sum(target) AS BIGINT) AS pos, CAST(sum(1 - target) AS BIGINT) AS neg FROM ss GROUP BY split, prob),
+c AS (SELECT *, COALESCE(sum(neg) OVER (PARTITION BY split ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb
+      FROM ps)
+SELECT split,
+       CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+            THEN round(sum(pos * (nb + 0.5::DOUBLE * neg)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)), 4) END AS auc,
+       CAST(sum(pos) AS BIGINT) AS n_pos, CAST(sum(neg) AS BIGINT) AS n_neg
+FROM c GROUP BY split""")
+
+oracle("class_weights", "WITH " + TIME_SPLIT.strip() + """,
+c AS (SELECT split, count(*) AS n, CAST(sum(target) AS BIGINT) AS n_pos FROM tsplit GROUP BY split)
+SELECT split, n, n_pos, n - n_pos AS n_neg,
+       CASE WHEN n_pos > 0 THEN CAST(n - n_pos AS DOUBLE) / n_pos ELSE 1.0::DOUBLE END AS scale_pos_weight,
+       CASE WHEN n_pos > 0 THEN n / (2.0::DOUBLE * n_pos) END AS weight_pos,
+       CASE WHEN n - n_pos > 0 THEN n / (2.0::DOUBLE * (n - n_pos)) END AS weight_neg
+FROM c""")
+
+# ----------------------------------------------------------------------------- step 9: scoring
+
+RULE_CODES_OF = """concat_ws(';', CASE WHEN hsb_applied = 0 THEN 'HSB_NOT_APPLIED' END,
+                 CASE WHEN rolling_temp >= 1000 THEN 'ROLLING_TEMP_OVER_1000' END,
+                 CASE WHEN fur_soak_temp - rolling_temp < 190 THEN 'TEMP_DROP_INSUFFICIENT' END)"""
+
+oracle("risk_ranking", "WITH " + SCORED.strip() + """
+SELECT plate_no, predicted_prob, predicted_label, """ + RULE_CODES_OF + """ AS fired_rules,
+       CASE WHEN predicted_prob IS NULL THEN 'N/A' WHEN predicted_prob >= 0.7 THEN '고위험'
+            WHEN predicted_prob >= 0.3 THEN '주의' ELSE '저위험' END AS risk,
+       (SELECT count(*) FROM pres) AS n_total
+FROM pres ORDER BY predicted_prob DESC, plate_no LIMIT 200""")
+
+oracle("file_summary", "WITH " + SCORED.strip() + """,
+s AS (
+  SELECT count(*) AS total_rows, count(*) FILTER (WHERE predicted_label) AS predicted_defect_count,
+         count(*) FILTER (WHERE actual_label AND predicted_label) AS tp,
+         count(*) FILTER (WHERE NOT actual_label AND predicted_label) AS fp,
+         count(*) FILTER (WHERE NOT actual_label AND NOT predicted_label) AS tn,
+         count(*) FILTER (WHERE actual_label AND NOT predicted_label) AS fn
+  FROM pres)
+SELECT total_rows, predicted_defect_count, tp, fp, tn, fn,
+       """ + _ratio("predicted_defect_count", "total_rows") + """ AS predicted_defect_rate,
+       'rulebook_logistic v1' AS model_version, true AS has_actual_labels,
+       """ + _ratio("tp + tn", "total_rows") + " AS accuracy, " + _ratio("tp", "tp + fp") + " AS precision, "
+       + _ratio("tp", "tp + fn") + " AS recall FROM s")
+
+_GRID_FEATS = SERVING_FEATURES_SELECT.replace("FROM imputed", "FROM grid").replace(
+    "SELECT plate_no, target,", "SELECT plate_no, scenario_temp,")
+oracle("what_if_grid", "WITH " + SERVING_INPUT.strip() + """,
+grid AS (
+  SELECT s.* REPLACE (CAST(t.scenario_temp AS DOUBLE) AS rolling_temp), t.scenario_temp
+  FROM serving_input s, (VALUES (850), (900), (950), (1000), (1050)) AS t(scenario_temp)
+),
+gf AS (""" + _GRID_FEATS + f"""
+),
+gs AS (SELECT *, CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_Z}))) AS prob FROM gf)
+SELECT plate_no, CAST(scenario_temp AS INTEGER) AS scenario_temp, round(prob, 4) AS predicted_prob,
+       prob >= 0.5 AS predicted_label, """ + RULE_CODES_OF + " AS fired_rules FROM gs")
+
+_ATTR_NAMES = list(RULEBOOK_COEFS)
+ATTRIBUTION = SCORED + ",\n" + TIME_SPLIT.strip() + """,
+bgk AS (SELECT plate_no FROM (SELECT plate_no, md5('42' || plate_no) AS h FROM tr ORDER BY h, plate_no LIMIT 100)),
+bg AS (SELECT """ + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS {c}" for c in _ATTR_NAMES) + """
+       FROM feats WHERE plate_no IN (SELECT plate_no FROM bgk)),
+attr AS (""" + "\n  UNION ALL\n".join(
+    f"  SELECT f.plate_no, {i} AS feature_index, {_q(c)} AS feature, CAST(f.{c} AS DOUBLE) AS value, "
+    f"CAST({RULEBOOK_COEFS[c]!r} AS DOUBLE) * (CAST(f.{c} AS DOUBLE) - bg.{c}) AS contribution FROM feats f, bg"
+    for i, c in enumerate(_ATTR_NAMES)) + """
+)"""
+
+oracle("linear_attribution", "WITH " + ATTRIBUTION.strip() + "\nSELECT * FROM attr")
+
+oracle("attribution_top5", "WITH " + ATTRIBUTION.strip() + """,
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY plate_no ORDER BY abs(contribution) DESC, feature_index) AS INTEGER) AS rank
+       FROM attr),
+top AS (SELECT * FROM rk WHERE rank <= 5)
+SELECT plate_no, feature_index, feature, value, contribution, rank,
+       CAST(CASE WHEN max(abs(contribution)) OVER (PARTITION BY plate_no) = 0 THEN 0
+            ELSE LEAST(100, CAST(round(abs(contribution) * 100 / max(abs(contribution)) OVER (PARTITION BY plate_no)) AS INTEGER)) END AS INTEGER) AS bar_width
+FROM top""")
+
+oracle("attribution_summary", "WITH " + ATTRIBUTION.strip() + """
+SELECT feature, avg(abs(contribution)) AS mean_abs_contribution FROM attr GROUP BY feature
+ORDER BY mean_abs_contribution DESC, feature LIMIT 12""")
