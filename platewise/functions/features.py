@@ -45,8 +45,9 @@ def over_1000(temp) -> Column:
     return (_c(temp) >= V.ROLLING_TEMP_CRITICAL).cast("int")
 
 
-def cooling_rate(temp_drop, total_time, zero_fill=F.lit(0.0)) -> Column:
-    """temp_drop / total_time; a zero (or NULL) time yields ``zero_fill``."""
+def cooling_rate(temp_drop, total_time, zero_fill: Column | None = None) -> Column:
+    """temp_drop / total_time; a zero (or NULL) time yields ``zero_fill`` (0.0)."""
+    zero_fill = F.lit(0.0) if zero_fill is None else zero_fill
     return F.coalesce(F.try_divide(_c(temp_drop).cast("double"),
                                    F.nullif(_c(total_time).cast("double"), F.lit(0.0))), zero_fill)
 

@@ -45,21 +45,20 @@ def threshold_metrics(df: DataFrame, label: str = "label", prob: str = "prob", t
     return with_rates(confusion(scored, label, "__pred", by), digits)
 
 
-def roc_auc(df: DataFrame, label: str = "label", score: str = "prob", by: list[str] | None = None,
-            digits: int | None = 4) -> DataFrame:
-    """ROC-AUC per group (rank-sum with ties at ½); NULL if a class is missing."""
-    by = by or []
+def score_counts(df: DataFrame, label: str = "label", score: str = "prob", by: list[str] | None = None) -> DataFrame:
+    """(by..., score) -> (pos, neg): the sufficient statistics of every threshold metric
+    and of the AUC, one partially-aggregated pass over the scored rows."""
     y = F.col(label).cast("int")
-    per_score = df.groupBy(*by, score).agg(F.sum(y).cast("bigint").alias("pos"),
-                                           F.sum(1 - y).cast("bigint").alias("neg"))
-    if by:
-        # rank within each group: prefix sums over (group..., score) restart per group
-        cum = prefix_sums(per_score, [*by, score], {"__neg_before": "neg"})
-        start = per_score.groupBy(*by).agg(F.sum("neg").alias("__g_neg"))
-        grp_cum = prefix_sums(start, by, {"__g_before": "__g_neg"}).select(*by, "__g_before")
-        cum = cum.join(F.broadcast(grp_cum), by).withColumn("__neg_before", F.col("__neg_before") - F.col("__g_before"))
-    else:
-        cum = prefix_sums(per_score, [score], {"__neg_before": "neg"})
+    return df.groupBy(*(by or []), score).agg(F.sum(y).cast("bigint").alias("pos"),
+                                              F.sum(1 - y).cast("bigint").alias("neg"))
+
+
+def roc_auc_from_counts(counts: DataFrame, score: str = "prob", by: list[str] | None = None,
+                        digits: int | None = 4) -> DataFrame:
+    """A17 from per-score counts: negatives strictly below each score come from the
+    distributed prefix sum; ties get half credit."""
+    by = by or []
+    cum = prefix_sums(counts, [score], {"__neg_before": "neg"}, by=by)
     credit = F.col("pos") * (F.col("__neg_before") + 0.5 * F.col("neg"))
     agg = cum.groupBy(*by).agg(F.sum(credit).alias("__u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
@@ -69,6 +68,22 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "prob", by: list[s
     return agg.select(*by, auc.alias("auc"), "n_pos", "n_neg")
 
 
+def roc_auc(df: DataFrame, label: str = "label", score: str = "prob", by: list[str] | None = None,
+            digits: int | None = 4) -> DataFrame:
+    """ROC-AUC per group (rank-sum with ties at ½); NULL if a class is missing."""
+    return roc_auc_from_counts(score_counts(df, label, score, by), score, by, digits)
+
+
+def threshold_metrics_from_counts(counts: DataFrame, score: str = "prob", threshold: float = 0.5,
+                                  by: list[str] | None = None, digits: int = 4) -> DataFrame:
+    """A16 from per-score counts (pred = score >= threshold)."""
+    hit = F.col(score) >= F.lit(threshold)
+    cm = counts.groupBy(*(by or [])).agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"), F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"))
+    return with_rates(cm, digits)
+
+
 def class_weights(df: DataFrame, label: str = "label", by: list[str] | None = None) -> DataFrame:
     """Class counts, negative/positive ratio (1.0 without positives) and the
     'balanced' weights n / (2 · n_class)."""

@@ -61,20 +61,29 @@ def global_rank(df: DataFrame, order: list, rank_col: str = "pos", partitions: i
             .drop("__mid", "__pid", "__local", "__off"))
 
 
-def prefix_sums(df: DataFrame, order: list, sums: dict[str, str], partitions: int | None = None) -> DataFrame:
+def prefix_sums(df: DataFrame, order: list, sums: dict[str, str], by: list[str] | None = None,
+                partitions: int | None = None) -> DataFrame:
     """For each ``out -> col`` in ``sums`` add the exclusive running total of ``col``
-    over all preceding rows in ``order`` (a total order).  Intended for aggregated
-    tables (one row per distinct score, day, ...)."""
+    over the preceding rows in ``order`` (a total order), restarting per ``by`` group.
+    Intended for aggregated tables (one row per distinct score, day, ...).
+
+    Range partitioning on (by..., order) keeps each group contiguous; local running
+    sums are windows per (partition, group); the carry-in of a group from earlier
+    partitions comes from a per-(partition, group) totals table, whose size is at most
+    #groups + #partitions.
+    """
+    by = by or []
     n = _n_parts(df, partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *order).withColumn("__pid", F.spark_partition_id())
+    ranged = (df.repartitionByRange(n, *by, *order).withColumn("__pid", F.spark_partition_id())
               .checkpoint(eager=True))
-    w_local = Window.partitionBy("__pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    w_local = Window.partitionBy("__pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumns({f"__l_{o}": F.coalesce(F.sum(c).over(w_local), F.lit(0)) for o, c in sums.items()})
-    totals = ranged.groupBy("__pid").agg(*[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()])
-    w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offs = totals.select("__pid", *[F.coalesce(F.sum(f"__t_{o}").over(w), F.lit(0)).alias(f"__o_{o}") for o in sums])
-    out = local.join(F.broadcast(offs), "__pid")
+    totals = ranged.groupBy("__pid", *by).agg(*[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()])
+    w = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = totals.select("__pid", *by, *[F.coalesce(F.sum(f"__t_{o}").over(w), F.lit(0)).alias(f"__o_{o}") for o in sums])
+    from platewise.operators.lookup import broadcast_bounded
+    out = local.join(broadcast_bounded(offs), ["__pid", *by])
     out = out.withColumns({o: F.col(f"__o_{o}") + F.col(f"__l_{o}") for o in sums})
     return out.drop("__pid", *[f"__l_{o}" for o in sums], *[f"__o_{o}" for o in sums])
 

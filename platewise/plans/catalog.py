@@ -368,10 +368,14 @@ def descaling_parity(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- step 7: splits
 
+from functools import cached_property  # noqa: E402
+
 from platewise.operators import attribution as AT  # noqa: E402
 from platewise.operators import metrics as ME  # noqa: E402
+from platewise.operators import registry as RG  # noqa: E402
 from platewise.operators import score as SC  # noqa: E402
 from platewise.operators import splits as SP  # noqa: E402
+from platewise.operators.lookup import with_scalars  # noqa: E402
 
 
 def coil_with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,14 +383,58 @@ def coil_with_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("plate_no", "rolling_date", "work_group", TK.target_from_scale("scale").alias("target"))
 
 
+class Build:
+    """Frames shared by the parts of ONE query (built once per query, never across
+    queries): the time split, its training part, the serving features, the registry."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    @cached_property
+    def split(self) -> DataFrame:
+        return SP.time_split(coil_with_target(self.spark, self.sf_dir))
+
+    @cached_property
+    def train(self) -> DataFrame:
+        return self.split.filter(F.col("split") == "train")
+
+    @cached_property
+    def folds(self) -> DataFrame:
+        return SP.stratified_folds(self.train, "target", "pos", 5)
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return serving_features(self.spark, self.sf_dir)
+
+    @cached_property
+    def run(self) -> DataFrame:
+        """Training run facts: instant (last training row) and training row count."""
+        return self.train.agg(F.max("rolling_date").alias("trained_at"), F.count(F.lit(1)).alias("n"))
+
+    @cached_property
+    def attributions(self) -> DataFrame:
+        bg_keys = SP.background_sample(self.train.select("plate_no"), "plate_no", 100, 42).select("plate_no")
+        background = self.features.join(bg_keys, "plate_no", "left_semi")
+        return AT.linear_attribution(self.features, background, SC.RULEBOOK_COEFS, "plate_no")
+
+    @cached_property
+    def registry(self) -> DataFrame:
+        return registry_table(self)
+
+    @cached_property
+    def registry_metrics(self) -> DataFrame:
+        valid, test = RG.extract_metrics(F.col("metrics"), F.col("algorithm"))
+        return self.registry.withColumns({"valid": valid, "test": test})
+
+
 @query("time_split")
 def time_split_q(spark, sf_dir):
-    return SP.time_split(coil_with_target(spark, sf_dir)).select("plate_no", "rolling_date", "pos", "split")
+    return Build(spark, sf_dir).split.select("plate_no", "rolling_date", "pos", "split")
 
 
 @query("split_profile")
 def split_profile_q(spark, sf_dir):
-    return SP.split_profile(SP.time_split(coil_with_target(spark, sf_dir)))
+    return SP.split_profile(Build(spark, sf_dir).split)
 
 
 @query("group_split")
@@ -394,29 +442,23 @@ def group_split_q(spark, sf_dir):
     return SP.group_split(coil_with_target(spark, sf_dir)).select("plate_no", "work_group", "split")
 
 
-def train_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SP.time_split(coil_with_target(spark, sf_dir)).filter(F.col("split") == "train")
-
-
 @query("stratified_folds")
 def stratified_folds_q(spark, sf_dir):
-    return SP.stratified_folds(train_part(spark, sf_dir), "target", "pos", 5).select("plate_no", "target", "fold")
+    return Build(spark, sf_dir).folds.select("plate_no", "target", "fold")
 
 
 @query("background_sample")
 def background_sample_q(spark, sf_dir):
-    return SP.background_sample(train_part(spark, sf_dir), "plate_no", 100, 42).select("plate_no", "sample_rank")
+    return SP.background_sample(Build(spark, sf_dir).train, "plate_no", 100, 42).select("plate_no", "sample_rank")
 
 
 # ----------------------------------------------------------------------------- step 8: metrics
 
-def rulebook_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rulebook_scored(b: Build) -> DataFrame:
     """Serving features scored by the fixed linear-logistic rulebook scorer, with the
-    time split attached (positions by rolling_date, plate_no)."""
-    feats = serving_features(spark, sf_dir)
-    scored = SC.present(SC.score_linear(feats), "prob", "target")
-    split = SP.time_split(coil_with_target(spark, sf_dir)).select("plate_no", "split")
-    return scored.join(split, "plate_no")
+    time split attached."""
+    scored = SC.present(SC.score_linear(b.features), "prob", "target")
+    return scored.join(b.split.select("plate_no", "split"), "plate_no")
 
 
 @query("score_fixed_linear")
@@ -433,17 +475,17 @@ def confusion_q(spark, sf_dir):
 
 @query("threshold_metrics")
 def threshold_metrics_q(spark, sf_dir):
-    return ME.threshold_metrics(rulebook_scored(spark, sf_dir), "target", "prob", 0.5, by=["split"])
+    return ME.threshold_metrics(rulebook_scored(Build(spark, sf_dir)), "target", "prob", 0.5, by=["split"])
 
 
 @query("roc_auc")
 def roc_auc_q(spark, sf_dir):
-    return ME.roc_auc(rulebook_scored(spark, sf_dir), "target", "prob", by=["split"])
+    return ME.roc_auc(rulebook_scored(Build(spark, sf_dir)), "target", "prob", by=["split"])
 
 
 @query("class_weights")
 def class_weights_q(spark, sf_dir):
-    return ME.class_weights(SP.time_split(coil_with_target(spark, sf_dir)), "target", by=["split"])
+    return ME.class_weights(Build(spark, sf_dir).split, "target", by=["split"])
 
 
 # ----------------------------------------------------------------------------- step 9: scoring
@@ -482,24 +524,166 @@ def what_if_grid(spark, sf_dir):
     return r.select("plate_no", "scenario_temp", "predicted_prob", "predicted_label", RU.rule_codes().alias("fired_rules"))
 
 
-def rulebook_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feats = serving_features(spark, sf_dir)
-    train_keys = train_part(spark, sf_dir).select("plate_no")
-    bg_keys = SP.background_sample(train_keys, "plate_no", 100, 42).select("plate_no")
-    background = feats.join(bg_keys, "plate_no", "left_semi")
-    return AT.linear_attribution(feats, background, SC.RULEBOOK_COEFS, "plate_no")
-
-
 @query("linear_attribution")
 def linear_attribution(spark, sf_dir):
-    return rulebook_attributions(spark, sf_dir)
+    return Build(spark, sf_dir).attributions
 
 
 @query("attribution_top5")
 def attribution_top5(spark, sf_dir):
-    return AT.top_attributions(rulebook_attributions(spark, sf_dir), "plate_no", V.TOP_N_ATTRIBUTIONS)
+    return AT.top_attributions(Build(spark, sf_dir).attributions, "plate_no", V.TOP_N_ATTRIBUTIONS)
 
 
 @query("attribution_summary")
 def attribution_summary(spark, sf_dir):
-    return AT.attribution_summary(rulebook_attributions(spark, sf_dir), 12)
+    return AT.attribution_summary(Build(spark, sf_dir).attributions, 12)
+
+
+# ----------------------------------------------------------------------------- step 10: registry and reports
+
+# Candidate linear scorers registered side by side (our own fixed parameters):
+# (model_id, algorithm, intercept, coefficients).
+CANDIDATES = [
+    (1, "Rulebook", SC.RULEBOOK_INTERCEPT, SC.RULEBOOK_COEFS),
+    (2, "BreakerOnly", 2.0, {"hsb_applied": -4.0}),
+    (3, "TemperatureOnly", 4.0, {"rolling_temp_over_1000": 3.5, "temp_drop": -0.03}),
+    (4, "DropAndParity", 4.5, {"temp_drop": -0.03, "descaling_is_odd": 0.8}),
+]
+
+
+def candidate_scores(b: Build) -> DataFrame:
+    """Every candidate's probability for every plate in ONE pass (explode, no join per
+    candidate), with the time split and, for training rows, the CV fold."""
+    base = (b.features.join(b.split.select("plate_no", "split"), "plate_no")
+            .join(b.folds.select("plate_no", "fold"), "plate_no", "left"))
+    arr = F.array(*[F.struct(F.lit(mid).alias("model_id"), F.lit(alg).alias("algorithm"),
+                             (1.0 / (1.0 + F.exp(-SC.logit(coefs, b0)))).alias("prob"))
+                    for mid, alg, b0, coefs in CANDIDATES])
+    return base.select("plate_no", "target", "split", "fold", F.explode(arr).alias("c")).select(
+        "plate_no", "target", "split", "fold", "c.*")
+
+
+def candidate_metrics(b: Build) -> DataFrame:
+    """Per candidate: valid and test metrics at 0.5, AUCs, mean 5-fold CV AUC - all
+    from ONE aggregate of the candidate scores to (model, split, fold, prob) counts."""
+    keys = ["model_id", "algorithm", "split"]
+    counts = ME.score_counts(candidate_scores(b), "target", "prob", by=[*keys, "fold"]).checkpoint(eager=True)
+    per_split = counts.groupBy(*keys, "prob").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    m = (ME.threshold_metrics_from_counts(per_split, "prob", 0.5, by=keys)
+         .join(ME.roc_auc_from_counts(per_split, "prob", by=keys).drop("n_pos", "n_neg"), keys))
+    cv = (ME.roc_auc_from_counts(counts.filter(F.col("split") == "train"), "prob", by=["model_id", "fold"], digits=None)
+          .groupBy("model_id").agg(F.round(F.avg("auc"), 4).alias("cv_best_auc")))
+
+    def block(s: str) -> DataFrame:
+        return m.filter(F.col("split") == s).select(
+            "model_id", "algorithm", F.struct("precision", "recall", "f1", "auc").alias(s))
+    return block("valid").join(block("test").drop("algorithm"), "model_id").join(cv, "model_id")
+
+
+def registry_table(b: Build) -> DataFrame:
+    """One registry row per candidate; the metrics document is written in the new
+    shape for even ids and in the old (valid_comparison) shape for odd ids."""
+    cm, s = with_scalars(candidate_metrics(b), b.run, "__run")
+    n_feat = F.create_map(F.lit("features"), F.lit("0"))
+    for mid, _, _, coefs in CANDIDATES:
+        n_feat = F.when(F.col("model_id") == mid, F.create_map(F.lit("features"), F.lit(str(len(coefs))))).otherwise(n_feat)
+    valid = F.struct(F.col("valid.precision").alias("precision"), F.col("valid.recall").alias("recall"),
+                     F.col("valid.f1").alias("f1"), F.col("valid.auc").alias("auc"),
+                     F.col("cv_best_auc").alias("cv_best_auc"), n_feat.alias("best_params"))
+    new_doc = F.to_json(F.struct(valid.alias("valid"), F.col("test").alias("test")))
+    old_doc = F.to_json(F.struct(F.create_map(F.col("algorithm"), valid).alias("valid_comparison"),
+                                 F.col("algorithm").alias("selected"), F.col("test").alias("test")))
+    return cm.select(
+        "model_id", F.lit(V.MODEL_NAME).alias("name"), RG.version_tag(F.col("algorithm"), s["trained_at"]).alias("version"),
+        "algorithm", s["trained_at"].alias("trained_at"), s["n"].alias("train_row_count"),
+        F.when(F.col("model_id") % 2 == 0, new_doc).otherwise(old_doc).alias("metrics"),
+        F.lit(0.5).alias("threshold"))
+
+
+@query("metrics_json")
+def metrics_json(spark, sf_dir):
+    r = Build(spark, sf_dir).registry_metrics
+    return r.select("model_id", "algorithm",
+                    F.when(F.col("model_id") % 2 == 0, "new").otherwise("old").alias("shape"),
+                    F.col("valid.auc").alias("valid_auc"), F.col("valid.precision").alias("valid_precision"),
+                    F.col("valid.recall").alias("valid_recall"), F.col("valid.f1").alias("valid_f1"),
+                    F.col("valid.cv_best_auc").alias("cv_best_auc"), F.col("test.auc").alias("test_auc"),
+                    RG.params_text(F.col("valid.best_params")).alias("params"))
+
+
+@query("model_ranking")
+def model_ranking(spark, sf_dir):
+    r = RG.rank_models(Build(spark, sf_dir).registry_metrics, F.col("valid"))
+    return r.select("rank", "model_id", "algorithm", "version", F.col("valid.auc").alias("auc"),
+                    F.col("valid.f1").alias("f1"), F.col("valid.precision").alias("precision"),
+                    F.col("valid.recall").alias("recall"), F.col("valid.cv_best_auc").alias("cv_best_auc"),
+                    RG.params_text(F.col("valid.best_params")).alias("params"))
+
+
+def activation_log(reg: DataFrame) -> DataFrame:
+    """M13 + M14: bootstrap event for the AUC-only best at registration time, then a
+    manual activation of the five-level ranking winner one day later."""
+    boot = RG.bootstrap_choice(reg, F.col("valid.auc")).select(
+        "name", "model_id", F.col("trained_at").alias("activated_at"), F.lit("bootstrap").alias("reason"))
+    manual = RG.rank_models(reg, F.col("valid")).filter(F.col("rank") == 1).select(
+        "name", "model_id", F.timestamp_add("DAY", F.lit(1), F.col("trained_at")).alias("activated_at"),
+        F.lit("manual").alias("reason"))
+    return boot.unionByName(manual)
+
+
+def active_model_table(b: Build) -> DataFrame:
+    reg = b.registry_metrics
+    act = RG.active_versions(activation_log(reg))
+    return act.join(reg.select("model_id", "version", "algorithm"), "model_id").select(
+        "name", "model_id", "algorithm", "version", "activated_at", "reason",
+        SC.model_label(F.col("name"), F.col("version")).alias("model_label"))
+
+
+@query("active_model")
+def active_model(spark, sf_dir):
+    return active_model_table(Build(spark, sf_dir))
+
+
+@query("dashboard_summary")
+def dashboard_summary(spark, sf_dir):
+    """A20 as of the last production day in the data (an explicit instant, not now())."""
+    from platewise.operators import report as RP
+    c = driver.coil(spark, sf_dir)
+    as_of = c.agg(F.to_date(F.max("rolling_date")).alias("d"))
+    scored = rulebook_file(spark, sf_dir).join(c.select("plate_no", "rolling_date"), "plate_no")
+    preds = scored.select(F.col("rolling_date").alias("predicted_at"), "predicted_label")
+    plates = c.select(F.col("rolling_date").alias("created_at"))
+    return RP.dashboard_summary(plates, preds, current_alert_state(spark, sf_dir),
+                                active_model_table(Build(spark, sf_dir)), as_of)
+
+
+@query("event_props")
+def event_props(spark, sf_dir):
+    """JSON column parsing on the event stream table: props {"k": n} per event type."""
+    e = driver.events(spark, sf_dir)
+    k = F.from_json("props", "struct<k:bigint>")["k"]
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("sum_k"),
+                                       F.count_if(k.isNull()).alias("n_without_k"),
+                                       F.round(F.avg("value"), 6).alias("avg_value"))
+
+
+@query("prediction_report")
+def prediction_report(spark, sf_dir):
+    """Latest prediction per plate with its model label and ranked top features."""
+    from platewise.operators import report as RP
+    b = Build(spark, sf_dir)
+    c = driver.coil(spark, sf_dir)
+    scored = SC.present(SC.score_linear(b.features), "prob", None).join(c.select("plate_no", "rolling_date"), "plate_no")
+    first = scored.select("plate_no", F.col("rolling_date").alias("predicted_at"), "predicted_prob", "predicted_label",
+                          F.lit(1).alias("model_id"))
+    # re-scoring after a later inspection (the feedback loop): same model, later instant
+    later = driver.inspection_history(c).join(
+        c.select("plate_no", "rolling_date"), "plate_no").filter(F.col("inspected_at") > F.col("rolling_date"))
+    second = first.join(later.select("plate_no", "inspected_at"), "plate_no").select(
+        "plate_no", F.col("inspected_at").alias("predicted_at"), "predicted_prob", "predicted_label", "model_id")
+    preds = first.unionByName(second)
+    top = AT.top_attributions(b.attributions, "plate_no", V.TOP_N_ATTRIBUTIONS)
+    run, s = with_scalars(spark.range(1), b.run, "__run")
+    models = run.select(F.lit(1).alias("model_id"), F.lit(V.MODEL_NAME).alias("name"),
+                        RG.version_tag(F.lit(CANDIDATES[0][1]), s["trained_at"]).alias("version"))
+    return RP.latest_prediction_report(preds, models, top)

@@ -615,3 +615,118 @@ FROM top""")
 oracle("attribution_summary", "WITH " + ATTRIBUTION.strip() + """
 SELECT feature, avg(abs(contribution)) AS mean_abs_contribution FROM attr GROUP BY feature
 ORDER BY mean_abs_contribution DESC, feature LIMIT 12""")
+
+
+# ----------------------------------------------------------------------------- step 10: registry and reports
+
+from platewise.plans.catalog import CANDIDATES  # noqa: E402
+
+
+def _prob_sql(b: float, coefs: dict) -> str:
+    z = f"CAST({b!r} AS DOUBLE)" + "".join(f" + CAST({w!r} AS DOUBLE) * CAST({c} AS DOUBLE)" for c, w in coefs.items())
+    return f"CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({z})))"
+
+
+REGISTRY = (SCORED + ",\n" + TIME_SPLIT.strip() + """,
+fl AS (SELECT arg_min(target, pos) AS first_label FROM tr),
+enc AS (SELECT tr.*, CAST(tr.target != fl.first_label AS INTEGER) AS enc FROM tr, fl),
+cnt AS (SELECT count(*) FILTER (WHERE enc = 0) AS n0, count(*) AS n FROM enc),
+rr AS (SELECT enc.plate_no, row_number() OVER (PARTITION BY enc.enc ORDER BY enc.pos) - 1 AS r,
+              CASE WHEN enc.enc = 0 THEN 0 ELSE cnt.n0 END AS a, CASE WHEN enc.enc = 0 THEN cnt.n0 ELSE cnt.n END AS b
+       FROM enc, cnt),
+folds AS (SELECT plate_no, CAST(""" + _fold_sql(5) + """ AS INTEGER) AS fold FROM rr),
+cand AS (
+""" + "\n  UNION ALL\n".join(
+    f"  SELECT f.plate_no, f.target, t.split, {mid} AS model_id, {_q(alg)} AS algorithm, {_prob_sql(b, coefs)} AS prob "
+    f"FROM feats f JOIN tsplit t ON t.plate_no = f.plate_no" for mid, alg, b, coefs in CANDIDATES) + """
+),
+cf AS (SELECT cand.*, folds.fold FROM cand LEFT JOIN folds ON folds.plate_no = cand.plate_no),
+cmx AS (
+  SELECT model_id, algorithm, split,
+         count(*) FILTER (WHERE target = 1 AND prob >= 0.5) AS tp, count(*) FILTER (WHERE target = 0 AND prob >= 0.5) AS fp,
+         count(*) FILTER (WHERE target = 0 AND prob < 0.5) AS tn, count(*) FILTER (WHERE target = 1 AND prob < 0.5) AS fn
+  FROM cf GROUP BY model_id, algorithm, split),
+rates AS (
+  SELECT model_id, algorithm, split, """ + _ratio("tp", "tp + fp") + " AS precision, " + _ratio("tp", "tp + fn")
+    + " AS recall, " + _ratio("2 * tp", "2 * tp + fp + fn") + """ AS f1 FROM cmx),
+aps AS (SELECT model_id, split, prob, sum(target) AS pos, sum(1 - target) AS neg FROM cf GROUP BY model_id, split, prob),
+apc AS (SELECT *, COALESCE(sum(neg) OVER (PARTITION BY model_id, split ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM aps),
+aucs AS (SELECT model_id, split, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+                THEN round(sum(pos * (nb + 0.5::DOUBLE * neg)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)), 4) END AS auc
+         FROM apc GROUP BY model_id, split),
+cps AS (SELECT model_id, fold, prob, sum(target) AS pos, sum(1 - target) AS neg FROM cf WHERE split = 'train' GROUP BY model_id, fold, prob),
+cpc AS (SELECT *, COALESCE(sum(neg) OVER (PARTITION BY model_id, fold ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM cps),
+cvf AS (SELECT model_id, fold, CASE WHEN sum(pos) > 0 AND sum(neg) > 0
+               THEN sum(pos * (nb + 0.5::DOUBLE * neg)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS auc
+        FROM cpc GROUP BY model_id, fold),
+cv AS (SELECT model_id, round(avg(auc), 4) AS cv_best_auc FROM cvf GROUP BY model_id),
+run AS (SELECT max(rolling_date) AS trained_at, count(*) AS n FROM tr),
+reg AS (
+  SELECT v.model_id, v.algorithm, v.precision AS valid_precision, v.recall AS valid_recall, v.f1 AS valid_f1, va.auc AS valid_auc,
+         cv.cv_best_auc, ta.auc AS test_auc, run.trained_at,
+         v.algorithm || '-' || strftime(run.trained_at, '%Y%m%d%H%M%S') AS version,
+         CASE """ + " ".join(f"WHEN v.model_id = {mid} THEN 'features={len(coefs)}'" for mid, _, _, coefs in CANDIDATES) + """ END AS params
+  FROM rates v JOIN aucs va ON va.model_id = v.model_id AND va.split = 'valid'
+  JOIN aucs ta ON ta.model_id = v.model_id AND ta.split = 'test'
+  JOIN cv ON cv.model_id = v.model_id, run
+  WHERE v.split = 'valid'
+),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (ORDER BY COALESCE(valid_auc, 0) DESC, round(COALESCE(valid_f1, 0), 3) DESC,
+                        round(COALESCE(valid_precision, 0), 3) DESC, round(COALESCE(valid_recall, 0), 3) DESC,
+                        COALESCE(cv_best_auc, 0) DESC, model_id) AS INTEGER) AS rank
+  FROM reg
+),
+acts AS (
+  SELECT model_id, trained_at AS activated_at, 'bootstrap' AS reason
+  FROM (SELECT * FROM reg ORDER BY COALESCE(valid_auc, 0) DESC, model_id LIMIT 1)
+  UNION ALL
+  SELECT model_id, trained_at + INTERVAL 1 DAY, 'manual' FROM ranked WHERE rank = 1
+),
+active AS (
+  SELECT '""" + V.MODEL_NAME + """' AS name, a.model_id, r.algorithm, r.version, a.activated_at, a.reason,
+         '""" + V.MODEL_NAME + """' || ' ' || r.version AS model_label
+  FROM (SELECT * FROM acts ORDER BY activated_at DESC, model_id DESC LIMIT 1) a JOIN reg r ON r.model_id = a.model_id
+)""")
+
+oracle("metrics_json", "WITH " + REGISTRY.strip() + """
+SELECT model_id, algorithm, CASE WHEN model_id % 2 = 0 THEN 'new' ELSE 'old' END AS shape,
+       valid_auc, valid_precision, valid_recall, valid_f1, cv_best_auc, test_auc, params FROM reg""")
+
+oracle("model_ranking", "WITH " + REGISTRY.strip() + """
+SELECT rank, model_id, algorithm, version, valid_auc AS auc, valid_f1 AS f1, valid_precision AS precision,
+       valid_recall AS recall, cv_best_auc, params FROM ranked""")
+
+oracle("active_model", "WITH " + REGISTRY.strip() + "\nSELECT * FROM active")
+
+oracle("dashboard_summary", "WITH " + RULES.strip() + ",\n" + ALERT_STATE.strip() + ",\n" + REGISTRY.strip() + """,
+d AS (SELECT CAST(CAST(max(rolling_date) AS DATE) AS TIMESTAMP) AS d FROM coil)
+SELECT strftime((SELECT d FROM d), '%Y-%m-%d') AS as_of_date,
+       (SELECT count(*) FROM coil, d WHERE rolling_date >= d.d AND rolling_date < d.d + INTERVAL 1 DAY) AS today_plate_count,
+       (SELECT CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE p.predicted_label) / CAST(count(*) AS DOUBLE) END
+        FROM pres p JOIN coil c ON c.plate_no = p.plate_no, d
+        WHERE c.rolling_date >= d.d AND c.rolling_date < d.d + INTERVAL 1 DAY) AS today_predicted_defect_rate,
+       (SELECT count(*) FROM state WHERE resolved_at IS NULL) AS open_alert_count,
+       (SELECT max(model_label) FROM active) AS active_model""", inspection=True)
+
+oracle("event_props", """
+SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k,
+       count(*) FILTER (WHERE json_extract(props, '$.k') IS NULL) AS n_without_k, round(avg(value), 6) AS avg_value
+FROM events GROUP BY event_type""")
+
+oracle("prediction_report", "WITH " + ATTRIBUTION.strip() + """,
+rk AS (SELECT *, row_number() OVER (PARTITION BY plate_no ORDER BY abs(contribution) DESC, feature_index) AS rank FROM attr),
+topf AS (SELECT plate_no, string_agg(feature, ',' ORDER BY rank) AS top_features FROM rk WHERE rank <= 5 GROUP BY plate_no),
+p1 AS (SELECT p.plate_no, c.rolling_date AS predicted_at, p.predicted_prob, p.predicted_label, 1 AS model_id
+       FROM pres p JOIN coil c ON c.plate_no = p.plate_no),
+p2 AS (SELECT p1.plate_no, i.inspected_at AS predicted_at, p1.predicted_prob, p1.predicted_label, p1.model_id
+       FROM p1 JOIN inspection i ON i.plate_no = p1.plate_no JOIN coil c ON c.plate_no = p1.plate_no
+       WHERE i.inspected_at > c.rolling_date),
+preds AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2),
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plate_no ORDER BY predicted_at DESC, model_id DESC) AS rn
+                          FROM preds) WHERE rn = 1),
+run AS (SELECT max(rolling_date) AS trained_at FROM tr)
+SELECT l.plate_no, l.predicted_at, l.predicted_prob, l.predicted_label,
+       '""" + V.MODEL_NAME + """' || ' ' || 'Rulebook-' || strftime(run.trained_at, '%Y%m%d%H%M%S') AS model_version,
+       t.top_features
+FROM latest l LEFT JOIN topf t ON t.plate_no = l.plate_no, run""", inspection=True)
