@@ -11,26 +11,29 @@ from pyspark.sql import functions as F
 
 from platewise.operators.lookup import broadcast_bounded, with_scalars
 
-N = F.count(F.lit(1))
+
+
+def _n() -> Column:
+    return F.count(F.lit(1))
 
 
 def value_distribution(df: DataFrame, col: str) -> DataFrame:
     """Count and share of each value (share = count / all rows)."""
-    counts = df.groupBy(col).agg(N.alias("n"))
-    total = df.agg(N.alias("total"))
+    counts = df.groupBy(col).agg(_n().alias("n"))
+    total = df.agg(_n().alias("total"))
     out, s = with_scalars(counts, total, "__total")
     return out.select(col, "n", (F.col("n") / s["total"]).alias("share"))
 
 
 def rate_by(df: DataFrame, keys: list[str], indicator: Column) -> DataFrame:
     """Rows and mean of a 0/1 indicator per group."""
-    return df.groupBy(*keys).agg(N.alias("n"), F.sum(indicator.cast("bigint")).alias("n_positive"),
-                                 (F.sum(indicator.cast("bigint")) / N).alias("rate"))
+    return df.groupBy(*keys).agg(_n().alias("n"), F.sum(indicator.cast("bigint")).alias("n_positive"),
+                                 (F.sum(indicator.cast("bigint")) / _n()).alias("rate"))
 
 
 def mean_by(df: DataFrame, keys: list[str], value: Column, name: str = "mean") -> DataFrame:
     """Group mean."""
-    return df.groupBy(*keys).agg(N.alias("n"), F.avg(value).alias(name))
+    return df.groupBy(*keys).agg(_n().alias("n"), F.avg(value).alias(name))
 
 
 def labelled_histogram(df: DataFrame, value: str, label: str, bins: int = 40) -> DataFrame:
@@ -44,7 +47,7 @@ def labelled_histogram(df: DataFrame, value: str, label: str, bins: int = 40) ->
     b = F.when(hi == lo, F.lit(0)).otherwise(b)
     binned = d2.withColumns({"bin": b, "__lo": lo, "__w": width})
     return binned.groupBy(label, "bin").agg(
-        N.alias("n"), F.first("__lo").alias("__lo"), F.first("__w").alias("__w")
+        _n().alias("n"), F.first("__lo").alias("__lo"), F.first("__w").alias("__w")
     ).select(label, "bin", (F.col("__lo") + F.col("bin") * F.col("__w")).alias("bin_lo"),
              (F.col("__lo") + (F.col("bin") + 1) * F.col("__w")).alias("bin_hi"), "n")
 
@@ -62,4 +65,4 @@ def box_stats(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
     return j.groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col("__v"))).alias("whisker_lo"),
         F.max(F.when(inside, F.col("__v"))).alias("whisker_hi"),
-        F.count_if(~inside).alias("n_fliers"), N.alias("n"))
+        F.count_if(~inside).alias("n_fliers"), _n().alias("n"))
