@@ -687,3 +687,58 @@ def prediction_report(spark, sf_dir):
     models = run.select(F.lit(1).alias("model_id"), F.lit(V.MODEL_NAME).alias("name"),
                         RG.version_tag(F.lit(CANDIDATES[0][1]), s["trained_at"]).alias("version"))
     return RP.latest_prediction_report(preds, models, top)
+
+
+# ----------------------------------------------------------------------------- step 12: streaming
+
+def run_rolling_stream(spark: SparkSession, sf_dir: str) -> str:
+    """E1 over arriving orders (each mapped to a rolling record), every record sent
+    twice (a replaying producer); runs to completion with availableNow and returns the
+    output folder."""
+    import os
+
+    from platewise.streaming import ingest as IN
+
+    def arriving() -> DataFrame:
+        c = driver.coil_from(driver.table_stream(spark, sf_dir, "orders"), driver.table(spark, sf_dir, "customer"))
+        return NZ.rolling_records(c)
+
+    stream = arriving().unionByName(arriving())
+    coil = driver.coil(spark, sf_dir)
+    specs = NZ.assign_spec_codes(coil)
+    plates = NZ.plates(coil, specs)
+    furnace = driver.furnace_history(spark, sf_dir)
+    history = LT.serving_frame(plates, specs, furnace, NZ.rolling_records(coil))
+    medians, fallback = CL.fit_temp_imputer(history)
+    out = IN.run_folder(spark, "rolling-ingest")
+    q = IN.start_rolling_ingest(stream, plates, specs, furnace, None, medians, fallback, out)
+    q.awaitTermination()
+    return out
+
+
+@query("stream_dedup")
+def stream_dedup(spark, sf_dir):
+    import os
+    out = run_rolling_stream(spark, sf_dir)
+    return _nullable_temp_as_double(spark.read.parquet(os.path.join(out, "rolling")).drop("batch_id"))
+
+
+@query("stream_ingest_alerts")
+def stream_ingest_alerts(spark, sf_dir):
+    import os
+    out = run_rolling_stream(spark, sf_dir)
+    return spark.read.parquet(os.path.join(out, "alerts")).drop("batch_id")
+
+
+@query("stream_quarantine")
+def stream_quarantine(spark, sf_dir):
+    import os
+    out = run_rolling_stream(spark, sf_dir)
+    return spark.read.parquet(os.path.join(out, "quarantine")).select("plate_no", "rolling_date", "reason")
+
+
+@query("stream_predictions")
+def stream_predictions(spark, sf_dir):
+    import os
+    out = run_rolling_stream(spark, sf_dir)
+    return spark.read.parquet(os.path.join(out, "predictions")).drop("batch_id")

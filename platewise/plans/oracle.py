@@ -730,3 +730,58 @@ SELECT l.plate_no, l.predicted_at, l.predicted_prob, l.predicted_label,
        '""" + V.MODEL_NAME + """' || ' ' || 'Rulebook-' || strftime(run.trained_at, '%Y%m%d%H%M%S') AS model_version,
        t.top_features
 FROM latest l LEFT JOIN topf t ON t.plate_no = l.plate_no, run""", inspection=True)
+
+
+# ----------------------------------------------------------------------------- step 12: streaming
+
+STREAM_BASE = SERVING_FRAME.replace("""s1 AS (SELECT printf('SPEC%03d', row_number() OVER (ORDER BY spec_long, spec_country, steel_kind)) AS spec_code,
+              spec_long, spec_country, steel_kind FROM l1),""", """s1 AS (SELECT printf('SPEC%03d', row_number() OVER (ORDER BY spec_long, spec_country, steel_kind)) AS spec_code,
+              spec_long, spec_country, steel_kind FROM (SELECT DISTINCT spec_long, spec_country, steel_kind FROM coil)),""")
+
+STREAM_RULES = """
+sfired AS (
+  SELECT *, NOT hsb_applied AS r1, COALESCE(rolling_temp >= 1000, false) AS r2,
+         COALESCE(fur_soak_temp - rolling_temp < 190, false) AS r3
+  FROM serving
+),
+salerts AS (
+  SELECT plate_no, 0 AS rule_pos, 'HSB_NOT_APPLIED' AS rule_code, 'CRITICAL' AS severity,
+         '""" + V.MSG_HSB + """' AS message, rolling_date AS triggered_at FROM sfired WHERE r1
+  UNION ALL
+  SELECT plate_no, CAST(r1 AS INTEGER), 'ROLLING_TEMP_OVER_1000', 'CRITICAL',
+         '""" + V.MSG_HOT_HEAD + """' || CAST(rolling_temp AS VARCHAR) || '""" + V.MSG_HOT_MID + """', rolling_date
+  FROM sfired WHERE r2
+  UNION ALL
+  SELECT plate_no, CAST(r1 AS INTEGER) + CAST(r2 AS INTEGER), 'TEMP_DROP_INSUFFICIENT', 'WARNING',
+         '""" + V.MSG_DROP_HEAD + """' || CAST(fur_soak_temp - rolling_temp AS VARCHAR) || '""" + V.MSG_DROP_MID + """', rolling_date
+  FROM sfired WHERE r3
+)"""
+
+oracle("stream_dedup", "WITH " + ROLLING.strip() + """
+SELECT * REPLACE (CAST(rolling_temp AS DOUBLE) AS rolling_temp) FROM rolling
+WHERE plate_no IN (SELECT plate_no FROM furnace)""", furnace=True)
+
+oracle("stream_ingest_alerts", "WITH " + STREAM_BASE.strip() + ",\n" + STREAM_RULES.strip() + "\nSELECT * FROM salerts",
+       furnace=True)
+
+oracle("stream_quarantine", "WITH " + ROLLING.strip() + """
+SELECT plate_no, rolling_date, 'furnace_record_missing' AS reason FROM rolling
+WHERE plate_no NOT IN (SELECT plate_no FROM furnace)""", furnace=True)
+
+_STREAM_FEATS = SERVING_FEATURES_SELECT.replace("SELECT plate_no, target,", "SELECT plate_no, rolling_date,").replace(
+    "FROM imputed", "FROM simputed")
+oracle("stream_predictions", "WITH " + STREAM_BASE.strip() + """,
+sg AS (SELECT steel_kind, rolling_method, median(CASE WHEN rolling_temp > 0 THEN rolling_temp END) AS gm
+       FROM serving GROUP BY steel_kind, rolling_method),
+sglob AS (SELECT median(CASE WHEN rolling_temp > 0 THEN rolling_temp END) AS m FROM serving),
+simputed AS (
+  SELECT s.* REPLACE (COALESCE(CAST(CASE WHEN s.rolling_temp > 0 THEN s.rolling_temp END AS DOUBLE), g.gm,
+                               (SELECT m FROM sglob)) AS rolling_temp)
+  FROM serving s LEFT JOIN sg g ON s.steel_kind = g.steel_kind AND s.rolling_method = g.rolling_method
+),
+sfeats AS (""" + _STREAM_FEATS + f"""
+)
+SELECT plate_no, rolling_date AS predicted_at,
+       round(CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_Z}))), 4) AS predicted_prob,
+       CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_Z}))) >= 0.5 AS predicted_label
+FROM sfeats""", furnace=True)

@@ -36,8 +36,19 @@ def coil(spark: SparkSession, sf_dir: str) -> DataFrame:
     The orders-customer join is a plain equi-join: customer grows with the data, so
     the planner (AQE) picks broadcast only when the measured size allows it.
     """
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return coil_from(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a file stream (the glob keeps the single file a valid source)."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(os.path.join(sf_dir, f"{name}.parque[t]"))
+
+
+def coil_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    """The coil mapping over any orders frame (batch or stream) and a customer table."""
+    o = orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    c = customer.select("c_custkey", "c_nationkey")
     s = o.join(c, o.o_custkey == c.c_custkey, "inner")
     k, ck = F.col("o_orderkey"), F.col("o_custkey")
     temp = F.when((k * 19) % 167 == 0, F.lit(0)).otherwise(
