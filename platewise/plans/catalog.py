@@ -742,3 +742,21 @@ def stream_predictions(spark, sf_dir):
     import os
     out = run_rolling_stream(spark, sf_dir)
     return spark.read.parquet(os.path.join(out, "predictions")).drop("batch_id")
+
+
+# ----------------------------------------------------------------------------- sources and sinks
+
+@query("process_log_csv")
+def process_log_csv(spark, sf_dir):
+    """S1/S8/S11 round trip: the flat log written as legacy CSV twice (cp949 and UTF-8
+    files side by side), read back with per-file encoding detection and typed parsing."""
+    import os
+
+    from platewise.sources import process_log as PL
+    from platewise.streaming.ingest import run_folder
+
+    root = run_folder(spark, "process-log")
+    coil = driver.coil(spark, sf_dir)
+    PL.write_process_log(coil, os.path.join(root, "cp949"), "cp949")
+    PL.write_process_log(coil, os.path.join(root, "utf8"), "UTF-8")
+    return PL.read_process_log(spark, os.path.join(root, "*", "*.csv"))

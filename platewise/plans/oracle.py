@@ -785,3 +785,8 @@ SELECT plate_no, rolling_date AS predicted_at,
        round(CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_Z}))), 4) AS predicted_prob,
        CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_Z}))) >= 0.5 AS predicted_label
 FROM sfeats""", furnace=True)
+
+
+# ----------------------------------------------------------------------------- sources and sinks
+
+oracle("process_log_csv", "SELECT * FROM coil UNION ALL SELECT * FROM coil")
