@@ -48,55 +48,57 @@ def attribution_summary(long: DataFrame, k: int = 12) -> DataFrame:
     return g.orderBy(F.col("mean_abs_contribution").desc(), "feature").limit(k)
 
 
-def sampled_shapley(df: DataFrame, background: DataFrame, feature_cols: list[str], predict_fn,
-                    key: str = "plate_no", n_perm: int = 8, seed: int = 42, batch_rows: int = 256) -> DataFrame:
-    """M19 for non-linear models: Monte-Carlo permutation Shapley values.
-
-    ``predict_fn(np.ndarray[n, d]) -> np.ndarray[n]`` returns the positive-class
-    probability (for Spark ML tree ensembles build it with
-    :func:`platewise.plans.training.numpy_predictor`).  For each row and each of
-    ``n_perm`` random orders, features are switched from a background row to the
-    row's own value one at a time; the change in probability is credited to the switched
-    feature.  The background (≤ 100 rows) is broadcast; the work is
-    rows × n_perm × d model evaluations, split across tasks by ``mapInPandas``.
-    Output: (key, feature_index, feature, value, contribution, scale='probability').
+def sampled_shapley(df: DataFrame, background: DataFrame, feature_cols: list[str], predict,
+                    key: str = "plate_no", n_perm: int = 4, seed: int = 42, max_background: int = 100) -> DataFrame:
+    """M19 for any model: Monte-Carlo permutation Shapley values of the positive-class
+    probability, as one Spark job.
+
+    For every row and each of ``n_perm`` permutations (drawn from a hash of (key, perm,
+    feature), so recomputation after a lost executor gives the same draw), a background
+    row is picked and the row's features are switched in one at a time; the d + 1
+    coalition rows are scored by ``predict`` (DataFrame with a ``features`` vector ->
+    DataFrame with ``prob``; e.g. a fitted PipelineModel's transform) in the JVM.  The
+    probabilities of one (row, perm) - d + 1 values - are gathered and differenced; the
+    change at step j is credited to the feature switched at that step, and credits are
+    averaged over permutations.  The background has a proven bound (≤ ``max_background``
+    rows) and travels as a literal array.  Output: (key, feature_index, feature, value,
+    contribution, scale='probability').
     """
-    import zlib
+    from pyspark.ml.functions import array_to_vector
 
-    import numpy as np
-    import pandas as pd
-
-    bg = np.asarray([[float(r[c]) for c in feature_cols] for r in background.select(*feature_cols).limit(100).collect()])
-    if len(bg) == 0:
-        raise ValueError("empty background sample")
-    bc = df.sparkSession.sparkContext.broadcast(bg)
     d = len(feature_cols)
-    out_schema = f"{key} string, feature_index int, feature string, value double, contribution double, scale string"
-
-    def run(batches):
-        B = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            X = pdf[feature_cols].to_numpy(dtype="float64")
-            keys = pdf[key].astype(str).to_numpy()
-            phi = np.zeros_like(X)
-            for i in range(len(X)):
-                rng = np.random.default_rng((seed * 1_000_003 + zlib.crc32(keys[i].encode())) & 0xFFFFFFFF)
-                for _ in range(n_perm):
-                    order = rng.permutation(d)
-                    z = B[rng.integers(len(B))].copy()
-                    rows = np.empty((d + 1, d))
-                    rows[0] = z
-                    for j, f in enumerate(order):
-                        z[f] = X[i, f]
-                        rows[j + 1] = z
-                    p = predict_fn(rows)
-                    phi[i, order] += np.diff(p)
-            phi /= n_perm
-            yield pd.DataFrame({
-                key: np.repeat(keys, d), "feature_index": np.tile(np.arange(d, dtype="int32"), len(X)),
-                "feature": np.tile(np.asarray(feature_cols, dtype=object), len(X)),
-                "value": X.reshape(-1), "contribution": phi.reshape(-1), "scale": "probability"})
-
-    return df.select(key, *[F.col(c).cast("double") for c in feature_cols]).mapInPandas(run, out_schema)
+    bg_rows = background.select(*[F.col(c).cast("double") for c in feature_cols]).limit(max_background).collect()
+    if not bg_rows:
+        raise ValueError("empty background sample")
+    bg = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in bg_rows])
+    n_bg = len(bg_rows)
+    x = df.select(F.col(key).cast("string").alias(key), F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("x"))
+    idx = F.sequence(F.lit(0), F.lit(d - 1))
+
+    def order_of(k, p):
+        keyed = F.transform(idx, lambda i: F.struct(F.xxhash64(k, p, i, F.lit(seed)).alias("h"), i.alias("i")))
+        return F.transform(F.array_sort(keyed), lambda s: s["i"])
+
+    perms = x.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
+    perms = perms.withColumns({
+        "order": order_of(F.col(key), F.col("perm")),
+        "b": bg[F.pmod(F.xxhash64(F.col(key), F.col("perm"), F.lit(seed), F.lit(-1)), F.lit(n_bg)).cast("int")],
+    })
+    perms = perms.withColumn("pos_of", F.transform(idx, lambda i: F.array_position("order", i) - 1))
+    steps = perms.select(key, "perm", "x", "b", "pos_of", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("j"))
+    z = F.transform(idx, lambda i: F.when(F.col("pos_of")[i] < F.col("j"), F.col("x")[i]).otherwise(F.col("b")[i]))
+    coalitions = steps.select(key, "perm", "j", array_to_vector(z).alias("features"))
+    scored = predict(coalitions).select(key, "perm", "j", "prob")
+    per_perm = scored.groupBy(key, "perm").agg(F.array_sort(F.collect_list(F.struct("j", "prob"))).alias("ps"))
+    per_perm = per_perm.withColumn("order", order_of(F.col(key), F.col("perm")))
+    credits = per_perm.select(key, F.explode(F.transform(
+        F.sequence(F.lit(1), F.lit(d)),
+        lambda j: F.struct(F.col("order")[j - 1].alias("feature_index"),
+                           (F.col("ps")[j]["prob"] - F.col("ps")[j - 1]["prob"]).alias("delta")))).alias("c"))
+    phi = credits.groupBy(key, "c.feature_index").agg(F.avg("c.delta").alias("contribution"))
+    names = F.array(*[F.lit(c) for c in feature_cols])
+    vals = x.select(key, F.posexplode("x").alias("feature_index", "value"))
+    return (phi.join(vals, [key, "feature_index"])
+               .select(key, F.col("feature_index").cast("int").alias("feature_index"),
+                       names[F.col("feature_index")].alias("feature"), "value", "contribution",
+                       F.lit("probability").alias("scale")))

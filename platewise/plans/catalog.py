@@ -760,3 +760,92 @@ def process_log_csv(spark, sf_dir):
     PL.write_process_log(coil, os.path.join(root, "cp949"), "cp949")
     PL.write_process_log(coil, os.path.join(root, "utf8"), "UTF-8")
     return PL.read_process_log(spark, os.path.join(root, "*", "*.csv"))
+
+
+# ----------------------------------------------------------------------------- step 11: training (rows-only checks)
+
+def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 -> temperature imputed (training order, fitted on all rows as published) ->
+    serving features, with the label from the latest inspection."""
+    tf = training_frame_q(spark, sf_dir)
+    base = CL.impute_group_median(tf, global_after_group=False)
+    return FE.serving_features(base, keep=["plate_no", "target", "rolling_date"])
+
+
+def _train(spark: SparkSession, sf_dir: str, family: str):
+    from platewise.plans import training as TR
+    fam = [f for f in TR.FAMILIES if f.name == family]
+    return TR.train_compare(training_features(spark, sf_dir), fam)
+
+
+@query("train_logistic_regression")
+def train_logistic_regression(spark, sf_dir):
+    """M3 + M9-M11: grid search (C) with 5 stratified folds, evaluation on valid/test."""
+    return _train(spark, sf_dir, "LogisticRegression").comparison
+
+
+@query("train_decision_tree")
+def train_decision_tree(spark, sf_dir):
+    """M4 + M9-M11."""
+    return _train(spark, sf_dir, "DecisionTree").comparison
+
+
+@query("train_svm")
+def train_svm(spark, sf_dir):
+    """M8 + M9-M11 (linear kernel; Platt-scaled probabilities)."""
+    return _train(spark, sf_dir, "SVM").comparison
+
+
+@query("score_trained")
+def score_trained(spark, sf_dir):
+    """M16 with a fitted model: the decision-tree family's best model scores every
+    plate of the training frame; label = probability >= 0.5."""
+    from platewise.plans import training as TR
+    res = _train(spark, sf_dir, "DecisionTree")
+    model, platt = res.models["DecisionTree"]
+    out = TR.score_with_model(training_features(spark, sf_dir), model, res.vocab, platt, 0.5, keep=["plate_no", "target"])
+    return out.select("plate_no", F.round("prob", 4).alias("predicted_prob"), "predicted_label",
+                      F.col("target").cast("boolean").alias("actual_label"))
+
+
+@query("shapley_sampled")
+def shapley_sampled(spark, sf_dir):
+    """M19 for a tree model: sampled-permutation Shapley values of every plate's
+    probability, background = 100 training rows in md5 order."""
+    from pyspark.ml.functions import vector_to_array
+
+    from platewise.plans import training as TR
+    res = _train(spark, sf_dir, "DecisionTree")
+    model, _ = res.models["DecisionTree"]
+    feats = training_features(spark, sf_dir)
+    dm, cols = TR.design_matrix(feats, res.vocab, keep=["plate_no", "rolling_date"])
+    train_keys = SP.time_split(dm.select("plate_no", "rolling_date")).filter(F.col("split") == "train")
+    bg = dm.join(SP.background_sample(train_keys, "plate_no", 100, 42).select("plate_no"), "plate_no", "left_semi")
+
+    def predict(c: DataFrame) -> DataFrame:
+        return model.transform(c).withColumn("prob", vector_to_array("probability")[1])
+
+    return AT.sampled_shapley(dm, bg, cols, predict, "plate_no", n_perm=4, seed=42)
+
+
+@query("stream_inspections")
+def stream_inspections(spark, sf_dir):
+    """Inspection labels arriving as a stream (one per arriving order, a second one
+    for re-inspected plates); accepted when the plate exists and the inspector is a known
+    user; appended by batch id."""
+    import os
+
+    from platewise.streaming import ingest as IN
+
+    arriving = driver.coil_from(driver.table_stream(spark, sf_dir, "orders"), driver.table(spark, sf_dir, "customer"))
+    labels = driver.inspection_history(arriving).join(
+        arriving.select("plate_no", F.concat(F.lit("engineer"), TK.leading_int("work_group").cast("string"),
+                                             F.lit("@plant.local")).alias("inspector_email")), "plate_no")
+    coil = driver.coil(spark, sf_dir)
+    plates = NZ.plates(coil, NZ.assign_spec_codes(coil))
+    # known inspectors: engineers of the work groups seen in the plates with furnace history
+    users = plant_users(spark, sf_dir)
+    out = IN.run_folder(spark, "inspection-ingest")
+    IN.start_inspection_ingest(labels, plates, users, out).awaitTermination()
+    return spark.read.parquet(os.path.join(out, "inspections")).select(
+        "plate_no", "defect_type", "inspected_at", "inspector_email", "user_id")

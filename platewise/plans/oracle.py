@@ -790,3 +790,9 @@ FROM sfeats""", furnace=True)
 # ----------------------------------------------------------------------------- sources and sinks
 
 oracle("process_log_csv", "SELECT * FROM coil UNION ALL SELECT * FROM coil")
+
+oracle("stream_inspections", """
+SELECT i.plate_no, i.defect_type, i.inspected_at,
+       'engineer' || CAST(TRY_CAST(NULLIF(regexp_extract(c.work_group, '^(\\d+)', 1), '') AS INTEGER) AS VARCHAR) || '@plant.local' AS inspector_email,
+       CAST(TRY_CAST(NULLIF(regexp_extract(c.work_group, '^(\\d+)', 1), '') AS INTEGER) AS BIGINT) AS user_id
+FROM inspection i JOIN coil c ON c.plate_no = i.plate_no""", inspection=True)

@@ -36,6 +36,8 @@ from platewise.operators import metrics as ME
 from platewise.operators import splits as SP
 
 MAX_LEVELS = 10_000  # a categorical column with more levels is not one-hot encoded
+MIN_TRAINING_ROWS = 50
+ROWS_PER_PARTITION = 200_000  # ~40 double features -> ~64 MB of training rows per task
 
 
 # ----------------------------------------------------------------------------- design matrix (M1, M2)
@@ -181,10 +183,17 @@ def train_compare(frame: DataFrame, families: list[Family] = FAMILIES, label_col
     """Grid search with 5 stratified folds per family on the training split,
     refit on the whole training split, evaluate on valid and test."""
     data, cols, vocab = prepare(frame, label_col)
-    data = data.checkpoint(eager=True)
+    # Size the partitions by rows: iterative learners run one job per iteration, so a
+    # small table in many partitions pays task overhead on every step; a large one
+    # keeps ~ROWS_PER_PARTITION rows per task.
+    total = data.count()
+    parts = max(1, -(-total // ROWS_PER_PARTITION))
+    data = data.repartition(parts).checkpoint(eager=True)
     train = data.filter(F.col("split") == "train")
     counts = train.agg(F.count(F.lit(1)).alias("n")).first()
     n = int(counts["n"])
+    if total < MIN_TRAINING_ROWS:  # P17: too little data to train at all
+        raise ValueError(f"only {total} labelled rows; at least {MIN_TRAINING_ROWS} are needed")
     rows, models = [], {}
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label",
                                               metricName="areaUnderROC")

@@ -196,3 +196,22 @@ def test_duplicate_and_missing_parent(spark):
     parent = spark.createDataFrame([("p",)], "plate_no string")
     assert NZ.duplicate_keys(child, ["plate_no", "recorded_at"]).collect()[0]["n"] == 2
     assert [r["plate_no"] for r in NZ.missing_parent(child, parent, ["plate_no"]).collect()] == ["q"]
+
+
+def test_sampled_shapley_exact_for_additive_model(spark):
+    from pyspark.ml.functions import vector_to_array
+    w = [0.5, -2.0, 1.0]
+    df = spark.createDataFrame([("x", 1.0, 2.0, 3.0), ("y", -1.0, 0.5, 0.0)], "plate_no string, a double, b double, c double")
+    bg = spark.createDataFrame([("bg", 0.5, 1.0, -1.0)], "plate_no string, a double, b double, c double")
+
+    def predict(c):
+        arr = vector_to_array("features")
+        return c.withColumn("prob", arr[0] * w[0] + arr[1] * w[1] + arr[2] * w[2])
+
+    out = AT.sampled_shapley(df, bg, ["a", "b", "c"], predict, "plate_no", n_perm=3).collect()
+    base = {"a": 0.5, "b": 1.0, "c": -1.0}
+    rows = {"x": {"a": 1.0, "b": 2.0, "c": 3.0}, "y": {"a": -1.0, "b": 0.5, "c": 0.0}}
+    for r in out:
+        i = ["a", "b", "c"].index(r["feature"])
+        assert abs(r["contribution"] - w[i] * (rows[r["plate_no"]][r["feature"]] - base[r["feature"]])) < 1e-12
+    assert len(out) == 6
