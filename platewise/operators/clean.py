@@ -61,6 +61,13 @@ def impute_group_median(df: DataFrame, col: str = "rolling_temp", keys=TEMP_KEYS
     """
     out = out or col
     c = F.col(col)
+    if medians is None and fallback is None and not global_after_group:
+        one_pass = _group_and_global_medians(df, col, keys, approx)
+        if one_pass is not None:
+            med, glob = one_pass
+            joined = df.join(med, list(keys), "left")
+            grouped = F.coalesce(F.when(c > 0, c).cast("double"), F.col("group_median").cast("double"))
+            return joined.withColumn(out, F.coalesce(grouped, glob)).drop("group_median")
     med = medians if medians is not None else group_medians(df, col, keys, approx=approx)
     joined = df.join(broadcast_bounded(med), list(keys), "left")
     grouped = F.coalesce(F.when(c > 0, c).cast("double"), F.col("group_median").cast("double"))
@@ -74,6 +81,22 @@ def impute_group_median(df: DataFrame, col: str = "rolling_temp", keys=TEMP_KEYS
             .drop("group_median", "__temp_fallback"))
 
 
+def _group_and_global_medians(df: DataFrame, col: str, keys, approx: bool, max_rows: int = 200_000):
+    """Group medians and the global median from ONE aggregate (grouping sets
+    ``(keys), ()``).  The result has #groups + 1 rows; if that is within ``max_rows`` it
+    becomes a broadcast local relation plus a literal global median, else None."""
+    c = F.col(col)
+    agg = df.groupingSets([list(keys), []], *keys).agg(
+        _median(F.when(c > 0, c), approx).alias("group_median"), F.grouping_id().alias("__gid"))
+    rows = agg.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return None
+    glob = next((r["group_median"] for r in rows if r["__gid"] != 0), None)
+    groups = df.sparkSession.createDataFrame(
+        [r[:-1] for r in rows if r["__gid"] == 0], agg.drop("__gid").schema)
+    return F.broadcast(groups), F.lit(glob).cast("double")
+
+
 def fit_temp_imputer(train: DataFrame, col: str = "rolling_temp", keys=TEMP_KEYS,
                      approx: bool = False) -> tuple[DataFrame, DataFrame]:
     """Fit group and global medians on a training frame only (leakage-free variant)."""

@@ -41,24 +41,37 @@ def _offsets(counts: DataFrame, pid: str, n: str, off: str) -> DataFrame:
     return counts.select(pid, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("bigint").alias(off))
 
 
-def global_rank(df: DataFrame, order: list, rank_col: str = "pos", partitions: int | None = None) -> DataFrame:
-    """Add the exact 0-based position of each row under ``order``.
+def global_rank_with_total(df: DataFrame, order: list, rank_col: str = "pos",
+                           partitions: int | None = None) -> tuple[DataFrame, int]:
+    """Add the exact 0-based position of each row under ``order``; also return the row
+    count.
 
     ``order`` must be a total order (end with a unique key), which makes the result
-    deterministic and therefore safe to recompute after an executor loss.
-    The numbered rows are checkpointed, so the counts and the rows come from one copy.
+    deterministic.  The numbered rows are checkpointed, so the counts and the rows come
+    from one copy.  The per-partition counts (one number per partition - a proven bound)
+    are turned into offsets on the driver and applied as a literal array indexed by the
+    partition id: no join and no further job over the data.
     """
     n = _n_parts(df, partitions)
     ensure_checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("__mid", F.monotonically_increasing_id())).checkpoint(eager=True)
-    ranged = ranged.withColumns({"__pid": F.shiftright("__mid", 33).cast("int"),
-                                 "__local": F.col("__mid").bitwiseAND(F.lit(_LOW33))})
-    counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = _offsets(counts, "__pid", "__n", "__off")
-    return (ranged.join(F.broadcast(offsets), "__pid")
-            .withColumn(rank_col, F.col("__off") + F.col("__local"))
-            .drop("__mid", "__pid", "__local", "__off"))
+    pid = F.shiftright("__mid", 33).cast("int")
+    counts = dict(ranged.groupBy(pid.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect())
+    offsets, acc = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        offsets.append(acc)
+        acc += counts.get(p, 0)
+    off = F.array(*[F.lit(o).cast("bigint") for o in offsets]) if offsets else F.array().cast("array<bigint>")
+    out = (ranged.withColumn(rank_col, off[pid] + F.col("__mid").bitwiseAND(F.lit(_LOW33)))
+                 .drop("__mid"))
+    return out, acc
+
+
+def global_rank(df: DataFrame, order: list, rank_col: str = "pos", partitions: int | None = None) -> DataFrame:
+    """Add the exact 0-based position of each row under ``order`` (see
+    :func:`global_rank_with_total`)."""
+    return global_rank_with_total(df, order, rank_col, partitions)[0]
 
 
 def prefix_sums(df: DataFrame, order: list, sums: dict[str, str], by: list[str] | None = None,

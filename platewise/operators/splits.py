@@ -12,26 +12,25 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.operators.lookup import broadcast_bounded, with_scalars
-from platewise.operators.rank import global_rank
+from platewise.operators.rank import global_rank, global_rank_with_total
 
 
 def time_split(df: DataFrame, ts: str = "rolling_date", key: str = "plate_no",
                valid_size: float = 0.15, test_size: float = 0.15) -> DataFrame:
     """Add ``pos`` (0-based rank by ts, key) and ``split`` in {train, valid, test}."""
-    ranked = global_rank(df, [ts, key], "pos")
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    out, s = with_scalars(ranked, n, "__n")
-    nd = s["n"].cast("double")
-    n_test = F.floor(nd * F.lit(float(test_size)))
-    n_valid = F.floor(nd * F.lit(float(valid_size)))
-    n_train = s["n"] - n_valid - n_test
+    ranked, n = global_rank_with_total(df, [ts, key], "pos")
+    n_test = int(n * float(test_size))      # floor in DOUBLE arithmetic, as published
+    n_valid = int(n * float(valid_size))
+    n_train = n - n_valid - n_test
     split = (F.when(F.col("pos") < n_train, "train")
              .when(F.col("pos") < n_train + n_valid, "valid").otherwise("test"))
-    return out.withColumn("split", split).drop("__n")
+    return ranked.withColumn("split", split)
 
 
 def split_profile(df: DataFrame, split: str = "split", ts: str = "rolling_date",
@@ -46,11 +45,9 @@ def split_profile(df: DataFrame, split: str = "split", ts: str = "rolling_date",
 def group_split(df: DataFrame, group: str = "work_group", test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Add ``split`` in {train, test}; every group lies wholly on one side."""
     groups = df.select(group).distinct().filter(F.col(group).isNotNull())
-    ranked = global_rank(groups.withColumn("__h", F.md5(F.concat(F.lit(str(seed)), F.col(group)))),
-                         ["__h", group], "__gpos")
-    counts = groups.agg(F.count(F.lit(1)).alias("g"))
-    ranked, s = with_scalars(ranked, counts, "__ngroups")
-    n_test = F.ceil(s["g"].cast("double") * F.lit(float(test_size)))
+    ranked, g = global_rank_with_total(groups.withColumn("__h", F.md5(F.concat(F.lit(str(seed)), F.col(group)))),
+                                       ["__h", group], "__gpos")
+    n_test = math.ceil(g * float(test_size))
     side = ranked.select(group, F.when(F.col("__gpos") < n_test, "test").otherwise("train").alias("split"))
     return df.join(broadcast_bounded(side), group, "left")
 
