@@ -849,3 +849,22 @@ def stream_inspections(spark, sf_dir):
     IN.start_inspection_ingest(labels, plates, users, out).awaitTermination()
     return spark.read.parquet(os.path.join(out, "inspections")).select(
         "plate_no", "defect_type", "inspected_at", "inspector_email", "user_id")
+
+
+@query("scored_csv_export")
+def scored_csv_export(spark, sf_dir):
+    """The scored file written as CSV (fired rule codes joined by ';', rows in risk
+    order) and read back."""
+    import os
+
+    from platewise.sources import process_log as PL
+    from platewise.streaming.ingest import run_folder
+
+    path = os.path.join(run_folder(spark, "scored-export"), "scored")
+    scored = rulebook_file(spark, sf_dir).orderBy(F.col("predicted_prob").desc(), "plate_no")
+    PL.write_scored(scored.select("plate_no", "predicted_prob", "predicted_label", "fired_rules",
+                                  "actual_label", "correct"), path)
+    schema = "plate_no string, predicted_prob double, predicted_label boolean, fired_rules string, " \
+             "actual_label boolean, correct boolean"
+    back = spark.read.option("header", True).schema(schema).csv(path)
+    return back.withColumn("fired_rules", F.coalesce("fired_rules", F.lit("")))

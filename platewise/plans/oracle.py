@@ -796,3 +796,8 @@ SELECT i.plate_no, i.defect_type, i.inspected_at,
        'engineer' || CAST(TRY_CAST(NULLIF(regexp_extract(c.work_group, '^(\\d+)', 1), '') AS INTEGER) AS VARCHAR) || '@plant.local' AS inspector_email,
        CAST(TRY_CAST(NULLIF(regexp_extract(c.work_group, '^(\\d+)', 1), '') AS INTEGER) AS BIGINT) AS user_id
 FROM inspection i JOIN coil c ON c.plate_no = i.plate_no""", inspection=True)
+
+oracle("scored_csv_export", "WITH " + SCORED.strip() + """
+SELECT plate_no, predicted_prob, predicted_label, """ + RULE_CODES_OF + """ AS fired_rules, actual_label,
+       actual_label = predicted_label AS correct
+FROM pres""")

@@ -265,3 +265,25 @@ def score_with_model(features: DataFrame, model: PipelineModel, vocab: dict, pla
     vec = VectorAssembler(inputCols=cols, outputCol="features").transform(dm)
     out = model.transform(vec).withColumn("prob", positive_probability(None, platt))
     return out.select(*keep, "prob", (F.col("prob") >= F.lit(threshold)).alias("predicted_label"))
+
+
+def retrain(frame: DataFrame, registry_root: str, run_tag: str, families: list[Family] = FAMILIES) -> tuple[TrainResult, list[dict]]:
+    """The same comparison on the latest labels; every new version is saved and
+    returned as a registry row with ``is_active = False`` - activation stays a separate,
+    explicit event (M14), except at bootstrap (see :func:`bootstrap_activation`)."""
+    result = train_compare(frame, families)
+    rows = save_models(result, registry_root, run_tag)
+    metrics = {r["algorithm"]: r.asDict() for r in result.comparison.collect()}  # one row per family
+    for r in rows:
+        r.update({"is_active": False, "metrics": json.dumps(metrics[r["algorithm"]], sort_keys=True)})
+    return result, rows
+
+
+def bootstrap_activation(rows: list[dict], result: TrainResult, any_active: bool) -> list[dict]:
+    """When no version of the name is active yet, the best valid AUC becomes active."""
+    if any_active or not rows:
+        return rows
+    best = best_by_auc(result.comparison)
+    for r in rows:
+        r["is_active"] = r["algorithm"] == best
+    return rows
