@@ -868,3 +868,28 @@ def scored_csv_export(spark, sf_dir):
              "actual_label boolean, correct boolean"
     back = spark.read.option("header", True).schema(schema).csv(path)
     return back.withColumn("fired_rules", F.coalesce("fired_rules", F.lit("")))
+
+
+@query("latest_per_plate")
+def latest_per_plate(spark, sf_dir):
+    """W1 under its plan name: newest furnace record per plate with full tie-breaks."""
+    return latest_furnace(spark, sf_dir)
+
+
+@query("defect_rate_by")
+def defect_rate_by(spark, sf_dir):
+    """A8 over several dimensions in ONE pass: grouping sets (hsb), (steel_kind),
+    (rolling_method), (work_group) -> long rows (dimension, value, n, n_defect, rate)."""
+    c = driver.coil(spark, sf_dir).select("hsb", "steel_kind", "rolling_method", "work_group",
+                                          TK.target_from_scale("scale").alias("target"))
+    dims = ["hsb", "steel_kind", "rolling_method", "work_group"]
+    g = c.groupingSets([[d] for d in dims], *dims).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("target").cast("bigint").alias("n_defect"),
+        *[F.grouping(d).alias(f"__g_{d}") for d in dims])
+    dim = F.lit(None).cast("string")
+    val = F.lit(None).cast("string")
+    for d in dims:
+        dim = F.when(F.col(f"__g_{d}") == 0, F.lit(d)).otherwise(dim)
+        val = F.when(F.col(f"__g_{d}") == 0, F.col(d)).otherwise(val)
+    return g.select(dim.alias("dimension"), val.alias("value"), "n", "n_defect",
+                    (F.col("n_defect") / F.col("n")).alias("rate"))

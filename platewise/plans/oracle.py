@@ -801,3 +801,13 @@ oracle("scored_csv_export", "WITH " + SCORED.strip() + """
 SELECT plate_no, predicted_prob, predicted_label, """ + RULE_CODES_OF + """ AS fired_rules, actual_label,
        actual_label = predicted_label AS correct
 FROM pres""")
+
+oracle("latest_per_plate", "WITH " + LATEST_FURNACE.strip() + """
+SELECT plate_no, recorded_at, fur_no, fur_input_row, fur_heat_temp, fur_heat_time, fur_soak_temp, fur_soak_time, fur_total_time
+FROM lf""", furnace=True)
+
+oracle("defect_rate_by", "\nUNION ALL\n".join(
+    f"SELECT {_q(d)} AS dimension, {d} AS value, count(*) AS n, "
+    f"CAST(sum(CASE WHEN scale = '불량' THEN 1 ELSE 0 END) AS BIGINT) AS n_defect, "
+    f"CAST(sum(CASE WHEN scale = '불량' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS rate FROM coil GROUP BY {d}"
+    for d in ["hsb", "steel_kind", "rolling_method", "work_group"]))
