@@ -31,9 +31,16 @@ _LOW33 = (1 << 33) - 1
 
 
 def _n_parts(df: DataFrame, partitions: int | None) -> int:
+    """Range partitions: as many as the input has (file splits follow data size), at
+    least 2, at most ``spark.sql.shuffle.partitions`` (the cluster's sizing)."""
     if partitions:
         return partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # e.g. plans that cannot be turned into an RDD
+        have = cap
+    return max(2, min(cap, have))
 
 
 def _offsets(counts: DataFrame, pid: str, n: str, off: str) -> DataFrame:

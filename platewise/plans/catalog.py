@@ -24,9 +24,22 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+def prepare_session(spark: SparkSession) -> None:
+    """Idempotent runtime settings every query relies on, for sessions created elsewhere
+    (the legacy charset list for cp949 files; the shared checkpoint folder)."""
+    from platewise.session import ensure_checkpoint_dir
+    if spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    ensure_checkpoint_dir(spark)
+
+
 def query(name: str):
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare_session(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         return fn
     return deco
 
