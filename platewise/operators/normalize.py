@@ -1,8 +1,9 @@
 """Flat process log -> keyed tables, with validation (P3-P11, J2-J4, J8, W6, S12, S13,
 P20, A21, A27, U1, U2).
 
-Surrogate spec codes are numbered over the *distinct new* combinations only, with the
-distributed global rank, after the count of existing codes.  Validation never drops a
+Surrogate spec codes are numbered over the *distinct new* combinations only, after the
+count of existing codes: a set of at most ``SMALL_SET`` combinations is ranked on the
+driver in one job, a larger one with the distributed global rank.  Validation never drops a
 row silently: each row gets a ``violations`` array and lands either in the accepted or
 in the quarantine output.
 """
@@ -18,6 +19,7 @@ from platewise.operators.lookup import broadcast_bounded
 from platewise.operators.rank import global_rank
 
 SPEC_KEY = ["spec_long", "spec_country", "steel_kind"]
+SMALL_SET = 100_000  # distinct spec combinations ranked on the driver when at most this many
 
 
 def spec_combinations(flat: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def assign_spec_codes(flat: DataFrame, existing: DataFrame | None = None) -> Dat
         n0 = existing.agg(F.count(F.lit(1)).alias("n0")).scalar()
     else:
         n0 = F.lit(0)
-    ranked = global_rank(combos, SPEC_KEY, "pos")
+    ranked = global_rank(combos, SPEC_KEY, "pos", small_bound=SMALL_SET)
     new = ranked.select(F.format_string("SPEC%03d", n0 + F.col("pos") + 1).alias("spec_code"), *SPEC_KEY)
     return new if existing is None else existing.select("spec_code", *SPEC_KEY).unionByName(new)
 

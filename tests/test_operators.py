@@ -215,3 +215,11 @@ def test_sampled_shapley_exact_for_additive_model(spark):
         i = ["a", "b", "c"].index(r["feature"])
         assert abs(r["contribution"] - w[i] * (rows[r["plate_no"]][r["feature"]] - base[r["feature"]])) < 1e-12
     assert len(out) == 6
+
+
+def test_rank_small_matches_distributed(spark):
+    rows = [("b", None), ("a", 2.0), (None, 1.0), ("a", float("nan")), ("a", None), ("c", -1.0)]
+    df = spark.createDataFrame(rows, "s string, x double")
+    small = {(r["s"], str(r["x"])): r["pos"] for r in RK.global_rank(df, ["s", "x"], "pos", small_bound=10).collect()}
+    dist = {(r["s"], str(r["x"])): r["pos"] for r in RK.global_rank(df, ["s", "x"], "pos").collect()}
+    assert small == dist
