@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions import tokens as TK
-from platewise.functions import vocab as V
 from platewise.operators.lookup import broadcast_bounded
 from platewise.operators.rank import global_rank
 

@@ -25,6 +25,7 @@ from platewise.operators import clean as CL
 from platewise.operators import latest as LT
 from platewise.operators import rules as RU
 from platewise.operators import score as SC
+from platewise.operators.lookup import broadcast_bounded
 from platewise.session import ensure_checkpoint_dir
 
 ROLLING_STREAM_COLUMNS = ["plate_no", "hsb_applied", "rolling_method", "rolling_temp", "descaling_count",
@@ -95,9 +96,13 @@ def start_rolling_ingest(stream: DataFrame, plates: DataFrame, specs: DataFrame,
                          out_root: str, delay: str = "1 day", trigger_available_now: bool = True):
     """Start E1; returns the StreamingQuery.  Outputs under ``out_root``: rolling/,
     alerts/, predictions/, quarantine/ and the checkpoint in _checkpoint/.
-    The latest furnace record per plate is computed and checkpointed once, not per
-    micro-batch."""
+    The latest furnace record per plate is computed and checkpointed once, and the
+    imputation statistics are materialised once, not per micro-batch."""
     latest = LT.latest_furnace(furnace).select("plate_no", *LT.FURNACE_COLS).checkpoint(eager=True)
+    # static imputation statistics, materialised once (a bounded lookup and one row),
+    # so no micro-batch re-scans the history
+    medians = broadcast_bounded(medians)
+    fallback = fallback.sparkSession.createDataFrame([fallback.first()], fallback.schema)
     deduped = dedup_replays(stream, delay)
     ok, bad = check_rolling(deduped, plates, furnace, rolling_history)
 
