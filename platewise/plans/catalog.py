@@ -33,6 +33,12 @@ def prepare_session(spark: SparkSession) -> None:
     ensure_checkpoint_dir(spark)
 
 
+def round_cols(df: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
+    """Report precision for values whose last bits depend on summation order (means of
+    doubles, interpolated quantiles); the operators themselves stay unrounded."""
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
 def query(name: str):
     def deco(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +127,7 @@ def mode_fill(spark, sf_dir):
 
 @query("iqr_outliers")
 def iqr_outliers(spark, sf_dir):
-    return CL.outlier_counts(CL.clean(driver.coil(spark, sf_dir)))
+    return round_cols(CL.outlier_counts(CL.clean(driver.coil(spark, sf_dir))), ["q1", "q3", "lower", "upper"])
 
 
 @query("cleaned_table")
@@ -142,7 +148,7 @@ ANALYSIS_COLUMNS = (["plate_no"] + V.NUMERIC_FEATURES + V.ANALYSIS_BINARY_FEATUR
 
 @query("features_analysis")
 def features_analysis(spark, sf_dir):
-    return analysis_frame(spark, sf_dir).select(*ANALYSIS_COLUMNS)
+    return round_cols(analysis_frame(spark, sf_dir).select(*ANALYSIS_COLUMNS), ["cooling_rate_proxy"])
 
 
 @query("temp_bins")
@@ -359,7 +365,8 @@ def defect_rate_by_hsb(spark, sf_dir):
 @query("mean_drop_by_label")
 def mean_drop_by_label(spark, sf_dir):
     cl = CL.clean(driver.coil(spark, sf_dir))
-    return PR.mean_by(cl, ["scale"], F.col("fur_soak_temp") - F.col("rolling_temp"), "mean_temp_drop")
+    return round_cols(PR.mean_by(cl, ["scale"], F.col("fur_soak_temp") - F.col("rolling_temp"), "mean_temp_drop"),
+                      ["mean_temp_drop"])
 
 
 @query("temp_histogram")
@@ -370,7 +377,8 @@ def temp_histogram(spark, sf_dir):
 @query("drop_boxplot")
 def drop_boxplot(spark, sf_dir):
     cl = CL.clean(driver.coil(spark, sf_dir))
-    return PR.box_stats(cl, F.col("fur_soak_temp") - F.col("rolling_temp"), ["scale"])
+    return round_cols(PR.box_stats(cl, F.col("fur_soak_temp") - F.col("rolling_temp"), ["scale"]),
+                      ["q1", "median", "q3", "whisker_lo", "whisker_hi"])
 
 
 @query("descaling_parity")
@@ -539,17 +547,18 @@ def what_if_grid(spark, sf_dir):
 
 @query("linear_attribution")
 def linear_attribution(spark, sf_dir):
-    return Build(spark, sf_dir).attributions
+    return round_cols(Build(spark, sf_dir).attributions, ["contribution"])
 
 
 @query("attribution_top5")
 def attribution_top5(spark, sf_dir):
-    return AT.top_attributions(Build(spark, sf_dir).attributions, "plate_no", V.TOP_N_ATTRIBUTIONS)
+    return round_cols(AT.top_attributions(Build(spark, sf_dir).attributions, "plate_no", V.TOP_N_ATTRIBUTIONS),
+                      ["contribution"])
 
 
 @query("attribution_summary")
 def attribution_summary(spark, sf_dir):
-    return AT.attribution_summary(Build(spark, sf_dir).attributions, 12)
+    return round_cols(AT.attribution_summary(Build(spark, sf_dir).attributions, 12), ["mean_abs_contribution"])
 
 
 # ----------------------------------------------------------------------------- step 10: registry and reports

@@ -210,7 +210,8 @@ oracle("mode_fill", "\nUNION ALL\n".join(
 oracle("iqr_outliers", "WITH " + ANALYSIS.strip() + ",\nq AS (\n" + "\nUNION ALL\n".join(
     f"SELECT {_q(c)} AS \"column\", quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM cleaned"
     for c in V.OUTLIER_COLUMNS) + "),\nb AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM q)\n"
-    + "SELECT b.*, CAST(CASE b.\"column\" " + " ".join(
+    + "SELECT b.\"column\", round(b.q1, 9) AS q1, round(b.q3, 9) AS q3, round(b.lower, 9) AS lower, "
+    + "round(b.upper, 9) AS upper, CAST(CASE b.\"column\" " + " ".join(
         f"WHEN {_q(c)} THEN (SELECT count(*) FROM cleaned WHERE {c} < b.lower OR {c} > b.upper)" for c in V.OUTLIER_COLUMNS)
     + " END AS BIGINT) AS n_outliers FROM b")
 
@@ -220,7 +221,9 @@ oracle("cleaned_table", "WITH " + ANALYSIS.strip() + "\nSELECT * FROM cleaned")
 
 oracle("features_serving", "WITH " + SERVING_INPUT.strip() + SERVING_FEATURES_SELECT)
 
-oracle("features_analysis", "WITH " + ANALYSIS.strip() + "\nSELECT " + ", ".join(ANALYSIS_COLUMNS) + " FROM analysis")
+oracle("features_analysis", "WITH " + ANALYSIS.strip() + "\nSELECT " + ", ".join(
+    "round(cooling_rate_proxy, 9) AS cooling_rate_proxy" if c == "cooling_rate_proxy" else c for c in ANALYSIS_COLUMNS)
+    + " FROM analysis")
 
 oracle("temp_bins", "WITH " + ANALYSIS.strip() + """
 SELECT rolling_temp_bin, count(*) AS n, CAST(sum(target) AS BIGINT) AS n_defect,
@@ -409,7 +412,7 @@ SELECT hsb, count(*) AS n, CAST(sum(CASE WHEN scale = '불량' THEN 1 ELSE 0 END
 FROM coil GROUP BY hsb""")
 
 oracle("mean_drop_by_label", "WITH " + ANALYSIS.strip() + """
-SELECT scale, count(*) AS n, avg(fur_soak_temp - rolling_temp) AS mean_temp_drop FROM cleaned GROUP BY scale""")
+SELECT scale, count(*) AS n, round(avg(fur_soak_temp - rolling_temp), 9) AS mean_temp_drop FROM cleaned GROUP BY scale""")
 
 oracle("temp_histogram", "WITH " + ANALYSIS.strip() + """,
 rng AS (SELECT CAST(min(rolling_temp) AS DOUBLE) AS lo, CAST(max(rolling_temp) AS DOUBLE) AS hi FROM cleaned),
@@ -427,7 +430,8 @@ q AS (SELECT scale, quantile_cont(v, 0.25) AS q1, median(v) AS median, quantile_
 j AS (SELECT v.*, q.q1, q.median, q.q3,
              v.v >= q.q1 - 1.5 * (q.q3 - q.q1) AND v.v <= q.q3 + 1.5 * (q.q3 - q.q1) AS inside
       FROM v JOIN q ON q.scale = v.scale)
-SELECT scale, q1, median, q3, min(CASE WHEN inside THEN v END) AS whisker_lo, max(CASE WHEN inside THEN v END) AS whisker_hi,
+SELECT scale, round(q1, 9) AS q1, round(median, 9) AS median, round(q3, 9) AS q3,
+       round(min(CASE WHEN inside THEN v END), 9) AS whisker_lo, round(max(CASE WHEN inside THEN v END), 9) AS whisker_hi,
        count(*) FILTER (WHERE NOT inside) AS n_fliers, count(*) AS n
 FROM j GROUP BY scale, q1, median, q3""")
 
@@ -601,19 +605,19 @@ attr AS (""" + "\n  UNION ALL\n".join(
     for i, c in enumerate(_ATTR_NAMES)) + """
 )"""
 
-oracle("linear_attribution", "WITH " + ATTRIBUTION.strip() + "\nSELECT * FROM attr")
+oracle("linear_attribution", "WITH " + ATTRIBUTION.strip() + "\nSELECT * REPLACE (round(contribution, 9) AS contribution) FROM attr")
 
 oracle("attribution_top5", "WITH " + ATTRIBUTION.strip() + """,
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY plate_no ORDER BY abs(contribution) DESC, feature_index) AS INTEGER) AS rank
        FROM attr),
 top AS (SELECT * FROM rk WHERE rank <= 5)
-SELECT plate_no, feature_index, feature, value, contribution, rank,
+SELECT plate_no, feature_index, feature, value, round(contribution, 9) AS contribution, rank,
        CAST(CASE WHEN max(abs(contribution)) OVER (PARTITION BY plate_no) = 0 THEN 0
             ELSE LEAST(100, CAST(round(abs(contribution) * 100 / max(abs(contribution)) OVER (PARTITION BY plate_no)) AS INTEGER)) END AS INTEGER) AS bar_width
 FROM top""")
 
 oracle("attribution_summary", "WITH " + ATTRIBUTION.strip() + """
-SELECT feature, avg(abs(contribution)) AS mean_abs_contribution FROM attr GROUP BY feature
+SELECT feature, round(avg(abs(contribution)), 9) AS mean_abs_contribution FROM attr GROUP BY feature
 ORDER BY mean_abs_contribution DESC, feature LIMIT 12""")
 
 
