@@ -518,7 +518,7 @@ SCENARIO_TEMPS = [850, 900, 950, 1000, 1050]
 def rulebook_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M16 on the flat log: impute -> features -> score -> rules (on the imputed reading)."""
     base = CL.impute_group_median(serving_input(spark, sf_dir), global_after_group=False)
-    feats = FE.serving_features(base, keep=["plate_no", "target"])
+    feats = FE.serving_features(base, keep=["plate_no", "target", F.col("rolling_date").alias("scored_at")])
     scored = SC.present(SC.score_linear(feats), "prob", "target")
     return RU.rule_hits(scored, temp_col="rolling_temp", soak_col="fur_soak_temp", hsb_col="hsb_applied")
 
@@ -672,8 +672,7 @@ def dashboard_summary(spark, sf_dir):
     from platewise.operators import report as RP
     c = driver.coil(spark, sf_dir)
     as_of = c.agg(F.to_date(F.max("rolling_date")).alias("d"))
-    scored = rulebook_file(spark, sf_dir).join(c.select("plate_no", "rolling_date"), "plate_no")
-    preds = scored.select(F.col("rolling_date").alias("predicted_at"), "predicted_label")
+    preds = rulebook_file(spark, sf_dir).select(F.col("scored_at").alias("predicted_at"), "predicted_label")
     plates = c.select(F.col("rolling_date").alias("created_at"))
     return RP.dashboard_summary(plates, preds, current_alert_state(spark, sf_dir),
                                 active_model_table(Build(spark, sf_dir)), as_of)
