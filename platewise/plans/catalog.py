@@ -591,9 +591,17 @@ def candidate_metrics(b: Build) -> DataFrame:
     keys = ["model_id", "algorithm", "split"]
     counts = ME.score_counts(candidate_scores(b), "target", "prob", by=[*keys, "fold"]).checkpoint(eager=True)
     per_split = counts.groupBy(*keys, "prob").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    m = (ME.threshold_metrics_from_counts(per_split, "prob", 0.5, by=keys)
-         .join(ME.roc_auc_from_counts(per_split, "prob", by=keys).drop("n_pos", "n_neg"), keys))
-    cv = (ME.roc_auc_from_counts(counts.filter(F.col("split") == "train"), "prob", by=["model_id", "fold"], digits=None)
+    # split AUCs and per-fold AUCs share ONE prefix-sum pass: groups are (model, scope, group)
+    per_fold = (counts.filter(F.col("split") == "train").groupBy("model_id", "fold", "prob")
+                .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    both = per_split.select("model_id", F.lit("split").alias("scope"), F.col("split").alias("grp"), "prob", "pos", "neg") \
+        .unionByName(per_fold.select("model_id", F.lit("fold").alias("scope"), F.col("fold").cast("string").alias("grp"),
+                                     "prob", "pos", "neg"))
+    aucs = ME.roc_auc_from_counts(both, "prob", by=["model_id", "scope", "grp"], digits=None)
+    split_auc = aucs.filter(F.col("scope") == "split").select(
+        "model_id", F.col("grp").alias("split"), F.round("auc", 4).alias("auc"))
+    m = ME.threshold_metrics_from_counts(per_split, "prob", 0.5, by=keys).join(split_auc, ["model_id", "split"])
+    cv = (aucs.filter(F.col("scope") == "fold")
           .groupBy("model_id").agg(F.round(F.avg("auc"), 4).alias("cv_best_auc")))
 
     def block(s: str) -> DataFrame:
