@@ -8,7 +8,8 @@
   probability (:func:`sampled_shapley`), as a Spark job over rows × background ×
   permutations: rows are split by partition, each task evaluates its batch with the
   model in pandas, and only per-row sums leave the task.
-* Ranking (top-k by |contribution|) is a window per row key over ≤ #features rows.
+* Ranking (top-k by |contribution|) sorts each row's attribution array in place
+  (no shuffle); a window per row key serves long inputs of other origins.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from platewise.operators.lookup import with_scalars
 
 
-def linear_attribution(df: DataFrame, background: DataFrame, coefs: dict[str, float], key: str = "plate_no") -> DataFrame:
-    """Long rows (key, feature_index, feature, value, contribution) for a linear model."""
+def linear_attribution_arrays(df: DataFrame, background: DataFrame, coefs: dict[str, float],
+                              key: str = "plate_no") -> DataFrame:
+    """(key, attributions): one array<struct<feature_index, feature, value, contribution>>
+    per row for a linear model; the background mean is one scalar aggregate."""
     names = list(coefs)
     bg = background.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in names])
     d2, s = with_scalars(df, bg, "__bg")
@@ -28,12 +31,37 @@ def linear_attribution(df: DataFrame, background: DataFrame, coefs: dict[str, fl
                       F.col(c).cast("double").alias("value"),
                       (F.lit(float(coefs[c])) * (F.col(c).cast("double") - s[c])).alias("contribution"))
              for i, c in enumerate(names)]
-    return d2.select(key, F.explode(F.array(*items)).alias("a")).select(key, "a.*")
+    return d2.select(key, F.array(*items).alias("attributions"))
+
+
+def linear_attribution(df: DataFrame, background: DataFrame, coefs: dict[str, float], key: str = "plate_no") -> DataFrame:
+    """Long rows (key, feature_index, feature, value, contribution) for a linear model."""
+    arr = linear_attribution_arrays(df, background, coefs, key)
+    return arr.select(key, F.explode("attributions").alias("a")).select(key, "a.*")
+
+
+def top_from_arrays(arrays: DataFrame, key: str = "plate_no", k: int = 5) -> DataFrame:
+    """W4/T8 + F24 without a shuffle: each row's attributions are sorted inside the row
+    by |contribution| desc, feature index asc, the first k kept and exploded with their
+    rank; bar width = min(100, round(100·|v| / max|v|)), 0 when max is 0."""
+    keyed = F.transform("attributions", lambda a: F.struct((-F.abs(a["contribution"])).alias("o"),
+                                                           a["feature_index"].alias("i"), a.alias("a")))
+    top = F.slice(F.array_sort(keyed), 1, k)
+    out = arrays.select(key, F.posexplode(top).alias("p", "t"), F.abs(top[0]["a"]["contribution"]).alias("__mx"))
+    c = F.col("t.a.contribution")
+    width = F.when(F.col("__mx") == 0, F.lit(0)).otherwise(
+        F.least(F.lit(100), F.round(F.abs(c) * 100 / F.col("__mx")).cast("int")))
+    return out.select(key, F.col("t.a.feature_index").alias("feature_index"), F.col("t.a.feature").alias("feature"),
+                      F.col("t.a.value").alias("value"), c.alias("contribution"),
+                      (F.col("p") + 1).cast("int").alias("rank"), width.cast("int").alias("bar_width"))
 
 
 def top_attributions(long: DataFrame, key: str = "plate_no", k: int = 5) -> DataFrame:
-    """W4/T8 + F24: rank by |contribution| desc (feature index breaks ties), keep the
-    top k per row, and a bar width min(100, round(100·|v| / max|v|)) (0 when max is 0)."""
+    """W4/T8 + F24 for long input of any origin (e.g. sampled Shapley rows): rank by
+    |contribution| desc (feature index breaks ties), keep the top k per row, and a bar
+    width min(100, round(100·|v| / max|v|)) (0 when max is 0).  The window partitions by
+    row key (≤ #features rows each); for linear models use :func:`top_from_arrays`,
+    which needs no shuffle at all."""
     w = Window.partitionBy(key).orderBy(F.abs("contribution").desc(), "feature_index")
     ranked = long.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     mx = F.max(F.abs("contribution")).over(Window.partitionBy(key))

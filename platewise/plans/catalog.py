@@ -433,10 +433,18 @@ class Build:
         return self.train.agg(F.max("rolling_date").alias("trained_at"), F.count(F.lit(1)).alias("n"))
 
     @cached_property
-    def attributions(self) -> DataFrame:
+    def attribution_arrays(self) -> DataFrame:
         bg_keys = SP.background_sample(self.train.select("plate_no"), "plate_no", 100, 42).select("plate_no")
         background = self.features.join(bg_keys, "plate_no", "left_semi")
-        return AT.linear_attribution(self.features, background, SC.RULEBOOK_COEFS, "plate_no")
+        return AT.linear_attribution_arrays(self.features, background, SC.RULEBOOK_COEFS, "plate_no")
+
+    @cached_property
+    def attributions(self) -> DataFrame:
+        return self.attribution_arrays.select("plate_no", F.explode("attributions").alias("a")).select("plate_no", "a.*")
+
+    @cached_property
+    def top_attributions(self) -> DataFrame:
+        return AT.top_from_arrays(self.attribution_arrays, "plate_no", V.TOP_N_ATTRIBUTIONS)
 
     @cached_property
     def registry(self) -> DataFrame:
@@ -552,8 +560,7 @@ def linear_attribution(spark, sf_dir):
 
 @query("attribution_top5")
 def attribution_top5(spark, sf_dir):
-    return round_cols(AT.top_attributions(Build(spark, sf_dir).attributions, "plate_no", V.TOP_N_ATTRIBUTIONS),
-                      ["contribution"])
+    return round_cols(Build(spark, sf_dir).top_attributions, ["contribution"])
 
 
 @query("attribution_summary")
@@ -711,7 +718,7 @@ def prediction_report(spark, sf_dir):
     second = first.join(later.select("plate_no", "inspected_at"), "plate_no").select(
         "plate_no", F.col("inspected_at").alias("predicted_at"), "predicted_prob", "predicted_label", "model_id")
     preds = first.unionByName(second)
-    top = AT.top_attributions(b.attributions, "plate_no", V.TOP_N_ATTRIBUTIONS)
+    top = b.top_attributions
     run, s = with_scalars(spark.range(1), b.run, "__run")
     models = run.select(F.lit(1).alias("model_id"), F.lit(V.MODEL_NAME).alias("name"),
                         RG.version_tag(F.lit(CANDIDATES[0][1]), s["trained_at"]).alias("version"))

@@ -137,3 +137,17 @@ def test_shap_bar_width(spark):
                                "plate_no string, feature_index int, feature string, value double, contribution double")
     got = {(r["plate_no"], r["feature"]): (r["rank"], r["bar_width"]) for r in AT.top_attributions(df).collect()}
     assert got[("p", "b")] == (1, 100) and got[("p", "a")] == (2, 50) and got[("q", "a")] == (1, 0)
+
+
+def test_top_from_arrays_matches_window(spark):
+    from platewise.operators import attribution as AT
+    rows = [("p", [(0, "a", 1.0, 0.15), (1, "b", 1.0, -0.3), (2, "c", 1.0, 0.3), (3, "d", 1.0, 0.0)]),
+            ("q", [(0, "a", 1.0, 0.0), (1, "b", 1.0, 0.0)])]
+    schema = "plate_no string, attributions array<struct<feature_index:int,feature:string,value:double,contribution:double>>"
+    arrays = spark.createDataFrame(rows, schema)
+    long = arrays.select("plate_no", F.explode("attributions").alias("a")).select("plate_no", "a.*")
+    cols = ["plate_no", "feature_index", "rank", "bar_width", "contribution"]
+    wide = sorted(tuple(r) for r in AT.top_from_arrays(arrays, "plate_no", 3).select(*cols).collect())
+    win = sorted(tuple(r) for r in AT.top_attributions(long, "plate_no", 3).select(*cols).collect())
+    assert wide == win
+    assert ("p", 1, 1, 100, -0.3) in wide and ("p", 2, 2, 100, 0.3) in wide and ("q", 0, 1, 0, 0.0) in wide
