@@ -40,11 +40,14 @@ def latest_prediction_report(predictions: DataFrame, models: DataFrame, attribut
     """Newest prediction per plate, model label, and the top features joined in
     rank order as text (name:contribution rounded to 4)."""
     latest = latest_by(predictions, [key], [F.col("predicted_at").desc(), F.col("model_id").desc()])
-    feats = attributions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "feature"))).alias("__f"))
+    if "top_features" in attributions.columns:      # already one row per key
+        feats = attributions.select(key, "top_features")
+    else:                                          # long (key, rank, feature) rows
+        feats = attributions.groupBy(key).agg(F.array_join(F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda s: s["feature"]), ",").alias("top_features"))
     out = (latest.join(models, "model_id", "left").join(feats, key, "left"))
     return out.select(key, "predicted_at", "predicted_prob", "predicted_label",
-                      F.concat_ws(" ", "name", "version").alias("model_version"),
-                      F.array_join(F.transform("__f", lambda s: s["feature"]), ",").alias("top_features"))
+                      F.concat_ws(" ", "name", "version").alias("model_version"), "top_features")
 
 
 def severity_label(c: Column) -> Column:

@@ -718,7 +718,7 @@ def prediction_report(spark, sf_dir):
     second = first.join(later.select("plate_no", "inspected_at"), "plate_no").select(
         "plate_no", F.col("inspected_at").alias("predicted_at"), "predicted_prob", "predicted_label", "model_id")
     preds = first.unionByName(second)
-    top = b.top_attributions
+    top = AT.top_feature_names(b.attribution_arrays, "plate_no", V.TOP_N_ATTRIBUTIONS)
     run, s = with_scalars(spark.range(1), b.run, "__run")
     models = run.select(F.lit(1).alias("model_id"), F.lit(V.MODEL_NAME).alias("name"),
                         RG.version_tag(F.lit(CANDIDATES[0][1]), s["trained_at"]).alias("version"))
