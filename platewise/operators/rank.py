@@ -30,17 +30,23 @@ from platewise.session import ensure_checkpoint_dir
 _LOW33 = (1 << 33) - 1
 
 
+TARGET_PARTITION_BYTES = 64 << 20
+
+
 def _n_parts(df: DataFrame, partitions: int | None) -> int:
-    """Range partitions: as many as the input has (file splits follow data size), at
-    least 2, at most ``spark.sql.shuffle.partitions`` (the cluster's sizing)."""
+    """Range partitions from the bytes of the plan's sources (scan sizes are known
+    without running anything): about one per 64 MB, at least 2, at most
+    ``spark.sql.shuffle.partitions`` (the cluster's sizing).  Without a known size the
+    cluster's sizing is used."""
     if partitions:
         return partitions
     cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     try:
-        have = df.rdd.getNumPartitions()
-    except Exception:  # e.g. plans that cannot be turned into an RDD
-        have = cap
-    return max(2, min(cap, have))
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    except Exception:
+        return cap
+    return max(2, min(cap, -(-size // TARGET_PARTITION_BYTES)))
 
 
 def _offsets(counts: DataFrame, pid: str, n: str, off: str) -> DataFrame:
