@@ -216,12 +216,11 @@ def resolution_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolution log: an inspection that finds no defect asks the plate's work-group
     engineer to resolve every alert of that plate at the inspection instant."""
     c = driver.coil(spark, sf_dir)
-    insp = driver.inspection_history(c).filter(F.col("defect_type") == V.DEFECT_NONE)
+    insp = driver.inspection_history(c, extra=["work_group"]).filter(F.col("defect_type") == V.DEFECT_NONE)
     a = RU.alerts(ingest_rules(spark, sf_dir)).select("plate_no", "rule_pos")
-    who = c.select("plate_no", F.concat(F.lit("engineer"), TK.leading_int("work_group").cast("string"),
-                                        F.lit("@plant.local")).alias("resolver_email"))
-    return (insp.join(who, "plate_no").join(a, "plate_no")
-            .select("plate_no", "rule_pos", "resolver_email", F.col("inspected_at").alias("requested_at")))
+    email = F.concat(F.lit("engineer"), TK.leading_int("work_group").cast("string"), F.lit("@plant.local"))
+    return (insp.join(a, "plate_no")
+            .select("plate_no", "rule_pos", email.alias("resolver_email"), F.col("inspected_at").alias("requested_at")))
 
 
 def current_alert_state(spark: SparkSession, sf_dir: str) -> DataFrame:

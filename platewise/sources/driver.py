@@ -104,20 +104,20 @@ def furnace_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def inspection_history(coil_df: DataFrame) -> DataFrame:
+def inspection_history(coil_df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Inspection labels: a first verdict for every plate, a later different one for
-    every 13th plate (so 'latest inspection' really changes the label)."""
-    first = coil_df.select(
-        "plate_no",
-        F.when(F.col("scale") == V.SCALE_DEFECT, V.DEFECT_SCALE).otherwise(V.DEFECT_NONE).alias("defect_type"),
-        F.col("rolling_date").alias("inspected_at"),
-    )
-    later = coil_df.filter(F.substring("plate_no", 5, 1 << 30).cast("bigint") % 13 == 0).select(
-        "plate_no",
-        F.when(F.col("scale") == V.SCALE_DEFECT, V.DEFECT_NONE).otherwise("Scratch").alias("defect_type"),
-        F.timestamp_add("DAY", F.lit(1), F.col("rolling_date")).alias("inspected_at"),
-    )
-    return first.unionByName(later)
+    every 13th plate (so 'latest inspection' really changes the label).  Both come from
+    ONE pass over the flat log (an explode of a one- or two-element array); ``extra``
+    columns of the flat log are carried along."""
+    defect = F.col("scale") == V.SCALE_DEFECT
+    first = F.struct(F.when(defect, V.DEFECT_SCALE).otherwise(V.DEFECT_NONE).alias("defect_type"),
+                     F.col("rolling_date").alias("inspected_at"))
+    later = F.when(F.substring("plate_no", 5, 1 << 30).cast("bigint") % 13 == 0, F.struct(
+        F.when(defect, V.DEFECT_NONE).otherwise("Scratch").alias("defect_type"),
+        F.timestamp_add("DAY", F.lit(1), F.col("rolling_date")).alias("inspected_at")))
+    extra = extra or []
+    return (coil_df.select("plate_no", *extra, F.explode(F.array_compact(F.array(first, later))).alias("i"))
+                   .select("plate_no", "i.defect_type", "i.inspected_at", *extra))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
