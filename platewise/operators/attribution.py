@@ -41,24 +41,26 @@ def linear_attribution(df: DataFrame, background: DataFrame, coefs: dict[str, fl
 
 
 def _sorted_top(k: int):
+    """The k strongest attributions of the row: structs (−|c|, index, item) sorted with
+    the natural struct order (``sort_array``: no comparator lambda) and sliced."""
     keyed = F.transform("attributions", lambda a: F.struct((-F.abs(a["contribution"])).alias("o"),
                                                            a["feature_index"].alias("i"), a.alias("a")))
-    return F.slice(F.array_sort(keyed), 1, k)
+    return F.slice(F.sort_array(keyed), 1, k)
 
 
 def top_feature_names(arrays: DataFrame, key: str = "plate_no", k: int = 5) -> DataFrame:
     """(key, top_features): the k strongest feature names in rank order, comma-joined,
     computed inside each row."""
-    return arrays.select(key, F.array_join(F.transform(_sorted_top(k), lambda t: t["a"]["feature"]), ",")
-                         .alias("top_features"))
+    return arrays.select(key, F.array_join(_sorted_top(k)["a"]["feature"], ",").alias("top_features"))
 
 
 def top_from_arrays(arrays: DataFrame, key: str = "plate_no", k: int = 5) -> DataFrame:
     """W4/T8 + F24 without a shuffle: each row's attributions are sorted inside the row
     by |contribution| desc, feature index asc, the first k kept and exploded with their
     rank; bar width = min(100, round(100·|v| / max|v|)), 0 when max is 0."""
-    top = _sorted_top(k)
-    out = arrays.select(key, F.posexplode(top).alias("p", "t"), F.abs(top[0]["a"]["contribution"]).alias("__mx"))
+    top = arrays.select(key, _sorted_top(k).alias("__top"))
+    out = top.select(key, F.abs(F.col("__top")[0]["a"]["contribution"]).alias("__mx"),
+                     F.posexplode("__top").alias("p", "t"))
     c = F.col("t.a.contribution")
     width = F.when(F.col("__mx") == 0, F.lit(0)).otherwise(
         F.least(F.lit(100), F.round(F.abs(c) * 100 / F.col("__mx")).cast("int")))
