@@ -91,3 +91,19 @@ def test_process_log_round_trip_encodings(spark):
     assert back.count() == 8
     assert {r["hsb"] for r in back.collect()} == {V.HSB_ON, V.HSB_OFF}
     assert back.schema["rolling_date"].dataType.typeName() == "timestamp_ntz"
+
+
+def test_normalize_incremental(spark):
+    flat = smoke_flat(spark).withColumn("rolling_temp", F.when(F.col("plate_no") == "TEST_CLEAN", 0)
+                                        .otherwise(F.col("rolling_temp")))
+    existing = spark.createDataFrame([("TEST_HOT",)], "plate_no string")
+    specs = spark.createDataFrame([("SPEC001", "ZZ", "영국", "C")],
+                                  "spec_code string, spec_long string, spec_country string, steel_kind string")
+    out = api.normalize(flat, existing_plates=existing, existing_specs=specs)
+    assert sorted(r["plate_no"] for r in out["plate"].collect()) == ["TEST_CLEAN", "TEST_COOLDROP", "TEST_HSB_OFF"]
+    assert {r["spec_code"] for r in out["plate"].collect()} == {"SPEC002"}
+    rolling = {r["plate_no"]: r for r in out["rolling_process"].collect()}
+    assert rolling["TEST_CLEAN"]["rolling_temp"] is None and rolling["TEST_HSB_OFF"]["hsb_applied"] is False
+    assert {r["fur_no"] for r in out["furnace_process"].collect()} == {1}
+    rep = out["report"].collect()[0]
+    assert (rep["rows_read"], rep["rows_skipped"], rep["plates_written"]) == (4, 1, 3)
