@@ -2,7 +2,7 @@
 
 Tier 1 is a hash table of frequent pre-tokens and their numbers of tokens, broadcast once:
 at most ``entries`` pre-tokens of at most ``MAX_LENGTH`` characters, so its size is bounded
-whatever the corpus.  It is gathered from a bounded number of rows (``fit_rows``); it only
+whatever the corpus.  It is gathered from about ``fit_rows`` rows, whatever their number; it only
 decides which tier answers, never a count.  Tier 2 is a cache in each Python worker, also
 bounded; what neither holds is encoded by the tokenizer library and cached.  Counts are
 sums over the pre-tokens of a whole text, so documents are counted where they are read and no
@@ -98,9 +98,10 @@ def count_text(text: str, lengths: _Lengths) -> int:
 
 
 def frequent_lengths(docs: DataFrame, path: str, pattern: str, entries: int = ENTRIES, fit_rows: int = FIT_ROWS,
-                     text_col: str = "text") -> dict[str, int]:
-    """The most frequent pre-tokens of ``fit_rows`` rows, counted in tasks and merged by
-    an aggregate, with their numbers of tokens."""
+                     id_col: str = "doc_id", text_col: str = "text") -> dict[str, int]:
+    """The most frequent pre-tokens of about ``fit_rows`` rows (those whose ids have the
+    smallest hashes), counted in tasks and merged by an aggregate, with their numbers of
+    tokens."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = _library(path, pattern).cut
         for b in batches:
@@ -110,7 +111,9 @@ def frequent_lengths(docs: DataFrame, path: str, pattern: str, entries: int = EN
             yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())],
                                              names=["piece", "n"])
 
-    sample = docs.select(F.col(text_col).alias("t")).filter("t is not null").limit(fit_rows)
+    share = min(1.0, fit_rows / max(1, docs.count()))
+    small = F.xxhash64(id_col) <= int((share - 0.5) * (2**64 - 2**12))
+    sample = docs.filter(small & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"))
     top = sample.mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(
         F.desc("n"), "piece").limit(entries).select("piece").toArrow()
     lib = _library(path, pattern)
@@ -122,7 +125,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, entries: int = ENTRIE
     """(id, n_bytes, n_tokens) of every document.  ``path``: a tokenizer file on every
     worker."""
     frequent = docs.sparkSession.sparkContext.broadcast(
-        frequent_lengths(docs, path, pattern, entries, fit_rows, text_col))
+        frequent_lengths(docs, path, pattern, entries, fit_rows, id_col, text_col))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
