@@ -28,7 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHED = 800_000
+CACHED = 500_000
+#: Documents whose ids are held at a time in a task.
+STEP = 256
 #: Longer pre-tokens are encoded each time they occur.
 CACHED_LENGTH = 64
 
@@ -141,7 +143,7 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every document.  ``path``: a rank file on every worker."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _steps(batches):
             ids = [np.array(encode_text(t, path, pattern) if t else [], np.int32) for t in _strings(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(ids)], names=[id_col, "ids"])
 
@@ -149,6 +151,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return docs.select(id_col, F.col(text_col).alias("t")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, STEP):
+            yield b.slice(i, STEP)
+
+
 def _strings(column: pa.Array) -> Iterator[str | None]:
     for t in column:  # one text at a time
         yield t.as_py()
@@ -159,7 +167,7 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out: str = "deco
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _steps(batches):
             texts = [decode_ids(x.values.to_numpy().tolist(), path) if x.is_valid else None for x in b.column(ids_col)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], names=[*names, out])
 
