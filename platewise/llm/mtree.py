@@ -86,7 +86,8 @@ class Tree:
     """A tree put together from its pages."""
 
     def __init__(self, pages: list[dict]):
-        self.centres = np.array([p["centre"] for p in pages], np.int64).reshape(len(pages), -1)
+        dim = len(pages[0]["centre"])
+        self.centres = np.array([p["centre"] for p in pages], np.int64).reshape(len(pages), dim)
         self.radius = np.array([p["radius"] for p in pages])
         self.to_parent = np.array([p["to_parent"] for p in pages])
         self.root = next(i for i, p in enumerate(pages) if p["parent"] < 0)
@@ -96,8 +97,7 @@ class Tree:
             if p["parent"] >= 0:
                 self.children[place[p["parent"]]].append(i)
         self.children = [np.array(c, np.int64) for c in self.children]
-        dim = self.centres.shape[1]
-        self.leaves = [(np.asarray(p["ids"], np.int64), np.asarray(p["vectors"], np.int64).reshape(-1, dim),
+        self.leaves = [(np.asarray(p["ids"], np.int64), np.asarray(p["vectors"], np.int64).reshape(len(p["ids"]), dim),
                         np.asarray(p["distances"])) if p["ids"] is not None else None for p in pages]
         self.largest = max([1.0, *(float(np.abs(v[1].astype(np.float64)).max(initial=0)) for v in self.leaves if v)])
         self.floats: list = [None if v is None else v[1].astype(np.float64) for v in self.leaves]
@@ -151,7 +151,7 @@ def index(vectors: DataFrame, tree: int = TREE, leaf: int = LEAF, fanout: int =
 
     def load(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id", kind="stable")
-        pages = build(part["id"].to_numpy(np.int64), np.stack(part["v"].to_numpy()).astype(np.int64).reshape(len(part), -1),
+        pages = build(part["id"].to_numpy(np.int64), np.array(part["v"].tolist(), np.int64).reshape(len(part), key[0]),
                       leaf, fanout)
         out = pd.DataFrame(pages)
         out.insert(0, "tree", key[1])
