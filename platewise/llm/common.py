@@ -40,3 +40,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def words(text: Column) -> Column:
     """The words of a text as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
+
+
+def own_names(docs: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named c0, c1, ... so that nothing clashes with a working
+    column, and the new names of ``cols``.  ``toDF(*docs.columns)`` undoes it."""
+    new = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*new), [new[docs.columns.index(c)] for c in cols]

@@ -35,6 +35,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from platewise.llm.common import own_names
+
 UNKNOWN = "und"
 CACHED = 400_000
 #: Longer words are left out of the sample and of the cache, but parsed all the same.
@@ -182,10 +184,10 @@ def _model(name: str, words: dict[str, list[str]]) -> Model:
 
 
 def predict(docs: DataFrame, words: dict[str, list[str]], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of ``docs`` with ``__lang``, ``__score`` and ``__rate``
-    (phrases per character)."""
+    """The columns ``carry`` of ``docs`` (by default all that aren't named as a result)
+    with ``__lang``, ``__score`` and ``__rate`` (phrases per character)."""
     shared, name = docs.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
-    carry = docs.columns if carry is None else carry
+    carry = [c for c in docs.columns if c not in ("__lang", "__score", "__rate")] if carry is None else carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(name, shared.value)
@@ -214,5 +216,6 @@ def keep_identified(docs: DataFrame, most: float = 0.5, id_col: str = "doc_id",
     words = training_words(docs, ~held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col)
     if not words:
         return docs
-    out = predict(docs, words, text_col).filter((F.col("__lang") != UNKNOWN) & (F.col("__rate") <= most))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, (text,) = own_names(docs, text_col)
+    out = predict(rows, words, text).filter((F.col("__lang") != UNKNOWN) & (F.col("__rate") <= most))
+    return out.select(*rows.columns).toDF(*docs.columns)

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import words
+from platewise.llm.common import own_names, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -146,6 +146,7 @@ def keep_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
     optimizer leaves the filter above the counts: below them it would compute the words
     anew for each use, inside lambdas once for each word."""
     m = F.col("__q")
-    counted = with_counts(docs, "__q", text_col).withColumn("__row", F.monotonically_increasing_id())
+    rows, (text,) = own_names(docs, text_col)
+    counted = with_counts(rows, "__q", text).withColumn("__row", F.monotonically_increasing_id())
     return counted.filter(~base_failed(m) & compile_rules(m, rules) & (F.col("__row") >= 0)).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+        *rows.columns).toDF(*docs.columns)

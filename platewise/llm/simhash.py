@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import checkpointed, persisted
+from platewise.llm.common import checkpointed, own_names, persisted
 
 SEED = 42
 BITS = 64
@@ -257,12 +257,13 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str =
                text_col: str = "text") -> DataFrame:
     """The documents with the smallest id of their component, with their own columns;
     of rows that repeat an id one stays, rows without an id all stay."""
-    found = persisted(near_duplicates(docs, shingle, radius, id_col, text_col).filter(
-        F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), "component"), "simhash-components")
+    rows, (key, text) = own_names(docs, id_col, text_col)
+    found = persisted(near_duplicates(rows, shingle, radius, key, text).filter(
+        F.col(key).isNotNull()).select(F.col(key).alias("__id"), "component"), "simhash-components")
     # written, so the planner knows its size: broadcast if small, else a shuffle
     gone = persisted(found.filter("__id <> component").select("__id").distinct(), "simhash-gone")
-    out = docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
-    if found.groupBy("__id").count().filter("count > 1").isEmpty():
-        return out
-    unnamed = F.col(id_col).isNull()
-    return out.filter(~unnamed).dropDuplicates([id_col]).unionByName(out.filter(unnamed))
+    out = rows.join(gone, F.col(key) == F.col("__id"), "left_anti")
+    if not found.groupBy("__id").count().filter("count > 1").isEmpty():
+        unnamed = F.col(key).isNull()
+        out = out.filter(~unnamed).dropDuplicates([key]).unionByName(out.filter(unnamed))
+    return out.toDF(*docs.columns)

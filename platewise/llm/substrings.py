@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.llm.common import persisted
+from platewise.llm.common import own_names, persisted
 
 _M = 0x9E3779B97F4A7C15
 _M_INV = pow(_M, -1, 1 << 64)
@@ -276,11 +276,11 @@ def keep_unrepeated(docs: DataFrame, length: int = 13, gram: int = 4, id_col: st
     """``docs`` with repeats cut from the texts (and ``size_col``, if named, set to the
     text's characters).  A document of which no word is left goes; texts without a
     repeat stay as they are."""
-    carry = [c for c in docs.columns if c != text_col] + [text_col]
-    out = remove_repeats(docs, length, gram, id_col, text_col, carry).filter(
+    rows, (key, words) = own_names(docs, id_col, text_col)
+    out = remove_repeats(rows, length, gram, key, words, rows.columns).filter(
         (F.col("__n_removed") < F.col("__n_words")) | (F.col("__n_words") == 0))
-    text = F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col(text_col))
-    out = out.withColumn(text_col, text)
+    out = out.withColumn(words, F.when(F.col("__n_removed") > 0, F.col("__kept")).otherwise(F.col(words)))
     if size_col in docs.columns:
-        out = out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        size = rows.columns[docs.columns.index(size_col)]
+        out = out.withColumn(size, F.length(words).cast(docs.schema[size_col].dataType))
+    return out.select(*rows.columns).toDF(*docs.columns)
