@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,22 @@ def own_names(docs: DataFrame, *cols: str) -> tuple[DataFrame, list[str]]:
     column, and the new names of ``cols``.  ``toDF(*docs.columns)`` undoes it."""
     new = [f"c{i}" for i in range(len(docs.columns))]
     return docs.toDF(*new), [new[docs.columns.index(c)] for c in cols]
+
+
+_STATE: dict[tuple, Any] = {}
+
+
+def worker_state(key: tuple, make: Callable[[], Any]) -> Any:
+    """What an operator keeps in a Python worker over its tasks (tables, caches).  A
+    worker holds the state of one operator: the next one's replaces it."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def steps(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, so that results stay small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

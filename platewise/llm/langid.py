@@ -35,10 +35,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.llm.common import own_names
+from platewise.llm.common import own_names, worker_state
 
 UNKNOWN = "und"
-CACHED = 400_000
+CACHED = 300_000
 #: Longer words are left out of the sample and of the cache, but parsed all the same.
 MAX_WORD = 40
 
@@ -173,16 +173,6 @@ class Model:
         return self.langs[best], float(score), float(t[best] / t[-1])
 
 
-_WORKER: dict[str, Model] = {}
-
-
-def _model(name: str, words: dict[str, list[str]]) -> Model:
-    if name not in _WORKER:
-        _WORKER.clear()
-        _WORKER[name] = Model(words)
-    return _WORKER[name]
-
-
 def predict(docs: DataFrame, words: dict[str, list[str]], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of ``docs`` (by default all that aren't named as a result)
     with ``__lang``, ``__score`` and ``__rate`` (phrases per character)."""
@@ -190,7 +180,7 @@ def predict(docs: DataFrame, words: dict[str, list[str]], text_col: str = "text"
     carry = [c for c in docs.columns if c not in ("__lang", "__score", "__rate")] if carry is None else carry
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(name, shared.value)
+        model = worker_state(("langid", name), lambda: Model(shared.value))
         for b in batches:
             found = [model.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
             lang, score, rate = zip(*found, strict=True) if found else ((), (), ())

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.llm.common import checkpointed, own_names, persisted
+from platewise.llm.common import checkpointed, own_names, persisted, steps, worker_state
 
 SEED = 42
 BITS = 64
@@ -78,7 +78,8 @@ def fingerprint(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long: the 64 bits as a signed number)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        worker_state(("simhash",), object)  # nothing is kept
+        for b in steps(batches, 1_000):
             fps = [fingerprint(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle))
                    for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(

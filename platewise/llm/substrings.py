@@ -48,11 +48,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.llm.common import own_names, persisted
+from platewise.llm.common import own_names, persisted, steps, worker_state
 
 _M = 0x9E3779B97F4A7C15
 _M_INV = pow(_M, -1, 1 << 64)
 CACHED_WORDS = 200_000
+#: Documents whose rows a task holds at a time.
+STEP = 1_000
 
 
 class _WordHashes(dict):
@@ -67,7 +69,6 @@ class _WordHashes(dict):
         return v
 
 
-_HASHES = _WordHashes()
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -93,9 +94,9 @@ class Anchors:
     """Anchors of a document: hash, first window and number of windows of each, with
     hashes of their extensions and windows."""
 
-    def __init__(self, words: list[bytes], length: int, gram: int):
+    def __init__(self, words: list[bytes], length: int, gram: int, hashes: _WordHashes):
         n = len(words)
-        ids = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+        ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
         power, self.inverse = _powers(n + 1)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(ids * power[:n])])
         self.length = length
@@ -123,10 +124,11 @@ class Anchors:
 
 
 def _anchored(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[int, Anchors]]:
+    hashes = worker_state(("word-hashes",), _WordHashes)
     for i, t in enumerate(batch.column(1)):
         words = t.as_buffer().to_pybytes().split() if t.is_valid else []
         if len(words) >= length:
-            yield i, Anchors(words, length, gram)
+            yield i, Anchors(words, length, gram, hashes)
 
 
 def _column(parts: list[np.ndarray], kind) -> pa.Array:
@@ -139,7 +141,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 def _first_scan(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in steps(batches, STEP):
             which, hashes, exts = [], [], []
             for i, a in _anchored(b, length, gram):
                 which.append(np.full(len(a.hash), i))
@@ -161,7 +163,7 @@ def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def _second_scan(length: int, gram: int, maps):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled, opened = (np.frombuffer(x, np.uint64) for x in maps.value)
-        for b in batches:
+        for b in steps(batches, STEP):
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
 
             def add(i, h, win, start, n, cols=cols):
@@ -237,7 +239,7 @@ def _merged(spans: str):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(..., n_words, n_removed, kept) in place of (..., text, spans)."""
-    for b in batches:
+    for b in steps(batches, STEP):
         n_words, n_removed, kept = [], [], []
         starts, ends = b.column("__starts").to_pylist(), b.column("__ends").to_pylist()
         for t, s, e in zip(b.column("__text"), starts, ends, strict=True):

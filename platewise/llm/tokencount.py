@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise.llm.common import worker_state
+
 ENTRIES = 65_536
 FIT_ROWS = 4_096
 MAX_LENGTH = 32
@@ -79,13 +81,8 @@ class _Lengths(dict):
         return n
 
 
-_WORKER: dict[tuple, _Library] = {}
-
-
 def _library(path: str, pattern: str) -> _Library:
-    if (path, pattern) not in _WORKER:
-        _WORKER[path, pattern] = _Library(path, pattern)
-    return _WORKER[path, pattern]
+    return worker_state(("library", path, pattern), lambda: _Library(path, pattern))
 
 
 def count_text(text: str, lengths: _Lengths) -> int:
@@ -129,7 +126,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, entries: int = ENTRIE
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _tier(name, frequent.value, path, pattern)
+        lengths = worker_state(("lengths", name), lambda: _Lengths(frequent.value, _Library(path, pattern)))
         for b in batches:
             texts = b.column(1)
             n = [count_text(t.as_py(), lengths) if t.is_valid else 0 for t in texts]
@@ -140,14 +137,3 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, entries: int = ENTRIE
     text = F.col(text_col)
     return docs.select(id_col, text.alias("t"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n")) \
         .mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long")
-
-
-_TIERS: dict[str, _Lengths] = {}
-
-
-def _tier(name: str, frequent: dict[str, int], path: str, pattern: str) -> _Lengths:
-    """The lookup of this worker: one per broadcast, kept over its tasks."""
-    if name not in _TIERS:
-        _TIERS.clear()
-        _TIERS[name] = _Lengths(frequent, _library(path, pattern))
-    return _TIERS[name]
