@@ -3,7 +3,7 @@ each a composition of the operators (SURVEY §2.12).  All take and return DataFr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import features as FE
@@ -38,15 +38,16 @@ def plate_violations() -> Column:
 
 def ingest_plates(records: DataFrame, specs: DataFrame | None = None, existing_plates: DataFrame | None = None,
                   created_at: str = "created_at") -> dict:
-    """POST /plates for a batch: validate (S12), reject in-batch duplicates and known plates
-    (S13), number new spec combinations after the existing ones (J2, J4, W6).
+    """POST /plates for a batch: validate (S12), keep the first record of each plate of the
+    batch and reject the later ones and known plates (S13), number new spec combinations after the existing ones (J2, J4, W6).
     Returns {'plates', 'specs', 'quarantine'}."""
     v = records.withColumn("__v", plate_violations())
     ok = v.filter(F.size("__v") == 0).drop("__v")
-    dup = NZ.duplicate_keys(ok, ["plate_no"]).select("plate_no")
+    order = ([F.col(created_at)] if created_at in ok.columns else []) + [F.monotonically_increasing_id()]
+    ok = ok.withColumn("__n", F.row_number().over(Window.partitionBy("plate_no").orderBy(*order)))
     quarantine = v.filter(F.size("__v") > 0).select("plate_no", F.array_join("__v", ";").alias("reason")).unionByName(
-        ok.join(dup, "plate_no", "left_semi").select("plate_no", F.lit("duplicate_in_batch").alias("reason")))
-    ok = ok.join(dup, "plate_no", "left_anti")
+        ok.filter("__n > 1").select("plate_no", F.lit("duplicate_in_batch").alias("reason")))
+    ok = ok.filter("__n = 1").drop("__n")
     if existing_plates is not None:
         quarantine = quarantine.unionByName(ok.join(existing_plates.select("plate_no"), "plate_no", "left_semi")
                                             .select("plate_no", F.lit("plate_exists").alias("reason")))

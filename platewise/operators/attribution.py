@@ -108,7 +108,9 @@ def sampled_shapley(df: DataFrame, background: DataFrame, feature_cols: list[str
     from pyspark.ml.functions import array_to_vector
 
     d = len(feature_cols)
-    bg_rows = background.select(*[F.col(c).cast("double") for c in feature_cols]).limit(max_background).collect()
+    bg_rows = background.select(*[F.col(c).cast("double") for c in feature_cols]).limit(max_background + 1).collect()
+    if len(bg_rows) > max_background:
+        raise ValueError(f"the background sample has more than {max_background} rows")
     if not bg_rows:
         raise ValueError("empty background sample")
     bg = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in bg_rows])

@@ -49,11 +49,6 @@ def _n_parts(df: DataFrame, partitions: int | None) -> int:
     return max(2, min(cap, -(-size // TARGET_PARTITION_BYTES)))
 
 
-def _offsets(counts: DataFrame, pid: str, n: str, off: str) -> DataFrame:
-    w = Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(pid, F.coalesce(F.sum(n).over(w), F.lit(0)).cast("bigint").alias(off))
-
-
 def global_rank_with_total(df: DataFrame, order: list, rank_col: str = "pos",
                            partitions: int | None = None) -> tuple[DataFrame, int]:
     """Add the exact 0-based position of each row under ``order``; also return the row

@@ -55,11 +55,12 @@ def fit_vocabulary(df: DataFrame, cols: list[str] = V.CATEGORICAL_FEATURES, max_
 
 def dummy_columns(vocab: dict, drop_first: bool = True) -> list[tuple[str, Column]]:
     """(name, expression) of the dummy columns: '<col>_<level>' = 1.0 when equal.
-    The first (alphabetical) level is the baseline; an unseen level is all zeros."""
+    The first (alphabetical) level is the baseline; an unseen level and NULL are
+    all zeros."""
     out = []
     for c, levels in vocab.items():
         for lv in (levels[1:] if drop_first else levels):
-            out.append((f"{c}_{lv}", (F.col(c).cast("string") == F.lit(lv)).cast("double")))
+            out.append((f"{c}_{lv}", F.coalesce((F.col(c).cast("string") == F.lit(lv)).cast("double"), F.lit(0.0))))
     return out
 
 

@@ -142,13 +142,14 @@ TABLE_SCHEMAS = {
 def create_tables(spark: SparkSession, root: str, only_missing: bool = True) -> list[str]:
     """Empty parquet tables with explicit schemas (state changes are append-only
     logs: model_activation and alert_resolution replace in-place updates)."""
-    import os
+    from platewise.session import path_exists
+
     made = []
     for name, schema in TABLE_SCHEMAS.items():
-        path = os.path.join(root, name)
-        if only_missing and os.path.exists(path):
+        path = f"{root.rstrip('/')}/{name}"
+        if only_missing and path_exists(spark, path):
             continue
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+        spark.createDataFrame([], schema).write.mode("errorifexists" if only_missing else "overwrite").parquet(path)
         made.append(name)
     return made
 

@@ -1,15 +1,15 @@
 """Structured Streaming ingestion of rolling records and inspection labels.
 
-E1: arriving rolling records -> event time as TIMESTAMP + watermark -> drop replays of
-(plate_no, rolling_date) within the watermark -> stream-static checks (plate exists,
-a furnace record exists, no earlier rolling record for the plate) -> NULL sentinel ->
+E1: arriving rolling records -> drop replays of (plate_no, rolling_date), however late ->
+stream-static checks (plate exists, a furnace record exists, no earlier rolling record for
+the plate in the history, in the stored output or in the batch) -> NULL sentinel ->
 rules on the raw reading -> alerts; scoring with the imputation fitted on history ->
 predictions.  ``foreachBatch`` writes every output partitioned by ``batch_id`` with
 dynamic partition overwrite, so a replayed micro-batch rewrites its own partition
 and never duplicates rows (exactly-once effect on the sinks).
 
-E2: arriving inspection labels -> plate and inspector must exist -> appended; the
-next training run picks the latest label per plate (W2).
+E2: arriving inspection labels -> plate and inspector must exist, else quarantine with a
+reason -> appended; the next training run picks the latest label per plate (W2).
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import features as FE
@@ -26,7 +26,7 @@ from platewise.operators import latest as LT
 from platewise.operators import rules as RU
 from platewise.operators import score as SC
 from platewise.operators.lookup import broadcast_bounded
-from platewise.session import ensure_checkpoint_dir
+from platewise.session import ensure_checkpoint_dir, path_exists
 
 ROLLING_STREAM_COLUMNS = ["plate_no", "hsb_applied", "rolling_method", "rolling_temp", "descaling_count",
                           "work_group", "rolling_date"]
@@ -40,12 +40,23 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def dedup_replays(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Drop re-sent records: same (plate_no, rolling_date) within the watermark.
-    The watermark needs a TIMESTAMP column, so the wall-clock NTZ instant is cast."""
-    return (stream.withColumn("event_time", F.col("rolling_date").cast("timestamp"))
-                  .withWatermark("event_time", delay)
-                  .dropDuplicatesWithinWatermark(["plate_no", "rolling_date"]))
+def dedup_replays(stream: DataFrame) -> DataFrame:
+    """Drop re-sent records: same (plate_no, rolling_date), however late they come.  No
+    watermark, so no record is dropped for its age; the state holds one key per record."""
+    return stream.withColumn("event_time", F.col("rolling_date").cast("timestamp")).dropDuplicates(
+        ["plate_no", "rolling_date"])
+
+
+def second_records(accepted: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """UNIQUE(plate_no): ``accepted`` with ``__second``, true for all but the earliest
+    record of a plate in the batch and for plates in ``stored``."""
+    first = Window.partitionBy("plate_no").orderBy("rolling_date")
+    out = accepted.withColumn("__second", F.row_number().over(first) > 1)
+    if stored is None:
+        return out
+    seen = stored.select("plate_no", F.lit(True).alias("__seen")).distinct()
+    return out.join(seen, "plate_no", "left").withColumn(
+        "__second", F.col("__second") | F.coalesce("__seen", F.lit(False))).drop("__seen")
 
 
 def check_rolling(stream: DataFrame, plates: DataFrame, furnace: DataFrame,
@@ -93,7 +104,7 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
 
 def start_rolling_ingest(stream: DataFrame, plates: DataFrame, specs: DataFrame, furnace: DataFrame,
                          rolling_history: DataFrame | None, medians: DataFrame, fallback: DataFrame,
-                         out_root: str, delay: str = "1 day", trigger_available_now: bool = True):
+                         out_root: str, trigger_available_now: bool = True):
     """Start E1; returns the StreamingQuery.  Outputs under ``out_root``: rolling/,
     alerts/, predictions/, quarantine/ and the checkpoint in _checkpoint/.
     The latest furnace record per plate is computed and checkpointed once, and the
@@ -103,10 +114,19 @@ def start_rolling_ingest(stream: DataFrame, plates: DataFrame, specs: DataFrame,
     # so no micro-batch re-scans the history
     medians = broadcast_bounded(medians)
     fallback = fallback.sparkSession.createDataFrame([fallback.first()], fallback.schema)
-    deduped = dedup_replays(stream, delay)
+    deduped = dedup_replays(stream)
     ok, bad = check_rolling(deduped, plates, furnace, rolling_history)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
+        spark, rolling = batch.sparkSession, os.path.join(out_root, "rolling")
+        # what earlier batches stored; a replayed batch doesn't see its own rows
+        stored = spark.read.schema("plate_no string, batch_id long").parquet(rolling).filter(
+            F.col("batch_id") < batch_id) if path_exists(spark, rolling) else None
+        batch = second_records(batch.filter(F.col("__kind") == "ok"), stored).unionByName(
+            batch.filter(F.col("__kind") == "bad").withColumn("__second", F.lit(False)))
+        batch = batch.withColumns({
+            "__kind": F.when(F.col("__second"), "bad").otherwise(F.col("__kind")),
+            "reason": F.when(F.col("__second"), "second_rolling_record").otherwise(F.col("reason"))}).drop("__second")
         batch = batch.persist()
         _write_batch(batch.filter(F.col("__kind") == "ok").select(*ROLLING_STREAM_COLUMNS),
                      os.path.join(out_root, "rolling"), batch_id)
@@ -130,13 +150,20 @@ def start_rolling_ingest(stream: DataFrame, plates: DataFrame, specs: DataFrame,
 
 def start_inspection_ingest(stream: DataFrame, plates: DataFrame, users: DataFrame, out_root: str,
                             trigger_available_now: bool = True):
-    """Accept labels whose plate and inspector exist; append them by batch id."""
-    ok = (stream.join(plates.select("plate_no").distinct(), "plate_no", "left_semi")
-                .join(users.select(F.col("email").alias("inspector_email"), "user_id"), "inspector_email"))
+    """Accept labels whose plate and inspector exist, quarantine the others with a
+    reason; both are appended by batch id."""
+    checked = stream.join(plates.select("plate_no", F.lit(True).alias("__plate")).distinct(), "plate_no", "left").join(
+        users.select(F.col("email").alias("inspector_email"), "user_id"), "inspector_email", "left").withColumn(
+        "reason", F.when(F.col("__plate").isNull(), "plate_missing").when(F.col("user_id").isNull(), "inspector_missing"))
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, os.path.join(out_root, "inspections"), batch_id)
-
-    w = ok.writeStream.foreachBatch(each_batch).option("checkpointLocation", os.path.join(out_root, "_checkpoint"))
+        batch = batch.drop("__plate").persist()
+        try:
+            _write_batch(batch.filter("reason is null").drop("reason"), os.path.join(out_root, "inspections"), batch_id)
+            _write_batch(batch.filter("reason is not null").drop("user_id"), os.path.join(out_root, "quarantine"), batch_id)
+        finally:
+            batch.unpersist()
+
+    w = checked.writeStream.foreachBatch(each_batch).option("checkpointLocation", os.path.join(out_root, "_checkpoint"))
     w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="10 seconds")
     return w.start()

@@ -60,7 +60,8 @@ def test_ingest_plates_quarantine_and_codes(spark):
     out = api.ingest_plates(recs, specs, existing)
     q = {r["plate_no"]: r["reason"] for r in out["quarantine"].collect()}
     assert q == {"P1": "duplicate_in_batch", "P2": "steel_kind_domain", "P3": "pt_thick_not_positive", "P5": "plate_exists"}
-    assert [r["plate_no"] for r in out["plates"].collect()] == ["P4"]
+    assert sorted(r["plate_no"] for r in out["plates"].collect()) == ["P1", "P4"]
+    assert out["quarantine"].filter("plate_no = 'P1'").count() == 1
     codes = {r["spec_long"]: r["spec_code"] for r in out["specs"].collect()}
     assert codes == {"A": "SPEC001", "D": "SPEC002"}
 

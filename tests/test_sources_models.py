@@ -1,5 +1,6 @@
 """Table creation (S6) and model artefacts (S9) on small inputs."""
 
+import datetime as dt
 import os
 import tempfile
 
@@ -39,3 +40,26 @@ def test_model_save_load_and_score(spark):
     p1 = [r["probability"][1] for r in model.transform(vec).select("probability").collect()]
     p2 = [r["probability"][1] for r in loaded.transform(vec).select("probability").collect()]
     assert p1 == p2 and side["vocabulary"] == vocab
+
+
+def test_create_tables_keeps_rows_on_a_uri(spark, tmp_path):
+    from platewise.sources import process_log as PL
+
+    root = f"file:{tmp_path}/tables"
+    made = PL.create_tables(spark, root)
+    name = made[0]
+    schema = PL.TABLE_SCHEMAS[name]
+    row = [dt.datetime(2024, 1, 1) if "timestamp" in f.dataType.simpleString() else
+           (True if f.dataType.simpleString() == "boolean" else "x" if f.dataType.simpleString() == "string" else 1)
+           for f in schema]
+    spark.createDataFrame([tuple(row)], schema).write.mode("append").parquet(f"{root}/{name}")
+    assert PL.create_tables(spark, root) == []
+    assert spark.read.parquet(f"{root}/{name}").count() == 1
+
+
+def test_null_category_is_all_zeros(spark):
+    from platewise.plans.training import dummy_columns
+
+    df = spark.createDataFrame([("b",), (None,)], "c string")
+    got = [tuple(r) for r in df.select(*[e.alias(n) for n, e in dummy_columns({"c": ["a", "b", "d"]})]).collect()]
+    assert got == [(1.0, 0.0), (0.0, 0.0)]

@@ -59,3 +59,24 @@ def test_restart_and_replay(spark):
     assert sorted(r["plate_no"] for r in rolling.collect()) == ["P1", "P2"]
     preds = spark.read.parquet(os.path.join(out, "predictions"))
     assert preds.count() == 2
+
+    # a second record of P1, and a record older than all before: neither is lost
+    spark.createDataFrame([("P1", True, "TMCP", 900, 8, "1조", t + dt.timedelta(days=2)),
+                           ("PX", True, "TMCP", 900, 8, "1조", dt.datetime(1992, 5, 1))], ROLLING).write.mode("append").parquet(src)
+    rolling, _ = run()
+    assert sorted(r["plate_no"] for r in rolling.collect()) == ["P1", "P2"]
+    q = sorted((r["plate_no"], r["reason"]) for r in spark.read.parquet(os.path.join(out, "quarantine")).collect())
+    assert q == [("P1", "second_rolling_record"), ("P3", "furnace_record_missing"), ("PX", "plate_missing"), ("PX", "plate_missing")]
+
+
+def test_rejected_labels_are_kept(spark):
+    root = tempfile.mkdtemp(prefix="stream-")
+    src, out = os.path.join(root, "in"), os.path.join(root, "out")
+    schema = "plate_no string, inspector_email string, defect_type string"
+    spark.createDataFrame([("P1", "a@x", "none"), ("P1", "b@x", "none"), ("P7", "a@x", "none")], schema).write.parquet(src)
+    plates = spark.createDataFrame([("P1",)], "plate_no string")
+    users = spark.createDataFrame([("a@x", 1)], "email string, user_id long")
+    IN.start_inspection_ingest(spark.readStream.schema(schema).parquet(src), plates, users, out).awaitTermination()
+    assert [(r.plate_no, r.user_id) for r in spark.read.parquet(os.path.join(out, "inspections")).collect()] == [("P1", 1)]
+    q = sorted((r.plate_no, r.inspector_email, r.reason) for r in spark.read.parquet(os.path.join(out, "quarantine")).collect())
+    assert q == [("P1", "b@x", "inspector_missing"), ("P7", "a@x", "plate_missing")]
