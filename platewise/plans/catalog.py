@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import features as FE
@@ -240,6 +240,25 @@ def open_alerts(spark, sf_dir):
         "plate_no", "rule_pos", "rule_code", "severity", "message", "triggered_at")
 
 
+@query("plate_alerts")
+def plate_alerts(spark, sf_dir):
+    """All alerts, resolved or not, of one plate (the last by number that has one)."""
+    state = current_alert_state(spark, sf_dir)
+    plate = state.agg(F.max("plate_no")).first()[0]
+    return RU.alerts_view(state, "all", plate).select(
+        "plate_no", "rule_pos", "rule_code", "severity", "message", "triggered_at", "resolved_at")
+
+
+@query("alert_labels")
+def alert_labels(spark, sf_dir):
+    """alerts with their display labels and minute."""
+    from platewise.operators import report as RP
+
+    return RU.alerts(ingest_rules(spark, sf_dir)).select(
+        "plate_no", "rule_pos", RP.severity_label(F.col("severity")).alias("severity_label"),
+        RP.rule_label(F.col("rule_code")).alias("rule_label"), RP.format_minute(F.col("triggered_at")).alias("minute"))
+
+
 # ----------------------------------------------------------------------------- step 4: normalise
 
 from platewise.operators import latest as LT  # noqa: E402
@@ -537,6 +556,14 @@ def risk_ranking(spark, sf_dir):
                     SC.risk_tier(F.col("predicted_prob")).alias("risk"), "n_total")
 
 
+@query("risk_top5")
+def risk_top5(spark, sf_dir):
+    """The five riskiest plates of the file, in order."""
+    r = SC.risk_ranking(rulebook_file(spark, sf_dir), 5)
+    place = F.row_number().over(Window.orderBy(F.col("predicted_prob").desc(), "plate_no"))
+    return r.withColumn("place", place).select("place", "plate_no", "predicted_prob", "n_total")
+
+
 @query("file_summary")
 def file_summary(spark, sf_dir):
     return SC.file_summary(rulebook_file(spark, sf_dir), RULEBOOK_LABEL, True)

@@ -278,6 +278,20 @@ oracle("open_alerts", "WITH " + RULES.strip() + ",\n" + ALERT_STATE.strip() + ""
 SELECT plate_no, rule_pos, rule_code, severity, message, triggered_at FROM state WHERE resolved_at IS NULL""",
        inspection=True)
 
+oracle("plate_alerts", "WITH " + RULES.strip() + ",\n" + ALERT_STATE.strip() + """
+SELECT plate_no, rule_pos, rule_code, severity, message, triggered_at, resolved_at
+FROM state WHERE plate_no = (SELECT max(plate_no) FROM state)""",
+       inspection=True)
+
+oracle("alert_labels", "WITH " + RULES.strip() + """
+SELECT plate_no, rule_pos,
+       CASE severity WHEN 'CRITICAL' THEN '긴급' WHEN 'WARNING' THEN '주의' WHEN 'INFO' THEN '정보' ELSE severity END
+         AS severity_label,
+       CASE rule_code WHEN 'HSB_NOT_APPLIED' THEN 'HSB 미적용' WHEN 'ROLLING_TEMP_OVER_1000' THEN '사상압연온도 1000℃ 초과'
+         WHEN 'TEMP_DROP_INSUFFICIENT' THEN '온도낙차 부족' ELSE rule_code END AS rule_label,
+       strftime(triggered_at, '%Y-%m-%d %H:%M') AS minute
+FROM alerts""")
+
 
 # ----------------------------------------------------------------------------- step 4: normalise
 
@@ -567,6 +581,11 @@ SELECT plate_no, predicted_prob, predicted_label, """ + RULE_CODES_OF + """ AS f
        (SELECT count(*) FROM pres) AS n_total
 FROM pres ORDER BY predicted_prob DESC, plate_no LIMIT 200""")
 
+oracle("risk_top5", "WITH " + SCORED.strip() + """
+SELECT CAST(row_number() OVER (ORDER BY predicted_prob DESC, plate_no) AS INTEGER) AS place, plate_no, predicted_prob,
+       (SELECT count(*) FROM pres) AS n_total
+FROM pres ORDER BY predicted_prob DESC, plate_no LIMIT 5""")
+
 oracle("file_summary", "WITH " + SCORED.strip() + """,
 s AS (
   SELECT count(*) AS total_rows, count(*) FILTER (WHERE predicted_label) AS predicted_defect_count,
