@@ -30,23 +30,10 @@ from platewise.session import ensure_checkpoint_dir
 _LOW33 = (1 << 33) - 1
 
 
-TARGET_PARTITION_BYTES = 64 << 20
-
-
-def _n_parts(df: DataFrame, partitions: int | None) -> int:
-    """Range partitions from the bytes of the plan's sources (scan sizes are known
-    without running anything): about one per 64 MB, at least 2, at most
-    ``spark.sql.shuffle.partitions`` (the cluster's sizing).  Without a known size the
-    cluster's sizing is used."""
-    if partitions:
-        return partitions
-    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except Exception:
-        return cap
-    return max(2, min(cap, -(-size // TARGET_PARTITION_BYTES)))
+def _ranged(df: DataFrame, order: list, partitions: int | None) -> DataFrame:
+    """Range-partitioned on ``order``: into ``partitions`` if given, else into the
+    session's shuffle partitions, which AQE joins to its advisory size."""
+    return df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
 
 
 def global_rank_with_total(df: DataFrame, order: list, rank_col: str = "pos",
@@ -60,9 +47,8 @@ def global_rank_with_total(df: DataFrame, order: list, rank_col: str = "pos",
     are turned into offsets on the driver and applied as a literal array indexed by the
     partition id: no join and no further job over the data.
     """
-    n = _n_parts(df, partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = (_ranged(df, order, partitions).sortWithinPartitions(*order)
               .withColumn("__mid", F.monotonically_increasing_id())).checkpoint(eager=True)
     pid = F.shiftright("__mid", 33).cast("int")
     counts = dict(ranged.groupBy(pid.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect())
@@ -123,9 +109,8 @@ def prefix_sums(df: DataFrame, order: list, sums: dict[str, str], by: list[str]
     #groups + #partitions.
     """
     by = by or []
-    n = _n_parts(df, partitions)
     ensure_checkpoint_dir(df.sparkSession)
-    ranged = (df.repartitionByRange(n, *by, *order).withColumn("__pid", F.spark_partition_id())
+    ranged = (_ranged(df, [*by, *order], partitions).withColumn("__pid", F.spark_partition_id())
               .checkpoint(eager=True))
     w_local = Window.partitionBy("__pid", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumns({f"__l_{o}": F.coalesce(F.sum(c).over(w_local), F.lit(0)) for o, c in sums.items()})
