@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions import vocab as V
-from platewise.operators.lookup import broadcast_bounded, with_scalars
+from platewise.operators.lookup import settled, with_scalars
 
 TEMP_KEYS = ("steel_kind", "rolling_method")
 
@@ -62,14 +62,9 @@ def impute_group_median(df: DataFrame, col: str = "rolling_temp", keys=TEMP_KEYS
     out = out or col
     c = F.col(col)
     if medians is None and fallback is None and not global_after_group:
-        one_pass = _group_and_global_medians(df, col, keys, approx)
-        if one_pass is not None:
-            med, glob = one_pass
-            joined = df.join(med, list(keys), "left")
-            grouped = F.coalesce(F.when(c > 0, c).cast("double"), F.col("group_median").cast("double"))
-            return joined.withColumn(out, F.coalesce(grouped, glob)).drop("group_median")
+        medians, fallback = fit_temp_imputer(df, col, keys, approx)
     med = medians if medians is not None else group_medians(df, col, keys, approx=approx)
-    joined = df.join(broadcast_bounded(med), list(keys), "left")
+    joined = df.join(settled(med) if medians is None else med, list(keys), "left")
     grouped = F.coalesce(F.when(c > 0, c).cast("double"), F.col("group_median").cast("double"))
     if fallback is None:
         if global_after_group:
@@ -81,26 +76,15 @@ def impute_group_median(df: DataFrame, col: str = "rolling_temp", keys=TEMP_KEYS
             .drop("group_median", "__temp_fallback"))
 
 
-def _group_and_global_medians(df: DataFrame, col: str, keys, approx: bool, max_rows: int = 200_000):
-    """Group medians and the global median from ONE aggregate (grouping sets
-    ``(keys), ()``).  The result has #groups + 1 rows; if that is within ``max_rows`` it
-    becomes a broadcast local relation plus a literal global median, else None."""
-    c = F.col(col)
-    agg = df.groupingSets([list(keys), []], *keys).agg(
-        _median(F.when(c > 0, c), approx).alias("group_median"), F.grouping_id().alias("__gid"))
-    rows = agg.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    glob = next((r["group_median"] for r in rows if r["__gid"] != 0), None)
-    groups = df.sparkSession.createDataFrame(
-        [r[:-1] for r in rows if r["__gid"] == 0], agg.drop("__gid").schema)
-    return F.broadcast(groups), F.lit(glob).cast("double")
-
-
 def fit_temp_imputer(train: DataFrame, col: str = "rolling_temp", keys=TEMP_KEYS,
                      approx: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Fit group and global medians on a training frame only (leakage-free variant)."""
-    return group_medians(train, col, keys, approx=approx), global_median(train, col, approx)
+    """Group and global medians of a training frame from ONE aggregate (grouping sets
+    ``(keys), ()``), stored so that every later use reads the same fitted values."""
+    c = F.col(col)
+    stats = settled(train.groupingSets([list(keys), []], *keys).agg(
+        _median(F.when(c > 0, c), approx).alias("m"), F.grouping_id().alias("__gid")))
+    return (stats.filter("__gid = 0").select(*keys, F.col("m").alias("group_median")),
+            stats.filter("__gid <> 0").agg(F.max("m").alias("global_median")))
 
 
 def fill_medians(df: DataFrame, cols=V.MEDIAN_FILL_COLUMNS, approx: bool = False) -> DataFrame:
@@ -190,7 +174,7 @@ def clean(df: DataFrame, approx: bool = False) -> DataFrame:
     t = F.col("rolling_temp")
     flagged = df.withColumn("rolling_temp_was_missing", F.coalesce(t <= 0, F.lit(False)).cast("int"))
     med = group_medians(flagged, approx=approx)
-    joined = flagged.join(broadcast_bounded(med), list(TEMP_KEYS), "left")
+    joined = flagged.join(settled(med), list(TEMP_KEYS), "left")
     grouped = F.coalesce(F.when(t > 0, t).cast("double"), F.col("group_median").cast("double"))
     nums = [c for c in V.MEDIAN_FILL_COLUMNS if c in df.columns and c != "rolling_temp"]
     cats = [c for c in V.MODE_FILL_COLUMNS if c in df.columns]

@@ -2,7 +2,7 @@
 
 All joins are keyed by plate_no.  ``latest_by`` leaves its output hash-partitioned
 on plate_no, so the assembly joins reuse that partitioning instead of shuffling the
-histories again; only the small spec dimension is broadcast, after a size check.
+histories again; the spec dimension is settled first, so the planner knows its bytes.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewise.operators.lookup import broadcast_bounded
+from platewise.operators.lookup import settled
 from platewise.operators.rank import latest_by
 
 FURNACE_COLS = ["fur_no", "fur_input_row", "fur_heat_temp", "fur_heat_time", "fur_soak_temp",
@@ -34,7 +34,7 @@ def latest_inspection(insp: DataFrame, tie_breaks: list | None = None) -> DataFr
 def serving_frame(plate: DataFrame, spec: DataFrame, furnace: DataFrame, rolling: DataFrame) -> DataFrame:
     """Plate -> spec -> latest furnace -> rolling; a plate missing any side has no row."""
     lf = latest_furnace(furnace).select("plate_no", *FURNACE_COLS)
-    p = plate.join(broadcast_bounded(spec.select("spec_code", "spec_country", "steel_kind")), "spec_code", "inner")
+    p = plate.join(settled(spec.select("spec_code", "spec_country", "steel_kind")), "spec_code", "inner")
     return (p.join(lf, "plate_no", "inner")
              .join(rolling.select("plate_no", "hsb_applied", "rolling_method", "rolling_temp", "descaling_count",
                                   "work_group", "rolling_date"), "plate_no", "inner")

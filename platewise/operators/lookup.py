@@ -1,24 +1,30 @@
-"""Small-side helpers: size-checked broadcast and scalar subqueries.
-
-``broadcast_bounded`` never trusts a size estimate: it materialises the small side
-once with a row cap of ``max_rows + 1``; if it fits, the rows become a broadcast
-local relation (lineage cut, proven bound); if not, the original DataFrame is returned
-and the planner keeps a shuffle join.
+"""Small-side helpers: sides whose bytes the planner can see, and scalar subqueries.
+
+The planner can't estimate an aggregate or a rank, so a join with one is planned as if
+the side were as large as its source.  ``settled`` writes such a side once to the
+shared checkpoint folder and reads it back: its true bytes are then known, and Spark
+broadcasts it only below ``spark.sql.autoBroadcastJoinThreshold`` and sorts and merges it
+above.  Nothing passes through the driver, and a lost executor doesn't compute the
+side again.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_ROWS = 200_000
+from platewise.session import ensure_checkpoint_dir
 
 
-def broadcast_bounded(small: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return small
-    return F.broadcast(small.sparkSession.createDataFrame(rows, small.schema))
+def settled(side: DataFrame) -> DataFrame:
+    """``side`` written to the shared checkpoint folder and read back."""
+    spark = side.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), f"side-{uuid.uuid4().hex}")
+    side.write.parquet(path)
+    return spark.read.schema(side.schema).parquet(path)
 
 
 def with_scalars(df: DataFrame, agg_df: DataFrame, name: str = "__scalars") -> tuple[DataFrame, Column]:

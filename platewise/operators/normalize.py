@@ -2,8 +2,7 @@
 P20, A21, A27, U1, U2).
 
 Surrogate spec codes are numbered over the *distinct new* combinations only, after the
-count of existing codes: a set of at most ``SMALL_SET`` combinations is ranked on the
-driver in one job, a larger one with the distributed global rank.  Validation never drops a
+count of existing codes, with the distributed global rank.  Validation never drops a
 row silently: each row gets a ``violations`` array and lands either in the accepted or
 in the quarantine output.
 """
@@ -14,11 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions import tokens as TK
-from platewise.operators.lookup import broadcast_bounded
+from platewise.operators.lookup import settled
 from platewise.operators.rank import global_rank
 
 SPEC_KEY = ["spec_long", "spec_country", "steel_kind"]
-SMALL_SET = 100_000  # distinct spec combinations ranked on the driver when at most this many
 
 
 def spec_combinations(flat: DataFrame) -> DataFrame:
@@ -35,14 +33,14 @@ def assign_spec_codes(flat: DataFrame, existing: DataFrame | None = None) -> Dat
         n0 = existing.agg(F.count(F.lit(1)).alias("n0")).scalar()
     else:
         n0 = F.lit(0)
-    ranked = global_rank(combos, SPEC_KEY, "pos", small_bound=SMALL_SET)
+    ranked = global_rank(combos, SPEC_KEY, "pos")
     new = ranked.select(F.format_string("SPEC%03d", n0 + F.col("pos") + 1).alias("spec_code"), *SPEC_KEY)
     return new if existing is None else existing.select("spec_code", *SPEC_KEY).unionByName(new)
 
 
 def plates(flat: DataFrame, specs: DataFrame) -> DataFrame:
     """Plate table with the spec surrogate key (three-column lookup)."""
-    return flat.join(broadcast_bounded(specs), SPEC_KEY, "left").select(
+    return flat.join(settled(specs), SPEC_KEY, "left").select(
         "plate_no", "spec_code",
         TK.truncating_int("pt_thick").alias("pt_thick"), TK.truncating_int("pt_width").alias("pt_width"),
         TK.truncating_int("pt_length").alias("pt_length"), F.col("rolling_date").alias("created_at"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.operators.lookup import broadcast_bounded, with_scalars
+from platewise.operators.lookup import settled, with_scalars
 
 
 
@@ -58,7 +58,7 @@ def box_stats(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
     v = df.select(*keys, value.cast("double").alias("__v"))
     q = v.groupBy(*keys).agg(F.percentile("__v", 0.25).alias("q1"), F.median("__v").alias("median"),
                              F.percentile("__v", 0.75).alias("q3"))
-    j = v.join(broadcast_bounded(q), keys, "inner")
+    j = v.join(settled(q), keys, "inner")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("__v") >= lo) & (F.col("__v") <= hi)

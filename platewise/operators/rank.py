@@ -62,38 +62,9 @@ def global_rank_with_total(df: DataFrame, order: list, rank_col: str = "pos",
     return out, acc
 
 
-def _sort_key(v):
-    """Spark's ascending order: NULL first, NaN after every number."""
-    if v is None:
-        return (0, 0)
-    if isinstance(v, float) and v != v:
-        return (2, 0)
-    return (1, v)
-
-
-def rank_small(df: DataFrame, order: list[str], rank_col: str, bound: int) -> tuple[DataFrame, int] | None:
-    """Exact rank of a provably small input: at most ``bound`` rows are brought to the
-    driver, sorted there (Spark's ascending order) and returned as a local relation.
-    Returns None when the input has more rows, so the caller uses the distributed path."""
-    rows = df.limit(bound + 1).collect()
-    if len(rows) > bound:
-        return None
-    idx = [df.columns.index(c) for c in order]
-    ranked = sorted(rows, key=lambda r: tuple(_sort_key(r[i]) for i in idx))
-    schema = df.schema.add(rank_col, "long", False)
-    out = df.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(ranked)], schema)
-    return out, len(ranked)
-
-
-def global_rank(df: DataFrame, order: list, rank_col: str = "pos", partitions: int | None = None,
-                small_bound: int | None = None) -> DataFrame:
+def global_rank(df: DataFrame, order: list, rank_col: str = "pos", partitions: int | None = None) -> DataFrame:
     """Add the exact 0-based position of each row under ``order`` (see
-    :func:`global_rank_with_total`).  With ``small_bound`` (and plain column names as
-    the order) a provably small input is ranked on the driver in one job."""
-    if small_bound and all(isinstance(c, str) for c in order):
-        small = rank_small(df, order, rank_col, small_bound)
-        if small is not None:
-            return small[0]
+    :func:`global_rank_with_total`)."""
     return global_rank_with_total(df, order, rank_col, partitions)[0]
 
 
@@ -117,8 +88,8 @@ def prefix_sums(df: DataFrame, order: list, sums: dict[str, str], by: list[str]
     totals = ranged.groupBy("__pid", *by).agg(*[F.sum(c).alias(f"__t_{o}") for o, c in sums.items()])
     w = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select("__pid", *by, *[F.coalesce(F.sum(f"__t_{o}").over(w), F.lit(0)).alias(f"__o_{o}") for o in sums])
-    from platewise.operators.lookup import broadcast_bounded
-    out = local.join(broadcast_bounded(offs), ["__pid", *by])
+    # ``local`` is already partitioned by the join keys; only the totals move
+    out = local.join(offs, ["__pid", *by])
     out = out.withColumns({o: F.col(f"__o_{o}") + F.col(f"__l_{o}") for o in sums})
     return out.drop("__pid", *[f"__l_{o}" for o in sums], *[f"__o_{o}" for o in sums])
 

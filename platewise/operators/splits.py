@@ -17,8 +17,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.operators.lookup import broadcast_bounded, with_scalars
-from platewise.operators.rank import global_rank, global_rank_with_total, rank_small
+from platewise.operators.lookup import settled, with_scalars
+from platewise.operators.rank import global_rank, global_rank_with_total
 
 
 def time_split(df: DataFrame, ts: str = "rolling_date", key: str = "plate_no",
@@ -46,11 +46,10 @@ def group_split(df: DataFrame, group: str = "work_group", test_size: float = 0.2
     """Add ``split`` in {train, test}; every group lies wholly on one side."""
     groups = df.select(group).distinct().filter(F.col(group).isNotNull())
     hashed = groups.withColumn("__h", F.md5(F.concat(F.lit(str(seed)), F.col(group))))
-    small = rank_small(hashed, ["__h", group], "__gpos", 100_000)
-    ranked, g = small if small is not None else global_rank_with_total(hashed, ["__h", group], "__gpos")
+    ranked, g = global_rank_with_total(hashed, ["__h", group], "__gpos")
     n_test = math.ceil(g * float(test_size))
     side = ranked.select(group, F.when(F.col("__gpos") < n_test, "test").otherwise("train").alias("split"))
-    return df.join(broadcast_bounded(side), group, "left")
+    return df.join(settled(side), group, "left")
 
 
 def _count_mod(x: Column, f: int, k: int) -> Column:

@@ -25,7 +25,7 @@ from platewise.operators import clean as CL
 from platewise.operators import latest as LT
 from platewise.operators import rules as RU
 from platewise.operators import score as SC
-from platewise.operators.lookup import broadcast_bounded
+from platewise.operators.lookup import settled
 from platewise.session import ensure_checkpoint_dir, path_exists
 
 ROLLING_STREAM_COLUMNS = ["plate_no", "hsb_applied", "rolling_method", "rolling_temp", "descaling_count",
@@ -112,8 +112,8 @@ def start_rolling_ingest(stream: DataFrame, plates: DataFrame, specs: DataFrame,
     latest = LT.latest_furnace(furnace).select("plate_no", *LT.FURNACE_COLS).checkpoint(eager=True)
     # static imputation statistics, materialised once (a bounded lookup and one row),
     # so no micro-batch re-scans the history
-    medians = broadcast_bounded(medians)
-    fallback = fallback.sparkSession.createDataFrame([fallback.first()], fallback.schema)
+    medians = settled(medians)
+    fallback = settled(fallback)
     deduped = dedup_replays(stream)
     ok, bad = check_rolling(deduped, plates, furnace, rolling_history)
 
@@ -128,6 +128,12 @@ def start_rolling_ingest(stream: DataFrame, plates: DataFrame, specs: DataFrame,
             "__kind": F.when(F.col("__second"), "bad").otherwise(F.col("__kind")),
             "reason": F.when(F.col("__second"), "second_rolling_record").otherwise(F.col("reason"))}).drop("__second")
         batch = batch.persist()
+        try:
+            write_outputs(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def write_outputs(batch: DataFrame, batch_id: int) -> None:
         _write_batch(batch.filter(F.col("__kind") == "ok").select(*ROLLING_STREAM_COLUMNS),
                      os.path.join(out_root, "rolling"), batch_id)
         _write_batch(batch.filter(F.col("__kind") == "bad").select(*ROLLING_STREAM_COLUMNS, "reason"),
@@ -139,7 +145,6 @@ def start_rolling_ingest(stream: DataFrame, plates: DataFrame, specs: DataFrame,
         preds = score_rows(rows).select("plate_no", F.col("event_rolling_date").alias("predicted_at"),
                                         "predicted_prob", "predicted_label")
         _write_batch(preds, os.path.join(out_root, "predictions"), batch_id)
-        batch.unpersist()
 
     both = (ok.withColumn("__kind", F.lit("ok")).withColumn("reason", F.lit(None).cast("string"))
             .unionByName(bad.withColumn("__kind", F.lit("bad"))))

@@ -217,9 +217,20 @@ def test_sampled_shapley_exact_for_additive_model(spark):
     assert len(out) == 6
 
 
-def test_rank_small_matches_distributed(spark):
+def test_rank_orders_nulls_first_and_nan_last(spark):
     rows = [("b", None), ("a", 2.0), (None, 1.0), ("a", float("nan")), ("a", None), ("c", -1.0)]
     df = spark.createDataFrame(rows, "s string, x double")
-    small = {(r["s"], str(r["x"])): r["pos"] for r in RK.global_rank(df, ["s", "x"], "pos", small_bound=10).collect()}
-    dist = {(r["s"], str(r["x"])): r["pos"] for r in RK.global_rank(df, ["s", "x"], "pos").collect()}
-    assert small == dist
+    got = {(r["s"], str(r["x"])): r["pos"] for r in RK.global_rank(df, ["s", "x"], "pos").collect()}
+    assert got == {(None, "1.0"): 0, ("a", "None"): 1, ("a", "2.0"): 2, ("a", "nan"): 3, ("b", "None"): 4, ("c", "-1.0"): 5}
+
+
+def test_settled_side_is_planned_by_its_bytes(spark):
+    from platewise.operators.lookup import settled
+
+    facts = spark.range(1000).withColumn("k", F.col("id") % 7)
+    side = settled(facts.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
+    assert side.count() == 7
+    empty = settled(facts.filter("id < 0"))
+    assert empty.count() == 0 and empty.columns == ["id", "k"]
+    plan = facts.join(side, "k")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan
