@@ -3,7 +3,7 @@ each a composition of the operators (SURVEY §2.12).  All take and return DataFr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions import features as FE
@@ -22,7 +22,7 @@ from platewise.operators.attribution import attribution_summary  # noqa: F401  (
 from platewise.operators.rank import latest_by
 
 __all__ = [
-    "ingest_plates", "ingest_furnace", "ingest_inspections", "normalize", "score_table", "score_summary",
+    "fit_imputer", "ingest_plates", "ingest_furnace", "ingest_inspections", "normalize", "score_table", "score_summary",
     "score_scenarios", "alerts_view", "resolve_alerts", "dashboard_summary", "latest_predictions", "rank_models",
     "activate", "clean", "features", "time_split", "group_split", "profile_tables", "attribution_summary",
 ]
@@ -41,13 +41,12 @@ def ingest_plates(records: DataFrame, specs: DataFrame | None = None, existing_p
     """POST /plates for a batch: validate (S12), keep the first record of each plate of the
     batch and reject the later ones and known plates (S13), number new spec combinations after the existing ones (J2, J4, W6).
     Returns {'plates', 'specs', 'quarantine'}."""
-    v = records.withColumn("__v", plate_violations())
-    ok = v.filter(F.size("__v") == 0).drop("__v")
-    order = ([F.col(created_at)] if created_at in ok.columns else []) + [F.monotonically_increasing_id()]
-    ok = ok.withColumn("__n", F.row_number().over(Window.partitionBy("plate_no").orderBy(*order)))
-    quarantine = v.filter(F.size("__v") > 0).select("plate_no", F.array_join("__v", ";").alias("reason")).unionByName(
-        ok.filter("__n > 1").select("plate_no", F.lit("duplicate_in_batch").alias("reason")))
-    ok = ok.filter("__n = 1").drop("__n")
+    v = records.withColumn("__v", F.array_join(plate_violations(), ";"))
+    order = created_at if created_at in records.columns else None
+    v = NZ.mark_first(v, "plate_no", order, F.col("__v") == "", "__first")
+    quarantine = v.filter(~F.col("__first")).select("plate_no", F.when(F.col("__v") != "", F.col("__v")).otherwise(
+        "duplicate_in_batch").alias("reason"))
+    ok = v.filter("__first").drop("__v", "__first")
     if existing_plates is not None:
         quarantine = quarantine.unionByName(ok.join(existing_plates.select("plate_no"), "plate_no", "left_semi")
                                             .select("plate_no", F.lit("plate_exists").alias("reason")))
@@ -58,47 +57,72 @@ def ingest_plates(records: DataFrame, specs: DataFrame | None = None, existing_p
     return {"plates": NZ.plates(with_ts, all_specs), "specs": all_specs, "quarantine": quarantine}
 
 
+def _accept(records: DataFrame, reason: Column, drop: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, quarantined with ``reason``)."""
+    checked = records.withColumn("reason", reason).drop(*drop)
+    return checked.filter(F.col("reason").isNull()).drop("reason"), checked.filter(F.col("reason").isNotNull())
+
+
+def _with_plate(records: DataFrame, plates: DataFrame) -> DataFrame:
+    return records.join(plates.select("plate_no", F.lit(True).alias("__plate")).distinct(), "plate_no", "left")
+
+
 def ingest_furnace(records: DataFrame, plates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """POST /furnace-records: (accepted, quarantined) by plate existence."""
-    return NZ.with_parent(records, plates, ["plate_no"]), NZ.missing_parent(records, plates, ["plate_no"])
+    """POST /furnace-records: (accepted, quarantined with a reason).  Every reading and the
+    instant must be there (S12) and the plate must exist (J8)."""
+    needed = [*LT.FURNACE_COLS, "recorded_at"]
+    reason = (F.when(F.greatest(*[F.col(c).isNull() for c in needed]), "field_missing")
+              .when(F.col("__plate").isNull(), "plate_missing"))
+    return _accept(_with_plate(records, plates), reason, ["__plate"])
 
 
 def ingest_inspections(records: DataFrame, plates: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """POST /quality-inspections: plate and inspector must exist (J8, J11); accepted rows
+    """POST /quality-inspections: (accepted, quarantined with a reason).  The defect type
+    must be a known one (S12); plate and inspector must exist (J8, J11); accepted rows
     carry the inspector id; the next training run uses the latest label (E2)."""
-    known = users.select(F.col("email").alias("inspector_email"), F.col("user_id").alias("inspector_id"))
-    ok = NZ.with_parent(records, plates, ["plate_no"]).join(known, "inspector_email", "inner")
-    bad = records.join(ok.select("plate_no", "inspector_email", "inspected_at"),
-                       ["plate_no", "inspector_email", "inspected_at"], "left_anti")
-    return ok, bad
+    known = users.select(F.col("email").alias("inspector_email"), F.col("user_id").alias("inspector_id")).dropDuplicates(
+        ["inspector_email"])
+    reason = (F.when(~F.coalesce(F.col("defect_type").isin(V.DEFECT_TYPES), F.lit(False)), "defect_type_domain")
+              .when(F.col("__plate").isNull(), "plate_missing")
+              .when(F.col("inspector_id").isNull(), "inspector_missing"))
+    ok, bad = _accept(_with_plate(records, plates).join(known, "inspector_email", "left"), reason, ["__plate"])
+    return ok, bad.drop("inspector_id")
 
 
 def normalize(flat: DataFrame, existing_plates: DataFrame | None = None, existing_specs: DataFrame | None = None) -> dict:
     """CLI migrate: flat log -> spec, plate, furnace, rolling, inspection tables (P11) for
-    plates not loaded yet (J3), with the load report (P20)."""
-    rows = NZ.new_rows(flat, existing_plates) if existing_plates is not None else flat
+    plates not loaded yet (J3).  Rows that violate a domain or repeat a plate go to
+    'quarantine' with a reason; 'report' counts what becomes of every row (P20)."""
+    outcomes = NZ.load_outcomes(flat, existing_plates)
+    rows = NZ.written(outcomes)
     specs = NZ.assign_spec_codes(rows, existing=existing_specs)
-    report = NZ.load_report(flat, existing_plates if existing_plates is not None
-                            else flat.sparkSession.createDataFrame([], "plate_no string"))
     return {"product_spec": specs, "plate": NZ.plates(rows, specs), "furnace_process": NZ.furnace_records(rows),
-            "rolling_process": NZ.rolling_records(rows), "quality_inspection": NZ.inspections(rows), "report": report}
+            "rolling_process": NZ.rolling_records(rows), "quality_inspection": NZ.inspections(rows),
+            "quarantine": outcomes.filter(F.col("load_status") == "quarantined").drop("load_status"),
+            "report": NZ.load_report(outcomes)}
+
+
+def fit_imputer(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(medians, fallback) of a training log, to be passed to every later scoring."""
+    return CL.fit_temp_imputer(_serving_tokens(flat))
 
 
-def _flat_to_serving(flat: DataFrame, medians: DataFrame | None, fallback: DataFrame | None) -> DataFrame:
+def _serving_tokens(flat: DataFrame) -> DataFrame:
     base = flat.select(
         "*", TK.hsb_applied("hsb").alias("__hsb"), TK.method_lenient("rolling_method").alias("__method"),
         TK.leading_int("fur_no").alias("__fur_no"), TK.leading_int("fur_input_row").alias("__row"))
-    base = base.drop("rolling_method", "fur_no", "fur_input_row").withColumnsRenamed(
+    return base.drop("rolling_method", "fur_no", "fur_input_row").withColumnsRenamed(
         {"__hsb": "hsb_applied", "__method": "rolling_method", "__fur_no": "fur_no", "__row": "fur_input_row"})
-    return CL.impute_group_median(base, global_after_group=False, medians=medians, fallback=fallback)
 
 
-def score_table(flat: DataFrame, coefs: dict = SC.RULEBOOK_COEFS, intercept: float = SC.RULEBOOK_INTERCEPT,
-                threshold: float = 0.5, medians: DataFrame | None = None, fallback: DataFrame | None = None) -> DataFrame:
+def score_table(flat: DataFrame, medians: DataFrame, fallback: DataFrame, coefs: dict = SC.RULEBOOK_COEFS,
+                intercept: float = SC.RULEBOOK_INTERCEPT, threshold: float = 0.5) -> DataFrame:
     """POST /batch-predict: impute -> features -> probability -> label -> rules on the imputed
-    reading -> actual and correct when a 'scale' column is present (M16).  For a fitted Spark
-    ML model use :func:`platewise.plans.training.score_with_model`."""
-    imputed = _flat_to_serving(flat, medians, fallback)
+    reading -> actual and correct when a 'scale' column is present (M16).  ``medians`` and
+    ``fallback`` come from the training log (:func:`fit_imputer`), so a plate's score
+    doesn't depend on the other rows of its file.  For a fitted Spark ML model use
+    :func:`platewise.plans.training.score_with_model`."""
+    imputed = CL.impute_group_median(_serving_tokens(flat), global_after_group=False, medians=medians, fallback=fallback)
     keep = ["plate_no"] + (["scale"] if "scale" in flat.columns else [])
     feats = FE.serving_features(imputed, keep=keep)
     scored = SC.score_linear(feats, coefs, intercept, threshold)
@@ -114,10 +138,10 @@ def score_summary(scored: DataFrame, model_label: Column | str) -> DataFrame:
     return SC.file_summary(scored, model_label, "actual_label" in scored.columns)
 
 
-def score_scenarios(scenarios: DataFrame, **kw) -> DataFrame:
+def score_scenarios(scenarios: DataFrame, medians: DataFrame, fallback: DataFrame, **kw) -> DataFrame:
     """POST /predict-adhoc for a whole table of scenarios (M18): nothing is written, a NULL
-    reading is imputed, rules see the imputed reading."""
-    return score_table(scenarios, **kw)
+    reading is imputed by the fitted medians, rules see the imputed reading."""
+    return score_table(scenarios, medians, fallback, **kw)
 
 
 def alerts_view(state: DataFrame, status: str = "open", plate_no: str | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from platewise.functions import tokens as TK
 from platewise.operators.lookup import settled
 from platewise.operators.rank import global_rank
+from platewise.session import ensure_checkpoint_dir
 
 SPEC_KEY = ["spec_long", "spec_country", "steel_kind"]
 
@@ -133,13 +134,49 @@ def new_rows(flat: DataFrame, existing_plates: DataFrame) -> DataFrame:
     return flat.join(existing_plates.select("plate_no"), "plate_no", "left_anti")
 
 
-def load_report(flat: DataFrame, existing_plates: DataFrame) -> DataFrame:
-    """P20: rows read, skipped (already loaded) and written per table, in one pass."""
-    seen = existing_plates.select("plate_no").distinct().withColumn("__seen", F.lit(True))
-    tagged = flat.join(seen, "plate_no", "left")
-    counts = tagged.agg(F.count(F.lit(1)).alias("rows_read"),
-                        F.count_if(F.col("__seen").isNotNull()).alias("rows_skipped"))
-    written = F.col("rows_read") - F.col("rows_skipped")
-    return counts.select("rows_read", "rows_skipped",
-                         written.alias("plates_written"), written.alias("furnace_written"),
-                         written.alias("rolling_written"), written.alias("inspections_written"))
+def mark_first(df: DataFrame, key: str, order: str | None, candidate: Column, out: str) -> DataFrame:
+    """S13 in a batch: ``out`` is true for the first row of each key under ``order``, then
+    in the order of the input, among the rows that ``candidate`` names.  The rows are
+    numbered once in a checkpoint; the first of each key is a minimum (combined map-side)
+    joined back on that number, so a key with a third of the rows stays spread."""
+    ensure_checkpoint_dir(df.sparkSession)
+    numbered = df.withColumn("__row", F.monotonically_increasing_id()).checkpoint(eager=True)
+    pos = F.struct(*([F.col(order).alias("o")] if order else []), F.col("__row").alias("row"))
+    first = numbered.filter(candidate).groupBy(key).agg(F.min(pos).alias("__f")).select(
+        F.col("__f.row").alias("__row"), F.lit(True).alias("__is_first"))
+    return (numbered.join(first, "__row", "left").withColumn(out, F.coalesce("__is_first", F.lit(False)))
+            .drop("__row", "__is_first"))
+
+
+def load_outcomes(flat: DataFrame, existing_plates: DataFrame | None = None) -> DataFrame:
+    """Every row of the flat log with ``load_status`` and ``load_reason``:
+    'skipped' when its plate is already loaded, 'quarantined' when it violates a domain
+    or repeats a plate of the batch (the first by rolling date stays), else 'written'."""
+    tagged = flat.withColumn("__bad", F.array_join(domain_violations(flat), ";"))
+    if existing_plates is None:
+        tagged = tagged.withColumn("__seen", F.lit(False))
+    else:
+        seen = existing_plates.select("plate_no").distinct().withColumn("__seen", F.lit(True))
+        tagged = tagged.join(seen, "plate_no", "left").withColumn("__seen", F.coalesce("__seen", F.lit(False)))
+    good = ~F.col("__seen") & (F.col("__bad") == "")
+    tagged = mark_first(tagged, "plate_no", "rolling_date", good, "__first")
+    status = F.when(F.col("__seen"), "skipped").when(F.col("__first"), "written").otherwise("quarantined")
+    reason = (F.when(F.col("__seen"), "plate_exists").when(F.col("__bad") != "", F.col("__bad"))
+              .when(~F.col("__first"), "duplicate_in_batch"))
+    return tagged.withColumns({"load_status": status, "load_reason": reason}).select(
+        *flat.columns, "load_status", "load_reason")
+
+
+def written(outcomes: DataFrame) -> DataFrame:
+    """The rows of :func:`load_outcomes` that go into the tables."""
+    return outcomes.filter(F.col("load_status") == "written").drop("load_status", "load_reason")
+
+
+def load_report(outcomes: DataFrame) -> DataFrame:
+    """P20: rows read, skipped, quarantined and written per table, in one pass over
+    :func:`load_outcomes` (each written row gives one record per table)."""
+    def n(status: str, name: str) -> Column:
+        return F.count_if(F.col("load_status") == status).alias(name)
+    return outcomes.agg(F.count(F.lit(1)).alias("rows_read"), n("skipped", "rows_skipped"),
+                        n("quarantined", "rows_quarantined"),
+                        *[n("written", f"{t}_written") for t in ("plates", "furnace", "rolling", "inspections")])

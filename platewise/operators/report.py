@@ -29,7 +29,7 @@ def dashboard_summary(plates: DataFrame, predictions: DataFrame, alert_state: Da
     today = predictions.filter(same_day(F.col("predicted_at"), d))
     rate = today.agg(F.when(F.count(F.lit(1)) > 0, F.count_if("predicted_label") / F.count(F.lit(1))).alias("v")).scalar()
     n_open = alert_state.filter(F.col("resolved_at").isNull()).agg(F.count(F.lit(1)).alias("v")).scalar()
-    label = active.agg(F.max("model_label").alias("v")).scalar()
+    label = active.filter(F.col("name") == V.MODEL_NAME).agg(F.max("model_label").alias("v")).scalar()
     return plates.sparkSession.range(1).select(
         F.date_format(d, "yyyy-MM-dd").alias("as_of_date"), n_plates.alias("today_plate_count"), rate.alias("today_predicted_defect_rate"),
         n_open.alias("open_alert_count"), label.alias("active_model"))

@@ -95,7 +95,7 @@ def coil_flat(spark, sf_dir):
 
 @query("null_profile")
 def null_profile(spark, sf_dir):
-    return CL.null_counts(CL.sentinel_to_null(driver.coil(spark, sf_dir)))
+    return CL.null_counts(CL.sentinel_to_null(driver.raw_coil(spark, sf_dir)))
 
 
 @query("impute_rolling_temp")
@@ -109,7 +109,7 @@ def impute_rolling_temp(spark, sf_dir):
 
 @query("median_fill")
 def median_fill(spark, sf_dir):
-    c = CL.sentinel_to_null(driver.coil(spark, sf_dir))
+    c = CL.sentinel_to_null(driver.raw_coil(spark, sf_dir))
     cols = V.MEDIAN_FILL_COLUMNS
     wide = c.agg(*[F.struct(F.median(x).alias("fill_value"), F.count_if(F.col(x).isNull()).alias("n_filled")).alias(x)
                    for x in cols])
@@ -118,7 +118,7 @@ def median_fill(spark, sf_dir):
 
 @query("mode_fill")
 def mode_fill(spark, sf_dir):
-    c = driver.coil(spark, sf_dir)
+    c = driver.raw_coil(spark, sf_dir)
     cols = V.MODE_FILL_COLUMNS
     wide = c.agg(*[F.struct(F.mode(x, deterministic=True).alias("fill_value"),
                             F.count_if(F.col(x).isNull()).alias("n_filled")).alias(x) for x in cols])
@@ -127,7 +127,7 @@ def mode_fill(spark, sf_dir):
 
 @query("iqr_outliers")
 def iqr_outliers(spark, sf_dir):
-    return round_cols(CL.outlier_counts(CL.clean(driver.coil(spark, sf_dir))), ["q1", "q3", "lower", "upper"])
+    return round_cols(CL.outlier_counts(CL.clean(driver.raw_coil(spark, sf_dir))), ["q1", "q3", "lower", "upper"])
 
 
 @query("cleaned_table")
@@ -135,6 +135,12 @@ def cleaned_table(spark, sf_dir):
     return CL.clean(driver.coil(spark, sf_dir))
 
 
+@query("cleaned_raw")
+def cleaned_raw(spark, sf_dir):
+    """M22 on the log with faults: every fill value is used."""
+    return CL.clean(driver.raw_coil(spark, sf_dir))
+
+
 # ----------------------------------------------------------------------------- step 2: features
 
 @query("features_serving")
@@ -273,6 +279,16 @@ def loaded_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NZ.with_parent(c, driver.furnace_history(spark, sf_dir), ["plate_no"])
 
 
+def earlier_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plates with furnace records before 1995."""
+    return driver.furnace_history(spark, sf_dir).filter(
+        F.col("recorded_at") < F.lit("1995-01-01").cast("timestamp_ntz")).select("plate_no")
+
+
+def raw_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NZ.load_outcomes(driver.raw_coil(spark, sf_dir), earlier_plates(spark, sf_dir))
+
+
 def spec_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spec codes after an incremental load: first the earlier plates, then all."""
     first = NZ.assign_spec_codes(loaded_before(spark, sf_dir))
@@ -311,7 +327,38 @@ def inspections_q(spark, sf_dir):
 
 @query("incremental_load")
 def incremental_load(spark, sf_dir):
-    return NZ.load_report(driver.coil(spark, sf_dir), loaded_before(spark, sf_dir))
+    return NZ.load_report(raw_outcomes(spark, sf_dir))
+
+
+@query("load_outcomes")
+def load_outcomes_q(spark, sf_dir):
+    """What becomes of every row of the log with faults."""
+    return raw_outcomes(spark, sf_dir).select(
+        "plate_no", "rolling_date", "load_status", F.coalesce("load_reason", F.lit("")).alias("load_reason"))
+
+
+@query("loaded_rolling")
+def loaded_rolling(spark, sf_dir):
+    """P11 on the rows that validation lets through."""
+    return _nullable_temp_as_double(NZ.rolling_records(NZ.written(raw_outcomes(spark, sf_dir))))
+
+
+@query("spec_codes_after_load")
+def spec_codes_after_load(spark, sf_dir):
+    """Combinations that come up later are numbered after the earlier ones."""
+    raw = driver.raw_coil(spark, sf_dir)
+    first = NZ.assign_spec_codes(raw.filter(F.col("rolling_date") < F.lit("1996-01-01").cast("timestamp_ntz")))
+    return NZ.assign_spec_codes(raw, existing=first)
+
+
+@query("ingested_plates")
+def ingested_plates(spark, sf_dir):
+    """The log with faults posted as plate records; outcome of each."""
+    from platewise import api
+
+    out = api.ingest_plates(driver.raw_coil(spark, sf_dir), None, earlier_plates(spark, sf_dir), "rolling_date")
+    return out["plates"].select("plate_no", F.lit("accepted").alias("outcome")).unionByName(
+        out["quarantine"].withColumnRenamed("reason", "outcome"))
 
 
 @query("fk_violations")
@@ -323,7 +370,7 @@ def fk_violations(spark, sf_dir):
 
 @query("domain_violations")
 def domain_violations(spark, sf_dir):
-    return NZ.violation_summary(driver.coil(spark, sf_dir))
+    return NZ.violation_summary(driver.raw_coil(spark, sf_dir))
 
 
 @query("duplicate_keys")
@@ -579,6 +626,18 @@ def what_if_grid(spark, sf_dir):
     return r.select("plate_no", "scenario_temp", "predicted_prob", "predicted_label", RU.rule_codes().alias("fired_rules"))
 
 
+@query("what_if_missing")
+def what_if_missing(spark, sf_dir):
+    """M18 with a NULL reading: every plate asked about without one, answered by the
+    medians fitted on the log."""
+    from platewise import api
+
+    c = driver.coil(spark, sf_dir)
+    asked = c.drop("scale").withColumn("rolling_temp", F.lit(None).cast("int"))
+    r = api.score_scenarios(asked, *api.fit_imputer(c))
+    return r.select("plate_no", "rolling_temp", "predicted_prob", "predicted_label", RU.rule_codes().alias("fired_rules"))
+
+
 @query("linear_attribution")
 def linear_attribution(spark, sf_dir):
     return round_cols(Build(spark, sf_dir).attributions, ["contribution"])

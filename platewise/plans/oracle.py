@@ -13,8 +13,8 @@ from platewise.plans.oracle_views import with_views
 ORACLES: dict[str, str] = {}
 
 
-def oracle(name: str, body: str, furnace: bool = False, inspection: bool = False) -> None:
-    ORACLES[name] = with_views(body, furnace=furnace, inspection=inspection)
+def oracle(name: str, body: str, furnace: bool = False, inspection: bool = False, raw: bool = False) -> None:
+    ORACLES[name] = with_views(body, furnace=furnace, inspection=inspection, raw=raw)
 
 
 def _q(s: str) -> str:
@@ -182,7 +182,7 @@ _ALL_COLS = ["plate_no", "spec_long", "spec_country", "steel_kind", "pt_thick",
 oracle("null_profile", "WITH n AS (SELECT * REPLACE (CASE WHEN rolling_temp > 0 THEN rolling_temp END AS rolling_temp) FROM coil)\n"
        + "\nUNION ALL\n".join(
            f"SELECT {_q(c)} AS \"column\", CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count FROM n"
-           for c in _ALL_COLS))
+           for c in _ALL_COLS), raw=True)
 
 oracle("impute_rolling_temp", """
 WITH c AS (
@@ -200,12 +200,12 @@ FROM f""")
 oracle("median_fill", "WITH n AS (SELECT * REPLACE (CASE WHEN rolling_temp > 0 THEN rolling_temp END AS rolling_temp) FROM coil)\n"
        + "\nUNION ALL\n".join(
            f"SELECT {_q(c)} AS \"column\", CAST(median({c}) AS DOUBLE) AS fill_value, "
-           f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_filled FROM n" for c in V.MEDIAN_FILL_COLUMNS))
+           f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_filled FROM n" for c in V.MEDIAN_FILL_COLUMNS), raw=True)
 
 oracle("mode_fill", "\nUNION ALL\n".join(
     f"SELECT {_q(c)} AS \"column\", (SELECT {c} FROM coil WHERE {c} IS NOT NULL GROUP BY {c} "
     f"ORDER BY count(*) DESC, {c} LIMIT 1) AS fill_value, "
-    f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_filled FROM coil" for c in V.MODE_FILL_COLUMNS))
+    f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_filled FROM coil" for c in V.MODE_FILL_COLUMNS), raw=True)
 
 oracle("iqr_outliers", "WITH " + ANALYSIS.strip() + ",\nq AS (\n" + "\nUNION ALL\n".join(
     f"SELECT {_q(c)} AS \"column\", quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM cleaned"
@@ -213,10 +213,12 @@ oracle("iqr_outliers", "WITH " + ANALYSIS.strip() + ",\nq AS (\n" + "\nUNION ALL
     + "SELECT b.\"column\", round(b.q1, 9) AS q1, round(b.q3, 9) AS q3, round(b.lower, 9) AS lower, "
     + "round(b.upper, 9) AS upper, CAST(CASE b.\"column\" " + " ".join(
         f"WHEN {_q(c)} THEN (SELECT count(*) FROM cleaned WHERE {c} < b.lower OR {c} > b.upper)" for c in V.OUTLIER_COLUMNS)
-    + " END AS BIGINT) AS n_outliers FROM b")
+    + " END AS BIGINT) AS n_outliers FROM b", raw=True)
 
 oracle("cleaned_table", "WITH " + ANALYSIS.strip() + "\nSELECT * FROM cleaned")
 
+oracle("cleaned_raw", "WITH " + ANALYSIS.strip() + "\nSELECT * FROM cleaned", raw=True)
+
 # ----------------------------------------------------------------------------- step 2: features
 
 oracle("features_serving", "WITH " + SERVING_INPUT.strip() + SERVING_FEATURES_SELECT)
@@ -342,12 +344,6 @@ oracle("inspections", """
 SELECT plate_no, CASE WHEN scale = '불량' THEN 'Scale' ELSE '없음' END AS defect_type,
        'system-migration@plant.local' AS inspector_email, rolling_date AS inspected_at FROM coil""")
 
-oracle("incremental_load", """
-WITH seen AS (SELECT DISTINCT plate_no FROM coil WHERE plate_no IN (SELECT plate_no FROM furnace)),
-r AS (SELECT count(*) AS rows_read, count(*) FILTER (WHERE plate_no IN (SELECT plate_no FROM seen)) AS rows_skipped FROM coil)
-SELECT rows_read, rows_skipped, rows_read - rows_skipped AS plates_written, rows_read - rows_skipped AS furnace_written,
-       rows_read - rows_skipped AS rolling_written, rows_read - rows_skipped AS inspections_written FROM r""", furnace=True)
-
 oracle("fk_violations", """
 SELECT plate_no, rolling_date, 'furnace_record_missing' AS violation FROM coil c
 WHERE NOT EXISTS (SELECT 1 FROM furnace f WHERE f.plate_no = c.plate_no)""", furnace=True)
@@ -364,8 +360,62 @@ _VIOL = {
     "fur_input_row_unparsable": "TRY_CAST(NULLIF(regexp_extract(fur_input_row, '^(\\d+)', 1), '') AS INTEGER) IS NULL",
     "rolling_date_missing": "rolling_date IS NULL",
 }
+# Every row of the log with faults gets an outcome: already loaded, quarantined, written.
+LOAD = """
+viol AS (
+  SELECT *, concat_ws(';', """ + ", ".join(f"CASE WHEN {v} THEN {_q(k)} END" for k, v in _VIOL.items()) + """) AS bad,
+         COALESCE(plate_no IN (SELECT plate_no FROM furnace WHERE recorded_at < TIMESTAMP '1995-01-01'), false) AS seen
+  FROM coil),
+nth AS (SELECT *, row_number() OVER (PARTITION BY plate_no, seen, bad ORDER BY rolling_date) AS rn FROM viol),
+outcome AS (
+  SELECT * EXCLUDE (bad, seen, rn),
+         CASE WHEN seen THEN 'skipped' WHEN bad <> '' OR rn > 1 THEN 'quarantined' ELSE 'written' END AS load_status,
+         CASE WHEN seen THEN 'plate_exists' WHEN bad <> '' THEN bad WHEN rn > 1 THEN 'duplicate_in_batch' END AS load_reason
+  FROM nth)"""
+
+oracle("load_outcomes", "WITH " + LOAD.strip() + """
+SELECT plate_no, rolling_date, COALESCE(load_status, '') AS load_status, COALESCE(load_reason, '') AS load_reason FROM outcome""",
+       furnace=True, raw=True)
+
+oracle("incremental_load", "WITH " + LOAD.strip() + """,
+r AS (SELECT count(*) AS rows_read, count(*) FILTER (WHERE load_status = 'skipped') AS rows_skipped,
+             count(*) FILTER (WHERE load_status = 'quarantined') AS rows_quarantined,
+             count(*) FILTER (WHERE load_status = 'written') AS n FROM outcome)
+SELECT rows_read, rows_skipped, rows_quarantined, n AS plates_written, n AS furnace_written, n AS rolling_written,
+       n AS inspections_written FROM r""", furnace=True, raw=True)
+
+oracle("loaded_rolling", "WITH " + LOAD.strip() + """
+SELECT plate_no, COALESCE(hsb = '적용', false) AS hsb_applied,
+       CASE WHEN starts_with(rolling_method, 'TMCP') THEN 'TMCP' ELSE 'CR' END AS rolling_method,
+       CAST(CASE WHEN rolling_temp > 0 THEN rolling_temp END AS DOUBLE) AS rolling_temp, descaling_count, work_group, rolling_date
+FROM outcome WHERE load_status = 'written'""", furnace=True, raw=True)
+
+# Codes of an earlier load (plates rolled before 1996) go first; combinations that come up
+# later are numbered after them.
+oracle("spec_codes_after_load", """
+WITH l1 AS (SELECT DISTINCT spec_long, spec_country, steel_kind FROM coil WHERE rolling_date < TIMESTAMP '1996-01-01'),
+s1 AS (SELECT row_number() OVER (ORDER BY spec_long, spec_country, steel_kind) AS n, * FROM l1),
+l2 AS (SELECT DISTINCT spec_long, spec_country, steel_kind FROM coil EXCEPT SELECT * FROM l1),
+s2 AS (SELECT (SELECT count(*) FROM l1) + row_number() OVER (ORDER BY spec_long, spec_country, steel_kind) AS n, * FROM l2)
+SELECT printf('SPEC%03d', n) AS spec_code, spec_long, spec_country, steel_kind
+FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2)""", raw=True)
+
+oracle("ingested_plates", """
+WITH v AS (
+  SELECT *, concat_ws(';', CASE WHEN plate_no IS NULL THEN 'plate_no_missing' END,
+                      CASE WHEN NOT COALESCE(steel_kind IN ('C', 'T'), false) THEN 'steel_kind_domain' END,
+                      CASE WHEN NOT COALESCE(pt_thick > 0, false) THEN 'pt_thick_not_positive' END,
+                      CASE WHEN NOT COALESCE(pt_width > 0, false) THEN 'pt_width_not_positive' END,
+                      CASE WHEN NOT COALESCE(pt_length > 0, false) THEN 'pt_length_not_positive' END) AS bad,
+         COALESCE(plate_no IN (SELECT plate_no FROM furnace WHERE recorded_at < TIMESTAMP '1995-01-01'), false) AS seen
+  FROM coil),
+nth AS (SELECT *, row_number() OVER (PARTITION BY plate_no, bad ORDER BY rolling_date) AS rn FROM v)
+SELECT plate_no, CASE WHEN bad <> '' THEN bad WHEN rn > 1 THEN 'duplicate_in_batch' WHEN seen THEN 'plate_exists'
+                      ELSE 'accepted' END AS outcome
+FROM nth""", furnace=True, raw=True)
+
 oracle("domain_violations", "\nUNION ALL\n".join(
-    f"SELECT {_q(k)} AS violation, count(*) FILTER (WHERE {v}) AS n_rows FROM coil" for k, v in _VIOL.items()))
+    f"SELECT {_q(k)} AS violation, count(*) FILTER (WHERE {v}) AS n_rows FROM coil" for k, v in _VIOL.items()), raw=True)
 
 oracle("duplicate_keys", """
 SELECT plate_no, recorded_at, count(*) AS n FROM furnace GROUP BY plate_no, recorded_at HAVING count(*) > 1""",
@@ -613,6 +663,17 @@ gs AS (SELECT *, CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_Z}))) AS p
 SELECT plate_no, CAST(scenario_temp AS INTEGER) AS scenario_temp, round(prob, 4) AS predicted_prob,
        prob >= 0.5 AS predicted_label, """ + RULE_CODES_OF + " AS fired_rules FROM gs")
 
+oracle("what_if_missing", "WITH " + SERVING_INPUT.strip() + """,
+grid AS (
+  SELECT s.* REPLACE (CAST(COALESCE(g.gm, (SELECT m FROM tm_global)) AS DOUBLE) AS rolling_temp), 0 AS scenario_temp
+  FROM serving_input s LEFT JOIN tm_group g ON s.steel_kind = g.steel_kind AND s.rolling_method = g.rolling_method
+),
+gf AS (""" + _GRID_FEATS + f"""
+),
+gs AS (SELECT *, CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_Z}))) AS prob FROM gf)
+SELECT plate_no, rolling_temp, round(prob, 4) AS predicted_prob, prob >= 0.5 AS predicted_label, """
+       + RULE_CODES_OF + " AS fired_rules FROM gs")
+
 _ATTR_NAMES = list(RULEBOOK_COEFS)
 ATTRIBUTION = SCORED + ",\n" + TIME_SPLIT.strip() + """,
 bgk AS (SELECT plate_no FROM (SELECT plate_no, md5('42' || plate_no) AS h FROM tr ORDER BY h, plate_no LIMIT 100)),

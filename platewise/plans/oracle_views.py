@@ -55,9 +55,33 @@ FROM coil WHERE CAST(substr(plate_no, 5) AS BIGINT) % 13 = 0
 """
 
 
-def with_views(body: str, furnace: bool = False, inspection: bool = False) -> str:
-    """Prefix ``body`` with the view CTEs it needs (coil always)."""
-    ctes = [f"coil AS ({COIL_SQL})"]
+# The flat log with faults, over the sound one (``sound``).
+RAW_SQL = """
+SELECT CASE WHEN k % 211 = 0 THEN NULL ELSE plate_no END AS plate_no,
+       CASE WHEN k % 89 = 0 AND rolling_date >= TIMESTAMP '1996-01-01' THEN 'NEW-STEEL' ELSE spec_long END AS spec_long,
+       spec_country, CASE WHEN k % 43 = 0 THEN 'Z' ELSE steel_kind END AS steel_kind,
+       CASE WHEN k % 47 = 0 THEN 0 WHEN k % 107 = 0 THEN 900 ELSE pt_thick END AS pt_thick,
+       CASE WHEN k % 53 = 0 THEN NULL ELSE pt_width END AS pt_width,
+       CASE WHEN k % 59 = 0 THEN -1 ELSE pt_length END AS pt_length,
+       CASE WHEN k % 73 = 0 THEN NULL ELSE hsb END AS hsb,
+       CASE WHEN k % 41 = 0 THEN 'unit' ELSE fur_no END AS fur_no,
+       CASE WHEN k % 67 = 0 THEN NULL ELSE fur_input_row END AS fur_input_row,
+       CASE WHEN k % 97 = 0 THEN 2000 ELSE fur_heat_temp END AS fur_heat_temp, fur_heat_time,
+       CASE WHEN k % 103 = 0 THEN 300 ELSE fur_soak_temp END AS fur_soak_temp, fur_soak_time, fur_total_time,
+       CASE WHEN k % 113 = 0 THEN NULL WHEN k % 37 = 0 THEN 'AC' ELSE rolling_method END AS rolling_method,
+       CASE WHEN k % 109 = 0 THEN 1900 WHEN k % 101 = 0 THEN NULL ELSE rolling_temp END AS rolling_temp,
+       CASE WHEN k % 61 = 0 THEN -1 ELSE descaling_count END AS descaling_count,
+       CASE WHEN k % 79 = 0 THEN NULL ELSE work_group END AS work_group,
+       CASE WHEN k % 71 = 0 THEN NULL ELSE rolling_date + INTERVAL '1' DAY * copy END AS rolling_date, scale
+FROM (SELECT *, CAST(substr(plate_no, 5) AS BIGINT) AS k FROM sound) s, (SELECT 0 AS copy UNION ALL SELECT 1) c
+WHERE copy = 0 OR k % 29 = 0
+"""
+
+
+def with_views(body: str, furnace: bool = False, inspection: bool = False, raw: bool = False) -> str:
+    """Prefix ``body`` with the view CTEs it needs (coil always; with ``raw`` coil is the
+    log with faults)."""
+    ctes = [f"sound AS ({COIL_SQL})", f"coil AS ({RAW_SQL})"] if raw else [f"coil AS ({COIL_SQL})"]
     if furnace:
         ctes.append(f"furnace AS ({FURNACE_SQL})")
     if inspection:

@@ -85,6 +85,33 @@ def coil_from(orders: DataFrame, customer: DataFrame) -> DataFrame:
     ).drop("k")
 
 
+def raw_coil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat log as a plant would send it: NULLs, unparsable tokens, values outside
+    their domain, outliers, spec combinations that come up later, and every 29th plate
+    sent a second time a day later."""
+    k = F.substring("plate_no", 5, 1 << 30).cast("bigint")
+
+    def faulty(c: str, *faults: tuple[int, object]) -> Column:
+        out = F.col(c)
+        for every, value in faults:
+            out = F.when(F.col("k") % every == 0, F.lit(value)).otherwise(out)
+        return out.alias(c)
+
+    copies = F.when(F.col("k") % 29 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    c = coil(spark, sf_dir).withColumn("k", k).withColumn("copy", F.explode(copies))
+    new_spec = (F.col("k") % 89 == 0) & (F.col("rolling_date") >= F.lit("1996-01-01").cast("timestamp_ntz"))
+    return c.select(
+        faulty("plate_no", (211, None)), F.when(new_spec, "NEW-STEEL").otherwise(F.col("spec_long")).alias("spec_long"),
+        "spec_country", faulty("steel_kind", (43, "Z")), faulty("pt_thick", (107, 900), (47, 0)),
+        faulty("pt_width", (53, None)), faulty("pt_length", (59, -1)), faulty("hsb", (73, None)),
+        faulty("fur_no", (41, "unit")), faulty("fur_input_row", (67, None)), faulty("fur_heat_temp", (97, 2000)),
+        "fur_heat_time", faulty("fur_soak_temp", (103, 300)), "fur_soak_time", "fur_total_time",
+        faulty("rolling_method", (37, "AC"), (113, None)), faulty("rolling_temp", (101, None), (109, 1900)),
+        faulty("descaling_count", (61, -1)), faulty("work_group", (79, None)),
+        F.when(F.col("k") % 71 == 0, F.lit(None)).otherwise(
+            F.timestamp_add("DAY", F.col("copy"), F.col("rolling_date"))).alias("rolling_date"), "scale")
+
+
 def furnace_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Furnace records: one per line item, many per plate (latest wins downstream)."""
     li = table(spark, sf_dir, "lineitem")

@@ -30,7 +30,7 @@ def smoke_flat(spark):
 
 
 def test_score_table_smoke_cases(spark):
-    scored = api.score_table(smoke_flat(spark))
+    scored = api.score_table(smoke_flat(spark), *api.fit_imputer(smoke_flat(spark)))
     got = {r["plate_no"]: r for r in scored.select(
         "plate_no", F.transform("fired_rules", lambda x: x["rule_code"]).alias("codes"), "predicted_prob",
         "actual_label", "correct").collect()}
@@ -46,8 +46,12 @@ def test_score_table_smoke_cases(spark):
 def test_score_scenarios_null_reading_is_imputed(spark):
     flat = smoke_flat(spark).withColumn("rolling_temp", F.when(F.col("plate_no") == "TEST_CLEAN", None)
                                         .otherwise(F.col("rolling_temp")))
-    out = {r["plate_no"]: r for r in api.score_scenarios(flat).collect()}
-    assert out["TEST_CLEAN"]["rolling_temp"] is not None
+    fitted = api.fit_imputer(smoke_flat(spark))     # readings 920, 1050, 980, 900
+    alone = flat.filter(F.col("plate_no") == "TEST_CLEAN")
+    in_file = {r["plate_no"]: r for r in api.score_scenarios(flat, *fitted).collect()}["TEST_CLEAN"]
+    row = api.score_scenarios(alone, *fitted).collect()[0]
+    assert row["rolling_temp"] == 950.0 and row["predicted_label"] is not None
+    assert row["predicted_prob"] == in_file["predicted_prob"]
 
 
 def test_ingest_plates_quarantine_and_codes(spark):
@@ -108,3 +112,33 @@ def test_normalize_incremental(spark):
     assert {r["fur_no"] for r in out["furnace_process"].collect()} == {1}
     rep = out["report"].collect()[0]
     assert (rep["rows_read"], rep["rows_skipped"], rep["plates_written"]) == (4, 1, 3)
+
+
+def test_normalize_quarantines_bad_and_repeated_rows(spark):
+    flat = smoke_flat(spark)
+    bad = flat.filter("plate_no = 'TEST_HOT'").withColumn("plate_no", F.lit("BAD")).withColumn("rolling_method", F.lit("XYZ"))
+    later = flat.filter("plate_no = 'TEST_CLEAN'").withColumn("rolling_date", F.timestamp_add("DAY", F.lit(1), F.col("rolling_date")))
+    out = api.normalize(flat.unionByName(bad).unionByName(later).unionByName(flat.filter("plate_no = 'TEST_HSB_OFF'")))
+    got = sorted((r["plate_no"], r["load_reason"]) for r in out["quarantine"].collect())
+    assert got == [("BAD", "rolling_method_unknown"), ("TEST_CLEAN", "duplicate_in_batch"), ("TEST_HSB_OFF", "duplicate_in_batch")]
+    assert out["rolling_process"].count() == out["plate"].count() == 4
+    assert out["rolling_process"].filter("rolling_method is null").count() == 0
+    rep = out["report"].collect()[0]
+    assert (rep["rows_read"], rep["rows_quarantined"], rep["rolling_written"]) == (7, 3, 4)
+
+
+def test_furnace_and_inspection_checks(spark):
+    t = dt.datetime(2024, 1, 1)
+    plates = spark.createDataFrame([("P1",), ("P1",)], "plate_no string")
+    cols = "plate_no string, fur_no int, fur_input_row int, fur_heat_temp int, fur_heat_time int, fur_soak_temp int, " \
+           "fur_soak_time int, fur_total_time int, recorded_at timestamp_ntz"
+    rows = [("P1", 1, 1, 1, 1, 1, 1, 1, t), ("P1", None, 1, 1, 1, 1, 1, 1, t), ("P9", 1, 1, 1, 1, 1, 1, 1, t), (None, 1, 1, 1, 1, 1, 1, 1, t)]
+    ok, bad = api.ingest_furnace(spark.createDataFrame(rows, cols), plates)
+    assert [r["plate_no"] for r in ok.collect()] == ["P1"]
+    assert sorted(r["reason"] for r in bad.collect()) == ["field_missing", "plate_missing", "plate_missing"]
+    users = spark.createDataFrame([("a@x", 7)], "email string, user_id long")
+    labels = [("P1", V.DEFECT_SCALE, "a@x", t), ("P1", "Dent", "a@x", t), ("P1", V.DEFECT_NONE, "b@x", t), ("P9", V.DEFECT_NONE, "a@x", t)]
+    ok, bad = api.ingest_inspections(spark.createDataFrame(
+        labels, "plate_no string, defect_type string, inspector_email string, inspected_at timestamp_ntz"), plates, users)
+    assert [(r["plate_no"], r["inspector_id"]) for r in ok.collect()] == [("P1", 7)]
+    assert sorted(r["reason"] for r in bad.collect()) == ["defect_type_domain", "inspector_missing", "plate_missing"]
