@@ -22,7 +22,7 @@ from platewise.operators.attribution import attribution_summary  # noqa: F401  (
 from platewise.operators.rank import latest_by
 
 __all__ = [
-    "fit_imputer", "ingest_plates", "ingest_furnace", "ingest_inspections", "normalize", "score_table", "score_summary",
+    "fit_imputer", "ingest_plates", "ingest_furnace", "ingest_inspections", "normalize", "score_table", "score_active", "score_summary",
     "score_scenarios", "alerts_view", "resolve_alerts", "dashboard_summary", "latest_predictions", "rank_models",
     "activate", "clean", "features", "time_split", "group_split", "profile_tables", "attribution_summary",
 ]
@@ -133,6 +133,31 @@ def score_table(flat: DataFrame, medians: DataFrame, fallback: DataFrame, coefs:
     return RU.rule_hits(scored)
 
 
+def score_active(flat: DataFrame, registry: DataFrame, activation_log: DataFrame, name: str = V.MODEL_NAME) -> DataFrame:
+    """POST /batch-predict with the active version: the latest activation of ``name`` picks
+    the stored bundle, whose medians, vocabulary and threshold decide; the columns are those
+    of :func:`score_table`, with the version.  No active version -> ValueError."""
+    from platewise.plans import training as TR
+
+    active = RG.active_versions(activation_log.filter(F.col("name") == name)).join(
+        registry.select("model_id", "artifact_path", "version"), "model_id").select("artifact_path", "version").first()
+    if active is None:
+        raise ValueError(f"no active version of {name}")
+    keep = ["plate_no"] + (["scale"] if "scale" in flat.columns else [])
+    rule_input = ["rolling_temp", "fur_soak_temp", "hsb_applied"]
+
+    def features_of(medians: DataFrame, fallback: DataFrame) -> DataFrame:
+        imputed = CL.impute_group_median(_serving_tokens(flat), global_after_group=False, medians=medians, fallback=fallback)
+        return FE.serving_features(imputed, keep=keep)
+
+    scored = TR.score_with_bundle(features_of, TR.load_bundle(active["artifact_path"]), [*keep, *rule_input])
+    if "scale" in flat.columns:
+        scored = SC.present(scored.withColumn("target", TK.target_from_scale("scale")), "prob", "target")
+    else:
+        scored = SC.present(scored, "prob", None)
+    return RU.rule_hits(scored).withColumn("model_version", F.lit(active["version"]))
+
+
 def score_summary(scored: DataFrame, model_label: Column | str) -> DataFrame:
     """Summary of a scored file."""
     return SC.file_summary(scored, model_label, "actual_label" in scored.columns)

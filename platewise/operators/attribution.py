@@ -4,10 +4,8 @@
   on the log-odds scale; the background mean is one scalar aggregate, and the wide row
   becomes long rows with ``explode`` (no join).  Contributions sum to
   logit(x) − logit at the background mean.
-* Any other model: sampled-permutation Shapley values of the positive-class
-  probability (:func:`sampled_shapley`), as a Spark job over rows × background ×
-  permutations: rows are split by partition, each task evaluates its batch with the
-  model in pandas, and only per-row sums leave the task.
+* Tree models: exact Shapley values against every background row, see
+  :mod:`platewise.operators.tree_attribution`.
 * Ranking (top-k by |contribution|) sorts each row's attribution array in place
   (no shuffle); a window per row key serves long inputs of other origins.
 """
@@ -70,7 +68,7 @@ def top_from_arrays(arrays: DataFrame, key: str = "plate_no", k: int = 5) -> Dat
 
 
 def top_attributions(long: DataFrame, key: str = "plate_no", k: int = 5) -> DataFrame:
-    """W4/T8 + F24 for long input of any origin (e.g. sampled Shapley rows): rank by
+    """W4/T8 + F24 for long input of any origin (e.g. those of tree models): rank by
     |contribution| desc (feature index breaks ties), keep the top k per row, and a bar
     width min(100, round(100·|v| / max|v|)) (0 when max is 0).  The window partitions by
     row key (≤ #features rows each); for linear models use :func:`top_from_arrays`,
@@ -87,61 +85,3 @@ def attribution_summary(long: DataFrame, k: int = 12) -> DataFrame:
     """Mean |contribution| per feature over all rows, top k (a top-k report)."""
     g = long.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
     return g.orderBy(F.col("mean_abs_contribution").desc(), "feature").limit(k)
-
-
-def sampled_shapley(df: DataFrame, background: DataFrame, feature_cols: list[str], predict,
-                    key: str = "plate_no", n_perm: int = 4, seed: int = 42, max_background: int = 100) -> DataFrame:
-    """M19 for any model: Monte-Carlo permutation Shapley values of the positive-class
-    probability, as one Spark job.
-
-    For every row and each of ``n_perm`` permutations (drawn from a hash of (key, perm,
-    feature), so recomputation after a lost executor gives the same draw), a background
-    row is picked and the row's features are switched in one at a time; the d + 1
-    coalition rows are scored by ``predict`` (DataFrame with a ``features`` vector ->
-    DataFrame with ``prob``; e.g. a fitted PipelineModel's transform) in the JVM.  The
-    probabilities of one (row, perm) - d + 1 values - are gathered and differenced; the
-    change at step j is credited to the feature switched at that step, and credits are
-    averaged over permutations.  The background has a proven bound (≤ ``max_background``
-    rows) and travels as a literal array.  Output: (key, feature_index, feature, value,
-    contribution, scale='probability').
-    """
-    from pyspark.ml.functions import array_to_vector
-
-    d = len(feature_cols)
-    bg_rows = background.select(*[F.col(c).cast("double") for c in feature_cols]).limit(max_background + 1).collect()
-    if len(bg_rows) > max_background:
-        raise ValueError(f"the background sample has more than {max_background} rows")
-    if not bg_rows:
-        raise ValueError("empty background sample")
-    bg = F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in bg_rows])
-    n_bg = len(bg_rows)
-    x = df.select(F.col(key).cast("string").alias(key), F.array(*[F.col(c).cast("double") for c in feature_cols]).alias("x"))
-    idx = F.sequence(F.lit(0), F.lit(d - 1))
-
-    def order_of(k, p):
-        keyed = F.transform(idx, lambda i: F.struct(F.xxhash64(k, p, i, F.lit(seed)).alias("h"), i.alias("i")))
-        return F.transform(F.array_sort(keyed), lambda s: s["i"])
-
-    perms = x.select(key, "x", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    perms = perms.withColumns({
-        "order": order_of(F.col(key), F.col("perm")),
-        "b": bg[F.pmod(F.xxhash64(F.col(key), F.col("perm"), F.lit(seed), F.lit(-1)), F.lit(n_bg)).cast("int")],
-    })
-    perms = perms.withColumn("pos_of", F.transform(idx, lambda i: F.array_position("order", i) - 1))
-    steps = perms.select(key, "perm", "x", "b", "pos_of", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("j"))
-    z = F.transform(idx, lambda i: F.when(F.col("pos_of")[i] < F.col("j"), F.col("x")[i]).otherwise(F.col("b")[i]))
-    coalitions = steps.select(key, "perm", "j", array_to_vector(z).alias("features"))
-    scored = predict(coalitions).select(key, "perm", "j", "prob")
-    per_perm = scored.groupBy(key, "perm").agg(F.array_sort(F.collect_list(F.struct("j", "prob"))).alias("ps"))
-    per_perm = per_perm.withColumn("order", order_of(F.col(key), F.col("perm")))
-    credits = per_perm.select(key, F.explode(F.transform(
-        F.sequence(F.lit(1), F.lit(d)),
-        lambda j: F.struct(F.col("order")[j - 1].alias("feature_index"),
-                           (F.col("ps")[j]["prob"] - F.col("ps")[j - 1]["prob"]).alias("delta")))).alias("c"))
-    phi = credits.groupBy(key, "c.feature_index").agg(F.avg("c.delta").alias("contribution"))
-    names = F.array(*[F.lit(c) for c in feature_cols])
-    vals = x.select(key, F.posexplode("x").alias("feature_index", "value"))
-    return (phi.join(vals, [key, "feature_index"])
-               .select(key, F.col("feature_index").cast("int").alias("feature_index"),
-                       names[F.col("feature_index")].alias("feature"), "value", "contribution",
-                       F.lit("probability").alias("scale")))

@@ -929,24 +929,53 @@ def score_trained(spark, sf_dir):
                       F.col("target").cast("boolean").alias("actual_label"))
 
 
-@query("shapley_sampled")
-def shapley_sampled(spark, sf_dir):
-    """M19 for a tree model: sampled-permutation Shapley values of every plate's
-    probability, background = 100 training rows in md5 order."""
-    from pyspark.ml.functions import vector_to_array
-
+@query("design_matrix")
+def design_matrix_q(spark, sf_dir):
+    """M1, M2: every model column of every plate, in long form."""
     from platewise.plans import training as TR
-    res = _train(spark, sf_dir, "DecisionTree")
-    model, _ = res.models["DecisionTree"]
     feats = training_features(spark, sf_dir)
-    dm, cols = TR.design_matrix(feats, res.vocab, keep=["plate_no", "rolling_date"])
-    train_keys = SP.time_split(dm.select("plate_no", "rolling_date")).filter(F.col("split") == "train")
-    bg = dm.join(SP.background_sample(train_keys, "plate_no", 100, 42).select("plate_no"), "plate_no", "left_semi")
+    dm, cols = TR.design_matrix(feats, TR.fit_vocabulary(feats), keep=["plate_no"])
+    return dm.unpivot("plate_no", cols, "feature", "value")
+
+
+def explained_tree(spark: SparkSession, sf_dir: str):
+    """A decision tree fitted on the training split, its leaves, the design matrix of every
+    plate and the background: 100 training rows in md5 order."""
+    from platewise.operators import tree_attribution as TA
+    from platewise.plans import training as TR
+    from platewise.streaming.ingest import run_folder
+    data, cols, _ = TR.prepare(training_features(spark, sf_dir))
+    data = data.checkpoint(eager=True)
+    model = TR.fit_one(data, "DecisionTree", {"maxDepth": 8, "minInstancesPerNode": 5})
+    path = run_folder(spark, "tree")
+    model.write().save(path)
+    train_keys = data.filter(F.col("split") == "train").select("plate_no")
+    bg = data.join(SP.background_sample(train_keys, "plate_no", 100, 42).select("plate_no"), "plate_no", "left_semi")
+    return TA.tree_attribution(data, bg, cols, TA.tree_leaves(spark, path)), model, data, bg
+
+
+@query("tree_attribution")
+def tree_attribution_q(spark, sf_dir):
+    """M19 for a tree model: exact Shapley values of every plate's probability."""
+    return round_cols(explained_tree(spark, sf_dir)[0], ["contribution"])
+
+
+@query("attribution_additivity")
+def attribution_additivity(spark, sf_dir):
+    """The contributions of every plate add up to the model's probability minus its
+    mean over the background, within 1e-9."""
+    from pyspark.ml.functions import vector_to_array
+
+    long, model, data, bg = explained_tree(spark, sf_dir)
 
-    def predict(c: DataFrame) -> DataFrame:
-        return model.transform(c).withColumn("prob", vector_to_array("probability")[1])
+    def prob(df: DataFrame) -> DataFrame:
+        return model.transform(df).select("plate_no", vector_to_array("probability")[1].alias("prob"))
 
-    return AT.sampled_shapley(dm, bg, cols, predict, "plate_no", n_perm=4, seed=42)
+    base = prob(bg).agg(F.avg("prob").alias("base"))
+    total = long.groupBy("plate_no").agg(F.sum("contribution").alias("total"), F.count(F.lit(1)).alias("n_features"))
+    scored, s = with_scalars(prob(data).join(total, "plate_no"), base, "__base")
+    return scored.select("plate_no", "n_features",
+                         (F.abs(F.col("total") - (F.col("prob") - s["base"])) < 1e-9).alias("additive"))
 
 
 @query("stream_inspections")

@@ -461,6 +461,30 @@ oracle("latest_event_per_user", """
 SELECT event_id, ts, user_id, event_type, value, props FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
 
+# Features of the training frame, imputed by its own medians, with the one-hot levels.
+DESIGN = TRAINING_FRAME + """,
+tf_group AS (SELECT steel_kind, rolling_method, median(rolling_temp) AS gm FROM training GROUP BY steel_kind, rolling_method),
+imputed AS (
+  SELECT t.* REPLACE (COALESCE(CAST(t.rolling_temp AS DOUBLE), g.gm, (SELECT median(rolling_temp) FROM training)) AS rolling_temp)
+  FROM training t LEFT JOIN tf_group g ON t.steel_kind = g.steel_kind AND t.rolling_method = g.rolling_method
+),
+tfeat AS (""" + SERVING_FEATURES_SELECT + """),
+cats AS (UNPIVOT (SELECT plate_no, spec_country, steel_kind, fur_no, fur_input_row, rolling_method, work_group, thick_bucket
+                  FROM tfeat) ON COLUMNS(* EXCLUDE plate_no) INTO NAME col VALUE val),
+levels AS (SELECT col, val, row_number() OVER (PARTITION BY col ORDER BY val) AS n FROM (SELECT DISTINCT col, val FROM cats)),
+nums AS (UNPIVOT (SELECT plate_no, """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in V.NUMERIC_FEATURES + V.BINARY_FEATURES) + """
+                  FROM tfeat) ON COLUMNS(* EXCLUDE plate_no) INTO NAME feature VALUE value)"""
+
+oracle("design_matrix", "WITH " + DESIGN.strip() + """
+SELECT plate_no, feature, value FROM nums
+UNION ALL
+SELECT c.plate_no, l.col || '_' || l.val, CAST(c.val = l.val AS DOUBLE) FROM cats c JOIN levels l ON l.col = c.col AND l.n > 1""",
+       furnace=True, inspection=True)
+
+oracle("attribution_additivity", "WITH " + DESIGN.strip() + """,
+n AS (SELECT count(DISTINCT feature) + (SELECT count(*) FROM levels WHERE n > 1) AS n FROM nums)
+SELECT plate_no, (SELECT n FROM n) AS n_features, true AS additive FROM training""", furnace=True, inspection=True)
+
 oracle("training_frame", "WITH " + TRAINING_FRAME.strip() + "\nSELECT * REPLACE (CAST(rolling_temp AS DOUBLE) AS rolling_temp) FROM training", furnace=True, inspection=True)
 
 oracle("serving_frame", "WITH " + SERVING_FRAME.strip() + "\nSELECT * REPLACE (CAST(rolling_temp AS DOUBLE) AS rolling_temp) FROM serving", furnace=True)

@@ -28,7 +28,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.functions import vocab as V
@@ -166,6 +166,7 @@ class TrainResult:
     models: dict
     columns: list[str]
     vocab: dict
+    data: DataFrame       # design matrix with split, fold and feature vector
 
 
 def prepare(frame: DataFrame, label_col: str = "target") -> tuple[DataFrame, list[str], dict]:
@@ -226,7 +227,15 @@ def train_compare(frame: DataFrame, families: list[Family] = FAMILIES, label_col
               "valid_f1 double, valid_auc double, test_precision double, test_recall double, test_f1 double, "
               "test_auc double, train_row_count long")
     comparison = frame.sparkSession.createDataFrame(rows, schema)
-    return TrainResult(comparison, models, cols, vocab)
+    return TrainResult(comparison, models, cols, vocab, data)
+
+
+def fit_one(data: DataFrame, family: str, params: dict):
+    """One model of a family with fixed parameters on the training split of :func:`prepare`."""
+    fam = next(f for f in FAMILIES if f.name == family)
+    train = data.filter(F.col("split") == "train")
+    est, _, _ = fam.build(1)
+    return est.copy({est.getParam(k): v for k, v in params.items()}).fit(with_weights(train, "label", fam.weight))
 
 
 def best_by_auc(comparison: DataFrame) -> str:
@@ -237,24 +246,49 @@ def best_by_auc(comparison: DataFrame) -> str:
     return min((r["algorithm"] for r in best if r["valid_auc"] == top), key=order.index)
 
 
-def save_models(result: TrainResult, root: str, run_tag: str) -> list[dict]:
-    """Save each fitted model and its side data (columns, vocabulary, Platt
-    parameters); return registry rows."""
+def save_bundle(path: str, model, columns: list[str], vocab: dict, platt: dict | None, threshold: float,
+                medians: DataFrame, fallback: DataFrame, background: DataFrame) -> None:
+    """A fitted model with everything that scoring and explaining a record needs: model
+    columns, vocabulary, Platt parameters and threshold as one JSON text, the imputation
+    medians and the background sample as Parquet, all written by Spark (any URI)."""
+    model.write().overwrite().save(path)
+    side = {"columns": columns, "vocabulary": vocab, "platt": platt, "threshold": threshold}
+    spark = medians.sparkSession
+    spark.createDataFrame([(json.dumps(side, ensure_ascii=False),)], "value string").coalesce(1).write.mode(
+        "overwrite").text(path + "/side")
+    for name, df in (("medians", medians), ("fallback", fallback), ("background", background)):
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_bundle(path: str) -> dict:
+    """What :func:`save_bundle` wrote: 'model', 'columns', 'vocabulary', 'platt',
+    'threshold', 'medians', 'fallback', 'background'."""
+    spark = SparkSession.active()
+    side = json.loads(spark.read.text(path + "/side", wholetext=True).first()["value"])
+    return {"model": PipelineModel.load(path), **side,
+            **{name: spark.read.parquet(f"{path}/{name}") for name in ("medians", "fallback", "background")}}
+
+
+def save_models(result: TrainResult, root: str, run_tag: str, medians: DataFrame, fallback: DataFrame,
+                threshold: float = 0.5) -> list[dict]:
+    """Save a bundle of each fitted model; return registry rows."""
+    train = result.data.filter(F.col("split") == "train")
+    background = SP.background_sample(train, "plate_no", 100, 42).select("plate_no", *result.columns)
+    facts = train.agg(F.max("rolling_date").alias("at"), F.count(F.lit(1)).alias("n")).first()
     out = []
     for name, (model, platt) in result.models.items():
         path = os.path.join(root, f"{V.MODEL_NAME}_{name}_{run_tag}")
-        model.write().overwrite().save(path)
-        side = {"columns": result.columns, "vocabulary": result.vocab, "platt": platt}
-        with open(os.path.join(path, "side.json"), "w", encoding="utf-8") as fh:
-            json.dump(side, fh, ensure_ascii=False)
-        out.append({"algorithm": name, "version": f"{name}-{run_tag}", "artifact_path": path})
+        save_bundle(path, model, result.columns, result.vocab, platt, threshold, medians, fallback, background)
+        out.append({"name": V.MODEL_NAME, "algorithm": name, "version": f"{name}-{run_tag}", "artifact_path": path,
+                    "trained_at": facts["at"], "train_row_count": facts["n"], "threshold": threshold})
     return out
 
 
-def load_model(path: str) -> tuple[PipelineModel, dict]:
-    with open(os.path.join(path, "side.json"), encoding="utf-8") as fh:
-        side = json.load(fh)
-    return PipelineModel.load(path), side
+def score_with_bundle(features_of, bundle: dict, keep: list[str]) -> DataFrame:
+    """M16/M17 with a stored bundle: ``features_of(medians, fallback)`` gives the serving
+    features imputed by the bundle's medians."""
+    feats = features_of(bundle["medians"], bundle["fallback"])
+    return score_with_model(feats, bundle["model"], bundle["vocabulary"], bundle["platt"], bundle["threshold"], keep)
 
 
 def score_with_model(features: DataFrame, model: PipelineModel, vocab: dict, platt: dict | None,
@@ -262,18 +296,20 @@ def score_with_model(features: DataFrame, model: PipelineModel, vocab: dict, pla
     """M16 with a fitted model: design matrix from the stored vocabulary, transform,
     positive-class probability, label = prob >= threshold (unrounded)."""
     keep = keep or ["plate_no"]
-    dm, cols = design_matrix(features, vocab, keep)
+    model_columns = set(V.NUMERIC_FEATURES + V.BINARY_FEATURES)    # kept by the design matrix itself
+    dm, cols = design_matrix(features, vocab, [c for c in keep if c not in model_columns])
     vec = VectorAssembler(inputCols=cols, outputCol="features").transform(dm)
     out = model.transform(vec).withColumn("prob", positive_probability(None, platt))
     return out.select(*keep, "prob", (F.col("prob") >= F.lit(threshold)).alias("predicted_label"))
 
 
-def retrain(frame: DataFrame, registry_root: str, run_tag: str, families: list[Family] = FAMILIES) -> tuple[TrainResult, list[dict]]:
+def retrain(frame: DataFrame, registry_root: str, run_tag: str, medians: DataFrame, fallback: DataFrame,
+            families: list[Family] = FAMILIES) -> tuple[TrainResult, list[dict]]:
     """The same comparison on the latest labels; every new version is saved and
     returned as a registry row with ``is_active = False`` - activation stays a separate,
     explicit event (M14), except at bootstrap (see :func:`bootstrap_activation`)."""
     result = train_compare(frame, families)
-    rows = save_models(result, registry_root, run_tag)
+    rows = save_models(result, registry_root, run_tag, medians, fallback)
     metrics = {r["algorithm"]: r.asDict() for r in result.comparison.collect()}  # one row per family
     for r in rows:
         r.update({"is_active": False, "metrics": json.dumps(metrics[r["algorithm"]], sort_keys=True)})

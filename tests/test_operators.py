@@ -198,23 +198,55 @@ def test_duplicate_and_missing_parent(spark):
     assert [r["plate_no"] for r in NZ.missing_parent(child, parent, ["plate_no"]).collect()] == ["q"]
 
 
-def test_sampled_shapley_exact_for_additive_model(spark):
-    from pyspark.ml.functions import vector_to_array
-    w = [0.5, -2.0, 1.0]
-    df = spark.createDataFrame([("x", 1.0, 2.0, 3.0), ("y", -1.0, 0.5, 0.0)], "plate_no string, a double, b double, c double")
-    bg = spark.createDataFrame([("bg", 0.5, 1.0, -1.0)], "plate_no string, a double, b double, c double")
-
-    def predict(c):
-        arr = vector_to_array("features")
-        return c.withColumn("prob", arr[0] * w[0] + arr[1] * w[1] + arr[2] * w[2])
-
-    out = AT.sampled_shapley(df, bg, ["a", "b", "c"], predict, "plate_no", n_perm=3).collect()
-    base = {"a": 0.5, "b": 1.0, "c": -1.0}
-    rows = {"x": {"a": 1.0, "b": 2.0, "c": 3.0}, "y": {"a": -1.0, "b": 0.5, "c": 0.0}}
-    for r in out:
-        i = ["a", "b", "c"].index(r["feature"])
-        assert abs(r["contribution"] - w[i] * (rows[r["plate_no"]][r["feature"]] - base[r["feature"]])) < 1e-12
-    assert len(out) == 6
+@pytest.mark.parametrize("forest", [False, True])
+def test_tree_attribution_against_all_coalitions(spark, tmp_path, forest):
+    import math
+
+    from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    from platewise.operators import tree_attribution as TA
+
+    rnd, cols = random.Random(5), ["a", "b", "c", "d"]
+    rows = [(f"p{i}", *[float(rnd.randrange(8)) for _ in cols]) for i in range(120)]
+    df = spark.createDataFrame(rows, "plate_no string, a double, b double, c double, d double").withColumn(
+        "label", ((F.col("a") * F.col("b") > 9) | (F.col("c") - F.col("d") > 3)).cast("double"))
+    vec = VectorAssembler(inputCols=cols, outputCol="features").transform(df)
+    est = RandomForestClassifier(numTrees=3, maxDepth=4, seed=3) if forest else DecisionTreeClassifier(maxDepth=5)
+    model = est.fit(vec)
+    model.write().save(f"file:{tmp_path}/m")
+    leaves = TA.tree_leaves(spark, f"file:{tmp_path}/m")
+    asked, bg = rows[:6], [r[1:] for r in rows[100:105]]
+    got = {(r["plate_no"], r["feature_index"]): r["contribution"] for r in TA.tree_attribution(
+        df.filter(F.col("plate_no").isin([r[0] for r in asked])),
+        spark.createDataFrame(bg, "a double, b double, c double, d double"), cols, leaves).collect()}
+    masks = list(itertools.product([0, 1], repeat=4))
+    mixed = [(r[0], j, m, [r[1 + i] if m[i] else b[i] for i in range(4)]) for r in asked for j, b in enumerate(bg) for m in masks]
+    scored = model.transform(spark.createDataFrame([(i, x[3]) for i, x in enumerate(mixed)], "i long, x array<double>").select(
+        "i", array_to_vector("x").alias("features"))).select("i", vector_to_array("probability")[1].alias("p"))
+    p = {r["i"]: r["p"] for r in scored.collect()}
+    value = {}
+    for i, (key, _, m, _) in enumerate(mixed):
+        value[key, m] = value.get((key, m), 0.0) + p[i] / len(bg)
+    for key, *_ in asked:
+        for i in range(4):
+            want = sum(math.factorial(sum(m)) * math.factorial(3 - sum(m)) / 24
+                       * (value[key, m[:i] + (1,) + m[i + 1:]] - value[key, m]) for m in masks if not m[i])
+            assert abs(got[key, i] - want) < 1e-9
+    assert len(got) == 24
+
+
+def test_tree_attribution_of_a_single_leaf_and_empty_tables(spark):
+    from platewise.operators import tree_attribution as TA
+
+    one = spark.createDataFrame([("p", 1.0, None)], "plate_no string, a double, b double")
+    leaf = [(0.5, [], [], [])]
+    got = TA.tree_attribution(one, one, ["a", "b"], leaf).collect()
+    assert [(r["value"], r["contribution"]) for r in got] == [(1.0, 0.0), (None, 0.0)]
+    assert TA.tree_attribution(one.limit(0), one, ["a", "b"], leaf).count() == 0
+    with pytest.raises(ValueError):
+        TA.tree_attribution(one, one.limit(0), ["a", "b"], leaf)
 
 
 def test_rank_orders_nulls_first_and_nan_last(spark):

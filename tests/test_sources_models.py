@@ -4,6 +4,7 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from platewise.sources import process_log as PL
@@ -34,9 +35,13 @@ def test_model_save_load_and_score(spark):
     model = Pipeline(stages=[LogisticRegression(maxIter=50)]).fit(vec)
     path = os.path.join(tempfile.mkdtemp(prefix="model-"), "m")
     model.write().overwrite().save(path)
-    with open(os.path.join(path, "side.json"), "w") as fh:
-        fh.write('{"columns": ["a", "b", "steel_kind_T"], "vocabulary": {"steel_kind": ["C", "T"]}, "platt": null}')
-    loaded, side = TR.load_model(path)
+    medians = spark.createDataFrame([("C", "CR", 900.0)], "steel_kind string, rolling_method string, group_median double")
+    fallback = spark.createDataFrame([(910.0,)], "global_median double")
+    TR.save_bundle(f"file:{path}", model, ["a", "b", "steel_kind_T"], vocab, None, 0.4, medians, fallback, data.limit(5))
+    side = TR.load_bundle(f"file:{path}")
+    loaded = side["model"]
+    assert side["threshold"] == 0.4 and side["background"].count() == 5
+    assert side["medians"].collect() == medians.collect() and side["fallback"].first()[0] == 910.0
     p1 = [r["probability"][1] for r in model.transform(vec).select("probability").collect()]
     p2 = [r["probability"][1] for r in loaded.transform(vec).select("probability").collect()]
     assert p1 == p2 and side["vocabulary"] == vocab
@@ -63,3 +68,49 @@ def test_null_category_is_all_zeros(spark):
     df = spark.createDataFrame([("b",), (None,)], "c string")
     got = [tuple(r) for r in df.select(*[e.alias(n) for n, e in dummy_columns({"c": ["a", "b", "d"]})]).collect()]
     assert got == [(1.0, 0.0), (0.0, 0.0)]
+
+
+def test_active_version_scores(spark, sf001, tmp_path):
+    import datetime as dt
+
+    from pyspark.ml import Pipeline
+
+    from platewise import api
+    from platewise.functions import features as FE
+    from platewise.functions import vocab as V
+    from platewise.operators import clean as CL
+    from platewise.plans import catalog as CT
+    from platewise.plans import training as TR
+    from platewise.sources import driver
+
+    flat = driver.coil(spark, sf001)
+    medians, fallback = api.fit_imputer(flat)
+    feats = FE.serving_features(CL.impute_group_median(CT.serving_input(spark, sf001), global_after_group=False,
+                                                       medians=medians, fallback=fallback),
+                                keep=["plate_no", "target", "rolling_date"])
+    data, cols, vocab = TR.prepare(feats)
+    models = {n: (Pipeline(stages=[TR.fit_one(data, "DecisionTree", p)]).fit(data), None)
+              for n, p in (("A", {"maxDepth": 2}), ("B", {"maxDepth": 6}))}
+    rows = TR.save_models(TR.TrainResult(medians, models, cols, vocab, data), f"file:{tmp_path}", "t", medians, fallback)
+    assert [r["version"] for r in rows] == ["A-t", "B-t"] and rows[0]["train_row_count"] > 0
+    reg = spark.createDataFrame([(V.MODEL_NAME, i, r["artifact_path"], r["version"]) for i, r in enumerate(rows)],
+                                "name string, model_id long, artifact_path string, version string")
+    log = spark.createDataFrame([(V.MODEL_NAME, 0, dt.datetime(2024, 1, 1), "bootstrap")],
+                                "name string, model_id long, activated_at timestamp_ntz, reason string")
+    first = api.score_active(flat, reg, log)
+    assert {r["model_version"] for r in first.select("model_version").distinct().collect()} == {"A-t"}
+    second = api.score_active(flat, reg, api.activate(log, reg, 1, dt.datetime(2024, 2, 1)))
+    want = {r["plate_no"]: r["p"] for r in models["B"][0].transform(data.select("plate_no", "features")).select(
+        "plate_no", F.round(_second("probability"), 4).alias("p")).collect()}
+    got = {r["plate_no"]: r["predicted_prob"] for r in second.collect()}
+    assert got == want and len(got) == flat.count()
+    one = flat.limit(1).withColumn("rolling_temp", F.lit(None).cast("int")).drop("scale")
+    row = api.score_active(one, reg, log).collect()[0]
+    assert row["predicted_prob"] is not None and row["rolling_temp"] > 0
+    with pytest.raises(ValueError):
+        api.score_active(one, reg, log.limit(0))
+
+
+def _second(c):
+    from pyspark.ml.functions import vector_to_array
+    return vector_to_array(c)[1]
