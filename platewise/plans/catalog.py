@@ -883,6 +883,43 @@ def process_log_csv(spark, sf_dir):
     return PL.read_process_log(spark, os.path.join(root, "*", "*.csv"))
 
 
+def mixed_process_log(spark: SparkSession, sf_dir: str) -> str:
+    """The flat log as UTF-8 files, and once more as cp949 files with the columns the other
+    way round, in which some lines have a field too many, a word for a number or a word
+    for the date; returns the glob of both."""
+    import os
+
+    from platewise.sources import process_log as PL
+    from platewise.streaming.ingest import run_folder
+
+    root = run_folder(spark, "process-log")
+    coil = driver.coil(spark, sf_dir)
+    PL.write_process_log(coil, os.path.join(root, "utf8"), "UTF-8")
+    k = F.substring("plate_no", 5, 1 << 30).cast("bigint")
+    text = PL.to_legacy_text(coil).withColumns({
+        "spec_long": F.when(k % 89 == 0, "AB,CD").otherwise(F.col("spec_long")),
+        "pt_thick": F.when(k % 47 == 0, "wide").otherwise(F.col("pt_thick").cast("string")),
+        "rolling_date": F.when(k % 71 == 0, "yesterday").otherwise(F.col("rolling_date"))})
+    text.select(*reversed(text.columns)).write.option("header", True).option("encoding", "cp949").option(
+        "quote", "").csv(os.path.join(root, "cp949"))
+    return os.path.join(root, "*", "*.csv")
+
+
+@query("process_log_accepted")
+def process_log_accepted(spark, sf_dir):
+    """The sound lines of files of two layouts and encodings."""
+    from platewise.sources import process_log as PL
+    return PL.read_process_log(spark, mixed_process_log(spark, sf_dir))
+
+
+@query("process_log_rejected")
+def process_log_rejected(spark, sf_dir):
+    """The other lines, with their plate and the reason."""
+    from platewise.sources import process_log as PL
+    return PL.rejected_lines(spark, mixed_process_log(spark, sf_dir)).select(
+        F.regexp_extract("line", r"(PLT_\d+)", 1).alias("plate_no"), "reason")
+
+
 # ----------------------------------------------------------------------------- step 11: training (rows-only checks)
 
 def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:

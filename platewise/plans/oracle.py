@@ -899,6 +899,12 @@ FROM sfeats""", furnace=True)
 
 oracle("process_log_csv", "SELECT * FROM coil UNION ALL SELECT * FROM coil")
 
+_BAD_LINE = """CASE WHEN CAST(substr(plate_no, 5) AS BIGINT) % 89 = 0 THEN 'malformed'
+     WHEN CAST(substr(plate_no, 5) AS BIGINT) % 47 = 0 THEN 'pt_thick_unparsable'
+     WHEN CAST(substr(plate_no, 5) AS BIGINT) % 71 = 0 THEN 'rolling_date_unparsable' END"""
+oracle("process_log_accepted", f"SELECT * FROM coil UNION ALL SELECT * FROM coil WHERE ({_BAD_LINE}) IS NULL")
+oracle("process_log_rejected", f"SELECT plate_no, {_BAD_LINE} AS reason FROM coil WHERE ({_BAD_LINE}) IS NOT NULL")
+
 oracle("stream_inspections", """
 SELECT i.plate_no, i.defect_type, i.inspected_at,
        'engineer' || CAST(TRY_CAST(NULLIF(regexp_extract(c.work_group, '^(\\d+)', 1), '') AS INTEGER) AS VARCHAR) || '@plant.local' AS inspector_email,

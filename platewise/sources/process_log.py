@@ -1,20 +1,22 @@
 """Flat process-log files (legacy CSV) and table sinks.
 
 Encoding: a legacy file is cp949 or UTF-8.  The published reader tries cp949 first and
-falls back to UTF-8 on a decode error; Spark never raises on bad bytes, so the choice
-is made per file instead: every file is read once as text and a file with any line
-that is not valid UTF-8 (``is_valid_utf8``) is decoded as cp949.  The file
-list is metadata (bounded by the number of files), not data.
+falls back to UTF-8 on a decode error; here a file that is valid UTF-8 throughout is read as
+UTF-8 and any other as cp949, since a UTF-8 file can also decode as cp949 by accident.
+Encoding and header of each file are a small side table that the lines are joined to.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platewise.functions import tokens as TK
 from platewise.functions import vocab as V
+from platewise.operators.lookup import settled
 
 INT_COLUMNS = ["pt_thick", "pt_width", "pt_length", "fur_heat_temp", "fur_heat_time", "fur_soak_temp",
                "fur_soak_time", "fur_total_time", "rolling_temp", "descaling_count"]
@@ -25,51 +27,90 @@ def missing_columns(df: DataFrame, required: list[str] = V.REQUIRED_COLUMNS) ->
     return sorted(set(required) - set(df.columns))
 
 
-def _read_csv(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
-    return (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-            .option("inferSchema", False).csv(paths))
-
-
-def detect_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """{'UTF-8': [...], 'cp949': [...]} per file (one pass over the text)."""
-    txt = spark.read.text(path).withColumn("f", F.input_file_name())
-    per_file = txt.groupBy("f").agg(F.max((~F.is_valid_utf8("value")).cast("int")).alias("bad"))
-    out = {"UTF-8": [], "cp949": []}
-    for r in per_file.collect():
-        out["cp949" if r["bad"] else "UTF-8"].append(r["f"])
-    return out
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("i")).alias("place"))
+
+
+def file_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding, header) of each file, one pass over the text, combined map-side: a
+    file with a line that is not valid UTF-8 is cp949, its first line is the header."""
+    per_file = _lines(spark, path).groupBy("file").agg(
+        F.max(~F.is_valid_utf8("value")).alias("legacy"), F.min_by("value", "place").alias("header"))
+    encoding = F.when(F.col("legacy"), "cp949").otherwise("UTF-8")
+    return per_file.select("file", encoding.alias("encoding"), _decoded("header", encoding).alias("header"))
+
+
+def _decoded(c: str, encoding: Column) -> Column:
+    return F.when(encoding == "cp949", F.decode(F.col(c).cast("binary"), "cp949")).otherwise(F.col(c))
+
+
+def parsed_lines(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
+    """Every data line of the files with its text columns, ``__line``, ``__file`` and
+    ``__reason`` (NULL when sound).  Columns are found by the names in each file's own
+    header.  A line with too few or too many fields is 'malformed', a non-empty number
+    that doesn't parse '<column>_unparsable', likewise the date.  Raises ValueError with
+    the missing columns (sorted) if any file lacks a required one.  The driver sees the
+    distinct headers only."""
+    layouts = settled(file_layouts(spark, path))
+    if encoding != "auto":
+        layouts = layouts.withColumn("encoding", F.lit(encoding))
+    headers = [r["header"] for r in layouts.select("header").distinct().orderBy("header").collect()]
+    if not headers:
+        raise ValueError(f"no files under {path}")
+    names = {h: [c.strip() for c in next(csv.reader([h]))] for h in headers}
+    missing = sorted({c for cols in names.values() for c in set(V.REQUIRED_COLUMNS) - set(cols)})
+    if missing:
+        raise ValueError(f"missing required columns: {missing}")
+    every = list(dict.fromkeys(c for cols in names.values() for c in cols))
+    lines = _lines(spark, path).select("value", "file").join(layouts, "file").select(
+        "file", "header", _decoded("value", F.col("encoding")).alias("line"))
+    lines = lines.filter((F.col("line") != F.col("header")) & (F.trim("line") != ""))
+    # The lambda's argument and the generator keep it at one parse a line: as a plain column
+    # the parse would be copied into every use of a field and into pushed-down filters.
+    def by_name(cols: list[str]):
+        return lambda p: F.struct(
+            *[(p[f"c{cols.index(c)}"] if c in cols else F.lit(None).cast("string")).alias(c) for c in every],
+            p["bad"].isNotNull().alias("__malformed"))
+
+    record = None
+    for h, cols in names.items():
+        schema = ", ".join([*[f"c{i} string" for i in range(len(cols))], "bad string"])
+        fields = F.from_csv("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+        row = F.transform(F.array(fields), by_name(cols))
+        record = F.when(F.col("header") == h, row) if record is None else record.when(F.col("header") == h, row)
+    out = lines.select(F.col("file").alias("__file"), F.col("line").alias("__line"), F.inline(record))
+    reason = F.when(F.col("__malformed"), "malformed")
+    for c in INT_COLUMNS:
+        reason = reason.when(F.col(c).isNotNull() & TK.truncating_int(c).isNull(), f"{c}_unparsable")
+    reason = reason.when(F.col("rolling_date").isNotNull() & TK.parse_rolling_date("rolling_date").isNull(),
+                         "rolling_date_unparsable")
+    return out.withColumn("__reason", reason).drop("__malformed")
 
 
 def read_process_log(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
-    """Read flat process-log CSV file(s) into typed columns.
+    """The sound lines of flat process-log CSV files in typed columns; the others
+    are in :func:`rejected_lines`.
 
-    Text stays text (tokens are parsed downstream); integers are parsed with try-casts
-    (bad text -> NULL, reported by validation); ``rolling_date`` is parsed with the
-    legacy pattern into TIMESTAMP_NTZ.  Raises ValueError listing missing required
-    columns (sorted), as the upload endpoint does.
+    Text stays text (tokens are parsed downstream), numbers become integers and
+    ``rolling_date`` is parsed with the legacy pattern into TIMESTAMP_NTZ.  Columns go
+    by name, also where files differ in order; a column that only some files have is
+    NULL for the others.
     """
-    if encoding == "auto":
-        groups = detect_encodings(spark, path)
-        parts = [_read_csv(spark, files, enc) for enc, files in groups.items() if files]
-        if not parts:
-            raise ValueError(f"no files under {path}")
-        raw = parts[0]
-        for p in parts[1:]:
-            raw = raw.unionByName(p, allowMissingColumns=True)
-    else:
-        raw = _read_csv(spark, [path], encoding)
-    missing = missing_columns(raw)
-    if missing:
-        raise ValueError(f"missing required columns: {missing}")
-    cols = []
-    for c in raw.columns:
+    raw = parsed_lines(spark, path, encoding).filter(F.col("__reason").isNull()).drop("__file", "__line", "__reason")
+
+    def typed(c: str) -> Column:
         if c in INT_COLUMNS:
-            cols.append(TK.truncating_int(c).alias(c))
-        elif c == "rolling_date":
-            cols.append(TK.parse_rolling_date(c).alias(c))
-        else:
-            cols.append(F.col(c))
-    return raw.select(*cols)
+            return TK.truncating_int(c).alias(c)
+        return TK.parse_rolling_date(c).alias(c) if c == "rolling_date" else F.col(c)
+    return raw.select(*[typed(c) for c in raw.columns])
+
+
+def rejected_lines(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
+    """S8 quarantine: (file, line, reason) of the lines that :func:`read_process_log` leaves out."""
+    return parsed_lines(spark, path, encoding).filter(F.col("__reason").isNotNull()).select(
+        F.col("__file").alias("file"), F.col("__line").alias("line"), F.col("__reason").alias("reason"))
 
 
 def to_legacy_text(df: DataFrame) -> DataFrame:

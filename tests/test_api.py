@@ -142,3 +142,37 @@ def test_furnace_and_inspection_checks(spark):
         labels, "plate_no string, defect_type string, inspector_email string, inspected_at timestamp_ntz"), plates, users)
     assert [(r["plate_no"], r["inspector_id"]) for r in ok.collect()] == [("P1", 7)]
     assert sorted(r["reason"] for r in bad.collect()) == ["defect_type_domain", "inspector_missing", "plate_missing"]
+
+
+def _write_lines(path, encoding, lines):
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding=encoding, newline="") as fh:
+        fh.write("\n".join(lines) + "\n")
+
+
+def test_process_log_mixed_layouts_and_bad_lines(spark, tmp_path):
+    cols = list(V.REQUIRED_COLUMNS)
+    row = dict(zip(cols, ["P1", "EH36", "미국", "T", "32", "3700", "15100", V.HSB_ON, "1호기", "1열", "1150", "116", "1140",
+                          "59", "259", "TMCP(온도제어)", "920", "8", "1조", "14AUG2026:07:20:00"]))
+
+    def line(order, **change):
+        return ",".join({**row, **change}[c] for c in order)
+    _write_lines(f"{tmp_path}/a.csv", "cp949", [",".join(cols), line(cols), line(cols, plate_no="P2", pt_thick="")])
+    back = cols[::-1]
+    _write_lines(f"{tmp_path}/b.csv", "utf-8", [
+        ",".join([*back, "note"]), line(back, plate_no="P3") + ",x", line(back, plate_no="P4"), "P5,only",
+        line(back, plate_no="P6", pt_width="wide") + ",", line(back, plate_no="P7", rolling_date="now") + ",", ""])
+    got = {r["plate_no"]: r for r in PL.read_process_log(spark, f"file:{tmp_path}/*.csv").collect()}
+    assert sorted(got) == ["P1", "P2", "P3"]
+    assert (got["P3"]["pt_thick"], got["P3"]["pt_width"], got["P3"]["note"]) == (32, 3700, "x")
+    assert got["P2"]["pt_thick"] is None and got["P1"]["note"] is None and got["P1"]["hsb"] == got["P3"]["hsb"] == V.HSB_ON
+    bad = sorted((r["reason"], "b.csv" in r["file"]) for r in PL.rejected_lines(spark, f"file:{tmp_path}/*.csv").collect())
+    assert bad == [("malformed", True), ("malformed", True), ("pt_width_unparsable", True), ("rolling_date_unparsable", True)]
+
+
+def test_process_log_refuses_a_file_without_a_required_column(spark, tmp_path):
+    cols = list(V.REQUIRED_COLUMNS)
+    _write_lines(f"{tmp_path}/a.csv", "utf-8", [",".join(cols), ",".join("1" for _ in cols)])
+    _write_lines(f"{tmp_path}/b.csv", "cp949", [",".join(cols[:-1]), ",".join(V.HSB_ON for _ in cols[:-1])])
+    with pytest.raises(ValueError, match="rolling_date"):
+        PL.read_process_log(spark, f"file:{tmp_path}/*.csv")
