@@ -1,18 +1,18 @@
 """Language identification by cross-parsing entropy.
 
-**Model.**  For each language a suffix automaton of labelled text: the most frequent
-distinct words (runs of letters, lower-cased, by the number of labelled rows they occur
-in) of a bounded sample of rows, each between spaces.  The bounds ``rows`` and
-``vocabulary`` are parameters per language; the rows are those with the smallest hashes of
-their ids, so the sample doesn't depend on order or partitioning.  Only the words travel
-to the workers, which build the automata once.
-
-**Cross-parsing.**  A text is parsed, word by word, into the fewest left-to-right phrases,
-each the longest match in the automaton (a character that it doesn't hold is a phrase of
-its own).  The cross entropy of a language is ``phrases * log2(size of its text) /
-characters``; the lowest wins, ties go to the smaller name.  As phrases end with words, the
-parse of a word is always the same, so each worker caches it (a bounded number of words)
-and a document costs one lookup per word.
+**Model.**  For each language a suffix automaton of labelled running text: the whole texts of
+a bounded sample of its rows, case-folded, with every run of characters that aren't letters
+as one space.  The bounds ``rows`` (rows per language) and ``languages`` (the labels with
+most rows) are parameters; the rows are those with the smallest hashes of their ids, so the
+sample doesn't depend on order or partitioning.  Only the sampled texts travel to the
+workers, which build the automata once.
+
+**Cross-parsing.**  A text, prepared in the same way, is parsed from left to right into
+phrases, each the longest match anywhere in the language's text, across words (a character
+that it doesn't hold is a phrase of its own).  The cross entropy of a language is
+``phrases * log2(size of its text) / characters``; the lowest wins, ties go to the smaller
+name.  Fewest normalised phrases thus win, and a longer labelled text gives no advantage
+by its size alone.
 
 The score is ``1 - best / second`` of the cross entropies (1 if a single language is
 known): 0 for a tie, near 1 for a clear winner.
@@ -25,8 +25,8 @@ result.
 
 from __future__ import annotations
 
-import math
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,69 +35,136 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.llm.common import own_names, worker_state
+from platewise.llm.common import own_names, steps, worker_state
 
 UNKNOWN = "und"
-CACHED = 300_000
-#: Longer words are left out of the sample and of the cache, but parsed all the same.
-MAX_WORD = 40
+#: Texts that a worker parses together, and the least number worth reading in step.
+IN_HAND = 3_000
+IN_STEP = 20
 
 
 class SuffixAutomaton:
-    """Automaton of all substrings of a text (online construction)."""
-
-    def __init__(self, text: str):
-        self.size = len(text)
-        self.next: list[dict[str, int]] = [{}]
-        link, length = [-1], [0]
+    """Automata of all substrings of texts (online construction), one per text, in one
+    table of transitions: state * letters + letter -> state, or -1.  The last letter stands
+    for all characters that no text has; it has no transitions."""
+
+    def __init__(self, texts: list[str]):
+        every = sorted(set().union(*texts))
+        self.letters = len(every) + 1
+        self.code = np.full(0x110000, len(every), np.uint8 if len(every) < 256 else np.int32)
+        self.code[[ord(c) for c in every]] = np.arange(len(every))
+        self.size = np.array([len(t) for t in texts])
+        self.roots: list[int] = []
+        tables, used = [], 0
+        for t in texts:
+            self.roots.append(used)
+            tables.append(self._table(self.coded(t).tolist(), used))
+            used += len(tables[-1]) // self.letters
+        self.table = array("i", b"".join(x.tobytes() for x in tables))
+        self.steps = np.frombuffer(self.table, np.int32) if used else np.zeros(0, np.int32)
+
+    def coded(self, text: str) -> np.ndarray:
+        return self.code[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+
+    def _table(self, codes: list[int], base: int) -> array:
+        width = self.letters
+        none = array("i", [-1]) * width
+        nxt, link, length = array("i", none), [-1], [0]
         last = 0
-        for c in text:
-            cur = len(self.next)
-            self.next.append({})
+        for c in codes:
+            cur = len(link)
+            nxt.extend(none)
             length.append(length[last] + 1)
             link.append(0)
             p = last
-            while p != -1 and c not in self.next[p]:
-                self.next[p][c] = cur
+            while p != -1 and nxt[p * width + c] < 0:
+                nxt[p * width + c] = cur + base
                 p = link[p]
             if p != -1:
-                q = self.next[p][c]
+                q = nxt[p * width + c] - base
                 if length[q] == length[p] + 1:
                     link[cur] = q
                 else:
-                    clone = len(self.next)
-                    self.next.append(dict(self.next[q]))
+                    clone = len(link)
+                    nxt.extend(nxt[q * width:(q + 1) * width])
                     length.append(length[p] + 1)
                     link.append(link[q])
-                    while p != -1 and self.next[p].get(c) == q:
-                        self.next[p][c] = clone
+                    while p != -1 and nxt[p * width + c] == q + base:
+                        nxt[p * width + c] = clone + base
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-
-    def phrases(self, text: str) -> int:
-        """Phrases of the greedy parse of ``text`` into longest matches."""
-        nxt, state, n = self.next, 0, 0
-        for c in text:
-            to = nxt[state].get(c)
-            if to is None:
-                n += 1  # a phrase ends before c ...
-                to = nxt[0].get(c)
-                if to is None:  # ... and c, unknown, is one of its own
-                    n += state != 0
-                    to = 0
-                elif state == 0:
-                    n -= 1
+        return nxt
+
+    def _finish(self, codes: list[int], root: int, state: int) -> int:
+        """Phrases from ``state`` to the end of one text."""
+        table, width, n = self.table, self.letters, 0
+        for c in codes:
+            to = table[state * width + c]
+            if to < 0:
+                n += state != root  # a phrase ends before c ...
+                to = table[root * width + c]
+                if to < 0:  # ... and c, unknown, is one of its own
+                    n += 1
+                    to = root
             state = to
-        return n + (state != 0)
-
-
-def training_words(docs: DataFrame, usable: Column, rows: int = 400, vocabulary: int = 4_000, id_col: str = "doc_id",
+        return n + (state != root)
+
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """Phrases of the greedy parse of each text into longest matches: texts x automata.
+        The texts are read in step, a letter of each at a time, while many are left."""
+        out = np.zeros((len(texts), len(self.roots)), np.int64)
+        if not len(self.roots):
+            return out
+        size = np.array([len(t) for t in texts], np.int64)
+        order = np.argsort(-size, kind="stable")
+        codes = self.coded("".join(texts[i] for i in order))
+        size = size[order]
+        at = np.cumsum(size) - size
+        roots = np.array(self.roots, np.int64)[:, None]
+        state = np.repeat(roots, len(texts), axis=1)
+        n = np.zeros(state.shape, np.int64)
+        first = self.steps[roots * self.letters + np.arange(self.letters)]  # automata x letters: steps from the roots
+        left, t = len(texts), 0
+        while True:
+            while left and size[left - 1] <= t:
+                left -= 1
+            if left < IN_STEP:
+                break
+            c = codes[at[:left] + t].astype(np.int64)
+            now = state[:, :left]
+            to = self.steps[now * self.letters + c]
+            a, d = np.nonzero(to < 0)
+            if len(a):
+                again = first[a, c[d]]
+                n[a, d] += (now[a, d] != roots[a, 0]).astype(np.int64) + (again < 0)
+                to[a, d] = np.where(again < 0, roots[a, 0], again)
+            state[:, :left] = to
+            t += 1
+        ended = np.arange(len(texts)) >= left
+        n[:, ended] += (state != roots)[:, ended]
+        for i in range(left):
+            rest = codes[at[i] + t:at[i] + size[i]].tolist()
+            for k, root in enumerate(self.roots):
+                n[k, i] += self._finish(rest, root, int(state[k, i]))
+        out[order] = n.T
+        return out
+
+
+def prepared(text: str, cut) -> str:
+    """The letters of a text, case-folded, with one space for all else between them and at
+    the ends; empty if it has no letter."""
+    words = cut(text.lower())
+    return f" {' '.join(words)} " if words else ""
+
+
+def training_texts(docs: DataFrame, usable: Column, rows: int = 24, languages: int = 64, id_col: str = "doc_id",
                    text_col: str = "text", lang_col: str = "lang") -> dict[str, list[str]]:
-    """Words of each language; at most ``vocabulary`` from at most ``rows`` rows."""
+    """Labelled texts: of each of at most ``languages`` labels at most ``rows`` rows."""
     known = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     ids = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"))
-    counts = {r["lang"]: r["n"] for r in ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     # hashes below a bound that leaves about four times the rows of each language, so
     # that only those are ranked
     below = {k: min(1.0, (4 * rows + 100) / n) for k, n in counts.items()}
@@ -109,80 +176,52 @@ def training_words(docs: DataFrame, usable: Column, rows: int = 400, vocabulary:
         "n", F.row_number().over(order)).filter(F.col("n") <= rows).select("id", "lang")
     # at most ``rows`` ids per language
     texts = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(
-        F.broadcast(ids), ["id", "lang"], "left_semi")
-    words = texts.select("lang", F.explode(F.array_distinct(F.split(F.lower("t"), r"[^\p{L}]+"))).alias("w")).filter(
-        F.length("w").between(1, MAX_WORD))
-    ranked = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).filter(F.col("k") <= vocabulary)
-    got = ranked.select("lang", "w").toArrow()
+        F.broadcast(ids), ["id", "lang"], "left_semi").distinct()
     out: dict[str, list[str]] = {}
-    for lang, w in sorted(zip(got.column("lang").to_pylist(), got.column("w").to_pylist(), strict=True)):
-        out.setdefault(lang, []).append(w)
+    for r in sorted(texts.collect()):
+        out.setdefault(r["lang"], []).append(r["t"])
     return out
 
 
 class Model:
-    """Automata of the languages and a cache of parsed words."""
+    """Automata of the languages."""
 
-    def __init__(self, words: dict[str, list[str]]):
+    def __init__(self, texts: dict[str, list[str]]):
         import regex
 
-        self.langs = sorted(words)
-        self.automata = [SuffixAutomaton(" " + " ".join(words[k]) + " ") for k in self.langs]
-        self.weight = np.array([math.log2(max(a.size, 2)) for a in self.automata])
         self.cut = regex.compile(r"\p{L}+").findall
-        self.rows = np.zeros((4096, len(self.langs) + 1), np.int64)
-        self.at: dict[str, int] = {}
-
-    def parse(self, word: str) -> list[int]:
-        """Phrases per language, and characters, of a word with its end."""
-        spaced = f"{word} "
-        return [*(a.phrases(spaced) for a in self.automata), len(spaced)]
-
-    def totals(self, text: str) -> np.ndarray:
-        """Phrases per language, and characters, of a text."""
-        words = self.cut(text.lower())
-        if len(self.at) >= CACHED:
-            self.at.clear()
-        at, total, where = self.at, np.zeros(len(self.langs) + 1, np.int64), []
-        for w in words:
-            k = at.get(w)
-            if k is None:
-                row = self.parse(w)
-                if len(w) > MAX_WORD:
-                    total += row
-                    continue
-                k = at[w] = len(at)
-                if k >= len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[k] = row
-            where.append(k)
-        return total + self.rows[np.array(where, np.int64)].sum(axis=0)
-
-    def predict(self, text: str | None) -> tuple[str, float, float]:
-        """(language, score, phrases per character of that language)."""
-        if not text or not self.langs:
-            return UNKNOWN, 0.0, 1.0
-        t = self.totals(text)
-        if not t[-1]:
-            return UNKNOWN, 0.0, 1.0
-        entropy = t[:-1] * self.weight / t[-1]
-        order = np.argsort(entropy, kind="stable")
-        best = int(order[0])
-        score = 1.0 - entropy[best] / entropy[order[1]] if len(order) > 1 else 1.0
-        return self.langs[best], float(score), float(t[best] / t[-1])
-
-
-def predict(docs: DataFrame, words: dict[str, list[str]], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+        self.langs = sorted(texts)
+        self.automata = SuffixAutomaton(["".join(prepared(t, self.cut) for t in texts[k]) for k in self.langs])
+        self.weight = np.log2(np.maximum(self.automata.size, 2))
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, score, phrases per character of that language) of each text."""
+        clean = [prepared(t, self.cut) if t and self.langs else "" for t in texts]
+        out = [(UNKNOWN, 0.0, 1.0)] * len(texts)
+        known = [i for i, t in enumerate(clean) if t]
+        counts = self.automata.phrases([clean[i] for i in known])
+        for i, phrases in zip(known, counts, strict=True):
+            entropy = phrases * self.weight / len(clean[i])
+            order = np.argsort(entropy, kind="stable")
+            best = int(order[0])
+            score = 1.0 - entropy[best] / entropy[order[1]] if len(order) > 1 else 1.0
+            out[i] = self.langs[best], float(score), float(phrases[best] / len(clean[i]))
+        return out
+
+
+def predict(docs: DataFrame, labelled: dict[str, list[str]], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of ``docs`` (by default all that aren't named as a result)
     with ``__lang``, ``__score`` and ``__rate`` (phrases per character)."""
-    shared, name = docs.sparkSession.sparkContext.broadcast(words), uuid.uuid4().hex
+    shared, name = docs.sparkSession.sparkContext.broadcast(labelled), uuid.uuid4().hex
     carry = [c for c in docs.columns if c not in ("__lang", "__score", "__rate")] if carry is None else carry
+    rows, (text, *kept) = own_names(docs, text_col, *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_state(("langid", name), lambda: Model(shared.value))
         for b in batches:
-            found = [model.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
+            found: list[tuple] = []
+            for part in steps(iter([b]), IN_HAND):
+                found += model.predict(part.column(part.num_columns - 1).to_pylist())
             lang, score, rate = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())],
@@ -190,7 +229,7 @@ def predict(docs: DataFrame, words: dict[str, list[str]], text_col: str = "text"
 
     schema = T.StructType([docs.schema[c] for c in carry]).add("__lang", "string").add("__score", "double").add(
         "__rate", "double")
-    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(text_col).alias("__t")).mapInArrow(run, schema)
+    return rows.select(*kept, F.col(text).alias("t")).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -203,9 +242,9 @@ def keep_identified(docs: DataFrame, most: float = 0.5, id_col: str = "doc_id",
     """The documents in one of the languages learned from the held-in rows: those whose
     best parse needs at most ``most`` phrases per character, with their own columns.
     Without any labelled row nothing can be judged and all documents stay."""
-    words = training_words(docs, ~held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col)
-    if not words:
+    labelled = training_texts(docs, ~held_out(id_col), id_col=id_col, text_col=text_col, lang_col=lang_col)
+    if not labelled:
         return docs
     rows, (text,) = own_names(docs, text_col)
-    out = predict(rows, words, text).filter((F.col("__lang") != UNKNOWN) & (F.col("__rate") <= most))
+    out = predict(rows, labelled, text).filter((F.col("__lang") != UNKNOWN) & (F.col("__rate") <= most))
     return out.select(*rows.columns).toDF(*docs.columns)

@@ -136,7 +136,7 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
     groups = max(1, -(-docs.count() // group))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "piece"), F.lit(groups)).cast("int"))
     kind = docs.schema[id_col].dataType.simpleString()
-    packed = dealt.repartition(groups, "group").sortWithinPartitions("group", F.desc("length"), "id", "piece").mapInArrow(
+    packed = dealt.repartition("group").sortWithinPartitions("group", F.desc("length"), "id", "piece").mapInArrow(
         _packer(tuple(capacities), quadratic, fill), _PACKED.format(kind=kind))
     return packed.select(
         F.col("id").alias(id_col), "piece", (F.col("piece").cast("long") * largest).alias("start"), "length",

@@ -95,8 +95,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the documents that aren't held out."""
     docs = table(spark, sf_dir, "documents")
-    words = LI.training_words(docs, ~LI.held_out())
-    return LI.predict(docs, words, carry=["doc_id"]).select(
+    labelled = LI.training_texts(docs, ~LI.held_out())
+    return LI.predict(docs, labelled, carry=["doc_id"]).select(
         "doc_id", F.coalesce(LI.held_out(), F.lit(False)).alias("held_out"), F.col("__lang").alias("lang_pred"),
         F.col("__score").alias("score"))
 

@@ -8,29 +8,29 @@ hold it but the first.
 **Seeds.**  The hashes of all ``gram``-word grams are winnowed: each window's anchor is
 the leftmost gram with the least hash among those inside it.  Equal windows have the same
 anchor at the same place, so nothing longer than the threshold is missed, and a document
-has about one anchor in six words.  An anchor stands for the run of windows that chose it;
-its *extension* is the text from the first of these windows to the end of the last, in
-both directions from the seed.
-
-**First scan.**  Per anchor (grouped with map-side minima and maxima, so a hot one sends
-one row per task): smallest and largest id, smallest and largest extension hash.
-* one id only: nothing can repeat; by far the most anchors.
-* several ids, one extension: a *settled* anchor.  The whole extension repeats, in every
-  document but the smallest.
-* several extensions: an *open* anchor, whose windows are compared one by one.
-
-**Second scan.**  Settled and open anchors are set in two bit maps of fixed size
-(``2**bitmap_bits`` bits, a parameter) that are broadcast; the scan emits rows for these
-anchors only.  A false positive of the maps costs a row, never a result: settled rows are
-joined with their anchors exactly, and windows of open anchors are grouped by (anchor,
-window) to the smallest id and joined back.  At sizes where the maps fill up they merely
-cease to save rows.  Groups of any size are handled by aggregates and by joins whose
-other side has one row a key (AQE splits hot keys); no pairs of documents are made.
-
-**Maximal repeats.**  Repeated extensions and windows are merged per document into
-disjoint spans of at least ``length`` words.
-
-Hashes are 64-bit per anchor and 64-bit per extension or window, used together.
+has about one anchor in six words.  An anchor stands for the run of windows that chose it.
+Only grams that several documents have are seeds.
+
+**Extension.**  A seed is extended in both directions to the text of its whole run, from the
+first window to the end of the last.  Of each distinct extension the document with the
+smallest id is kept; in all others the whole run repeats and goes.  That settles copies,
+however many there are.  Seeds with several distinct extensions are *open*, and only the
+first document of each extension goes on: its run is cut in two by the side on which its
+windows need more of the context, and the gram is extended by half of the missing words to the
+left or to the right.  What has that longer seed in common with others is settled or stays
+open in the same way, and the parts that are still open end in single windows.
+
+Seeds and open places are set in bit maps of at most ``2**bitmap_bits`` bits (a
+parameter) that are broadcast, so a scan emits rows for these only.  A false positive of
+the maps costs a row, never a result, since all comparisons are made on the rows; at sizes
+where the maps fill up they merely cease to save rows.  Groups of any size are handled by
+aggregates on both sides of the shuffle and by joins whose other side has one row a key
+(AQE splits hot keys); no pairs of documents are made.
+
+**Maximal repeats.**  Repeated runs and windows are merged per document into disjoint
+spans of at least ``length`` words.
+
+Hashes are 64-bit per gram and 64-bit per extension, used together.
 
 Defined results: null and empty texts and those shorter than a window keep all words.
 Rows that repeat an id are one document (its texts are taken to be equal) and don't
@@ -48,10 +48,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.llm.common import own_names, persisted, steps, worker_state
+from platewise.llm.anchors import (ROWS, Piece, Powers, Shape, bitmap, distinct_texts, hash_buckets, merged_spans, open_places, places,
+                                   repeated_grams, scan)
+from platewise.llm.common import own_names, persisted, removed, steps, worker_state
 
-_M = 0x9E3779B97F4A7C15
-_M_INV = pow(_M, -1, 1 << 64)
 CACHED_WORDS = 200_000
 #: Documents whose rows a task holds at a time.
 STEP = 1_000
@@ -69,208 +69,93 @@ class _WordHashes(dict):
         return v
 
 
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+def _state() -> tuple[Powers, _WordHashes]:
+    return worker_state(("words",), lambda: (Powers(1 << 20), _WordHashes()))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the multiplier and of its inverse, at least ``n + 1`` of them."""
-    if len(_POWERS[0]) <= n:
-        size = max(1 << 15, 1 << (n + 1).bit_length())
-        for i, m in enumerate((_M, _M_INV)):
-            _POWERS[i] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, m, np.uint64))])
-    return _POWERS
+def _powers() -> Powers:
+    return _state()[0]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Final mixing of 64-bit hashes (the splitmix64 constants)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _pieces(column: pa.Array) -> Iterator[Piece]:
+    """The words of up to ``STEP`` documents at a time, as hashes."""
+    hashes = _state()[1]
+    for i in range(0, len(column), STEP):
+        texts = [t.as_buffer().to_pybytes().split() if t.is_valid else [] for t in column.slice(i, STEP)]
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(n)
+        letters = np.fromiter((hashes[w] for words in texts for w in words), np.uint64, int(ends[-1]))
+        yield letters, ends - n, ends, i, 0
 
 
-class Anchors:
-    """Anchors of a document: hash, first window and number of windows of each, with
-    hashes of their extensions and windows."""
+def _later(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, pos, n) of the runs whose extension a document with a smaller id has."""
+    several = found.filter("n_rows > 1").select("h", "ext", "first")
+    return rows.join(several, ["h", "ext"]).filter("id > first").select("id", "pos", "n")
 
-    def __init__(self, words: list[bytes], length: int, gram: int, hashes: _WordHashes):
-        n = len(words)
-        ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
-        power, self.inverse = _powers(n + 1)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(ids * power[:n])])
-        self.length = length
-        grams = _mix((self.sums[gram:] - self.sums[:-gram]) * self.inverse[:n - gram + 1] + np.uint64(gram))
-        inside = np.lib.stride_tricks.sliding_window_view(grams, length - gram + 1)
-        chosen = inside.argmin(axis=1) + np.arange(n - length + 1)
-        self.first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-        self.count = np.diff(np.concatenate([self.first, [len(chosen)]]))
-        self.at = chosen[self.first]
-        self.hash = grams[self.at]
 
-    def _text(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.inverse[start]
-
-    def extensions(self) -> np.ndarray:
-        shape = (self.at - self.first) * 1_000_003 + self.count * 7_919
-        return _mix(self._text(self.first, self.first + self.count - 1 + self.length) + shape.astype(np.uint64))
-
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the anchor, start, hash) of the windows of the anchors ``which``."""
-        k = np.repeat(which, self.count[which])
-        ends = np.cumsum(self.count[which])
-        start = np.arange(len(k)) - np.repeat(ends - self.count[which], self.count[which]) + self.first[k]
-        return k, start, _mix(self._text(start, start + self.length) + (self.at[k] - start).astype(np.uint64))
-
-
-def _anchored(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[int, Anchors]]:
-    hashes = worker_state(("word-hashes",), _WordHashes)
-    for i, t in enumerate(batch.column(1)):
-        words = t.as_buffer().to_pybytes().split() if t.is_valid else []
-        if len(words) >= length:
-            yield i, Anchors(words, length, gram, hashes)
-
-
-def _column(parts: list[np.ndarray], kind) -> pa.Array:
-    return pa.array(np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind))
-
-
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
-
-
-def _first_scan(length: int, gram: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in steps(batches, STEP):
-            which, hashes, exts = [], [], []
-            for i, a in _anchored(b, length, gram):
-                which.append(np.full(len(a.hash), i))
-                hashes.append(_signed(a.hash))
-                exts.append(_signed(a.extensions()))
-            ids = b.column(0).take(_column(which, np.int64))
-            yield pa.RecordBatch.from_arrays([ids, _column(hashes, np.int64), _column(exts, np.int64)],
-                                             names=["id", "h", "ext"])
-
-    return run
-
-
-def _in_map(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether the map may hold each hash: bit (h mod 64) of word (h / 64 mod size)."""
-    word = (hashes >> np.uint64(6)) & np.uint64(len(bits) - 1)
-    return (bits[word] >> (hashes & np.uint64(63))) & np.uint64(1) == 1
+def repeats(docs: DataFrame, length: int = 13, gram: int = 4, bitmap_bits: int = 28, id_col: str = "doc_id",
+            text_col: str = "text") -> DataFrame:
+    """(id, starts, ends): for each document with repeats, its repeated stretches as arrays
+    of word positions in order of start; stretches may overlap."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("k"), F.col(text_col).cast("binary").alias("t"))
+    shape = Shape(length, length - gram + 1, -(-(length - gram + 1) // 2))
+    grams = persisted(repeated_grams(texts, shape, _pieces, _powers, hash_buckets(docs, text_col, 30)), "grams")
+    maps, covered = [bitmap(grams, bitmap_bits)], []
+    for step in ("runs", "parts", "windows"):
+        rows = persisted(texts.mapInArrow(scan(step, shape, maps, _pieces, _powers), f"id {kind}, {ROWS}"), step)
+        found = persisted(distinct_texts(rows), f"{step}-found")
+        covered.append(persisted(_later(rows, found), "covered"))
+        if step != "windows":
+            maps.append(bitmap(places(open_places(found)), bitmap_bits))
+        removed(rows)
+        removed(found)
+    spans = covered[0].unionByName(covered[1]).unionByName(covered[2])
+    stretch = F.struct(F.col("pos").alias("s"), (F.col("pos") + F.col("n") - 1 + length).alias("e"))
+    # a document has at most as many as it has words
+    return spans.groupBy("id").agg(F.sort_array(F.collect_set(stretch)).alias("x")).select(
+        F.col("id").alias(id_col), F.col("x.s").alias("starts"), F.col("x.e").alias("ends"))
 
 
-def _second_scan(length: int, gram: int, maps):
+def _cut(names: list[str]):
+    """(names, n_words, n_removed, kept) from (names, text, starts, ends)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        settled, opened = (np.frombuffer(x, np.uint64) for x in maps.value)
         for b in steps(batches, STEP):
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
-
-            def add(i, h, win, start, n, cols=cols):
-                for c, x in zip(cols, (np.full(len(h), i), _signed(h), win, start, n), strict=True):
-                    c.append(x)
-
-            for i, a in _anchored(b, length, gram):
-                is_open = _in_map(opened, a.hash)
-                done = np.flatnonzero(_in_map(settled, a.hash) & ~is_open)
-                add(i, a.hash[done], np.zeros(len(done), np.int64), a.first[done], a.count[done])
-                k, start, win = a.windows(np.flatnonzero(is_open))
-                add(i, a.hash[k], _signed(win), start, np.zeros(len(k), np.int64))
+            n_words, n_removed, kept = [], [], []
+            for t, s, e in zip(*b.columns[-3:], strict=True):
+                words = t.as_buffer().to_pybytes().split() if t.is_valid else []
+                at, left = 0, []
+                for lo, hi in zip(*merged_spans(s.values.to_numpy(), e.values.to_numpy()), strict=True) if s.is_valid else ():
+                    left += words[at:lo]
+                    at = hi
+                left += words[at:]
+                n_words.append(len(words))
+                n_removed.append(len(words) - len(left))
+                kept.append(b" ".join(left))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(_column(cols[0], np.int64)), _column(cols[1], np.int64), _column(cols[2], np.int64),
-                 _column(cols[3], np.int32), _column(cols[4], np.int32)], names=["id", "h", "win", "start", "n"])
+                [*b.columns[:-3], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                 pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, "__n_words", "__n_removed", "__kept"])
 
     return run
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> bytes:
-    """The bit map of the hashes ``h``: 2**bits bits, whatever the number of hashes."""
-    size = 1 << (bits - 6)
-    rows = hashes.select(
-        F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(size - 1)).alias("word"),
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    got = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out.tobytes()
-
-
-def repeats(docs: DataFrame, length: int = 13, gram: int = 4, bitmap_bits: int = 26, id_col: str = "doc_id",
-            text_col: str = "text") -> DataFrame:
-    """(id, spans): for each document with repeats, its maximal repeats as an array of
-    (start, end) word positions, in order and disjoint."""
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
-    seen = texts.mapInArrow(_first_scan(length, gram), f"id {kind}, h long, ext long")
-    anchors = persisted(
-        seen.groupBy("h").agg(F.min("id").alias("first"), F.max("id").alias("last"),
-                              F.min("ext").alias("e0"), F.max("ext").alias("e1"))
-        .filter("first < last").select("h", "first", (F.col("e0") == F.col("e1")).alias("settled")), "anchors")
-    maps = spark.sparkContext.broadcast((_bitmap(anchors.filter("settled"), bitmap_bits),
-                                         _bitmap(anchors.filter("not settled"), bitmap_bits)))
-    found = persisted(texts.mapInArrow(_second_scan(length, gram, maps),
-                                       f"id {kind}, h long, win long, start int, n int"), "anchor-rows")
-    whole = found.filter("n > 0").join(anchors.filter("settled").select("h", "first"), "h").filter("id > first")
-    windows = found.filter("n = 0")
-    first = persisted(windows.groupBy("h", "win").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-                      .filter("first < last").drop("last"), "window-firsts")
-    single = windows.join(first, ["h", "win"]).filter("id > first")
-    covered = whole.select("id", "start", (F.col("start") + F.col("n") - 1 + length).alias("end")).unionByName(
-        single.select("id", "start", (F.col("start") + length).alias("end")))
-    # a document has at most as many as it has words
-    return covered.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")).select(
-        F.col("id").alias(id_col), _merged("spans").alias("spans"))
-
-
-def _merged(spans: str):
-    """Overlapping and touching spans of a sorted array joined, in one fold per row."""
-    span = "struct<start:int,end:int>"
-    return F.expr(f"""
-        aggregate({spans}, named_struct('done', cast(array() as array<{span}>), 'open', cast(null as {span})),
-          (acc, s) -> if(acc.open is null, named_struct('done', acc.done, 'open', s),
-            if(s.start <= acc.open.end,
-               named_struct('done', acc.done,
-                            'open', named_struct('start', acc.open.start, 'end', greatest(acc.open.end, s.end))),
-               named_struct('done', concat(acc.done, array(acc.open)), 'open', s))),
-          acc -> concat(acc.done, array(acc.open)))""")
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(..., n_words, n_removed, kept) in place of (..., text, spans)."""
-    for b in steps(batches, STEP):
-        n_words, n_removed, kept = [], [], []
-        starts, ends = b.column("__starts").to_pylist(), b.column("__ends").to_pylist()
-        for t, s, e in zip(b.column("__text"), starts, ends, strict=True):
-            words = t.as_buffer().to_pybytes().split() if t.is_valid else []
-            at, left = 0, []
-            for lo, hi in zip(s or (), e or (), strict=True):
-                left += words[at:lo]
-                at = hi
-            left += words[at:]
-            n_words.append(len(words))
-            n_removed.append(len(words) - len(left))
-            kept.append(b" ".join(left))
-        names = [n for n in b.schema.names if n not in ("__text", "__starts", "__ends")]
-        yield pa.RecordBatch.from_arrays(
-            [*(b.column(n) for n in names), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-             pa.array(kept, pa.binary()).cast(pa.string())], names=[*names, "__n_words", "__n_removed", "__kept"])
-
-
 def remove_repeats(docs: DataFrame, length: int = 13, gram: int = 4, id_col: str = "doc_id",
                    text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of ``docs`` with ``__n_words``, ``__n_removed`` and
-    ``__kept``: the words that stay, joined by one space."""
+    """The columns ``carry`` of ``docs`` (by default the id) with ``__n_words``, ``__n_removed``
+    and ``__kept``: the words that stay, joined by one space."""
+    carry = carry or [id_col]
+    rows, (key, text) = own_names(docs, id_col, text_col)
     # the written spans have a known size: the planner broadcasts them only if small
-    spans = persisted(repeats(docs, length, gram, id_col=id_col, text_col=text_col).select(
-        F.col(id_col).alias("__id"), F.col("spans.start").alias("__starts"), F.col("spans.end").alias("__ends")), "spans")
-    keep = [F.col(f"`{c}`") for c in (carry or [id_col])]
-    rows = docs.join(spans, F.col(id_col) == F.col("__id"), "left").select(
-        *keep, F.col(text_col).cast("binary").alias("__text"), "__starts", "__ends")
-    schema = T.StructType([docs.schema[c] for c in (carry or [id_col])]).add("__n_words", "long").add(
+    spans = persisted(repeats(rows, length, gram, id_col=key, text_col=text), "spans").select(
+        F.col(key).alias("i"), F.col("starts").alias("s"), F.col("ends").alias("e"))
+    keep = [rows.columns[docs.columns.index(c)] for c in carry]
+    joined = rows.join(spans, F.col(key) == F.col("i"), "left").select(
+        *keep, F.col(text).cast("binary").alias("t"), "s", "e")
+    schema = T.StructType([docs.schema[c] for c in carry]).add("__n_words", "long").add(
         "__n_removed", "long").add("__kept", "string")
-    return rows.mapInArrow(_cut, schema)
+    return joined.mapInArrow(_cut(carry), schema)
 
 
 def keep_unrepeated(docs: DataFrame, length: int = 13, gram: int = 4, id_col: str = "doc_id",

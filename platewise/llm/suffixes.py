@@ -13,7 +13,7 @@ gram (``h``), then that of the text of the whole run (``ext``).  The order isn't
 bytes, but equal texts are neighbours, which is all that a search for long matches needs.
 
 **Family.**  Documents are taken in batches of ascending ids.  A batch gets its suffix array:
-its distinct suffixes sorted by (h, ext), each with its first place.  It is merge-scanned
+its distinct suffixes sorted by (h, ext), each with its first document.  It is merge-scanned
 against every existing level (sorted merge on (h, ext)): a suffix that a level or an
 earlier place of the batch has is a long match, and its whole run goes.  The other
 suffixes become a level of their own; while the two last levels are of equal size they are
@@ -21,13 +21,14 @@ merged into one of twice the size, so n batches leave at most log2(n) + 1 levels
 is rewritten log2(n) times.  Levels hold a copy's suffixes once.
 
 **Extension of partial matches.**  Suffixes with equal h but different ext share a gram and
-perhaps some of their windows.  For the first places of such suffixes (*open* ones) the run
+perhaps some of their windows.  For the first documents of such suffixes (*open* ones) the run
 is cut into eighths, aligned with the anchor, whose common text is the new h, and then into
 single windows; each time only what is still open goes on.  Copies of a text take no
 part in this: the first of them stands for all.
 
-What bounds it: a suffix whose gram comes once can't match; a bit map of ``2**bitmap_bits``
-bits of the repeated grams keeps those out of the family, another one marks the open places.
+What bounds it: a suffix whose gram comes once can't match; a bit map of the repeated grams
+(16 bits each, at most ``2**bitmap_bits`` in all) keeps those out of the family, others mark
+the open places.
 A false positive costs a row, never a result; when the maps fill up they merely cease
 to save rows.  Groups of any size are aggregated on both sides of the shuffle or joined with a
 side that has one row a key (AQE splits hot keys).  A task holds a few MB of text; documents
@@ -45,257 +46,92 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from platewise.llm.anchors import (ROWS, Piece, Powers, Shape, bitmap, distinct_texts, hash_buckets, merged_spans, mix, open_places,
+                                   places, repeated_grams, scan)
 from platewise.llm.common import own_names, persisted, removed, worker_state
 
-_M = 0x9E3779B97F4A7C15
-_M_INV = pow(_M, -1, 1 << 64)
 #: Bytes that a task works on at a time; longer documents are cut at multiples of it.
-PIECE = 2 << 20
+PIECE = 1 << 20
 EIGHTHS = 8
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Final mixing of 64-bit hashes (the splitmix64 constants)."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shape:
-    """Lengths that follow from the window's."""
-
-    def __init__(self, length: int):
-        self.length = length
-        self.offsets = 1
-        while 3 * self.offsets * 2 <= 2 * length:
-            self.offsets *= 2
-        self.gram = length - self.offsets + 1
-        self.eighth = max(1, self.offsets // EIGHTHS)
-
-
-class _Powers:
-    """Powers of the multiplier and of its inverse for a piece; a value per byte."""
-
-    def __init__(self):
-        self.letters = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_M))
-        self.n = 0
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if self.n < n:
-            self.n = max(n, PIECE + (1 << 16))
-            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(self.n, m, np.uint64))])
-                                  for m in (_M, _M_INV))
-        return self.up, self.down
-
-
-class Suffixes:
-    """Sampled suffixes of a piece of text that holds whole documents (or a part of one):
-    window runs ``first``, ``count`` with their anchors ``at`` and fingerprints."""
-
-    def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, shape: Shape, powers: _Powers):
-        n, self.shape = len(text), shape
-        up, self.down = powers.upto(n)
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(powers.letters[text] * up[:n])])
-        k, length = shape.offsets, shape.length
-        grams = _mix((self.sums[shape.gram:] - self.sums[:-shape.gram]) * self.down[:n - shape.gram + 1])
-        # leftmost least hash of each k grams: minima of prefixes and suffixes of blocks of k
-        key = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
-        tiles = np.concatenate([key, np.full(-len(key) % k + k, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, k)
-        windows = n - length + 1
-        least = np.minimum(np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()[:windows],
-                           np.minimum.accumulate(tiles, axis=1).ravel()[k - 1:k - 1 + windows])
-        anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        fits = ends - starts >= length
-        inside = np.zeros(n + 1, np.int64)
-        inside[starts[fits]] += 1
-        inside[ends[fits] - length + 1] -= 1
-        at = np.flatnonzero(np.cumsum(inside[:windows]))
-        new = np.flatnonzero(np.concatenate([[True], (anchor[at][1:] != anchor[at][:-1]) | (at[1:] != at[:-1] + 1)]))
-        self.first = at[new]
-        self.count = np.diff(np.concatenate([new, [len(at)]]))
-        self.at = anchor[self.first]
-        self.h = grams[self.at]
-        self.ext = self.text(self.first, self.count, self.at)
-
-    def text(self, first: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Fingerprints of the texts of window runs, with the place of the anchor."""
-        x = (self.sums[first + count - 1 + self.shape.length] - self.sums[first]) * self.down[first]
-        return _mix(x + ((at - first) * 1_000_003 + count * 7_919).astype(np.uint64))
-
-    def eighths(self, which: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(suffix, first, count, h, ext) of the parts of the runs ``which``."""
-        size, length = self.shape.eighth, self.shape.length
-        near = (self.at - self.first - self.count + 1)[which] // size
-        parts = (self.at - self.first)[which] // size - near + 1
-        k = np.repeat(which, parts)
-        part = np.repeat(near, parts) + np.arange(len(k)) - np.repeat(np.cumsum(parts) - parts, parts)
-        right = self.at[k] - part * size  # last window of the whole part
-        first = np.maximum(self.first[k], right - size + 1)
-        count = np.minimum((self.first + self.count)[k], right + 1) - first
-        common = (self.sums[right - size + 1 + length] - self.sums[right]) * self.down[right]
-        return k, first, count, _mix(common + (part.astype(np.uint64) + np.uint64(1)) * np.uint64(_M)), self.text(first, count, self.at[k])
-
-    def windows(self, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, fingerprint) of the windows of runs."""
-        start = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return start, _mix((self.sums[start + self.shape.length] - self.sums[start]) * self.down[start])
-
-
-def _pieces(column: pa.Array, length: int, piece: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
-    """(bytes, starts, ends, index of the first document, place of the piece in it): several
-    short documents together, long ones in pieces that share ``length - 1`` bytes."""
-    wide = pa.types.is_large_binary(column.type)
-    _, offsets, data = column.buffers()
-    place = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
-    text = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    i = 0
-    while i < len(column):
-        j = max(i + 1, int(np.searchsorted(place, place[i] + piece, side="right")) - 1)
-        starts, ends = place[i:j], place[i + 1:j + 1]
-        if ends[-1] - starts[0] > piece:  # one long document
-            for at in range(0, int(ends[0] - starts[0]) - length + 1, piece):
-                lo = int(starts[0]) + at
-                hi = min(int(ends[0]), lo + piece + length - 1)
-                yield text[lo:hi], np.zeros(1, np.int64), np.array([hi - lo]), i, at
-        elif ends[-1] - starts[0] >= length:
-            yield text[starts[0]:ends[-1]], starts - starts[0], ends - starts[0], i, 0
-        i = j
-
-
-def _marks(key: np.ndarray, pos: np.ndarray, ext: np.ndarray) -> np.ndarray:
-    """Hash of a place: of its document's key, position and fingerprint."""
-    return _mix(key.view(np.uint64) * np.uint64(_M) ^ _mix(pos.astype(np.uint64) + ext))
-
-
-def _held(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether a bit map may hold each hash: bit (h mod 64) of word (h / 64 mod size)."""
-    word = (hashes >> np.uint64(6)) & np.uint64(len(bits) - 1)
-    return (bits[word] >> (hashes & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _scan(length: int, step: str, maps: list, piece: int):
-    """Rows of the suffixes (``step`` 'grams': h only; 'suffixes': those with repeated grams),
-    of the eighths of open suffixes or of the windows of open eighths."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, powers = Shape(length), worker_state(("powers",), _Powers)
-        held = [np.frombuffer(m.value, np.uint64) for m in maps]
-        for b in batches:
-            keys = b.column("k").to_numpy()
-            for text, starts, ends, doc, base in _pieces(b.column("t"), length, piece):
-                s = Suffixes(text, starts, ends, shape, powers)
-                if not len(s.first):
-                    continue
-                if step == "grams":
-                    yield pa.RecordBatch.from_arrays([pa.array(s.h.view(np.int64))], names=["h"])
-                    continue
-
-                def place(first: np.ndarray, starts=starts, ends=ends, doc=doc, base=base):
-                    which = np.searchsorted(ends, first, side="right")
-                    return which + doc, first - starts[which] + base
-
-                first, count, h, ext = s.first, s.count, s.h, s.ext
-                keep = np.flatnonzero(_held(held[0], h))
-                if step != "suffixes":
-                    which, pos = place(first[keep])
-                    keep = keep[_held(held[1], _marks(keys[which], pos, ext[keep]))]
-                    _, first, count, h, ext = s.eighths(keep)
-                    keep = np.arange(len(first))
-                    if step == "windows":
-                        which, pos = place(first)
-                        keep = keep[_held(held[2], _marks(keys[which], pos, ext))]
-                        first, h = s.windows(first[keep], count[keep])
-                        ext, count, keep = h, np.ones(len(first), np.int64), np.arange(len(first))
-                if len(keep):
-                    which, pos = place(first[keep])
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("id").take(pa.array(which)), pa.array(keys[which]), pa.array(pos.astype(np.int64)),
-                         pa.array(count[keep].astype(np.int32)), pa.array(h[keep].view(np.int64)),
-                         pa.array(ext[keep].view(np.int64))], names=["id", "k", "pos", "n", "h", "ext"])
+#: 64-bit values of the bytes.
+LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def shape_of(length: int) -> Shape:
+    """Grams a window: the largest power of two up to two thirds of the length."""
+    offsets = 1
+    while 3 * offsets * 2 <= 2 * length:
+        offsets *= 2
+    return Shape(length, offsets, offsets // EIGHTHS)
+
+
+def _pieces(length: int, piece: int):
+    """Several short documents together, long ones in pieces that share ``length - 1``
+    bytes."""
+    def run(column: pa.Array) -> Iterator[Piece]:
+        wide = pa.types.is_large_binary(column.type)
+        _, offsets, data = column.buffers()
+        place = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+        text = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        i = 0
+        while i < len(column):
+            j = max(i + 1, int(np.searchsorted(place, place[i] + piece, side="right")) - 1)
+            starts, ends = place[i:j], place[i + 1:j + 1]
+            if ends[-1] - starts[0] > piece:  # one long document
+                for at in range(0, int(ends[0] - starts[0]) - length + 1, piece):
+                    lo = int(starts[0]) + at
+                    hi = min(int(ends[0]), lo + piece + length - 1)
+                    yield LETTERS[text[lo:hi]], np.zeros(1, np.int64), np.array([hi - lo]), i, at
+            elif ends[-1] - starts[0] >= length:
+                yield LETTERS[text[starts[0]:ends[-1]]], starts - starts[0], ends - starts[0], i, 0
+            i = j
 
     return run
 
 
-def _bitmap(hashes: DataFrame, bits: int) -> bytes:
-    """The bit map of the hashes ``h``: 2**bits bits, whatever the number of hashes."""
-    size = 1 << (bits - 6)
-    rows = hashes.select(
-        F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(size - 1)).cast("int").alias("word"),
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    got = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(size, np.int64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out.tobytes()
+def _powers() -> Powers:
+    return worker_state(("powers",), lambda: Powers(PIECE + (1 << 16)))
 
 
-def _places(rows: DataFrame) -> DataFrame:
-    """Hashes ``h`` of the places (k, pos, ext)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k, pos, ext = (b.column(c).to_numpy() for c in ("k", "pos", "ext"))
-            yield pa.RecordBatch.from_arrays([pa.array(_marks(k, pos, ext.view(np.uint64)).view(np.int64))], names=["h"])
-
-    return rows.select("k", "pos", "ext").mapInArrow(run, "h long")
-
-
-def _array(rows: DataFrame) -> DataFrame:
-    """Suffix array: the distinct suffixes of ``rows``, their first places and numbers."""
-    return rows.groupBy("h", "ext").agg(F.min(F.struct("id", "pos", "k")).alias("at"), F.count(F.lit(1)).alias("n_rows"))
+def _scan(length: int, step: str, maps: list, piece: int = PIECE):
+    return scan(step, shape_of(length), maps, _pieces(length, piece), _powers)
 
 
 def _later(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """(id, pos, n) of the ``rows`` that come after the first place of their suffix; a
-    null place comes before all."""
-    found = known.select("h", "ext", F.col("at.id").alias("i0"), F.col("at.pos").alias("p0"))
-    after = F.col("i0").isNull() | (F.col("id") > F.col("i0")) | ((F.col("id") == F.col("i0")) & (F.col("pos") > F.col("p0")))
-    return rows.join(found, ["h", "ext"]).filter(after).select("id", "pos", "n")
-
-
-def _open(array: DataFrame) -> DataFrame:
-    """The suffixes whose h has several ext."""
-    several = array.groupBy("h").agg(F.min("ext").alias("e0"), F.max("ext").alias("e1")).filter("e0 < e1").select("h")
-    return array.join(several, "h", "left_semi").select("h", "ext", F.col("at.id").alias("id"), F.col("at.pos").alias("pos"),
-                                                       F.col("at.k").alias("k"))
+    """(id, pos, n) of the ``rows`` that come after the first place of their suffix; without
+    a first place all do."""
+    after = F.col("first").isNull() | (F.col("id") > F.col("first")) | F.col("again")
+    return rows.join(known.select("h", "ext", "first"), ["h", "ext"]).filter(after).select("id", "pos", "n")
 
 
 class SuffixFamily:
     """Levels of sorted distinct suffixes in the shared folder, the newest last."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
+    def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
 
     def _written(self, array: DataFrame) -> DataFrame:
-        return persisted(array.select("h", "ext", "at").repartition("h", "ext").sortWithinPartitions("h", "ext"), "level")
+        return persisted(array.select("h", "ext", "first").repartition("h", "ext").sortWithinPartitions("h", "ext"), "level")
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Take in the suffixes ``rows`` of a batch whose ids are above those of earlier ones;
         gives (id, pos, n): its window runs that begin earlier, in the family or the batch."""
-        array = persisted(_array(rows), "suffix-array")
-        fresh, old = array, None
-        if self.levels:
-            old = self.levels[0][1].select("h", "ext")
-            for _, level in self.levels[1:]:
-                old = old.unionByName(level.select("h", "ext"))
-            met = persisted(array.join(old, ["h", "ext"], "left_semi"), "met")
-            fresh = array.join(met.select("h", "ext"), ["h", "ext"], "left_anti")
-        level = self._written(fresh)
-        matched = array.filter("n_rows > 1").select("h", "ext", "at")
+        array = persisted(distinct_texts(rows), "suffix-array")
+        fresh, matched = array, array.filter("n_rows > 1").select("h", "ext", "first")
         if self.levels:
-            none = F.lit(None).cast(array.schema["at"].dataType)
-            matched = matched.join(met.select("h", "ext"), ["h", "ext"], "left_anti").unionByName(
-                met.select("h", "ext", none.alias("at")))
-        covered = persisted(_later(rows, persisted(matched, "matched")), "covered")
-        self.levels.append((1, level))
+            met = persisted(array.join(self.suffixes().select("h", "ext"), ["h", "ext"], "left_semi").select("h", "ext"), "met")
+            fresh = array.join(met, ["h", "ext"], "left_anti")
+            none = F.lit(None).cast(array.schema["first"].dataType)
+            matched = matched.join(met, ["h", "ext"], "left_anti").unionByName(met.withColumn("first", none))
+        self.levels.append((1, self._written(fresh)))
+        covered = persisted(_later(rows, matched), "covered")
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (_, b) = self.levels[-2:]
-            merged = self._written(a.unionByName(b))
-            self.levels[-2:] = [(2 * n, merged)]
+            self.levels[-2:] = [(2 * n, self._written(a.unionByName(b)))]
             removed(a)
             removed(b)
         removed(array)
@@ -321,34 +157,30 @@ def repeats(docs: DataFrame, length: int = 100, batches: int = 4, bitmap_bits: i
             text_col: str = "text", piece: int = PIECE) -> DataFrame:
     """(id, starts, ends): the repeated stretches of each document that has any, as arrays
     of byte positions in order of start; stretches may overlap."""
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("k"), F.col(text_col).cast("binary").alias("t"))
-    schema = f"id {kind}, k long, pos long, n int, h long, ext long"
-
-    def broadcast(hashes: DataFrame):
-        return spark.sparkContext.broadcast(_bitmap(hashes, bitmap_bits))
-
-    grams = texts.mapInArrow(_scan(length, "grams", [], piece), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    maps = [broadcast(grams.filter("n > 1"))]
+    schema, shape = f"id {kind}, {ROWS}", shape_of(length)
+    grams = persisted(repeated_grams(texts, shape, _pieces(length, piece), _powers, hash_buckets(docs, text_col, shape.offsets // 2 or 1)),
+                      "grams")
+    maps = [bitmap(grams, bitmap_bits)]
 
-    family, covered = SuffixFamily(spark), []
+    family, covered = SuffixFamily(), []
     bounds = [None, *_batch_bounds(texts, batches), None]
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
         part = texts if lo is None else texts.filter(F.col("id") > lo)
         part = part if hi is None else part.filter(F.col("id") <= hi)
-        rows = persisted(part.mapInArrow(_scan(length, "suffixes", maps, piece), schema), "suffixes")
+        rows = persisted(part.mapInArrow(_scan(length, "runs", maps, piece), schema), "suffixes")
         covered.append(family.add(rows))
         removed(rows)
 
     # what only shares a gram: eighths of the open runs, then windows of the open eighths
-    array = family.suffixes()
-    for step in ("eighths", "windows"):
-        maps.append(broadcast(_places(_open(array))))
+    found = family.suffixes()
+    for step in ("parts", "windows"):
+        maps.append(bitmap(places(open_places(found)), bitmap_bits))
         rows = persisted(texts.mapInArrow(_scan(length, step, maps, piece), schema), step)
-        array = persisted(_array(rows), f"{step}-array")
-        covered.append(persisted(_later(rows, array.filter("n_rows > 1")), "covered"))
+        found = persisted(distinct_texts(rows), f"{step}-found")
+        covered.append(persisted(_later(rows, found.filter("n_rows > 1")), "covered"))
         removed(rows)
     spans = covered[0]
     for c in covered[1:]:
@@ -369,10 +201,7 @@ def _cut(names: list[str]):
                     text = t.as_buffer().to_pybytes() if t.is_valid else b""
                     out, at, spans = [], 0, 0
                     if s.is_valid:
-                        lo, hi = s.values.to_numpy(), np.maximum.accumulate(e.values.to_numpy())
-                        new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
-                        last = np.concatenate([new[1:] - 1, [len(lo) - 1]])
-                        for x, y in zip(lo[new].tolist(), hi[last].tolist(), strict=True):
+                        for x, y in zip(*merged_spans(s.values.to_numpy(), e.values.to_numpy()), strict=True):
                             out.append(text[at:x])
                             at, spans = y, spans + 1
                     out.append(text[at:])

@@ -50,6 +50,8 @@ MIN_REVISIT = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_ID = "urn:page:"
 DATE = "2026-01-01T00:00:00Z"
+#: Rows of the split table (about 100 bytes each) that are broadcast at a time.
+BROADCAST_SPLITS = 100_000
 
 
 def records(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html",
@@ -106,7 +108,7 @@ def record_length(segment: bytes) -> int:
     return len(MAGIC) + end + 4 + int(m[1]) + 4 if m else 0
 
 
-def _segments(spark: SparkSession, path: str) -> DataFrame:
+def _segments(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, split, segment): what stands between the magics, in order within a split."""
     return spark.read.option("lineSep", MAGIC).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
@@ -268,10 +270,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives at ``path``: file, offset, record_type, record_id,
     target_uri, refers_to, payload_digest and payload_length (as declared), payload."""
     entries = persisted(_entries(spark, path), "warc-entries")
-    # one row per split of the scan, of which Spark's driver holds as many itself
-    scan = _segments(spark, path).join(
-        F.broadcast(entries.select("file", "split", "base", "entry", "open", "open_end")), ["file", "split"], "left").select(
-        "file", "split", "base", "entry", "open", "open_end", "segment")
+    # one row per split: a broadcast holds about BROADCAST_SPLITS rows, and beyond that the
+    # archives are read in several groups of files, each with its own
+    deals = max(1, -(-entries.count() // BROADCAST_SPLITS))
+    scan = None
+    for g in range(deals):
+        mine, files = entries, path
+        if deals > 1:
+            mine = entries.filter(F.pmod(F.xxhash64("file"), F.lit(deals)) == g)
+            files = [r["file"] for r in mine.select("file").distinct().collect()]  # the scan's own list of files
+            if not files:
+                continue
+        here = _segments(spark, files).join(
+            F.broadcast(mine.select("file", "split", "base", "entry", "open", "open_end")), ["file", "split"], "left").select(
+            "file", "split", "base", "entry", "open", "open_end", "segment")
+        scan = here if scan is None else scan.unionByName(here)
     out = scan.mapInArrow(_whole, _RECORD)
     if entries.filter("exit > base + bytes").isEmpty():
         return out

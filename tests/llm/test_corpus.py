@@ -39,8 +39,9 @@ def pages(spark):
     return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "page_id long, url string, html string, payload long")
 
 
-@pytest.mark.parametrize("split", ["512", "20000", "128m"])
-def test_warc_round_trip(spark, pages, split):
+@pytest.mark.parametrize("split,deal", [("512", 100_000), ("512", 40), ("20000", 100_000), ("128m", 100_000)])
+def test_warc_round_trip(spark, pages, monkeypatch, split, deal):
+    monkeypatch.setattr(warc, "BROADCAST_SPLITS", deal)
     before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
     try:
         for k in before:
@@ -311,8 +312,8 @@ def test_pipeline_brute_force(spark, sf001):
     verdict = {r.doc_id: r.kept for r in quality.quality(docs).collect()}
     rows = [(r.doc_id, r.text) for r in docs.collect() if verdict[r.doc_id]]
     left = docs.join(spark.createDataFrame([(i,) for i, _ in rows], "doc_id long"), "doc_id")
-    model = langid.Model(langid.training_words(left, ~langid.held_out()))
-    rows = [(i, t) for i, t in rows if (p := model.predict(t))[0] != "und" and p[2] <= 0.5]
+    model = langid.Model(langid.training_texts(left, ~langid.held_out()))
+    rows = [r for r, p in zip(rows, model.predict([t for _, t in rows])) if p[0] != "und" and p[2] <= 0.5]
     component = plain_components([(i, plain_fingerprint(t, 3)) for i, t in rows], 2)
     rows = [(i, t) for i, t in rows if component[i] == i]
     kept = plain_repeats(rows, 13)

@@ -301,12 +301,12 @@ def test_suffix_dedup(spark, make, length, alphabet, longest, piece, batches):
 
 def test_suffix_family_levels(spark, make):
     docs = make([(i, t) for i, t in enumerate(repeating_texts(2, 40, "abcd", 300))])
-    family = suffixes.SuffixFamily(spark)
+    family = suffixes.SuffixFamily()
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("k"), F.col("text").cast("binary").alias("t"))
     every = spark.sparkContext.broadcast(np.full(1, -1, np.int64).tobytes())
     for i in range(7):
         rows = texts.filter(F.col("id") % 7 == i).mapInArrow(
-            suffixes._scan(100, "suffixes", [every], 1 << 20), "id long, k long, pos long, n int, h long, ext long")
+            suffixes._scan(100, "runs", [every], 1 << 20), f"id long, {suffixes.ROWS}")
         family.add(rows)
     assert [n for n, _ in family.levels] == [4, 2, 1]
     found = family.suffixes().select("h", "ext")

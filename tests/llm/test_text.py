@@ -112,7 +112,7 @@ def test_phrases_are_longest_matches():
             while i + k < len(s) and s[i:i + k + 1] in text:
                 k += 1
             n, i = n + 1, i + max(k, 1)
-        assert langid.SuffixAutomaton(text).phrases(s) == n, (text, s)
+        assert langid.SuffixAutomaton([text]).phrases([s]).tolist() == [[n]], (text, s)
 
 
 def test_language_edge_cases(make):
@@ -120,9 +120,9 @@ def test_language_edge_cases(make):
     rows += [(i, "der hund und die katze nicht ohne das haus", "de") for i in range(20, 40)]
     odd = [(100, None, "en"), (101, "", "de"), (102, "12 34 !?", "en"), (103, "² Ⅷ", "en"), (104, "hund " * 9000, None)]
     docs = make([*rows, *odd])
-    words = langid.training_words(docs, ~langid.held_out())
-    assert set(words) == {"en", "de"}
-    got = {r.doc_id: r for r in langid.predict(docs, words).collect()}
+    labelled = langid.training_texts(docs, ~langid.held_out())
+    assert set(labelled) == {"en", "de"} and all(len(x) <= 24 for x in labelled.values())
+    got = {r.doc_id: r for r in langid.predict(docs, labelled).collect()}
     assert [got[i]["__lang"] for i in (0, 25, 104)] == ["en", "de", "de"]
     assert all(got[i]["__lang"] == "und" and got[i]["__score"] == 0 for i in (100, 101, 102))
     assert all(0 <= r["__score"] <= 1 for r in got.values())
@@ -132,6 +132,68 @@ def test_language_edge_cases(make):
     assert langid.keep_identified(make([])).count() == 0
 
 
+def plain_phrases(text, s):
+    n = i = 0
+    while i < len(s):
+        k = 1
+        while i + k < len(s) and s[i:i + k + 1] in text:
+            k += 1
+        n, i = n + 1, i + k
+    return n
+
+
+def test_phrases_cross_words():
+    m = langid.Model({"de": ["Der Hund ist da.", "hund, katze"], "en": ["a dog"]})
+    assert m.automata.phrases([langid.prepared("der HUND-ist da", m.cut)])[0, 0] == 1
+
+
+def test_parse_in_step_equals_one_by_one():
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcä ") for _ in range(n)) for n in (60, 35, 0)]
+    many = ["".join(rng.choice("abcäx ") for _ in range(rng.choice([0, 1, 7, 50, 300]))) for _ in range(70)]
+    a = langid.SuffixAutomaton(texts)
+    together = a.phrases(many)
+    assert together.tolist() == [[plain_phrases(t, s) for t in texts] for s in many]
+
+
+def test_language_query_equals_plain_parse(spark, sf001):
+    """Language and score of every document, recomputed by longest matches found with ``in``;
+    ties and repeated rows included."""
+    import math
+
+    from platewise.llm.queries import op10_language_id
+
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    labelled = langid.training_texts(docs, ~langid.held_out(), rows=3)
+    cut = langid.Model({}).cut
+
+    def clean(t):
+        return langid.prepared(t, cut)
+
+    texts = {k: "".join(clean(t) for t in v) for k, v in sorted(labelled.items())}
+    rows = [r for r in docs.collect() if len(r.text or "") < 1500][:60]
+    again = spark.createDataFrame([*rows, *rows[:5]], docs.schema)
+    got = [(r.doc_id, r["__lang"], round(r["__score"], 9)) for r in langid.predict(again, labelled, carry=["doc_id"]).collect()]
+    want = []
+    for r in [*rows, *rows[:5]]:
+        t = clean(r.text or "")
+        if not t:
+            want.append((r.doc_id, "und", 0.0))
+            continue
+        e = sorted((plain_phrases(x, t) * math.log2(len(x)) / len(t), k) for k, x in texts.items())
+        want.append((r.doc_id, e[0][1], round(1 - e[0][0] / e[1][0], 9)))
+    assert sorted(got) == sorted(want)
+    out = op10_language_id(spark, sf001).collect()
+    assert len(out) == docs.count() and {r.lang_pred for r in out} <= {"und", *labelled}
+
+
+def test_language_ties_and_clashing_names(make):
+    docs = make([(1, "abc"), (1, "abc"), (2, "xyz"), (3, None)]).withColumnRenamed("h", "__t")
+    out = langid.predict(docs, {"b": ["abc def"], "a": ["abc def"]}).collect()
+    assert sorted((r.doc_id, r["__lang"], r["__score"]) for r in out) == [(1, "a", 0.0), (1, "a", 0.0), (2, "a", 0.0), (3, "und", 0.0)]
+    assert langid.predict(make([]), {"a": ["x"]}).count() == 0
+
+
 def test_language_held_out_accuracy(spark, sf001):
     from platewise.llm.queries import op10_language_id
 
