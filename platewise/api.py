@@ -23,7 +23,7 @@ from platewise.operators.rank import latest_by
 
 __all__ = [
     "fit_imputer", "ingest_plates", "ingest_furnace", "ingest_inspections", "normalize", "score_table", "score_active", "score_summary",
-    "score_scenarios", "alerts_view", "resolve_alerts", "dashboard_summary", "latest_predictions", "rank_models",
+    "score_scenarios", "what_if", "load", "alerts_view", "resolve_alerts", "dashboard_summary", "latest_predictions", "rank_models",
     "activate", "clean", "features", "time_split", "group_split", "profile_tables", "attribution_summary",
 ]
 
@@ -158,6 +158,38 @@ def score_active(flat: DataFrame, registry: DataFrame, activation_log: DataFrame
     return RU.rule_hits(scored).withColumn("model_version", F.lit(active["version"]))
 
 
+def _active_bundle(spark, root: str, name: str) -> tuple[str, dict]:
+    from platewise.operators import bundle as BU
+
+    active = RG.active_version(spark, root, name)
+    if active is None:
+        raise ValueError(f"no active version of {name}")
+    return f"{active['name']} {active['version']}", BU.load(spark, active["artifact_path"])
+
+
+def what_if(scenarios: DataFrame, registry: str, keep: list[str] | None = None, name: str = V.MODEL_NAME,
+            k: int = V.TOP_N_ATTRIBUTIONS) -> DataFrame:
+    """POST /predict-adhoc by the active version of the stored registry (M18): a table of
+    scenarios in the flat layout gets probability, label, version label, the rules on the
+    imputed reading and ``top_features``, the ``k`` strongest contributions in order.  A
+    missing reading is imputed by the bundle.  Nothing is written.  Rows that ask about the
+    same plate are told apart by the columns ``keep``."""
+    from platewise.operators import attribution as AT
+    from platewise.operators import bundle as BU
+
+    label, bundle = _active_bundle(scenarios.sparkSession, registry, name)
+    keep = ["plate_no", *(keep or [])]
+    rows = _serving_tokens(scenarios).withColumn("__id", F.concat_ws("|", *keep))
+    scored = BU.scored(BU.features_for(rows, bundle, [*keep, "__id"]), bundle, key="__id").withColumn("top_features", AT.strongest(k))
+    return RU.rule_hits(SC.present(scored, "prob", None)).withColumn("model_version", F.lit(label)).drop("__id", "attributions", "prob")
+
+
+def load(flat: DataFrame, root: str, existing_plates: DataFrame | None = None, existing_specs: DataFrame | None = None) -> DataFrame:
+    """CLI migrate into stored tables; returns (table_name, rows_written) as observed by the
+    writes (P20)."""
+    return NZ.load(flat, root, existing_plates, existing_specs)
+
+
 def score_summary(scored: DataFrame, model_label: Column | str) -> DataFrame:
     """Summary of a scored file."""
     return SC.file_summary(scored, model_label, "actual_label" in scored.columns)

@@ -109,7 +109,11 @@ def analysis_features(df: DataFrame) -> DataFrame:
     Adds hsb_applied, temp_drop, heat_soak_gap, rolling_temp_over_1000, rolling_temp_bin,
     the three HSB interactions, right-closed thick_bucket, cooling_rate_proxy (zero time
     -> median of the defined rates), descaling_is_odd, rolling_hour, rolling_dow, target.
+    The median of the rates, a continuous value, is counted out over all tasks when this is
+    called; the rest is lazy.
     """
+    from platewise.operators.quantiles import exact_quantiles
+
     hsb = (F.col("hsb") == V.HSB_ON).cast("int")
     temp = F.col("rolling_temp")
     base = df.withColumns({
@@ -121,7 +125,7 @@ def analysis_features(df: DataFrame) -> DataFrame:
     })
     raw_rate = F.try_divide(F.col("temp_drop").cast("double"),
                             F.nullif(F.col("fur_total_time").cast("double"), F.lit(0.0)))
-    rate_median = base.select(F.median(raw_rate).alias("m"))
+    rate_median = exact_quantiles(base, {"rate": raw_rate}, [0.5]).agg(F.max("q0").alias("m"))
     return base.withColumns({
         "hsb_x_rolling_temp": F.col("hsb_applied") * temp,
         "hsb_x_over1000": F.col("hsb_applied") * F.col("rolling_temp_over_1000"),

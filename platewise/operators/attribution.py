@@ -46,6 +46,11 @@ def _sorted_top(k: int):
     return F.slice(F.sort_array(keyed), 1, k)
 
 
+def strongest(k: int = 5):
+    """The ``k`` strongest of a row's ``attributions`` in rank order, inside the row."""
+    return _sorted_top(k)["a"]
+
+
 def top_feature_names(arrays: DataFrame, key: str = "plate_no", k: int = 5) -> DataFrame:
     """(key, top_features): the k strongest feature names in rank order, comma-joined,
     computed inside each row."""

@@ -7,7 +7,7 @@ histories again; the spec dimension is settled first, so the planner knows its b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.operators.lookup import settled
@@ -25,9 +25,12 @@ def latest_furnace(furnace: DataFrame, tie_breaks: list | None = None) -> DataFr
     return latest_by(furnace, ["plate_no"], [F.col("recorded_at").desc(), *ties])
 
 
-def latest_inspection(insp: DataFrame, tie_breaks: list | None = None) -> DataFrame:
-    """Newest inspection per plate (ties: defect_type ascending unless given)."""
+def latest_inspection(insp: DataFrame, tie_breaks: list | None = None, as_of=None) -> DataFrame:
+    """Newest inspection per plate (ties: defect_type ascending unless given).  ``as_of``
+    (a timestamp column or value) reads the append-only log as it stood at that instant."""
     ties = tie_breaks if tie_breaks is not None else ["defect_type"]
+    if as_of is not None:
+        insp = insp.filter(F.col("inspected_at") <= (as_of if isinstance(as_of, Column) else F.lit(as_of)))
     return latest_by(insp, ["plate_no"], [F.col("inspected_at").desc(), *ties])
 
 
@@ -43,7 +46,8 @@ def serving_frame(plate: DataFrame, spec: DataFrame, furnace: DataFrame, rolling
 
 
 def training_frame(plate: DataFrame, spec: DataFrame, furnace: DataFrame, rolling: DataFrame,
-                   inspection: DataFrame) -> DataFrame:
-    """The serving frame plus the latest inspection label (inner join)."""
-    li = latest_inspection(inspection).select("plate_no", "defect_type")
+                   inspection: DataFrame, as_of=None) -> DataFrame:
+    """The serving frame plus the latest inspection label (inner join), with ``as_of``
+    the latest one at that instant (M15: a retraining run is repeatable)."""
+    li = latest_inspection(inspection, as_of=as_of).select("plate_no", "defect_type")
     return serving_frame(plate, spec, furnace, rolling).join(li, "plate_no", "inner")

@@ -9,7 +9,9 @@ in the quarantine output.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from platewise.functions import tokens as TK
@@ -113,12 +115,6 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """S13 in-batch dedup: keep one row per key (the first under ``order``)."""
-    from platewise.operators.rank import latest_by
-    return latest_by(df, keys, order)
-
-
 def missing_parent(child: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
     """J8 quarantine: child rows whose parent key does not exist."""
     return child.join(parent.select(*keys).distinct(), keys, "left_anti")
@@ -180,3 +176,33 @@ def load_report(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count(F.lit(1)).alias("rows_read"), n("skipped", "rows_skipped"),
                         n("quarantined", "rows_quarantined"),
                         *[n("written", f"{t}_written") for t in ("plates", "furnace", "rolling", "inspections")])
+
+
+def write_tables(tables: dict[str, DataFrame], root: str) -> DataFrame:
+    """Append each table to ``root/<name>``; returns (table_name, rows_written) as observed by
+    the writes themselves, without another job over the data.  The writes run in a session of
+    their own: an observation leaves a listener in its session that can't be serialised,
+    and fitted models of that session would carry it into their tasks."""
+    spark = next(iter(tables.values())).sparkSession
+    apart, counts = spark.newSession(), []
+    for name, df in tables.items():
+        seen, view = Observation(name), f"load_{uuid.uuid4().hex}"
+        df.createGlobalTempView(view)
+        try:
+            apart.table(f"global_temp.{view}").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{root}/{name}")
+        finally:
+            spark.catalog.dropGlobalTempView(view)
+        counts.append((name, seen.get["n"]))
+    return spark.createDataFrame(counts, "table_name string, rows_written long")
+
+
+def load(flat: DataFrame, root: str, existing_plates: DataFrame | None = None, existing_specs: DataFrame | None = None) -> DataFrame:
+    """Load the rows of a flat log that validation lets through into the tables
+    under ``root``, rejected ones into ``root/quarantine``; returns the report of
+    :func:`write_tables`."""
+    outcomes = settled(load_outcomes(flat, existing_plates))
+    rows = written(outcomes)
+    specs = settled(assign_spec_codes(rows, existing=existing_specs))
+    return write_tables({"product_spec": specs, "plate": plates(rows, specs), "furnace_process": furnace_records(rows),
+                         "rolling_process": rolling_records(rows), "quality_inspection": inspections(rows),
+                         "quarantine": outcomes.filter(F.col("load_status") == "quarantined").drop("load_status")}, root)

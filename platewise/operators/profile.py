@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.operators.lookup import settled, with_scalars
-
+from platewise.operators.quantiles import exact_quantiles
 
 
 def _n() -> Column:
@@ -54,10 +54,11 @@ def labelled_histogram(df: DataFrame, value: str, label: str, bins: int = 40) ->
 
 def box_stats(df: DataFrame, value: Column, keys: list[str]) -> DataFrame:
     """Per group quartiles, median, whiskers (most extreme values within 1.5 IQR of
-    the box) and the number of points beyond them."""
+    the box) and the number of points beyond them.  The quartiles are exact for values of
+    any number (:mod:`platewise.operators.quantiles`)."""
     v = df.select(*keys, value.cast("double").alias("__v"))
-    q = v.groupBy(*keys).agg(F.percentile("__v", 0.25).alias("q1"), F.median("__v").alias("median"),
-                             F.percentile("__v", 0.75).alias("q3"))
+    q = exact_quantiles(v, {"v": F.col("__v")}, [0.25, 0.5, 0.75], keys).select(
+        *keys, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     j = v.join(settled(q), keys, "inner")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))

@@ -7,11 +7,13 @@ the active version of a name is its latest activation event.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import vocab as V
 from platewise.operators.rank import latest_by
+from platewise.session import path_exists
+from platewise.sources.process_log import TABLE_SCHEMAS
 
 _METRIC = "struct<precision:double,recall:double,f1:double,auc:double,cv_best_auc:double,best_params:map<string,string>>"
 METRICS_SCHEMA = (f"struct<valid:{_METRIC},valid_comparison:map<string,{_METRIC}>,selected:string,"
@@ -32,8 +34,8 @@ def extract_metrics(metrics_json: Column, algorithm: Column) -> tuple[Column, Co
 
 
 def params_text(params: Column) -> Column:
-    """'k=v, k=v' in key order; empty or missing -> the fixed note."""
-    entries = F.array_sort(F.map_entries(params))
+    """'k=v, k=v' in the order of the document; empty or missing -> the fixed note."""
+    entries = F.map_entries(params)
     text = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
     return F.when(F.coalesce(F.size(params), F.lit(0)) <= 0, F.lit(V.NO_PARAMS_NOTE)).otherwise(text)
 
@@ -68,3 +70,34 @@ def active_versions(activations: DataFrame) -> DataFrame:
 def listing(registry: DataFrame) -> DataFrame:
     """T5: registry newest first."""
     return registry.orderBy(F.col("trained_at").desc(), F.col("model_id").desc())
+
+
+# ---- the stored registry: tables model_version and model_activation under a root
+
+def append_versions(versions: DataFrame, root: str) -> None:
+    """Append rows (any of the columns of ``model_version``) to the stored registry."""
+    schema = TABLE_SCHEMAS["model_version"]
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in versions.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in schema]
+    versions.select(*cols).write.mode("append").parquet(f"{root}/model_version")
+
+
+def append_activations(events: DataFrame, root: str) -> None:
+    """Append activation events (name, model_id, activated_at, reason)."""
+    schema = TABLE_SCHEMAS["model_activation"]
+    events.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").parquet(
+        f"{root}/model_activation")
+
+
+def stored(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of the stored registry; empty before anything was appended."""
+    path = f"{root}/{name}"
+    schema = TABLE_SCHEMAS[name]
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def active_version(spark: SparkSession, root: str, name: str = V.MODEL_NAME) -> Row | None:
+    """The stored version that the latest activation of ``name`` names, if any."""
+    events = stored(spark, root, "model_activation").filter(F.col("name") == name)
+    return active_versions(events).select(F.col("model_id").alias("id")).join(
+        stored(spark, root, "model_version"), "id").first()

@@ -50,6 +50,20 @@ def latest_prediction_report(predictions: DataFrame, models: DataFrame, attribut
                       F.concat_ws(" ", "name", "version").alias("model_version"), "top_features")
 
 
+def logged_prediction_report(predictions: DataFrame, explanations: DataFrame, versions: DataFrame) -> DataFrame:
+    """J7/W5 over the logged tables: the newest prediction of each plate, the label of the
+    version that made it, and its own ranked features as an array of (rank, feature_name,
+    feature_value, shap_value); joined by prediction id, so an older prediction's features
+    never show."""
+    latest = latest_by(predictions, ["plate_no"], [F.col("predicted_at").desc(), F.col("id").desc()])
+    # at most the logged number of features per prediction
+    feats = explanations.groupBy("prediction_id").agg(F.array_sort(F.collect_list(
+        F.struct("rank", "feature_name", "feature_value", "shap_value"))).alias("top_features"))
+    label = versions.select(F.col("id").alias("model_version_id"), F.concat_ws(" ", "name", "version").alias("model_version"))
+    return latest.join(label, "model_version_id", "left").join(feats.withColumnRenamed("prediction_id", "id"), "id", "left").select(
+        "id", "plate_no", "predicted_at", "predicted_prob", "predicted_label", "model_version", "top_features")
+
+
 def severity_label(c: Column) -> Column:
     """unknown codes pass through unchanged."""
     m = F.create_map(*[x for k, v in V.SEVERITY_LABELS.items() for x in (F.lit(k), F.lit(v))])

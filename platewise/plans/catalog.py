@@ -812,57 +812,175 @@ def prediction_report(spark, sf_dir):
 
 # ----------------------------------------------------------------------------- step 12: streaming
 
-def run_rolling_stream(spark: SparkSession, sf_dir: str) -> str:
-    """E1 over arriving orders (each mapped to a rolling record), every record sent
-    twice (a replaying producer); runs to completion with availableNow and returns the
-    output folder."""
-    import os
+#: Activation events of the stored registry that the stream reads: (model id, days after
+#: registration, reason).  The latest one decides.
+STREAM_ACTIVATIONS = [(1, 0, "bootstrap"), (4, 1, "manual"), (1, 2, "manual")]
 
-    from platewise.streaming import ingest as IN
 
-    def arriving() -> DataFrame:
-        c = driver.coil_from(driver.table_stream(spark, sf_dir, "orders"), driver.table(spark, sf_dir, "customer"))
-        return NZ.rolling_records(c)
+def stream_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The static tables of the plant before the stream starts."""
+    from platewise.operators.lookup import settled
 
-    stream = arriving().unionByName(arriving())
     coil = driver.coil(spark, sf_dir)
-    specs = NZ.assign_spec_codes(coil)
-    plates = NZ.plates(coil, specs)
-    furnace = driver.furnace_history(spark, sf_dir)
-    history = LT.serving_frame(plates, specs, furnace, NZ.rolling_records(coil))
+    specs = settled(NZ.assign_spec_codes(coil))
+    plates = settled(NZ.plates(coil, specs))
+    return {"coil": coil, "spec": specs, "plate": plates, "furnace": driver.furnace_history(spark, sf_dir)}
+
+
+def stored_registry(spark: SparkSession, sf_dir: str, tables: dict[str, DataFrame], root: str) -> None:
+    """Two candidates saved as bundles (medians fitted on the plant's history,
+    background of 100 training rows), registered and activated in a stored registry."""
+    from platewise.operators import bundle as BU
+
+    history = LT.serving_frame(tables["plate"], tables["spec"], tables["furnace"], NZ.rolling_records(tables["coil"]))
     medians, fallback = CL.fit_temp_imputer(history)
-    out = IN.run_folder(spark, "rolling-ingest")
-    q = IN.start_rolling_ingest(stream, plates, specs, furnace, None, medians, fallback, out)
-    q.awaitTermination()
-    return out
+    b = Build(spark, sf_dir)
+    keys = SP.background_sample(b.train.select("plate_no"), "plate_no", 100, 42).select("plate_no")
+    sampled = history.join(keys, "plate_no", "left_semi")
+    background = FE.serving_features(CL.impute_group_median(sampled, global_after_group=False, medians=medians, fallback=fallback),
+                                     keep=["plate_no"])
+    run = b.run.first()
+    rows = []
+    for mid, alg, intercept, coefs in CANDIDATES:
+        if mid in {m for m, _, _ in STREAM_ACTIVATIONS}:
+            path = f"{root}/{alg}"
+            BU.save_linear(path, coefs, intercept, 0.5, medians, fallback, background)
+            rows.append((mid, V.MODEL_NAME, alg, run["trained_at"], run["n"], path))
+    versions = spark.createDataFrame(rows, "id long, name string, algorithm string, trained_at timestamp_ntz, train_row_count long, "
+                                           "artifact_path string").withColumns({
+        "version": RG.version_tag(F.col("algorithm"), F.col("trained_at")), "threshold": F.lit(0.5)})
+    RG.append_versions(versions, root)
+    events = spark.createDataFrame(STREAM_ACTIVATIONS, "model_id long, days int, reason string").withColumns({
+        "name": F.lit(V.MODEL_NAME),
+        "activated_at": F.timestamp_add("DAY", "days", F.lit(run["trained_at"]).cast("timestamp_ntz"))})
+    RG.append_activations(events, root)
+
+
+def write_arrivals(coil: DataFrame, path: str) -> None:
+    """Rolling records as they arrive, in four waves of files: two thirds of the plates; the
+    other third, mostly older, with records sent again; second records a day later
+    and records of unknown plates, with more sent again; everything once more."""
+    r = NZ.rolling_records(coil).withColumn("k", F.substring("plate_no", 5, 1 << 30).cast("bigint"))
+    k = F.col("k")
+    second = r.filter(k % 13 == 0).withColumn("rolling_date", F.timestamp_add("DAY", F.lit(1), F.col("rolling_date")))
+    unknown = r.filter(k % 101 == 0).withColumn("plate_no", F.concat(F.lit("NEW_"), k.cast("string")))
+    waves = [r.filter(k % 3 != 2), r.filter(k % 3 == 2).unionByName(r.filter((k % 3 != 2) & (k % 7 == 0))),
+             second.unionByName(unknown).unionByName(r.filter(k % 5 == 0)), r.unionByName(second)]
+    for wave in waves:
+        wave.drop("k").write.mode("append").parquet(path)
+
+
+def run_rolling_stream(spark: SparkSession, sf_dir: str) -> str:
+    """E1 over arriving files of rolling records, scored by the active version of the stored
+    registry; runs to completion with availableNow and returns the output folder."""
+    from platewise.streaming import ingest as IN
+
+    root = IN.run_folder(spark, "rolling-ingest")
+    t = stream_tables(spark, sf_dir)
+    stored_registry(spark, sf_dir, t, f"{root}/registry")
+    write_arrivals(t["coil"], f"{root}/arrivals")
+    stream = spark.readStream.schema(IN.ROLLING_SCHEMA).option("maxFilesPerTrigger", 16).parquet(f"{root}/arrivals")
+    IN.start_rolling_ingest(stream, t["plate"], t["spec"], t["furnace"], None, f"{root}/registry", f"{root}/out").awaitTermination()
+    return f"{root}/out"
+
+
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from platewise.streaming import ingest as IN
+    return IN.stream_table(spark, run_rolling_stream(spark, sf_dir), name)
 
 
 @query("stream_dedup")
 def stream_dedup(spark, sf_dir):
-    import os
-    out = run_rolling_stream(spark, sf_dir)
-    return _nullable_temp_as_double(spark.read.parquet(os.path.join(out, "rolling")).drop("batch_id"))
+    """The accepted record of every plate."""
+    return _nullable_temp_as_double(streamed(spark, sf_dir, "rolling"))
 
 
 @query("stream_ingest_alerts")
 def stream_ingest_alerts(spark, sf_dir):
-    import os
-    out = run_rolling_stream(spark, sf_dir)
-    return spark.read.parquet(os.path.join(out, "alerts")).drop("batch_id")
+    return streamed(spark, sf_dir, "alerts")
 
 
 @query("stream_quarantine")
 def stream_quarantine(spark, sf_dir):
-    import os
-    out = run_rolling_stream(spark, sf_dir)
-    return spark.read.parquet(os.path.join(out, "quarantine")).select("plate_no", "rolling_date", "reason")
+    """Every other distinct record with its reason."""
+    return streamed(spark, sf_dir, "quarantine").select("plate_no", "rolling_date", "reason")
 
 
 @query("stream_predictions")
 def stream_predictions(spark, sf_dir):
-    import os
+    """Probabilities of the active version's bundle."""
+    return streamed(spark, sf_dir, "predictions").select(
+        "plate_no", "predicted_at", F.col("predicted_prob").cast("double").alias("predicted_prob"), "predicted_label")
+
+
+def _snapshot_schema() -> str:
+    text = set(V.CATEGORICAL_FEATURES)
+    whole = {"descaling_count", "hsb_x_descaling", "rolling_hour", "rolling_dow", *V.BINARY_FEATURES}
+    return ", ".join(f"{c} {'string' if c in text else 'int' if c in whole else 'double'}"
+                     for c in V.NUMERIC_FEATURES + V.BINARY_FEATURES + V.CATEGORICAL_FEATURES)
+
+
+@query("stream_prediction_log")
+def stream_prediction_log(spark, sf_dir):
+    """The logged predictions with stable ids and the model version; the JSON
+    snapshot of the features is read back field by field."""
+    p = streamed(spark, sf_dir, "predictions").withColumn("f", F.from_json("feature_snapshot", _snapshot_schema()))
+    return p.select("id", "plate_no", "model_version_id", F.col("predicted_prob").cast("double").alias("predicted_prob"),
+                    "predicted_label", "predicted_at", "f.*")
+
+
+@query("stream_explanations")
+def stream_explanations(spark, sf_dir):
+    """The five ranked contributions of every logged prediction."""
+    return round_cols(streamed(spark, sf_dir, "explanations"), ["shap_value"])
+
+
+@query("stream_run")
+def stream_run(spark, sf_dir):
+    """All five tables of one run: every distinct record with its outcome, its alerts, its
+    prediction and the strongest feature."""
+    from platewise.streaming import ingest as IN
+
     out = run_rolling_stream(spark, sf_dir)
-    return spark.read.parquet(os.path.join(out, "predictions")).drop("batch_id")
+    t = {n: IN.stream_table(spark, out, n) for n in IN.STREAM_TABLES}
+    rows = t["rolling"].select("plate_no", "rolling_date", F.lit("accepted").alias("outcome")).unionByName(
+        t["quarantine"].select("plate_no", "rolling_date", F.col("reason").alias("outcome")))
+    n_alerts = t["alerts"].groupBy("plate_no", F.col("triggered_at").alias("rolling_date")).agg(F.count(F.lit(1)).alias("n_alerts"))
+    best = t["explanations"].filter("rank = 1").select(F.col("prediction_id").alias("id"), F.col("feature_name").alias("top_feature"))
+    preds = t["predictions"].select("id", "plate_no", F.col("predicted_at").alias("rolling_date"), "predicted_label").join(
+        best, "id").drop("id")
+    return rows.join(n_alerts, ["plate_no", "rolling_date"], "left").join(preds, ["plate_no", "rolling_date"], "left").select(
+        "plate_no", "rolling_date", "outcome", F.coalesce("n_alerts", F.lit(0).cast("long")).alias("n_alerts"), "predicted_label",
+        "top_feature")
+
+
+@query("latest_logged_prediction")
+def latest_logged_prediction(spark, sf_dir):
+    """Plates inspected again are scored by another version, once more logged;
+    the latest prediction of every plate with its version and its own top features."""
+    from platewise.operators import bundle as BU
+    from platewise.operators import report as RP
+    from platewise.streaming import ingest as IN
+
+    root = IN.run_folder(spark, "logged")
+    t = stream_tables(spark, sf_dir)
+    stored_registry(spark, sf_dir, t, root)
+    frame = LT.serving_frame(t["plate"], t["spec"], t["furnace"], NZ.rolling_records(t["coil"]))
+    again = driver.inspection_history(t["coil"]).select("plate_no", "inspected_at").join(
+        t["coil"].select("plate_no", F.col("rolling_date").alias("d")), "plate_no").filter("inspected_at > d").drop("d")
+    versions = RG.stored(spark, root, "model_version")
+    out = IN.BatchOutputs(spark, f"{root}/out")
+    for n, (mid, rows, at) in enumerate([(1, frame, "rolling_date"), (4, frame.join(again, "plate_no"), "inspected_at")]):
+        path = versions.filter(F.col("id") == mid).first()["artifact_path"]
+        predictions, explanations = IN.predictions_of(rows, mid, BU.load(spark, path), at)
+        out.write(n, {"predictions": predictions, "explanations": explanations})
+    report = RP.logged_prediction_report(out.read("predictions", IN.STREAM_TABLES["predictions"]),
+                                         out.read("explanations", IN.STREAM_TABLES["explanations"]), versions)
+    return report.select("plate_no", "predicted_at", F.col("predicted_prob").cast("double").alias("predicted_prob"), "predicted_label",
+                         "model_version", F.expr("transform(top_features, x -> x.feature_name)").alias("f"),
+                         F.expr("transform(top_features, x -> round(x.shap_value, 6))").alias("c")).select(
+        "plate_no", "predicted_at", "predicted_prob", "predicted_label", "model_version", F.array_join("f", ",").alias("top_features"),
+        F.round(F.aggregate("c", F.lit(0.0), lambda a, x: a + x), 6).alias("top_sum"))
 
 
 # ----------------------------------------------------------------------------- sources and sinks
@@ -920,6 +1038,152 @@ def process_log_rejected(spark, sf_dir):
         F.regexp_extract("line", r"(PLT_\d+)", 1).alias("plate_no"), "reason")
 
 
+def multiline_process_log(spark: SparkSession, sf_dir: str) -> str:
+    """The flat log with quotes around every field; some plates have a line break inside a
+    field (and a doubled quote before it), and some lines repeat the header."""
+    from platewise.sources import process_log as PL
+    from platewise.streaming.ingest import run_folder
+
+    root = run_folder(spark, "process-log")
+    k = F.substring("plate_no", 5, 1 << 30).cast("bigint")
+    broken = F.concat(F.lit('two "'), F.lit("\n"), F.lit("lines, "), F.col("spec_long"))
+    text = PL.to_legacy_text(driver.coil(spark, sf_dir)).withColumn("spec_long", F.when(k % 59 == 0, broken).otherwise(F.col("spec_long")))
+    again = text.filter(k % 997 == 0).select(*[F.lit(c).alias(c) for c in text.columns])
+    text.select(*[F.col(c).cast("string") for c in text.columns]).unionByName(again).write.option("header", True).option(
+        "quoteAll", True).option("escape", '"').csv(f"{root}/csv")
+    return f"{root}/csv/*.csv"
+
+
+def parsed_in_small_splits(spark: SparkSession, path: str) -> DataFrame:
+    """The parsed records, read in file splits of 64 KB so that records cross them."""
+    from platewise.operators.lookup import settled
+    from platewise.sources import process_log as PL
+
+    sizes = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in sizes:
+            spark.conf.set(c, "65536")
+        return settled(PL.parsed_lines(spark, path))
+    finally:
+        for c, v in sizes.items():
+            spark.conf.set(c, v)
+
+
+@query("process_log_multiline")
+def process_log_multiline(spark, sf_dir):
+    """Records with line breaks inside quotes, also across file splits."""
+    from platewise.sources import process_log as PL
+    return PL.typed_records(parsed_in_small_splits(spark, multiline_process_log(spark, sf_dir)))
+
+
+@query("process_log_multiline_rejected")
+def process_log_multiline_rejected(spark, sf_dir):
+    """Header lines that come again are kept with a reason."""
+    return parsed_in_small_splits(spark, multiline_process_log(spark, sf_dir)).filter("__reason is not null").groupBy(
+        F.col("__reason").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("processed_table")
+def processed_table(spark, sf_dir):
+    """The processed feature table written and read again."""
+    from platewise.sources import process_log as PL
+    from platewise.streaming.ingest import run_folder
+
+    path = run_folder(spark, "processed")
+    PL.write_processed(analysis_frame(spark, sf_dir).select(*ANALYSIS_COLUMNS), path)
+    return round_cols(spark.read.parquet(path), ["cooling_rate_proxy"])
+
+
+@query("load_written")
+def load_written(spark, sf_dir):
+    """P20: the log with faults loaded into tables; rows as observed by each write and as
+    read back."""
+    from platewise.streaming.ingest import run_folder
+
+    root = run_folder(spark, "load")
+    report = NZ.load(driver.raw_coil(spark, sf_dir), root, earlier_plates(spark, sf_dir))
+    stored = None
+    for name in ("product_spec", "plate", "furnace_process", "rolling_process", "quality_inspection", "quarantine"):
+        n = spark.read.parquet(f"{root}/{name}").agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("rows_stored"))
+        stored = n if stored is None else stored.unionByName(n)
+    return report.join(stored, "table_name")
+
+
+#: Instants at which a retraining run reads the labels.
+SNAPSHOTS = ["1995-06-17 00:00:00", "1999-01-01 00:00:00"]
+
+
+def training_frame_as_of(spark: SparkSession, sf_dir: str, as_of: str) -> DataFrame:
+    t = normalized_tables(spark, sf_dir)
+    tf = LT.training_frame(t["plate"], t["spec"], t["furnace"], t["rolling"], t["inspection"],
+                           as_of=F.lit(as_of).cast("timestamp_ntz"))
+    return tf.withColumn("target", TK.target_from_defect("defect_type"))
+
+
+@query("labels_as_of")
+def labels_as_of(spark, sf_dir):
+    """The training labels as the append-only log of inspections stood at two
+    instants; later labels change them."""
+    t = normalized_tables(spark, sf_dir)
+    out = None
+    for at in SNAPSHOTS:
+        tf = LT.training_frame(t["plate"], t["spec"], t["furnace"], t["rolling"], t["inspection"], as_of=F.lit(at).cast("timestamp_ntz"))
+        rows = tf.select(F.lit(at).alias("as_of"), "plate_no", "defect_type", TK.target_from_defect("defect_type").alias("target"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("retrained_versions")
+def retrained_versions(spark, sf_dir):
+    """Two retraining runs, on the labels of two instants, append their versions
+    to the stored registry; the first run's best is activated, later ones wait."""
+    from platewise.plans import training as TR
+    from platewise.streaming.ingest import run_folder
+
+    root = run_folder(spark, "retrain")
+    small = [TR.Family("LogisticRegression", TR.grid_of("LogisticRegression", [{"C": 1}])),
+             TR.Family("DecisionTree", TR.grid_of("DecisionTree", [{"max_depth": 5, "min_samples_leaf": 5}]))]
+    for n, at in enumerate(SNAPSHOTS):
+        frame = training_frame_as_of(spark, sf_dir, at)
+        medians, fallback = CL.fit_temp_imputer(frame)
+        base = CL.impute_group_median(frame, global_after_group=False, medians=medians, fallback=fallback)
+        feats = FE.serving_features(base, keep=["plate_no", "target", "rolling_date"])
+        TR.retrain(feats, root, f"run{n}", medians, fallback, small)
+    v = RG.stored(spark, root, "model_version")
+    active = RG.active_versions(RG.stored(spark, root, "model_activation")).select(F.col("model_id").alias("id"), F.lit(True).alias("a"))
+    metrics = RG.extract_metrics(F.col("metrics"), F.col("algorithm"))[0]
+    run = F.regexp_extract("version", r"(run\d+)$", 1)
+    rows = v.join(active, "id", "left").withColumn("a", F.coalesce("a", F.lit(False)))
+    return rows.groupBy(run.alias("run"), "name", "trained_at", "train_row_count").agg(
+        F.array_join(F.array_sort(F.collect_list("algorithm")), ",").alias("algorithms"),
+        F.bool_and(metrics["cv_best_auc"].between(0.0, 1.0)).alias("has_metrics"), F.count_if("a").alias("n_active"))
+
+
+@query("model_listing")
+def model_listing(spark, sf_dir):
+    """T5: the registry, newest first."""
+    r = Build(spark, sf_dir).registry.withColumn(
+        "trained_at", F.timestamp_add("DAY", F.col("model_id").cast("int") % 3, F.col("trained_at")))
+    place = F.row_number().over(Window.orderBy(F.col("trained_at").desc(), F.col("model_id").desc()))  # a few versions
+    return RG.listing(r).select(place.alias("place"), "model_id", "algorithm", "trained_at", "train_row_count", "threshold")
+
+
+@query("what_if_active")
+def what_if_active(spark, sf_dir):
+    """Every plate under five readings, scored by the active version of the stored
+    registry, with the rules and the three strongest contributions; nothing is written."""
+    from platewise import api
+    from platewise.streaming.ingest import run_folder
+
+    root = run_folder(spark, "what-if")
+    stored_registry(spark, sf_dir, stream_tables(spark, sf_dir), root)
+    asked = driver.coil(spark, sf_dir).drop("scale")
+    r = api.what_if(SC.scenario_grid(asked, SCENARIO_TEMPS), root, keep=["scenario_temp"])
+    top = F.transform(F.slice("top_features", 1, 3), lambda x: x["feature"])
+    return r.select("plate_no", "scenario_temp", "predicted_prob", "predicted_label", "model_version",
+                    RU.rule_codes().alias("fired_rules"), F.array_join(top, ",").alias("top_features"))
+
+
 # ----------------------------------------------------------------------------- step 11: training (rows-only checks)
 
 def training_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -1015,13 +1279,89 @@ def attribution_additivity(spark, sf_dir):
                          (F.abs(F.col("total") - (F.col("prob") - s["base"])) < 1e-9).alias("additive"))
 
 
+@query("additivity_by_family")
+def additivity_by_family(spark, sf_dir):
+    """M19 for every family: the contributions of each plate add up to the model's value
+    (probability of trees and forests, log-odds of the others) minus its base value."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from platewise.operators import bundle as BU
+    from platewise.operators import tree_attribution as TA
+    from platewise.plans import training as TR
+    from platewise.streaming.ingest import run_folder
+
+    data, cols, _ = TR.prepare(training_features(spark, sf_dir))
+    data = data.checkpoint(eager=True)
+    keys = SP.background_sample(data.filter(F.col("split") == "train").select("plate_no"), "plate_no", 100, 42).select("plate_no")
+    bg = data.join(keys, "plate_no", "left_semi").checkpoint(eager=True)
+    out = None
+    for family, params in [("LogisticRegression", {"maxIter": 50, "regParam": 1e-3}), ("DecisionTree", {"maxDepth": 5}),
+                           ("RandomForest", {"maxDepth": 4, "numTrees": 5}), ("GradientBoostingA", {"maxDepth": 3, "maxIter": 8}),
+                           ("GradientBoostingB", {"maxDepth": 4, "maxIter": 5}), ("SVM", {"maxIter": 20})]:
+        fitted = TR.fit_one(data, family, params)
+        model = fitted if isinstance(fitted, PipelineModel) else PipelineModel([fitted])
+        path = run_folder(spark, "family")
+        model.write().save(path)
+        platt = {"a": 1.5, "b": 0.25} if family == "SVM" else None
+        long, items = BU.explanations(data, cols, model, path, bg, platt, "plate_no")
+        if items is not None:
+            total = data.select("plate_no", F.aggregate(items, F.lit(0.0), lambda a, x: a + x["contribution"]).alias("total"),
+                                F.size(items).alias("n_features"))
+        else:
+            total = long.groupBy("plate_no").agg(F.sum("contribution").alias("total"), F.count(F.lit(1)).cast("int").alias("n_features"))
+        raw = vector_to_array("rawPrediction")[1]
+        value = {"SVM": F.lit(1.5) * raw, "LogisticRegression": raw, "GradientBoostingA": 2 * raw, "GradientBoostingB": 2 * raw}.get(
+            family, vector_to_array("probability")[1])
+
+        def valued(df: DataFrame, model=model, value=value) -> DataFrame:
+            return model.transform(df).select("plate_no", value.alias("value"))
+
+        if family.startswith("Gradient"):
+            last = model.stages[-1]
+            leaves = TA.boosted_leaves(spark, f"{path}/stages/0_{last.uid}", list(last.treeWeights))
+            base = spark.range(1).select(F.lit(TA.expected(leaves)).alias("base"))
+        else:
+            base = valued(bg).agg(F.avg("value").alias("base"))
+        scored, s = with_scalars(valued(data).join(total, "plate_no"), base, "__base")
+        rows = scored.select(F.lit(family).alias("family"), "plate_no", "n_features",
+                             (F.abs(F.col("total") - (F.col("value") - s["base"])) < 1e-6).alias("additive"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("six_families")
+def six_families(spark, sf_dir):
+    """The six families in one comparison (grids cut down to finish
+    quickly; the published ones are ``training.FAMILIES``).  The row of each family with the
+    checks that any row must meet: ranges, F1 from precision and recall, the grid's parameters."""
+    from platewise.plans import training as TR
+
+    by = {f.name: f for f in TR.FAMILIES}
+    families = [
+        TR.Family("LogisticRegression", TR.grid_of("LogisticRegression", [{"C": 0.1}, {"C": 1}])),
+        TR.Family("DecisionTree", TR.grid_of("DecisionTree", [{"max_depth": 3, "min_samples_leaf": 5}, {"max_depth": 5, "min_samples_leaf": 5}])),
+        TR.smaller_ensembles(by["RandomForest"], [5, 15], max_depth=5),
+        TR.smaller_ensembles(by["GradientBoostingA"], [3, 8], max_depth=3, learning_rate=0.1),
+        TR.smaller_ensembles(by["GradientBoostingB"], [3, 8], max_depth=3, learning_rate=0.1),
+        TR.Family("SVM", TR.grid_of("SVM", [{"svc__C": 1, "svc__kernel": "linear"}]))]
+    c = TR.train_compare(training_features(spark, sf_dir), families).comparison
+
+    def sound(split: str) -> F.Column:
+        p, r, f1, auc = (F.col(f"{split}_{m}") for m in ("precision", "recall", "f1", "auc"))
+        harmonic = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+        return (F.least(p, r, f1, auc) >= 0) & (F.greatest(p, r, f1, auc) <= 1) & (F.abs(f1 - harmonic) < 2e-4) & (auc > 0.5)
+
+    return c.select("algorithm", "train_row_count", sound("valid").alias("valid_sound"), sound("test").alias("test_sound"),
+                    (F.col("cv_best_auc").between(0.5, 1.0)).alias("cv_sound"),
+                    F.size(F.from_json("best_params", "map<string,string>")).alias("n_params"))
+
+
 @query("stream_inspections")
 def stream_inspections(spark, sf_dir):
     """Inspection labels arriving as a stream (one per arriving order, a second one
     for re-inspected plates); accepted when the plate exists and the inspector is a known
     user; appended by batch id."""
-    import os
-
     from platewise.streaming import ingest as IN
 
     arriving = driver.coil_from(driver.table_stream(spark, sf_dir, "orders"), driver.table(spark, sf_dir, "customer"))
@@ -1034,8 +1374,8 @@ def stream_inspections(spark, sf_dir):
     users = plant_users(spark, sf_dir)
     out = IN.run_folder(spark, "inspection-ingest")
     IN.start_inspection_ingest(labels, plates, users, out).awaitTermination()
-    return spark.read.parquet(os.path.join(out, "inspections")).select(
-        "plate_no", "defect_type", "inspected_at", "inspector_email", "user_id")
+    return IN.BatchOutputs(spark, out).read(
+        "inspections", "plate_no string, defect_type string, inspected_at timestamp_ntz, inspector_email string, user_id long")
 
 
 @query("scored_csv_export")

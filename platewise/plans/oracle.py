@@ -865,20 +865,49 @@ salerts AS (
   FROM sfired WHERE r3
 )"""
 
-oracle("stream_dedup", "WITH " + ROLLING.strip() + """
-SELECT * REPLACE (CAST(rolling_temp AS DOUBLE) AS rolling_temp) FROM rolling
-WHERE plate_no IN (SELECT plate_no FROM furnace)""", furnace=True)
+# Every distinct record that arrives, with its outcome: second records come a day later,
+# records of unknown plates carry a number of their own.
+STREAM_OUTCOME = """
+arrived AS (
+  SELECT plate_no, rolling_date, hsb_applied, rolling_method, rolling_temp, descaling_count, work_group, 1 AS nth FROM rolling
+  UNION ALL
+  SELECT plate_no, rolling_date + INTERVAL 1 DAY, hsb_applied, rolling_method, rolling_temp, descaling_count, work_group, 2
+  FROM rolling WHERE CAST(substr(plate_no, 5) AS BIGINT) % 13 = 0
+  UNION ALL
+  SELECT 'NEW_' || substr(plate_no, 5), rolling_date, hsb_applied, rolling_method, rolling_temp, descaling_count, work_group, 0
+  FROM rolling WHERE CAST(substr(plate_no, 5) AS BIGINT) % 101 = 0),
+judged AS (
+  SELECT *, CASE WHEN nth = 0 THEN 'plate_missing' WHEN plate_no NOT IN (SELECT plate_no FROM furnace) THEN 'furnace_record_missing'
+                 WHEN nth = 2 THEN 'second_rolling_record' ELSE 'accepted' END AS outcome
+  FROM arrived)"""
+
+oracle("stream_dedup", "WITH " + ROLLING.strip() + ",\n" + STREAM_OUTCOME.strip() + """
+SELECT * EXCLUDE (outcome, nth) REPLACE (CAST(rolling_temp AS DOUBLE) AS rolling_temp) FROM judged WHERE outcome = 'accepted'""",
+       furnace=True)
 
 oracle("stream_ingest_alerts", "WITH " + STREAM_BASE.strip() + ",\n" + STREAM_RULES.strip() + "\nSELECT * FROM salerts",
        furnace=True)
 
-oracle("stream_quarantine", "WITH " + ROLLING.strip() + """
-SELECT plate_no, rolling_date, 'furnace_record_missing' AS reason FROM rolling
-WHERE plate_no NOT IN (SELECT plate_no FROM furnace)""", furnace=True)
+oracle("stream_quarantine", "WITH " + ROLLING.strip() + ",\n" + STREAM_OUTCOME.strip() + """
+SELECT plate_no, rolling_date, outcome AS reason FROM judged WHERE outcome <> 'accepted'""", furnace=True)
+
+# The two registered versions (1 is active, 4 scores plates that are inspected again).
+_VERSIONS = {
+    1: ("Rulebook", 7.3, {"hsb_applied": -4.0, "rolling_temp_over_1000": 3.5, "temp_drop": -0.03, "descaling_is_odd": 0.8,
+                          "cooling_rate_proxy": -0.5, "pt_thick": 0.01, "fur_heat_time": -0.002, "heat_soak_gap": 0.01,
+                          "descaling_count": 0.05}),
+    4: ("DropAndParity", 4.5, {"temp_drop": -0.03, "descaling_is_odd": 0.8}),
+}
+
+
+def _logit_sql(b: float, coefs: dict) -> str:
+    return f"CAST({b!r} AS DOUBLE)" + "".join(f" + CAST({w!r} AS DOUBLE) * CAST({c} AS DOUBLE)" for c, w in coefs.items())
+
 
 _STREAM_FEATS = SERVING_FEATURES_SELECT.replace("SELECT plate_no, target,", "SELECT plate_no, rolling_date,").replace(
     "FROM imputed", "FROM simputed")
-oracle("stream_predictions", "WITH " + STREAM_BASE.strip() + """,
+_ID = """CAST('0x' || substr(md5(plate_no || '|' || CAST(model_version_id AS VARCHAR) || '|' || strftime(predicted_at, '%Y-%m-%d %H:%M:%S')), 1, 15) AS BIGINT)"""
+STREAM_LOG = STREAM_BASE + ",\n" + TIME_SPLIT.strip() + """,
 sg AS (SELECT steel_kind, rolling_method, median(CASE WHEN rolling_temp > 0 THEN rolling_temp END) AS gm
        FROM serving GROUP BY steel_kind, rolling_method),
 sglob AS (SELECT median(CASE WHEN rolling_temp > 0 THEN rolling_temp END) AS m FROM serving),
@@ -887,12 +916,60 @@ simputed AS (
                                (SELECT m FROM sglob)) AS rolling_temp)
   FROM serving s LEFT JOIN sg g ON s.steel_kind = g.steel_kind AND s.rolling_method = g.rolling_method
 ),
-sfeats AS (""" + _STREAM_FEATS + f"""
-)
-SELECT plate_no, rolling_date AS predicted_at,
-       round(CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_Z}))), 4) AS predicted_prob,
-       CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({_Z}))) >= 0.5 AS predicted_label
-FROM sfeats""", furnace=True)
+sfeats AS (""" + _STREAM_FEATS + """
+),
+sbgk AS (SELECT plate_no FROM (SELECT plate_no, md5('42' || plate_no) AS h FROM tr ORDER BY h, plate_no LIMIT 100)),
+sbg AS (SELECT """ + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS {c}" for c in _VERSIONS[1][2]) + """
+        FROM sfeats WHERE plate_no IN (SELECT plate_no FROM sbgk)),
+logged0 AS (
+  SELECT f.*, 1 AS model_version_id, f.rolling_date AS predicted_at, {z1} AS z FROM sfeats f
+  UNION ALL
+  SELECT f.*, 4, i.inspected_at, {z4} FROM sfeats f JOIN inspection i ON i.plate_no = f.plate_no AND i.inspected_at > f.rolling_date
+),
+logged AS (
+  SELECT *, {id} AS id, round(1.0::DOUBLE / (1.0::DOUBLE + exp(-z)), 4) AS predicted_prob,
+         1.0::DOUBLE / (1.0::DOUBLE + exp(-z)) >= 0.5 AS predicted_label
+  FROM logged0),
+contrib AS (
+{items}
+),
+explained AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY prediction_id ORDER BY abs(shap_value) DESC, i) AS INTEGER) AS rank
+  FROM contrib QUALIFY rank <= 5)"""
+STREAM_LOG = STREAM_LOG.replace("{z1}", _logit_sql(*_VERSIONS[1][1:])).replace("{z4}", _logit_sql(*_VERSIONS[4][1:])).replace(
+    "{id}", _ID).replace("{items}", "\n  UNION ALL\n".join(
+        f"  SELECT l.id AS prediction_id, {i} AS i, {_q(c)} AS feature_name, CAST(l.{c} AS DOUBLE) AS feature_value, "
+        f"CAST({w!r} AS DOUBLE) * (CAST(l.{c} AS DOUBLE) - sbg.{c}) AS shap_value FROM logged l, sbg WHERE model_version_id = {mid}"
+        for mid, (_, _, coefs) in _VERSIONS.items() for i, (c, w) in enumerate(coefs.items())))
+
+oracle("stream_predictions", "WITH " + STREAM_LOG.strip() + """
+SELECT plate_no, predicted_at, predicted_prob, predicted_label FROM logged WHERE model_version_id = 1""", furnace=True, inspection=True)
+
+oracle("stream_prediction_log", "WITH " + STREAM_LOG.strip() + """
+SELECT * EXCLUDE (rolling_date, z) REPLACE (CAST(model_version_id AS BIGINT) AS model_version_id)
+FROM logged WHERE model_version_id = 1""", furnace=True, inspection=True)
+
+oracle("stream_explanations", "WITH " + STREAM_LOG.strip() + """
+SELECT prediction_id, feature_name, feature_value, round(shap_value, 9) AS shap_value, rank
+FROM explained WHERE prediction_id IN (SELECT id FROM logged WHERE model_version_id = 1)""", furnace=True, inspection=True)
+
+oracle("stream_run", "WITH " + STREAM_LOG.strip() + ",\n" + STREAM_RULES.strip() + ",\n" + STREAM_OUTCOME.strip() + """,
+na AS (SELECT plate_no, triggered_at, count(*) AS n FROM salerts GROUP BY 1, 2)
+SELECT j.plate_no, j.rolling_date, j.outcome, CASE WHEN j.outcome = 'accepted' THEN COALESCE(na.n, 0) ELSE 0 END AS n_alerts,
+       l.predicted_label, e.feature_name AS top_feature
+FROM judged j LEFT JOIN na ON na.plate_no = j.plate_no AND na.triggered_at = j.rolling_date
+LEFT JOIN logged l ON l.plate_no = j.plate_no AND l.predicted_at = j.rolling_date AND l.model_version_id = 1 AND j.outcome = 'accepted'
+LEFT JOIN explained e ON e.prediction_id = l.id AND e.rank = 1""", furnace=True, inspection=True)
+
+oracle("latest_logged_prediction", "WITH " + STREAM_LOG.strip() + """,
+run AS (SELECT max(rolling_date) AS trained_at FROM tr),
+latest AS (SELECT * FROM logged QUALIFY row_number() OVER (PARTITION BY plate_no ORDER BY predicted_at DESC, id DESC) = 1),
+feats2 AS (SELECT prediction_id, string_agg(feature_name, ',' ORDER BY rank) AS top_features, round(sum(round(shap_value, 6)), 6) AS top_sum
+           FROM explained GROUP BY prediction_id)
+SELECT l.plate_no, l.predicted_at, l.predicted_prob, l.predicted_label,
+       'scale_defect_classifier ' || CASE model_version_id WHEN 1 THEN 'Rulebook' ELSE 'DropAndParity' END || '-'
+         || strftime(run.trained_at, '%Y%m%d%H%M%S') AS model_version, t.top_features, t.top_sum
+FROM latest l JOIN feats2 t ON t.prediction_id = l.id, run""", furnace=True, inspection=True)
 
 
 # ----------------------------------------------------------------------------- sources and sinks
@@ -905,6 +982,85 @@ _BAD_LINE = """CASE WHEN CAST(substr(plate_no, 5) AS BIGINT) % 89 = 0 THEN 'malf
 oracle("process_log_accepted", f"SELECT * FROM coil UNION ALL SELECT * FROM coil WHERE ({_BAD_LINE}) IS NULL")
 oracle("process_log_rejected", f"SELECT plate_no, {_BAD_LINE} AS reason FROM coil WHERE ({_BAD_LINE}) IS NOT NULL")
 
+oracle("additivity_by_family", "WITH " + DESIGN.strip() + """,
+n AS (SELECT count(DISTINCT feature) + (SELECT count(*) FROM levels WHERE n > 1) AS n FROM nums)
+SELECT f.family, t.plate_no, CAST((SELECT n FROM n) AS INTEGER) AS n_features, true AS additive
+FROM training t, (SELECT unnest(['LogisticRegression', 'DecisionTree', 'RandomForest', 'GradientBoostingA', 'GradientBoostingB', 'SVM'])
+                  AS family) f""", furnace=True, inspection=True)
+
+oracle("six_families", "WITH " + TRAINING_FRAME.strip() + """,
+n AS (SELECT count(*) AS n FROM training)
+SELECT f.algorithm, CAST(n.n - 2 * floor(n.n * 0.15::DOUBLE) AS BIGINT) AS train_row_count, true AS valid_sound, true AS test_sound,
+       true AS cv_sound, CAST(f.n_params AS INTEGER) AS n_params
+FROM n, (SELECT unnest(['LogisticRegression', 'DecisionTree', 'RandomForest', 'GradientBoostingA', 'GradientBoostingB', 'SVM']) AS algorithm,
+                unnest([1, 2, 2, 3, 3, 2]) AS n_params) f""", furnace=True, inspection=True)
+
+_K = "CAST(substr(plate_no, 5) AS BIGINT)"
+oracle("process_log_multiline", f"""
+SELECT * REPLACE (CASE WHEN {_K} % 59 = 0 THEN 'two "' || chr(10) || 'lines, ' || spec_long ELSE spec_long END AS spec_long) FROM coil""")
+oracle("process_log_multiline_rejected", f"""
+SELECT 'repeated_header' AS reason, count(*) AS n FROM coil WHERE {_K} % 997 = 0 HAVING count(*) > 0""")
+
+oracle("processed_table", "WITH " + ANALYSIS.strip() + "\nSELECT " + ", ".join(
+    "round(cooling_rate_proxy, 9) AS cooling_rate_proxy" if c == "cooling_rate_proxy" else c for c in ANALYSIS_COLUMNS)
+    + " FROM analysis")
+
+oracle("load_written", "WITH " + LOAD.strip() + """,
+w AS (SELECT count(*) FILTER (WHERE load_status = 'written') AS n, count(*) FILTER (WHERE load_status = 'quarantined') AS q FROM outcome),
+t AS (
+  SELECT unnest(['plate', 'furnace_process', 'rolling_process', 'quality_inspection']) AS table_name, n FROM w
+  UNION ALL SELECT 'quarantine', q FROM w
+  UNION ALL SELECT 'product_spec', count(*) FROM (SELECT DISTINCT spec_long, spec_country, steel_kind FROM outcome WHERE load_status = 'written'))
+SELECT table_name, n AS rows_written, n AS rows_stored FROM t""", furnace=True, raw=True)
+
+_SNAPSHOTS = ["1995-06-17 00:00:00", "1999-01-01 00:00:00"]
+oracle("labels_as_of", "WITH " + SERVING_FRAME.strip() + """,
+snap AS (SELECT unnest([""" + ", ".join(_q(x) for x in _SNAPSHOTS) + """]) AS as_of),
+lab AS (
+  SELECT snap.as_of, i.plate_no, i.defect_type FROM snap JOIN inspection i ON i.inspected_at <= CAST(snap.as_of AS TIMESTAMP)
+  QUALIFY row_number() OVER (PARTITION BY snap.as_of, i.plate_no ORDER BY i.inspected_at DESC, i.defect_type) = 1)
+SELECT lab.as_of, s.plate_no, lab.defect_type, CAST(lab.defect_type = 'Scale' AS INTEGER) AS target
+FROM serving s JOIN lab ON lab.plate_no = s.plate_no""", furnace=True, inspection=True)
+
+# The training split of each run: all but the last 2 x floor(0.15 n) rows by time.
+oracle("retrained_versions", "WITH " + SERVING_FRAME.strip() + """,
+snap AS (SELECT unnest([0, 1]) AS i, unnest([""" + ", ".join(_q(x) for x in _SNAPSHOTS) + """]) AS as_of),
+lab AS (
+  SELECT DISTINCT snap.i, n.plate_no FROM snap JOIN inspection n ON n.inspected_at <= CAST(snap.as_of AS TIMESTAMP)),
+fr AS (
+  SELECT lab.i, s.rolling_date, row_number() OVER (PARTITION BY lab.i ORDER BY s.rolling_date, s.plate_no) AS pos,
+         count(*) OVER (PARTITION BY lab.i) AS n
+  FROM serving s JOIN lab ON lab.plate_no = s.plate_no)
+SELECT 'run' || i AS run, 'scale_defect_classifier' AS name, max(rolling_date) AS trained_at, CAST(count(*) AS BIGINT) AS train_row_count,
+       'DecisionTree,LogisticRegression' AS algorithms, true AS has_metrics, CAST(i = 0 AS BIGINT) AS n_active
+FROM fr WHERE pos <= n - 2 * floor(n * 0.15::DOUBLE) GROUP BY i""", furnace=True, inspection=True)
+
+oracle("model_listing", "WITH " + REGISTRY.strip() + """,
+m AS (SELECT model_id, algorithm, run.trained_at + INTERVAL 1 DAY * (model_id % 3) AS trained_at, run.n AS train_row_count FROM reg, run)
+SELECT CAST(row_number() OVER (ORDER BY trained_at DESC, model_id DESC) AS INTEGER) AS place, model_id, algorithm, trained_at,
+       train_row_count, 0.5::DOUBLE AS threshold FROM m""")
+
+oracle("what_if_active", "WITH " + STREAM_LOG.strip() + ",\n" + SERVING_INPUT.strip().replace("tm_g", "wi_g") + """,
+run AS (SELECT max(rolling_date) AS trained_at FROM tr),
+grid AS (
+  SELECT s.* REPLACE (CAST(t.scenario_temp AS DOUBLE) AS rolling_temp), t.scenario_temp
+  FROM serving_input s, (VALUES (850), (900), (950), (1000), (1050)) AS t(scenario_temp)
+),
+gf AS (""" + _GRID_FEATS + """
+),
+gs AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(""" + _logit_sql(*_VERSIONS[1][1:]) + """))) AS prob FROM gf),
+gc AS (
+""" + "\n  UNION ALL\n".join(
+    f"  SELECT plate_no, scenario_temp, {i} AS i, {_q(c)} AS feature, CAST({w!r} AS DOUBLE) * (CAST(gf.{c} AS DOUBLE) - sbg.{c}) AS v FROM gf, sbg"
+    for i, (c, w) in enumerate(_VERSIONS[1][2].items())) + """
+),
+gr AS (SELECT *, row_number() OVER (PARTITION BY plate_no, scenario_temp ORDER BY abs(v) DESC, i) AS rank FROM gc),
+gt AS (SELECT plate_no, scenario_temp, string_agg(feature, ',' ORDER BY rank) AS top_features FROM gr WHERE rank <= 3 GROUP BY 1, 2)
+SELECT gs.plate_no, CAST(gs.scenario_temp AS INTEGER) AS scenario_temp, round(prob, 4) AS predicted_prob, prob >= 0.5 AS predicted_label,
+       'scale_defect_classifier Rulebook-' || strftime(run.trained_at, '%Y%m%d%H%M%S') AS model_version,
+       """ + RULE_CODES_OF + """ AS fired_rules, gt.top_features
+FROM gs JOIN gt ON gt.plate_no = gs.plate_no AND gt.scenario_temp = gs.scenario_temp, run""", furnace=True, inspection=True)
+
 oracle("stream_inspections", """
 SELECT i.plate_no, i.defect_type, i.inspected_at,
        'engineer' || CAST(TRY_CAST(NULLIF(regexp_extract(c.work_group, '^(\\d+)', 1), '') AS INTEGER) AS VARCHAR) || '@plant.local' AS inspector_email,

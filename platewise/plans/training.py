@@ -19,11 +19,12 @@ from __future__ import annotations
 import itertools
 import json
 import os
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassificationModel, GBTClassifier, LinearSVC,
+                                       LogisticRegression, RandomForestClassificationModel, RandomForestClassifier)
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -32,12 +33,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.functions import vocab as V
+from platewise.operators import bundle as BU
 from platewise.operators import metrics as ME
+from platewise.operators import registry as RG
 from platewise.operators import splits as SP
+from platewise.operators.lookup import settled
 
 MAX_LEVELS = 10_000  # a categorical column with more levels is not one-hot encoded
 MIN_TRAINING_ROWS = 50
 ROWS_PER_PARTITION = 200_000  # ~40 double features -> ~64 MB of training rows per task
+LEAST_ROWS_PER_PARTITION = 5_000  # below that a task costs more than its rows
 
 
 # ----------------------------------------------------------------------------- design matrix (M1, M2)
@@ -80,7 +85,7 @@ class Family:
     name: str
     build: callable            # (features_col, label_col, weight_col, n_train, n_pos, n_neg) -> (estimator, grid, describe)
     weight: str = "balanced"   # 'balanced' | 'ratio' | 'none'
-    extra: dict = field(default_factory=dict)
+    size_param: str = ""       # number of trees of an ensemble: smaller ones are prefixes of the largest
 
 
 def _lr(n, **_):
@@ -123,13 +128,94 @@ def _svm(n, **_):
 FAMILIES = [
     Family("LogisticRegression", _lr),
     Family("DecisionTree", _tree),
-    Family("RandomForest", _forest),
-    Family("GradientBoostingA", lambda n, **k: _gbt(n, [3, 5, 8]), weight="ratio"),
-    Family("GradientBoostingB", lambda n, **k: _gbt(n, [3, 5, -1])),
+    Family("RandomForest", _forest, size_param="numTrees"),
+    Family("GradientBoostingA", lambda n, **k: _gbt(n, [3, 5, 8]), weight="ratio", size_param="maxIter"),
+    Family("GradientBoostingB", lambda n, **k: _gbt(n, [3, 5, -1]), size_param="maxIter"),
     Family("SVM", _svm),
 ]
 
 
+def grid_of(name: str, wanted: list[dict]) -> callable:
+    """The builder of a family cut down to the described parameters ``wanted`` (those not in
+    its published grid are an error)."""
+    build = next(f.build for f in FAMILIES if f.name == name)
+
+    def smaller(n, **k):
+        est, grid, described = build(n, **k)
+        at = [described.index(w) for w in wanted]
+        return est, [grid[i] for i in at], [described[i] for i in at]
+
+    return smaller
+
+
+def smaller_ensembles(family: Family, sizes: list[int], **others) -> Family:
+    """An ensemble family with the numbers of trees ``sizes`` and the other described
+    parameters fixed, e.g. for a quick comparison of all six."""
+    def build(n, **k):
+        est, grid, described = family.build(n, **k)
+        at = next(i for i, d in enumerate(described) if all(d[c] == v for c, v in others.items()))
+        size = est.getParam(family.size_param)
+        return est, [{**grid[at], size: s} for s in sizes], [{**described[at], "n_estimators": s} for s in sizes]
+
+    return Family(family.name, build, family.weight, family.size_param)
+
+
+def ensemble_prefix(model, n_trees: int):
+    """The ensemble of the first ``n_trees`` trees of a fitted forest or boosted model: what a
+    fit with fewer trees (and the same seed) would have stopped at."""
+    old = model._java_obj
+    trees = old.trees()
+    if n_trees >= len(trees):
+        return model
+    gateway = SparkSession.active().sparkContext._gateway
+    jvm = gateway.jvm.org.apache.spark.ml
+
+    def first(kind, values):
+        out = gateway.new_array(kind, n_trees)
+        for i in range(n_trees):
+            out[i] = values[i]
+        return out
+
+    if isinstance(model, GBTClassificationModel):
+        new = jvm.classification.GBTClassificationModel(
+            old.uid(), first(jvm.regression.DecisionTreeRegressionModel, trees), first(gateway.jvm.double, old.treeWeights()),
+            old.numFeatures(), old.numClasses())
+        return GBTClassificationModel(new)
+    new = jvm.classification.RandomForestClassificationModel(
+        old.uid(), first(jvm.classification.DecisionTreeClassificationModel, trees), old.numFeatures(), old.numClasses())
+    new.set(new.getParam("numTrees"), n_trees)
+    return RandomForestClassificationModel(new)
+
+
+def search_prefixes(train: DataFrame, est, grid: list[dict], size_param: str, evaluator, folds: int, parallelism: int) -> tuple:
+    """M9 for ensembles: one fit per fold and setting of the other parameters, at the largest
+    number of trees; smaller numbers are read off as prefixes.  Returns (best pipeline model
+    on all of ``train``, its place in the grid, mean AUC of each place)."""
+    size = est.getParam(size_param)
+    groups: dict[tuple, list[int]] = {}
+    for i, g in enumerate(grid):
+        groups.setdefault(tuple(sorted((p.name, v) for p, v in g.items() if p.name != size_param)), []).append(i)
+
+    def largest(members: list[int]) -> dict:
+        return {**grid[members[0]], size: max(grid[i][size] for i in members)}
+
+    def one(job: tuple) -> list[tuple[int, float]]:
+        members, k = job
+        model = est.copy(largest(members)).fit(train.filter(F.col("fold") != k))
+        held = train.filter(F.col("fold") == k)
+        return [(i, evaluator.evaluate(ensemble_prefix(model, grid[i][size]).transform(held))) for i in members]
+
+    with ThreadPool(parallelism) as pool:
+        got = pool.map(one, [(m, k) for m in groups.values() for k in range(folds)], chunksize=1)
+    sums = [0.0] * len(grid)
+    for i, auc in itertools.chain.from_iterable(got):
+        sums[i] += auc / folds
+    best = max(range(len(grid)), key=lambda i: (sums[i], -i))
+    members = next(m for m in groups.values() if best in m)
+    model = est.copy({**largest(members), size: grid[best][size]}).fit(train)
+    return PipelineModel([model]), best, sums
+
+
 def with_weights(df: DataFrame, label: str, mode: str) -> DataFrame:
     """'balanced': n / (2 · n_class); 'ratio': positives weighted by neg/pos; 'none': 1."""
     if mode == "none":
@@ -137,6 +223,7 @@ def with_weights(df: DataFrame, label: str, mode: str) -> DataFrame:
     if mode == "balanced":
         return ME.add_balanced_weight(df, label, "weight")
     from platewise.operators.lookup import with_scalars
+
     cw = ME.class_weights(df, label).select("scale_pos_weight")
     d2, s = with_scalars(df, cw, "__cw")
     return d2.withColumn("weight", F.when(F.col(label) == 1, s["scale_pos_weight"]).otherwise(1.0)).drop("__cw")
@@ -184,34 +271,38 @@ def train_compare(frame: DataFrame, families: list[Family] = FAMILIES, label_col
                   parallelism: int = 8) -> TrainResult:
     """Grid search with 5 stratified folds per family on the training split,
     refit on the whole training split, evaluate on valid and test."""
+    frame = settled(frame)
+    total = frame.count()
+    if total < MIN_TRAINING_ROWS:  # P17: too little data to train at all
+        raise ValueError(f"only {total} labelled rows; at least {MIN_TRAINING_ROWS} are needed")
     data, cols, vocab = prepare(frame, label_col)
-    # Size the partitions by rows: iterative learners run one job per iteration, so a
-    # small table in many partitions pays task overhead on every step; a large one
-    # keeps ~ROWS_PER_PARTITION rows per task.
-    total = data.count()
-    parts = max(1, -(-total // ROWS_PER_PARTITION))
+    # Iterative learners run a job per step: all cores share the rows, but no task has fewer
+    # than LEAST_ROWS_PER_PARTITION or, at scale, more than ROWS_PER_PARTITION of them.
+    spread = max(frame.sparkSession.sparkContext.defaultParallelism, -(-total // ROWS_PER_PARTITION))
+    parts = max(1, min(spread, total // LEAST_ROWS_PER_PARTITION))
     data = data.repartition(parts).checkpoint(eager=True)
     train = data.filter(F.col("split") == "train")
-    counts = train.agg(F.count(F.lit(1)).alias("n")).first()
-    n = int(counts["n"])
-    if total < MIN_TRAINING_ROWS:  # P17: too little data to train at all
-        raise ValueError(f"only {total} labelled rows; at least {MIN_TRAINING_ROWS} are needed")
+    n = train.count()
     rows, models = [], {}
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label",
                                               metricName="areaUnderROC")
     for fam in families:
         est, grid, described = fam.build(n)
-        tr = with_weights(train, "label", fam.weight)
+        # the fits run in parallel threads: they share rows, not a plan with subqueries
+        tr = with_weights(train, "label", fam.weight).withColumn("fold", F.col("fold").cast("int")).checkpoint(eager=True)
         stages = [est]
         if fam.name == "SVM":
             stages = [StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True), est]
             grid = [{**g} for g in grid]
-        pipe = Pipeline(stages=stages)
-        cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=evaluator, foldCol="fold", numFolds=5,
-                            parallelism=parallelism, seed=42)
-        cvm = cv.fit(tr.withColumn("fold", F.col("fold").cast("int")))
-        best_i = max(range(len(grid)), key=lambda i: (cvm.avgMetrics[i], -i))
-        best = cvm.bestModel
+        if fam.size_param:
+            best, best_i, cv_auc = search_prefixes(tr, est, grid, fam.size_param, evaluator, 5, parallelism)
+        else:
+            cv = CrossValidator(estimator=Pipeline(stages=stages), estimatorParamMaps=grid, evaluator=evaluator, foldCol="fold",
+                                numFolds=5, parallelism=parallelism, seed=42)
+            cvm = cv.fit(tr)
+            cv_auc = cvm.avgMetrics
+            best_i = max(range(len(grid)), key=lambda i: (cv_auc[i], -i))
+            best = cvm.bestModel
         platt = fit_platt(best.transform(tr)) if fam.name == "SVM" else None
         models[fam.name] = (best, platt)
         scored = best.transform(data.filter(F.col("split").isin("valid", "test"))).withColumn(
@@ -220,7 +311,7 @@ def train_compare(frame: DataFrame, families: list[Family] = FAMILIES, label_col
             ME.roc_auc(scored, "label", "prob", by=["split"]).select("split", "auc"), "split")
         got = {r["split"]: r.asDict() for r in m.collect()}  # two rows: valid, test
         v, t = got.get("valid", {}), got.get("test", {})
-        rows.append((fam.name, json.dumps(described[best_i], sort_keys=True), round(float(cvm.avgMetrics[best_i]), 4),
+        rows.append((fam.name, json.dumps(described[best_i]), round(float(cv_auc[best_i]), 4),
                      v.get("precision"), v.get("recall"), v.get("f1"), v.get("auc"),
                      t.get("precision"), t.get("recall"), t.get("f1"), t.get("auc"), n))
     schema = ("algorithm string, best_params string, cv_best_auc double, valid_precision double, valid_recall double, "
@@ -233,9 +324,12 @@ def train_compare(frame: DataFrame, families: list[Family] = FAMILIES, label_col
 def fit_one(data: DataFrame, family: str, params: dict):
     """One model of a family with fixed parameters on the training split of :func:`prepare`."""
     fam = next(f for f in FAMILIES if f.name == family)
-    train = data.filter(F.col("split") == "train")
+    train = with_weights(data.filter(F.col("split") == "train"), "label", fam.weight)
     est, _, _ = fam.build(1)
-    return est.copy({est.getParam(k): v for k, v in params.items()}).fit(with_weights(train, "label", fam.weight))
+    est = est.copy({est.getParam(k): v for k, v in params.items()})
+    if family == "SVM":
+        return Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True), est]).fit(train)
+    return est.fit(train)
 
 
 def best_by_auc(comparison: DataFrame) -> str:
@@ -252,10 +346,8 @@ def save_bundle(path: str, model, columns: list[str], vocab: dict, platt: dict |
     columns, vocabulary, Platt parameters and threshold as one JSON text, the imputation
     medians and the background sample as Parquet, all written by Spark (any URI)."""
     model.write().overwrite().save(path)
-    side = {"columns": columns, "vocabulary": vocab, "platt": platt, "threshold": threshold}
-    spark = medians.sparkSession
-    spark.createDataFrame([(json.dumps(side, ensure_ascii=False),)], "value string").coalesce(1).write.mode(
-        "overwrite").text(path + "/side")
+    BU.save_side(medians.sparkSession, path, {"kind": "spark", "columns": columns, "vocabulary": vocab, "platt": platt,
+                                              "threshold": threshold})
     for name, df in (("medians", medians), ("fallback", fallback), ("background", background)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -264,8 +356,7 @@ def load_bundle(path: str) -> dict:
     """What :func:`save_bundle` wrote: 'model', 'columns', 'vocabulary', 'platt',
     'threshold', 'medians', 'fallback', 'background'."""
     spark = SparkSession.active()
-    side = json.loads(spark.read.text(path + "/side", wholetext=True).first()["value"])
-    return {"model": PipelineModel.load(path), **side,
+    return {"model": PipelineModel.load(path), **BU.load_side(spark, path),
             **{name: spark.read.parquet(f"{path}/{name}") for name in ("medians", "fallback", "background")}}
 
 
@@ -305,14 +396,29 @@ def score_with_model(features: DataFrame, model: PipelineModel, vocab: dict, pla
 
 def retrain(frame: DataFrame, registry_root: str, run_tag: str, medians: DataFrame, fallback: DataFrame,
             families: list[Family] = FAMILIES) -> tuple[TrainResult, list[dict]]:
-    """The same comparison on the latest labels; every new version is saved and
-    returned as a registry row with ``is_active = False`` - activation stays a separate,
-    explicit event (M14), except at bootstrap (see :func:`bootstrap_activation`)."""
+    """The comparison on the given labels; a bundle of every new version is saved and its
+    row appended to the stored registry.  Only when no version of the name is active yet
+    is the best valid AUC activated (M13); else activation stays a separate, explicit
+    event (M14)."""
+    spark = frame.sparkSession
     result = train_compare(frame, families)
     rows = save_models(result, registry_root, run_tag, medians, fallback)
     metrics = {r["algorithm"]: r.asDict() for r in result.comparison.collect()}  # one row per family
-    for r in rows:
-        r.update({"is_active": False, "metrics": json.dumps(metrics[r["algorithm"]], sort_keys=True)})
+    known = RG.stored(spark, registry_root, "model_version").agg(F.max("id")).first()[0] or 0
+    any_active = RG.active_version(spark, registry_root) is not None
+    for i, r in enumerate(rows):
+        m = metrics[r["algorithm"]]
+        valid = {k: m[f"valid_{k}"] for k in ("precision", "recall", "f1", "auc")}
+        doc = {"valid": {**valid, "best_params": json.loads(m["best_params"]), "cv_best_auc": m["cv_best_auc"]},
+               "test": {k: m[f"test_{k}"] for k in ("precision", "recall", "f1", "auc")}}
+        r.update({"id": known + 1 + i, "is_active": False, "metrics": json.dumps(doc)})
+    rows = bootstrap_activation(rows, result, any_active)
+    schema = ("id long, name string, algorithm string, version string, artifact_path string, trained_at timestamp_ntz, "
+              "train_row_count long, threshold double, metrics string, is_active boolean")
+    table = spark.createDataFrame([tuple(r[f.split()[0]] for f in schema.split(", ")) for r in rows], schema)
+    RG.append_versions(table, registry_root)
+    RG.append_activations(table.filter("is_active").select(
+        "name", F.col("id").alias("model_id"), F.col("trained_at").alias("activated_at"), F.lit("bootstrap").alias("reason")), registry_root)
     return result, rows
 
 

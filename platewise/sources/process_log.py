@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,37 +22,81 @@ INT_COLUMNS = ["pt_thick", "pt_width", "pt_length", "fur_heat_temp", "fur_heat_t
                "fur_soak_time", "fur_total_time", "rolling_temp", "descaling_count"]
 
 
-def missing_columns(df: DataFrame, required: list[str] = V.REQUIRED_COLUMNS) -> list[str]:
-    """Required columns absent from the file header, sorted (schema only, no job)."""
-    return sorted(set(required) - set(df.columns))
+def missing_columns(columns: list[str], required: list[str] = V.REQUIRED_COLUMNS) -> list[str]:
+    """Required columns absent from a header, sorted."""
+    return sorted(set(required) - set(columns))
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"),
-        F.struct(F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("i")).alias("place"))
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("line"))
+
+
+def _quotes(c: str) -> Column:
+    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit('"')))
 
 
 def file_layouts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, encoding, header) of each file, one pass over the text, combined map-side: a
-    file with a line that is not valid UTF-8 is cp949, its first line is the header."""
+    """(file, encoding, header, unclosed) of each file, one pass over the text, combined
+    map-side: a file with a line that is not valid UTF-8 is cp949, its first line is the
+    header; an odd number of quotes leaves the last record unclosed."""
     per_file = _lines(spark, path).groupBy("file").agg(
-        F.max(~F.is_valid_utf8("value")).alias("legacy"), F.min_by("value", "place").alias("header"))
+        F.max(~F.is_valid_utf8("value")).alias("legacy"), F.min_by("value", F.struct("split", "line")).alias("header"),
+        (F.sum(_quotes("value")) % 2 == 1).alias("unclosed"))
     encoding = F.when(F.col("legacy"), "cp949").otherwise("UTF-8")
-    return per_file.select("file", encoding.alias("encoding"), _decoded("header", encoding).alias("header"))
+    return per_file.select("file", encoding.alias("encoding"), _decoded("header", encoding).alias("header"), "unclosed")
 
 
 def _decoded(c: str, encoding: Column) -> Column:
     return F.when(encoding == "cp949", F.decode(F.col(c).cast("binary"), "cp949")).otherwise(F.col(c))
 
 
+def _records(spark: SparkSession, path: str, layouts: DataFrame) -> DataFrame:
+    """(value, file, split, line, open): the records of the files, which may span lines and
+    file splits.  A line break inside quotes belongs to the record, so the number of quotes
+    before a line decides whether it begins one: that number's parity is summed up per
+    split, combined over the splits of a file, and counted line by line only in splits that
+    have an odd line or begin inside quotes; all other lines are records as they are and
+    aren't shuffled.  ``open`` marks the lines of a last record whose quotes never close."""
+    lines = _lines(spark, path)
+    odd = _quotes("value") % 2
+    splits = lines.groupBy("file", "split").agg(F.sum(odd).alias("odd"))
+    # one row per file split
+    before = F.coalesce(F.sum("odd").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = settled(splits.withColumn("inside", before % 2)).filter("odd > 0 or inside > 0").select("file", "split", "inside")
+    simple = lines.join(splits, ["file", "split"], "left_anti").select("value", "file", "split", "line", F.lit(False).alias("open"))
+
+    order = Window.partitionBy("file", "split").orderBy("line")     # the lines of one file split
+    counted = lines.join(splits, ["file", "split"]).withColumn("odd", odd)
+    state = F.col("inside") + F.coalesce(F.sum("odd").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = counted.withColumn("begins", (state % 2 == 0).cast("int")).withColumn("leaves", (state + F.col("odd")) % 2)
+    counted = settled(counted.withColumn("nth", F.sum("begins").over(order)).drop("inside", "odd"))
+    # a split's first lines may belong to the last record of the one before
+    starts = counted.groupBy("file", "split").agg(F.sum("begins").alias("n"))
+    offset = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = counted.join(settled(starts.select("file", "split", offset.alias("offset"))), ["file", "split"]).join(
+        layouts.select("file", "unclosed"), "file").withColumn("record", F.col("offset") + F.col("nth"))
+    last = settled(numbered.groupBy("file").agg(F.max("record").alias("last")))
+    numbered = numbered.join(last, "file").withColumn("open", F.col("unclosed") & (F.col("record") == F.col("last")))
+    whole = (F.col("begins") == 1) & (F.col("leaves") == 0) | F.col("open")
+    single = numbered.filter(whole).select("value", "file", "split", "line", "open")
+    # the lines of one record
+    joined = numbered.filter(~whole).groupBy("file", "record").agg(
+        F.array_sort(F.collect_list(F.struct("split", "line", "value"))).alias("x")).select(
+        F.array_join("x.value", "\n").alias("value"), "file", F.col("x")[0]["split"].alias("split"), F.col("x")[0]["line"].alias("line"),
+        F.lit(False).alias("open"))
+    return simple.unionByName(single).unionByName(joined)
+
+
 def parsed_lines(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
-    """Every data line of the files with its text columns, ``__line``, ``__file`` and
+    """Every data record of the files with its text columns, ``__line``, ``__file`` and
     ``__reason`` (NULL when sound).  Columns are found by the names in each file's own
-    header.  A line with too few or too many fields is 'malformed', a non-empty number
-    that doesn't parse '<column>_unparsable', likewise the date.  Raises ValueError with
-    the missing columns (sorted) if any file lacks a required one.  The driver sees the
-    distinct headers only."""
+    header.  A record with too few or too many fields is 'malformed', a non-empty number
+    that doesn't parse '<column>_unparsable', likewise the date; a header line that comes again
+    is 'repeated_header', a line of a record whose quotes never close 'unclosed_quote'.
+    Raises ValueError with the missing columns (sorted) if any file lacks a required one
+    (S11).  The driver sees the distinct headers only."""
     layouts = settled(file_layouts(spark, path))
     if encoding != "auto":
         layouts = layouts.withColumn("encoding", F.lit(encoding))
@@ -60,13 +104,18 @@ def parsed_lines(spark: SparkSession, path: str, encoding: str = "auto") -> Data
     if not headers:
         raise ValueError(f"no files under {path}")
     names = {h: [c.strip() for c in next(csv.reader([h]))] for h in headers}
-    missing = sorted({c for cols in names.values() for c in set(V.REQUIRED_COLUMNS) - set(cols)})
+    missing = sorted({c for cols in names.values() for c in missing_columns(cols)})
     if missing:
         raise ValueError(f"missing required columns: {missing}")
     every = list(dict.fromkeys(c for cols in names.values() for c in cols))
-    lines = _lines(spark, path).select("value", "file").join(layouts, "file").select(
-        "file", "header", _decoded("value", F.col("encoding")).alias("line"))
-    lines = lines.filter((F.col("line") != F.col("header")) & (F.trim("line") != ""))
+    lines = _records(spark, path, layouts).join(layouts.drop("unclosed"), "file").select(
+        "file", "header", "open", _decoded("value", F.col("encoding")).alias("line"))
+    is_header = F.col("line") == F.col("header")
+    # one of the lines equal to a file's header is the header
+    again = lines.filter(is_header).groupBy("file", "header", "line").agg(F.count(F.lit(1)).alias("n")).select(
+        "file", "header", F.lit(False).alias("open"), "line", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("nth")).filter(
+        "nth > 1").drop("nth")
+    lines = lines.filter(~is_header & (F.trim("line") != "")).unionByName(again)
     # The lambda's argument and the generator keep it at one parse a line: as a plain column
     # the parse would be copied into every use of a field and into pushed-down filters.
     def by_name(cols: list[str]):
@@ -77,16 +126,17 @@ def parsed_lines(spark: SparkSession, path: str, encoding: str = "auto") -> Data
     record = None
     for h, cols in names.items():
         schema = ", ".join([*[f"c{i} string" for i in range(len(cols))], "bad string"])
-        fields = F.from_csv("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad"})
+        fields = F.from_csv("line", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "escape": '"'})
         row = F.transform(F.array(fields), by_name(cols))
         record = F.when(F.col("header") == h, row) if record is None else record.when(F.col("header") == h, row)
-    out = lines.select(F.col("file").alias("__file"), F.col("line").alias("__line"), F.inline(record))
-    reason = F.when(F.col("__malformed"), "malformed")
+    out = lines.select(F.col("file").alias("__file"), F.col("line").alias("__line"), F.col("open").alias("__open"),
+                       (F.col("line") == F.col("header")).alias("__again"), F.inline(record))
+    reason = F.when(F.col("__open"), "unclosed_quote").when(F.col("__again"), "repeated_header").when(F.col("__malformed"), "malformed")
     for c in INT_COLUMNS:
         reason = reason.when(F.col(c).isNotNull() & TK.truncating_int(c).isNull(), f"{c}_unparsable")
     reason = reason.when(F.col("rolling_date").isNotNull() & TK.parse_rolling_date("rolling_date").isNull(),
                          "rolling_date_unparsable")
-    return out.withColumn("__reason", reason).drop("__malformed")
+    return out.withColumn("__reason", reason).drop("__malformed", "__open", "__again")
 
 
 def read_process_log(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
@@ -98,7 +148,12 @@ def read_process_log(spark: SparkSession, path: str, encoding: str = "auto") ->
     by name, also where files differ in order; a column that only some files have is
     NULL for the others.
     """
-    raw = parsed_lines(spark, path, encoding).filter(F.col("__reason").isNull()).drop("__file", "__line", "__reason")
+    return typed_records(parsed_lines(spark, path, encoding))
+
+
+def typed_records(parsed: DataFrame) -> DataFrame:
+    """The sound records of :func:`parsed_lines` in typed columns."""
+    raw = parsed.filter(F.col("__reason").isNull()).drop("__file", "__line", "__reason")
 
     def typed(c: str) -> Column:
         if c in INT_COLUMNS:
@@ -120,7 +175,7 @@ def to_legacy_text(df: DataFrame) -> DataFrame:
 
 def write_process_log(df: DataFrame, path: str, encoding: str = "cp949") -> None:
     """Write a flat log in the legacy CSV layout (header, legacy date text)."""
-    to_legacy_text(df).write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
+    to_legacy_text(df).write.mode("overwrite").option("header", True).option("encoding", encoding).option("escape", '"').csv(path)
 
 
 def write_processed(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -195,11 +250,6 @@ def create_tables(spark: SparkSession, root: str, only_missing: bool = True) ->
     return made
 
 
-def feature_snapshot(df: DataFrame, cols: list[str]) -> DataFrame:
-    """the derived features at prediction time as a JSON document."""
-    return df.withColumn("feature_snapshot", F.to_json(F.struct(*cols)))
-
-
 # ----------------------------------------------------------------------------- S7: database connector
 
 def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None = None,

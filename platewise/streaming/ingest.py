@@ -1,12 +1,12 @@
-"""Structured Streaming ingestion of rolling records and inspection labels.
+"""Structured Streaming ingestion of rolling records and inspection labels.
 
-E1: arriving rolling records -> drop replays of (plate_no, rolling_date), however late ->
-stream-static checks (plate exists, a furnace record exists, no earlier rolling record for
-the plate in the history, in the stored output or in the batch) -> NULL sentinel ->
-rules on the raw reading -> alerts; scoring with the imputation fitted on history ->
-predictions.  ``foreachBatch`` writes every output partitioned by ``batch_id`` with
-dynamic partition overwrite, so a replayed micro-batch rewrites its own partition
-and never duplicates rows (exactly-once effect on the sinks).
+E1: arriving rolling records -> flags from one key table (plate known, furnace record known)
+-> keyed state (:mod:`platewise.streaming.gate`): a record sent again is dropped, the first
+sound record of a plate is accepted, all others get a reason -> NULL sentinel -> rules on
+the raw reading -> alerts; the active model's bundle imputes, scores and explains -> logged
+predictions with their feature snapshot and five strongest contributions.  A micro-batch's
+five tables become visible together (:mod:`platewise.streaming.outputs`), and nothing that
+was stored before is read again.
 
 E2: arriving inspection labels -> plate and inspector must exist, else quarantine with a
 reason -> appended; the next training run picks the latest label per plate (W2).
@@ -16,20 +16,32 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from platewise.functions import features as FE
-from platewise.operators import clean as CL
+from platewise.operators import bundle as BU
 from platewise.operators import latest as LT
+from platewise.operators import registry as RG
 from platewise.operators import rules as RU
-from platewise.operators import score as SC
 from platewise.operators.lookup import settled
-from platewise.session import ensure_checkpoint_dir, path_exists
+from platewise.session import ensure_checkpoint_dir
+from platewise.sources.process_log import TABLE_SCHEMAS
+from platewise.streaming import gate as GA
+from platewise.streaming.outputs import BatchOutputs
 
 ROLLING_STREAM_COLUMNS = ["plate_no", "hsb_applied", "rolling_method", "rolling_temp", "descaling_count",
                           "work_group", "rolling_date"]
+ROLLING_SCHEMA = T.StructType([TABLE_SCHEMAS["rolling_process"][c] for c in ROLLING_STREAM_COLUMNS])
+STREAM_TABLES = {
+    "rolling": ROLLING_SCHEMA,
+    "quarantine": T.StructType([*ROLLING_SCHEMA, T.StructField("reason", T.StringType())]),
+    "alerts": TABLE_SCHEMAS["alert"],
+    "predictions": TABLE_SCHEMAS["prediction"],
+    "explanations": TABLE_SCHEMAS["shap_explanation"],
+}
 
 
 def run_folder(spark: SparkSession, name: str) -> str:
@@ -40,135 +52,99 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def dedup_replays(stream: DataFrame) -> DataFrame:
-    """Drop re-sent records: same (plate_no, rolling_date), however late they come.  No
-    watermark, so no record is dropped for its age; the state holds one key per record."""
-    return stream.withColumn("event_time", F.col("rolling_date").cast("timestamp")).dropDuplicates(
-        ["plate_no", "rolling_date"])
-
-
-def second_records(accepted: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """UNIQUE(plate_no): ``accepted`` with ``__second``, true for all but the earliest
-    record of a plate in the batch and for plates in ``stored``."""
-    first = Window.partitionBy("plate_no").orderBy("rolling_date")
-    out = accepted.withColumn("__second", F.row_number().over(first) > 1)
-    if stored is None:
-        return out
-    seen = stored.select("plate_no", F.lit(True).alias("__seen")).distinct()
-    return out.join(seen, "plate_no", "left").withColumn(
-        "__second", F.col("__second") | F.coalesce("__seen", F.lit(False))).drop("__seen")
-
-
-def check_rolling(stream: DataFrame, plates: DataFrame, furnace: DataFrame,
-                  rolling_history: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """J8/S13 on a stream: (accepted, quarantined with reason).  Static sides are plain
-    DataFrames; Spark plans stream-static semi/anti joins."""
-    has_plate = plates.select("plate_no").distinct()
-    has_furnace = furnace.select("plate_no").distinct()
-    ok = stream.join(has_plate, "plate_no", "left_semi").join(has_furnace, "plate_no", "left_semi")
-    no_plate = stream.join(has_plate, "plate_no", "left_anti").withColumn("reason", F.lit("plate_missing"))
-    no_furn = (stream.join(has_plate, "plate_no", "left_semi").join(has_furnace, "plate_no", "left_anti")
-               .withColumn("reason", F.lit("furnace_record_missing")))
-    quarantine = no_plate.unionByName(no_furn)
-    if rolling_history is not None:
-        seen = rolling_history.select("plate_no").distinct()
-        quarantine = quarantine.unionByName(
-            ok.join(seen, "plate_no", "left_semi").withColumn("reason", F.lit("second_rolling_record")))
-        ok = ok.join(seen, "plate_no", "left_anti")
-    return ok, quarantine
-
-
-def enrich(accepted: DataFrame, plates: DataFrame, specs: DataFrame, latest_furnace: DataFrame,
-           medians: DataFrame, fallback: DataFrame) -> DataFrame:
+def enrich(accepted: DataFrame, plates: DataFrame, specs: DataFrame, latest_furnace: DataFrame) -> DataFrame:
     """Rolling record + plate + spec + latest furnace (joins to static tables), raw
-    temperature NULLed, rules on the raw reading, imputed reading for scoring.
-    ``latest_furnace`` should be materialised once before the stream starts."""
+    temperature NULLed, rules on the raw reading.  ``latest_furnace`` should be materialised
+    once before the stream starts."""
     lf = latest_furnace.select("plate_no", *LT.FURNACE_COLS)
     p = plates.join(specs.select("spec_code", "spec_country", "steel_kind"), "spec_code").select(
         "plate_no", "pt_thick", "pt_width", "pt_length", "spec_country", "steel_kind")
     rows = (accepted.join(p, "plate_no").join(lf, "plate_no")
             .withColumn("rolling_temp", F.when(F.col("rolling_temp") > 0, F.col("rolling_temp"))))
-    rows = RU.rule_hits(rows, temp_col="rolling_temp")
-    return CL.impute_group_median(rows, out="rolling_temp_imputed", medians=medians, fallback=fallback)
+    return RU.rule_hits(rows, temp_col="rolling_temp")
 
 
-def score_rows(rows: DataFrame) -> DataFrame:
-    feats = FE.serving_features(rows, temp_col="rolling_temp_imputed", keep=["plate_no", "event_rolling_date"])
-    return SC.present(SC.score_linear(feats), "prob", None)
+def active_bundle(spark: SparkSession, registry: str) -> Callable[[], tuple[int, dict] | None]:
+    """Looks up the active version of the stored registry at every call, so an activation
+    takes effect with the next micro-batch; a bundle is loaded once."""
+    loaded: dict[str, dict] = {}
 
+    def look_up() -> tuple[int, dict] | None:
+        active = RG.active_version(spark, registry)
+        if active is None:
+            return None
+        if active["artifact_path"] not in loaded:
+            loaded[active["artifact_path"]] = BU.load(spark, active["artifact_path"])
+        return active["id"], loaded[active["artifact_path"]]
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-       .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+    return look_up
+
+
+def predictions_of(rows: DataFrame, model_id: int, bundle: dict, at: str = "rolling_date") -> tuple[DataFrame, DataFrame]:
+    """(prediction, shap_explanation) rows for enriched records."""
+    feats = BU.features_for(rows.withColumn("__at", F.col(at)), bundle, ["plate_no", "__at"])
+    return BU.log_rows(BU.scored(feats, bundle), model_id, "__at")
 
 
 def start_rolling_ingest(stream: DataFrame, plates: DataFrame, specs: DataFrame, furnace: DataFrame,
-                         rolling_history: DataFrame | None, medians: DataFrame, fallback: DataFrame,
-                         out_root: str, trigger_available_now: bool = True):
-    """Start E1; returns the StreamingQuery.  Outputs under ``out_root``: rolling/,
-    alerts/, predictions/, quarantine/ and the checkpoint in _checkpoint/.
-    The latest furnace record per plate is computed and checkpointed once, and the
-    imputation statistics are materialised once, not per micro-batch."""
-    latest = LT.latest_furnace(furnace).select("plate_no", *LT.FURNACE_COLS).checkpoint(eager=True)
-    # static imputation statistics, materialised once (a bounded lookup and one row),
-    # so no micro-batch re-scans the history
-    medians = settled(medians)
-    fallback = settled(fallback)
-    deduped = dedup_replays(stream)
-    ok, bad = check_rolling(deduped, plates, furnace, rolling_history)
+                         rolling_history: DataFrame | None, registry: str | None, out_root: str,
+                         trigger_available_now: bool = True):
+    """Start E1; returns the StreamingQuery.  The tables of ``STREAM_TABLES`` are read back by
+    :func:`stream_table`.  ``registry``: root of the stored registry whose active version
+    scores; without one (or without an active version) nothing is predicted.  Key table,
+    latest furnace records and specs are stored once, not computed per micro-batch."""
+    spark = stream.sparkSession
+    latest = settled(LT.latest_furnace(furnace).select("plate_no", *LT.FURNACE_COLS))
+    plates, specs = settled(plates), settled(specs)
+    rows = GA.judged(stream, settled(GA.key_table(plates, furnace)), ROLLING_STREAM_COLUMNS, rolling_history)
+    outputs = BatchOutputs(spark, out_root)
+    model = active_bundle(spark, registry) if registry else lambda: None
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
-        spark, rolling = batch.sparkSession, os.path.join(out_root, "rolling")
-        # what earlier batches stored; a replayed batch doesn't see its own rows
-        stored = spark.read.schema("plate_no string, batch_id long").parquet(rolling).filter(
-            F.col("batch_id") < batch_id) if path_exists(spark, rolling) else None
-        batch = second_records(batch.filter(F.col("__kind") == "ok"), stored).unionByName(
-            batch.filter(F.col("__kind") == "bad").withColumn("__second", F.lit(False)))
-        batch = batch.withColumns({
-            "__kind": F.when(F.col("__second"), "bad").otherwise(F.col("__kind")),
-            "reason": F.when(F.col("__second"), "second_rolling_record").otherwise(F.col("reason"))}).drop("__second")
         batch = batch.persist()
         try:
-            write_outputs(batch, batch_id)
+            good = enrich(batch.filter(F.col("outcome") == GA.ACCEPTED).drop("outcome"), plates, specs, latest).persist()
+            tables = {"rolling": batch.filter(F.col("outcome") == GA.ACCEPTED).drop("outcome"),
+                      "quarantine": batch.filter(F.col("outcome") != GA.ACCEPTED).withColumnRenamed("outcome", "reason"),
+                      "alerts": RU.alerts(good, at="rolling_date")}
+            found = model()
+            if found is not None:
+                tables["predictions"], tables["explanations"] = predictions_of(good, *found)
+            outputs.write(batch_id, tables)
+            good.unpersist()
         finally:
             batch.unpersist()
 
-    def write_outputs(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch.filter(F.col("__kind") == "ok").select(*ROLLING_STREAM_COLUMNS),
-                     os.path.join(out_root, "rolling"), batch_id)
-        _write_batch(batch.filter(F.col("__kind") == "bad").select(*ROLLING_STREAM_COLUMNS, "reason"),
-                     os.path.join(out_root, "quarantine"), batch_id)
-        good = batch.filter(F.col("__kind") == "ok").drop("__kind", "reason")
-        rows = enrich(good, plates, specs, latest, medians, fallback).withColumn(
-            "event_rolling_date", F.col("rolling_date"))
-        _write_batch(RU.alerts(rows, at="rolling_date"), os.path.join(out_root, "alerts"), batch_id)
-        preds = score_rows(rows).select("plate_no", F.col("event_rolling_date").alias("predicted_at"),
-                                        "predicted_prob", "predicted_label")
-        _write_batch(preds, os.path.join(out_root, "predictions"), batch_id)
-
-    both = (ok.withColumn("__kind", F.lit("ok")).withColumn("reason", F.lit(None).cast("string"))
-            .unionByName(bad.withColumn("__kind", F.lit("bad"))))
-    w = both.writeStream.foreachBatch(each_batch).option("checkpointLocation", os.path.join(out_root, "_checkpoint"))
-    w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    return _started(rows, each_batch, out_root, trigger_available_now)
+
+
+def stream_table(spark: SparkSession, out_root: str, name: str) -> DataFrame:
+    """Committed rows of one of ``STREAM_TABLES``."""
+    return BatchOutputs(spark, out_root).read(name, STREAM_TABLES[name])
+
+
+def _started(rows: DataFrame, each_batch: Callable, out_root: str, available_now: bool):
+    w = rows.writeStream.foreachBatch(each_batch).option("checkpointLocation", os.path.join(out_root, "_checkpoint"))
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")).start()
 
 
 def start_inspection_ingest(stream: DataFrame, plates: DataFrame, users: DataFrame, out_root: str,
                             trigger_available_now: bool = True):
     """Accept labels whose plate and inspector exist, quarantine the others with a
-    reason; both are appended by batch id."""
-    checked = stream.join(plates.select("plate_no", F.lit(True).alias("__plate")).distinct(), "plate_no", "left").join(
-        users.select(F.col("email").alias("inspector_email"), "user_id"), "inspector_email", "left").withColumn(
+    reason; both are appended and committed together.  Read back by
+    ``BatchOutputs(spark, out_root).read('inspections' or 'quarantine', schema)``."""
+    plates = settled(plates.select("plate_no", F.lit(True).alias("__plate")).distinct())
+    users = settled(users.select(F.col("email").alias("inspector_email"), "user_id"))
+    checked = stream.join(plates, "plate_no", "left").join(users, "inspector_email", "left").withColumn(
         "reason", F.when(F.col("__plate").isNull(), "plate_missing").when(F.col("user_id").isNull(), "inspector_missing"))
+    outputs = BatchOutputs(stream.sparkSession, out_root)
 
     def each_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.drop("__plate").persist()
         try:
-            _write_batch(batch.filter("reason is null").drop("reason"), os.path.join(out_root, "inspections"), batch_id)
-            _write_batch(batch.filter("reason is not null").drop("user_id"), os.path.join(out_root, "quarantine"), batch_id)
+            outputs.write(batch_id, {"inspections": batch.filter("reason is null").drop("reason"),
+                                     "quarantine": batch.filter("reason is not null").drop("user_id")})
         finally:
             batch.unpersist()
 
-    w = checked.writeStream.foreachBatch(each_batch).option("checkpointLocation", os.path.join(out_root, "_checkpoint"))
-    w = w.trigger(availableNow=True) if trigger_available_now else w.trigger(processingTime="10 seconds")
-    return w.start()
+    return _started(checked, each_batch, out_root, trigger_available_now)
