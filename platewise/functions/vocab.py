@@ -40,12 +40,8 @@ SEVERITY_CRITICAL = "CRITICAL"
 SEVERITY_WARNING = "WARNING"
 SEVERITY_INFO = "INFO"
 MSG_HSB = "Hot Scale Breaker 미적용 — 과거 데이터 기준 해당 조건 100% Scale 불량 발생"
-# {temp} and {limit} are interpolated: "사상압연온도 {temp}℃ — 임계치({limit}℃) 초과, HSB 적용 상태에서도 불량 위험 97.7%"
-MSG_HOT_HEAD = "사상압연온도 "
-MSG_HOT_MID = "℃ — 임계치(1000℃) 초과, HSB 적용 상태에서도 불량 위험 97.7%"
-# {drop} is interpolated: "온도낙차 {drop}℃ — 관리 기준(190℃) 미달, 양품 평균 낙차(228.9℃) 대비 냉각 부족"
-MSG_DROP_HEAD = "온도낙차 "
-MSG_DROP_MID = "℃ — 관리 기준(190℃) 미달, 양품 평균 낙차(228.9℃) 대비 냉각 부족"
+MSG_HOT = "사상압연온도 %s℃ — 임계치(%s℃) 초과, HSB 적용 상태에서도 불량 위험 97.7%%"
+MSG_DROP = "온도낙차 %s℃ — 관리 기준(%s℃) 미달, 양품 평균 낙차(228.9℃) 대비 냉각 부족"
 
 # --- fixed values: report labels ------------------------------------------------
 SEVERITY_LABELS = {"CRITICAL": "긴급", "WARNING": "주의", "INFO": "정보"}

@@ -2,8 +2,8 @@
 
 Rules are column predicates; a row's fired rules are an ordered array of structs built
 without exploding, and ``alerts`` explodes them into one row per fired rule.  Alert
-state is append-only: resolutions are a log and the current state is the alert left-
-joined to its first valid resolution.
+state is append-only: resolutions are a log and the current state is the alert with its first
+valid resolution.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions import vocab as V
-from platewise.operators.rank import latest_by
 
 
 def _rule(code: str, severity: str, message: Column) -> Column:
@@ -30,10 +29,10 @@ def rule_array(temp: Column, soak: Column, hsb: Column) -> Column:
     r1 = F.when(~F.coalesce(hsb.cast("boolean"), F.lit(False)), _rule(V.RULE_HSB, V.SEVERITY_CRITICAL, F.lit(V.MSG_HSB)))
     r2 = F.when(temp.isNotNull() & (temp >= V.ROLLING_TEMP_CRITICAL),
                 _rule(V.RULE_HOT, V.SEVERITY_CRITICAL,
-                      F.concat(F.lit(V.MSG_HOT_HEAD), temp.cast("string"), F.lit(V.MSG_HOT_MID))))
+                      F.format_string(V.MSG_HOT, temp.cast("string"), F.lit(str(V.ROLLING_TEMP_CRITICAL)))))
     r3 = F.when(temp.isNotNull() & (drop < V.TEMP_DROP_WARNING_BELOW),
                 _rule(V.RULE_DROP, V.SEVERITY_WARNING,
-                      F.concat(F.lit(V.MSG_DROP_HEAD), drop.cast("string"), F.lit(V.MSG_DROP_MID))))
+                      F.format_string(V.MSG_DROP, drop.cast("string"), F.lit(str(V.TEMP_DROP_WARNING_BELOW)))))
     return F.array_compact(F.array(r1, r2, r3))
 
 
@@ -67,13 +66,16 @@ def alert_state(alert_df: DataFrame, resolutions: DataFrame, users: DataFrame,
     valid request resolves the alert, later ones are no-ops (an alert is resolved once).
     """
     alert_key = alert_key or ["plate_no", "rule_pos"]
-    known = resolutions.join(users.select(F.col("email").alias("resolver_email"), "user_id"),
-                             "resolver_email", "inner")
-    valid = (known.join(alert_df.select(*alert_key, "triggered_at"), alert_key, "inner")
-                  .filter(F.col("requested_at") >= F.col("triggered_at")))
-    first = latest_by(valid, alert_key, [F.col("requested_at").asc(), F.col("user_id").asc()])
-    return (alert_df.join(first.select(*alert_key, F.col("requested_at").alias("resolved_at"),
-                                       F.col("resolver_email").alias("resolved_by")), alert_key, "left"))
+    known = resolutions.join(users.select(F.col("email").alias("resolver_email"), "user_id"), "resolver_email").select(
+        *[F.col(c).alias(f"__{c}") for c in alert_key], F.struct("requested_at", "user_id", "resolver_email").alias("__request"))
+    valid = F.col("__request.requested_at") >= F.col("triggered_at")
+    for c in alert_key:
+        valid = valid & (F.col(c) == F.col(f"__{c}"))
+    # one join, and one aggregate on the partitioning that the join leaves
+    first = alert_df.join(known, valid, "left").groupBy(*alert_key, *[c for c in alert_df.columns if c not in alert_key]).agg(
+        F.min("__request").alias("__first"))
+    return first.select(*alert_df.columns, F.col("__first.requested_at").alias("resolved_at"),
+                        F.col("__first.resolver_email").alias("resolved_by"))
 
 
 def alerts_view(state: DataFrame, status: str = "open", plate_no: str | None = None) -> DataFrame:

@@ -7,9 +7,28 @@ sums of integers are HUGEINT and hour() is BIGINT, so both are cast).
 
 from __future__ import annotations
 
-from platewise.functions import vocab as V
 from platewise.plans.oracle_views import with_views
 
+# What the SQL must know, written out here: nothing is imported from the code under test.
+MSG_HSB = "Hot Scale Breaker 미적용 — 과거 데이터 기준 해당 조건 100% Scale 불량 발생"
+MSG_HOT = ("사상압연온도 ", "℃ — 임계치(1000℃) 초과, HSB 적용 상태에서도 불량 위험 97.7%")
+MSG_DROP = ("온도낙차 ", "℃ — 관리 기준(190℃) 미달, 양품 평균 낙차(228.9℃) 대비 냉각 부족")
+NUMERIC = ["pt_thick", "pt_width", "pt_length", "fur_heat_temp", "fur_heat_time", "fur_soak_temp", "fur_soak_time", "fur_total_time",
+           "rolling_temp", "descaling_count", "temp_drop", "heat_soak_gap", "cooling_rate_proxy", "hsb_x_rolling_temp",
+           "hsb_x_descaling", "rolling_hour", "rolling_dow"]
+BINARY = ["hsb_applied", "rolling_temp_over_1000", "hsb_x_over1000", "descaling_is_odd"]
+CATEGORICAL = ["spec_country", "steel_kind", "fur_no", "fur_input_row", "rolling_method", "work_group", "thick_bucket"]
+# The candidates: (model id, algorithm, intercept, weights).
+CANDIDATES = [
+    (1, "Rulebook", 7.3, {"hsb_applied": -4.0, "rolling_temp_over_1000": 3.5, "temp_drop": -0.03, "descaling_is_odd": 0.8,
+                          "cooling_rate_proxy": -0.5, "pt_thick": 0.01, "fur_heat_time": -0.002, "heat_soak_gap": 0.01,
+                          "descaling_count": 0.05}),
+    (2, "BreakerOnly", 2.0, {"hsb_applied": -4.0}),
+    (3, "TemperatureOnly", 4.0, {"rolling_temp_over_1000": 3.5, "temp_drop": -0.03}),
+    (4, "DropAndParity", 4.5, {"temp_drop": -0.03, "descaling_is_odd": 0.8}),
+]
+RULEBOOK_INTERCEPT, RULEBOOK_COEFS = CANDIDATES[0][2:]
+
 ORACLES: dict[str, str] = {}
 
 
@@ -72,8 +91,10 @@ SERVING_FEATURES_SELECT = """
 
 # Analysis path: clean (flag, NULL sentinel, group median + global-after-group fallback,
 # numeric median fill, mode fill) then analysis features.
-_NUM = V.MEDIAN_FILL_COLUMNS
-_CAT = V.MODE_FILL_COLUMNS
+_NUM = ["pt_thick", "pt_width", "pt_length", "fur_heat_temp", "fur_heat_time", "fur_soak_temp", "fur_soak_time", "fur_total_time",
+        "rolling_temp", "descaling_count"]
+_CAT = ["spec_long", "spec_country", "steel_kind", "hsb", "fur_no", "fur_input_row", "rolling_method", "work_group"]
+_FENCED = ["fur_heat_temp", "fur_soak_temp", "rolling_temp"]
 
 ANALYSIS = f"""
 a0 AS (
@@ -116,8 +137,7 @@ analysis AS (
   FROM f0
 )"""
 
-ANALYSIS_COLUMNS = (["plate_no"] + V.NUMERIC_FEATURES + V.ANALYSIS_BINARY_FEATURES + V.CATEGORICAL_FEATURES
-                    + ["rolling_temp_bin", "target"])
+ANALYSIS_COLUMNS = ["plate_no", *NUMERIC, *BINARY, "rolling_temp_was_missing", *CATEGORICAL, "rolling_temp_bin", "target"]
 
 # Ingest rules on the raw reading.
 RULES = """
@@ -135,14 +155,14 @@ fired AS (
 ),
 alerts AS (
   SELECT plate_no, 0 AS rule_pos, 'HSB_NOT_APPLIED' AS rule_code, 'CRITICAL' AS severity,
-         '""" + V.MSG_HSB + """' AS message, rolling_date AS triggered_at FROM fired WHERE r1
+         '""" + MSG_HSB + """' AS message, rolling_date AS triggered_at FROM fired WHERE r1
   UNION ALL
   SELECT plate_no, CAST(r1 AS INTEGER), 'ROLLING_TEMP_OVER_1000', 'CRITICAL',
-         '""" + V.MSG_HOT_HEAD + """' || CAST(rolling_temp AS VARCHAR) || '""" + V.MSG_HOT_MID + """', rolling_date
+         '""" + MSG_HOT[0] + """' || CAST(rolling_temp AS VARCHAR) || '""" + MSG_HOT[1] + """', rolling_date
   FROM fired WHERE r2
   UNION ALL
   SELECT plate_no, CAST(r1 AS INTEGER) + CAST(r2 AS INTEGER), 'TEMP_DROP_INSUFFICIENT', 'WARNING',
-         '""" + V.MSG_DROP_HEAD + """' || CAST(fur_soak_temp - rolling_temp AS VARCHAR) || '""" + V.MSG_DROP_MID + """', rolling_date
+         '""" + MSG_DROP[0] + """' || CAST(fur_soak_temp - rolling_temp AS VARCHAR) || '""" + MSG_DROP[1] + """', rolling_date
   FROM fired WHERE r3
 )"""
 
@@ -200,19 +220,19 @@ FROM f""")
 oracle("median_fill", "WITH n AS (SELECT * REPLACE (CASE WHEN rolling_temp > 0 THEN rolling_temp END AS rolling_temp) FROM coil)\n"
        + "\nUNION ALL\n".join(
            f"SELECT {_q(c)} AS \"column\", CAST(median({c}) AS DOUBLE) AS fill_value, "
-           f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_filled FROM n" for c in V.MEDIAN_FILL_COLUMNS), raw=True)
+           f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_filled FROM n" for c in _NUM), raw=True)
 
 oracle("mode_fill", "\nUNION ALL\n".join(
     f"SELECT {_q(c)} AS \"column\", (SELECT {c} FROM coil WHERE {c} IS NOT NULL GROUP BY {c} "
     f"ORDER BY count(*) DESC, {c} LIMIT 1) AS fill_value, "
-    f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_filled FROM coil" for c in V.MODE_FILL_COLUMNS), raw=True)
+    f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_filled FROM coil" for c in _CAT), raw=True)
 
 oracle("iqr_outliers", "WITH " + ANALYSIS.strip() + ",\nq AS (\n" + "\nUNION ALL\n".join(
     f"SELECT {_q(c)} AS \"column\", quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM cleaned"
-    for c in V.OUTLIER_COLUMNS) + "),\nb AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM q)\n"
+    for c in _FENCED) + "),\nb AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper FROM q)\n"
     + "SELECT b.\"column\", round(b.q1, 9) AS q1, round(b.q3, 9) AS q3, round(b.lower, 9) AS lower, "
     + "round(b.upper, 9) AS upper, CAST(CASE b.\"column\" " + " ".join(
-        f"WHEN {_q(c)} THEN (SELECT count(*) FROM cleaned WHERE {c} < b.lower OR {c} > b.upper)" for c in V.OUTLIER_COLUMNS)
+        f"WHEN {_q(c)} THEN (SELECT count(*) FROM cleaned WHERE {c} < b.lower OR {c} > b.upper)" for c in _FENCED)
     + " END AS BIGINT) AS n_outliers FROM b", raw=True)
 
 oracle("cleaned_table", "WITH " + ANALYSIS.strip() + "\nSELECT * FROM cleaned")
@@ -472,7 +492,7 @@ tfeat AS (""" + SERVING_FEATURES_SELECT + """),
 cats AS (UNPIVOT (SELECT plate_no, spec_country, steel_kind, fur_no, fur_input_row, rolling_method, work_group, thick_bucket
                   FROM tfeat) ON COLUMNS(* EXCLUDE plate_no) INTO NAME col VALUE val),
 levels AS (SELECT col, val, row_number() OVER (PARTITION BY col ORDER BY val) AS n FROM (SELECT DISTINCT col, val FROM cats)),
-nums AS (UNPIVOT (SELECT plate_no, """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in V.NUMERIC_FEATURES + V.BINARY_FEATURES) + """
+nums AS (UNPIVOT (SELECT plate_no, """ + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in NUMERIC + BINARY) + """
                   FROM tfeat) ON COLUMNS(* EXCLUDE plate_no) INTO NAME feature VALUE value)"""
 
 oracle("design_matrix", "WITH " + DESIGN.strip() + """
@@ -585,8 +605,6 @@ FROM (SELECT plate_no, md5('42' || plate_no) AS h FROM tr ORDER BY h, plate_no L
 
 # ----------------------------------------------------------------------------- step 8: metrics
 
-from platewise.operators.score import RULEBOOK_COEFS, RULEBOOK_INTERCEPT  # noqa: E402
-
 _Z = f"CAST({RULEBOOK_INTERCEPT!r} AS DOUBLE)" + "".join(
     f" + CAST({w!r} AS DOUBLE) * CAST({c} AS DOUBLE)" for c, w in RULEBOOK_COEFS.items())
 
@@ -727,9 +745,6 @@ ORDER BY mean_abs_contribution DESC, feature LIMIT 12""")
 
 # ----------------------------------------------------------------------------- step 10: registry and reports
 
-from platewise.plans.catalog import CANDIDATES  # noqa: E402
-
-
 def _prob_sql(b: float, coefs: dict) -> str:
     z = f"CAST({b!r} AS DOUBLE)" + "".join(f" + CAST({w!r} AS DOUBLE) * CAST({c} AS DOUBLE)" for c, w in coefs.items())
     return f"CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({z})))"
@@ -792,8 +807,8 @@ acts AS (
   SELECT model_id, trained_at + INTERVAL 1 DAY, 'manual' FROM ranked WHERE rank = 1
 ),
 active AS (
-  SELECT '""" + V.MODEL_NAME + """' AS name, a.model_id, r.algorithm, r.version, a.activated_at, a.reason,
-         '""" + V.MODEL_NAME + """' || ' ' || r.version AS model_label
+  SELECT 'scale_defect_classifier' AS name, a.model_id, r.algorithm, r.version, a.activated_at, a.reason,
+         'scale_defect_classifier' || ' ' || r.version AS model_label
   FROM (SELECT * FROM acts ORDER BY activated_at DESC, model_id DESC LIMIT 1) a JOIN reg r ON r.model_id = a.model_id
 )""")
 
@@ -835,7 +850,7 @@ latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY plate_no ORD
                           FROM preds) WHERE rn = 1),
 run AS (SELECT max(rolling_date) AS trained_at FROM tr)
 SELECT l.plate_no, l.predicted_at, l.predicted_prob, l.predicted_label,
-       '""" + V.MODEL_NAME + """' || ' ' || 'Rulebook-' || strftime(run.trained_at, '%Y%m%d%H%M%S') AS model_version,
+       'scale_defect_classifier' || ' ' || 'Rulebook-' || strftime(run.trained_at, '%Y%m%d%H%M%S') AS model_version,
        t.top_features
 FROM latest l LEFT JOIN topf t ON t.plate_no = l.plate_no, run""", inspection=True)
 
@@ -854,14 +869,14 @@ sfired AS (
 ),
 salerts AS (
   SELECT plate_no, 0 AS rule_pos, 'HSB_NOT_APPLIED' AS rule_code, 'CRITICAL' AS severity,
-         '""" + V.MSG_HSB + """' AS message, rolling_date AS triggered_at FROM sfired WHERE r1
+         '""" + MSG_HSB + """' AS message, rolling_date AS triggered_at FROM sfired WHERE r1
   UNION ALL
   SELECT plate_no, CAST(r1 AS INTEGER), 'ROLLING_TEMP_OVER_1000', 'CRITICAL',
-         '""" + V.MSG_HOT_HEAD + """' || CAST(rolling_temp AS VARCHAR) || '""" + V.MSG_HOT_MID + """', rolling_date
+         '""" + MSG_HOT[0] + """' || CAST(rolling_temp AS VARCHAR) || '""" + MSG_HOT[1] + """', rolling_date
   FROM sfired WHERE r2
   UNION ALL
   SELECT plate_no, CAST(r1 AS INTEGER) + CAST(r2 AS INTEGER), 'TEMP_DROP_INSUFFICIENT', 'WARNING',
-         '""" + V.MSG_DROP_HEAD + """' || CAST(fur_soak_temp - rolling_temp AS VARCHAR) || '""" + V.MSG_DROP_MID + """', rolling_date
+         '""" + MSG_DROP[0] + """' || CAST(fur_soak_temp - rolling_temp AS VARCHAR) || '""" + MSG_DROP[1] + """', rolling_date
   FROM sfired WHERE r3
 )"""
 
@@ -892,12 +907,7 @@ oracle("stream_quarantine", "WITH " + ROLLING.strip() + ",\n" + STREAM_OUTCOME.s
 SELECT plate_no, rolling_date, outcome AS reason FROM judged WHERE outcome <> 'accepted'""", furnace=True)
 
 # The two registered versions (1 is active, 4 scores plates that are inspected again).
-_VERSIONS = {
-    1: ("Rulebook", 7.3, {"hsb_applied": -4.0, "rolling_temp_over_1000": 3.5, "temp_drop": -0.03, "descaling_is_odd": 0.8,
-                          "cooling_rate_proxy": -0.5, "pt_thick": 0.01, "fur_heat_time": -0.002, "heat_soak_gap": 0.01,
-                          "descaling_count": 0.05}),
-    4: ("DropAndParity", 4.5, {"temp_drop": -0.03, "descaling_is_odd": 0.8}),
-}
+_VERSIONS = {mid: (alg, b, coefs) for mid, alg, b, coefs in CANDIDATES if mid in (1, 4)}
 
 
 def _logit_sql(b: float, coefs: dict) -> str:
