@@ -117,6 +117,8 @@ def explanations(dm: DataFrame, cols: list[str], model, path: str, background: D
 
     spark, last = dm.sparkSession, model.stages[-1]
     stage = f"{path}/stages/{len(model.stages) - 1}_{last.uid}"
+    if isinstance(last, LinearSVCModel) and last.getFeaturesCol() != "scaled":
+        return None, None   # linear in random features, not in the model's columns
     if isinstance(last, (LogisticRegressionModel, LinearSVCModel)):
         weights = [float(w) for w in last.coefficients]
         if isinstance(last, LinearSVCModel):

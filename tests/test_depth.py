@@ -161,6 +161,29 @@ def test_search_prefixes(small):
     assert np.allclose(aucs, direct) and i == int(np.argmax(direct))
 
 
+def test_random_features_approach_the_kernel(spark, small):
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from platewise.plans import kernel as KE
+
+    x = np.random.default_rng(1).normal(size=(40, 5))
+    exact = np.exp(-0.2 * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    errors = [np.abs(z @ z.T - exact).max() for d in (50, 20_000) for z in [KE.features(x, *KE.fourier_weights(5, d, 0.0, 42))]]
+    assert errors[1] < 0.04 < errors[0] < 1.0
+    est, grid, described = next(f for f in TR.FAMILIES if f.name == "SVM").build(400)
+    assert [d["svc__kernel"] for d in described] == ["rbf", "linear"] * 3
+    model = est.copy(grid[2]).fit(small)
+    path = tempfile.mkdtemp(prefix="rbf-") + "/m"
+    model.write().save(path)
+    both = [[r.prediction for r in m.transform(small).orderBy("plate_no").collect()] for m in (model, PipelineModel.load(path))]
+    truth = [r.label for r in small.orderBy("plate_no").collect()]
+    linear = [r.prediction for r in est.copy(grid[3]).fit(small).transform(small).orderBy("plate_no").collect()]
+    assert both[0] == both[1]
+    # the label depends on b squared, which the linear kernel doesn't see
+    assert sum(a == b for a, b in zip(both[0], truth)) > sum(a == b for a, b in zip(linear, truth))
+    assert isinstance(est, Pipeline)
+
+
 def test_path_contributions_are_shapley_values(spark, small):
     est = next(f for f in TR.FAMILIES if f.name == "GradientBoostingA").build(1)[0]
     model = est.copy({est.maxIter: 3, est.maxDepth: 4}).fit(small)
