@@ -41,6 +41,15 @@ def assign_spec_codes(flat: DataFrame, existing: DataFrame | None = None) -> Dat
     return new if existing is None else existing.select("spec_code", *SPEC_KEY).unionByName(new)
 
 
+def spec_codes_of_loads(flat: DataFrame, earlier: Column) -> DataFrame:
+    """J4 + W6 for two loads at once: combinations among the rows ``earlier`` are numbered
+    first, those that only come later after them, as two calls of
+    :func:`assign_spec_codes` would, but with one ranking."""
+    combos = flat.groupBy(*SPEC_KEY).agg(F.bool_or(F.coalesce(earlier, F.lit(False))).alias("__earlier"))
+    ranked = global_rank(combos.withColumn("__load", F.when(F.col("__earlier"), 0).otherwise(1)), ["__load", *SPEC_KEY], "pos")
+    return ranked.select(F.format_string("SPEC%03d", F.col("pos") + 1).alias("spec_code"), *SPEC_KEY)
+
+
 def plates(flat: DataFrame, specs: DataFrame) -> DataFrame:
     """Plate table with the spec surrogate key (three-column lookup)."""
     return flat.join(settled(specs), SPEC_KEY, "left").select(

@@ -273,12 +273,6 @@ from platewise.operators import profile as PR  # noqa: E402
 from platewise.operators.rank import latest_by  # noqa: E402
 
 
-def loaded_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plates of an earlier load: those that already have furnace history."""
-    c = driver.coil(spark, sf_dir)
-    return NZ.with_parent(c, driver.furnace_history(spark, sf_dir), ["plate_no"])
-
-
 def earlier_plates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plates with furnace records before 1995."""
     return driver.furnace_history(spark, sf_dir).filter(
@@ -290,9 +284,10 @@ def raw_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spec_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spec codes after an incremental load: first the earlier plates, then all."""
-    first = NZ.assign_spec_codes(loaded_before(spark, sf_dir))
-    return NZ.assign_spec_codes(driver.coil(spark, sf_dir), existing=first)
+    """Spec codes after an incremental load: first the earlier plates (those that already
+    have furnace history), then all."""
+    known = driver.furnace_history(spark, sf_dir).select("plate_no", F.lit(True).alias("__known")).distinct()
+    return NZ.spec_codes_of_loads(driver.coil(spark, sf_dir).join(known, "plate_no", "left"), F.col("__known"))
 
 
 @query("product_specs")
@@ -1330,6 +1325,31 @@ def additivity_by_family(spark, sf_dir):
     return out
 
 
+@query("training_certificates")
+def training_certificates(spark, sf_dir):
+    """M3, M4, M9: what must hold of a fitted logistic regression for each C of the grid, of a
+    fitted tree and of the folds, each statement with the number of its cases that fail."""
+    from platewise.plans import certificates as CE
+    from platewise.plans import training as TR
+    from platewise.streaming.ingest import run_folder
+
+    data, cols, _ = TR.prepare(training_features(spark, sf_dir))
+    train = TR.with_weights(data.filter(F.col("split") == "train"), "label", "balanced").checkpoint(eager=True)
+    out = CE.fold_layout(train, "label").agg(F.lit("folds are even").alias("statement"), F.count_if(~F.col("holds")).alias("n_failed"))
+    est, grid, described = TR.FAMILIES[0].build(train.count())
+    for g, d in zip(grid, described, strict=True):
+        slopes = CE.logistic_gradient(train, est.copy({**g, est.tol: 1e-12}).fit(train), cols)
+        out = out.unionByName(slopes.agg(F.lit(f"logistic regression C={d['C']}: slopes vanish").alias("statement"),
+                                         F.count_if(F.abs("slope") > 1e-5).alias("n_failed")))
+    path = run_folder(spark, "certified-tree")
+    TR.fit_one(data, "DecisionTree", {"maxDepth": 4, "minInstancesPerNode": 1}).write().save(path)
+    nodes = CE.tree_nodes(spark, path)
+    for name, rows in (("tree: leaves hold the shares of their rows", CE.leaf_shares(train, nodes, cols)),
+                       ("tree: no split gains more than the chosen one", CE.best_splits(train, nodes, cols))):
+        out = out.unionByName(rows.agg(F.lit(name).alias("statement"), F.count_if(~F.col("holds")).alias("n_failed")))
+    return out
+
+
 @query("six_families")
 def six_families(spark, sf_dir):
     """The six families in one comparison (grids cut down to finish
