@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+_ORDER = 0xD6E8FEB86659FD93
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,21 +54,24 @@ class Powers:
 
 class Runs:
     """Window runs ``first``, ``count`` of documents that lie one after another in
-    ``letters``, with their anchors ``at``, the anchors' hashes ``h`` and the
-    fingerprints ``ext`` of the runs' whole texts."""
+    ``letters``, with their anchors ``at`` and the anchors' hashes ``h``."""
 
     def __init__(self, letters: np.ndarray, starts: np.ndarray, ends: np.ndarray, shape: Shape, powers: Powers):
         n, self.shape = len(letters), shape
         k, length = shape.offsets, shape.length
         if n < length:
             self.first = self.count = self.at = np.zeros(0, np.int64)
-            self.h = self.ext = np.zeros(0, np.uint64)
+            self.h = np.zeros(0, np.uint64)
             return
         up, self.down = powers.upto(n)
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(letters * up[:n])])
-        grams = mix((self.sums[shape.gram:] - self.sums[:-shape.gram]) * self.down[:n - shape.gram + 1])
-        # leftmost least hash of each k grams: minima of prefixes and suffixes of tiles of k
-        key = (grams >> np.uint64(32) << np.uint64(32)) | np.arange(len(grams), dtype=np.uint64)
+        grams = self.sums[shape.gram:] - self.sums[:-shape.gram]
+        grams *= self.down[:n - shape.gram + 1]
+        # leftmost least hash of each k grams: minima of prefixes and suffixes of tiles of k;
+        # the high half of a product depends on all bits of the gram
+        key = grams * np.uint64(_ORDER)
+        key &= np.uint64(0xFFFFFFFF00000000)
+        key |= np.arange(len(grams), dtype=np.uint64)
         tiles = np.concatenate([key, np.full(-len(key) % k + k, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, k)
         windows = n - length + 1
         least = np.minimum(np.minimum.accumulate(tiles[:, ::-1], axis=1)[:, ::-1].ravel()[:windows],
@@ -82,8 +86,11 @@ class Runs:
         self.first = at[new]
         self.count = np.diff(np.concatenate([new, [len(at)]]))
         self.at = anchor[self.first]
-        self.h = grams[self.at]
-        self.ext = self.text(self.first, self.count, self.at)
+        self.h = mix(grams[self.at])
+
+    def whole(self, which: np.ndarray) -> np.ndarray:
+        """Fingerprints of the whole texts of the runs ``which``."""
+        return self.text(self.first[which], self.count[which], self.at[which])
 
     def text(self, first: np.ndarray, count: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Fingerprints of the texts of window runs, with the place of the anchor."""
@@ -137,7 +144,7 @@ def scan(step: str, shape: Shape, maps: list, pieces: Callable[[pa.Array], Itera
                     return which + doc, first - starts[which] + base
 
                 keep = np.flatnonzero(in_map(held[0], r.h))
-                first, count, h, ext = r.first[keep], r.count[keep], r.h[keep], r.ext[keep]
+                first, count, h, ext = r.first[keep], r.count[keep], r.h[keep], r.whole(keep)
                 if step != "runs":
                     first, count, h, ext = r.parts(keep[in_map(held[1], marks(keys[place(first)[0]], ext))])
                     if step == "windows":
@@ -224,9 +231,9 @@ def repeated_grams(texts: DataFrame, shape: Shape, pieces: Callable[[pa.Array],
 
 
 def hash_buckets(docs: DataFrame, text_col: str, bytes_an_anchor: int) -> int:
-    """Hash ranges of about 4 million anchors each."""
+    """Hash ranges of about a million anchors each."""
     total = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("n")).first()["n"] or 0
-    return max(16, total // bytes_an_anchor // (4 << 20))
+    return max(64, total // bytes_an_anchor // (1 << 20))
 
 
 def marks(key: np.ndarray, ext: np.ndarray) -> np.ndarray:

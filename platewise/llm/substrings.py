@@ -48,44 +48,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.llm.anchors import (ROWS, Piece, Powers, Shape, bitmap, distinct_texts, hash_buckets, merged_spans, open_places, places,
-                                   repeated_grams, scan)
+from platewise.llm.anchors import (ROWS, Piece, Powers, Shape, bitmap, distinct_texts, hash_buckets, merged_spans, mix, open_places,
+                                   places, repeated_grams, scan)
 from platewise.llm.common import own_names, persisted, removed, steps, worker_state
 
-CACHED_WORDS = 200_000
-#: Documents whose rows a task holds at a time.
+#: Bytes of documents that a task works on at a time, and documents that it cuts at a time.
+PIECE = 1 << 18
 STEP = 1_000
+#: Byte -> whether it is white space, and 64-bit values of the bytes.
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-class _WordHashes(dict):
-    """Word -> 64-bit hash, kept in a worker up to a number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        v = self[word] = xxhash.xxh64_intdigest(word)
-        return v
-
-
-def _state() -> tuple[Powers, _WordHashes]:
-    return worker_state(("words",), lambda: (Powers(1 << 20), _WordHashes()))
+def _powers() -> Powers:
+    return worker_state(("words",), lambda: Powers(PIECE + 4096))
 
 
-def _powers() -> Powers:
-    return _state()[0]
+def _word_hashes(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first bytes, hashes) of the words of documents that begin at ``starts``."""
+    n = len(text)
+    inside = ~_SPACE[text]
+    edge = np.zeros(n + 1, bool)
+    edge[starts] = True
+    edge[n] = True
+    before = np.concatenate([[False], inside[:-1]])
+    after = np.concatenate([inside[1:], [False]])
+    first = np.flatnonzero(inside & (~before | edge[:n]))
+    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    up, down = _powers().upto(n)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_LETTERS[text] * up[:n])])
+    return first, mix((sums[end] - sums[first]) * down[first] + (end - first).astype(np.uint64))
 
 
 def _pieces(column: pa.Array) -> Iterator[Piece]:
-    """The words of up to ``STEP`` documents at a time, as hashes."""
-    hashes = _state()[1]
-    for i in range(0, len(column), STEP):
-        texts = [t.as_buffer().to_pybytes().split() if t.is_valid else [] for t in column.slice(i, STEP)]
-        n = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(n)
-        letters = np.fromiter((hashes[w] for words in texts for w in words), np.uint64, int(ends[-1]))
-        yield letters, ends - n, ends, i, 0
+    """The words of about ``PIECE`` bytes of documents at a time, as hashes."""
+    wide = pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    place = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    text = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(place, place[i] + PIECE, side="right")) - 1)
+        part = text[place[i]:place[j]]
+        first, letters = _word_hashes(part, place[i:j] - place[i])
+        cuts = np.searchsorted(first, place[i:j + 1] - place[i])
+        yield letters, cuts[:-1], cuts[1:], i, 0
+        i = j
 
 
 def _later(rows: DataFrame, found: DataFrame) -> DataFrame:

@@ -54,8 +54,9 @@ from platewise.llm.anchors import (ROWS, Piece, Powers, Shape, bitmap, distinct_
                                    places, repeated_grams, scan)
 from platewise.llm.common import own_names, persisted, removed, worker_state
 
-#: Bytes that a task works on at a time; longer documents are cut at multiples of it.
-PIECE = 1 << 20
+#: Bytes that a task works on at a time (its arrays fit a core's cache); longer documents are
+#: cut at multiples of it.
+PIECE = 1 << 17
 EIGHTHS = 8
 #: 64-bit values of the bytes.
 LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -94,7 +95,7 @@ def _pieces(length: int, piece: int):
 
 
 def _powers() -> Powers:
-    return worker_state(("powers",), lambda: Powers(PIECE + (1 << 16)))
+    return worker_state(("powers",), lambda: Powers(PIECE + (1 << 12)))
 
 
 def _scan(length: int, step: str, maps: list, piece: int = PIECE):
