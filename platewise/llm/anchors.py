@@ -288,3 +288,35 @@ def merged_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[list[int], list[
     ends = np.maximum.accumulate(ends)
     new = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]]))
     return starts[new].tolist(), ends[np.concatenate([new[1:] - 1, [len(ends) - 1]])].tolist()
+
+
+def cut_documents(src: DataFrame, spans: DataFrame, cut: Callable, schema) -> DataFrame:
+    """``cut`` over the rows (..., i, t) of ``src`` joined with ``spans`` (i, s, e) on ``i``.  A bit
+    map of the ids that have spans (a false positive costs a row's way) lets all other
+    documents pass without a shuffle of their texts."""
+    names = src.columns
+    found = bitmap(spans.select(F.xxhash64("i").alias("h")), 26)
+
+    def only(with_spans: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.frombuffer(found.value, np.uint64)
+            for b in batches:
+                some = in_map(bits, b.column("__k").to_numpy().view(np.uint64))
+                b = b.filter(pa.array(some if with_spans else ~some))
+                if not b.num_rows:
+                    continue
+                if with_spans:
+                    yield b.select(names)
+                else:
+                    none = pa.nulls(b.num_rows, pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names if n != "i"), none, none],
+                                                     names=[*(n for n in names if n != "i"), "s", "e"])
+        return run
+
+    keyed = src.withColumn("__k", F.xxhash64("i"))
+    touched = keyed.mapInArrow(only(True), src.schema).join(spans, "i", "left").select(*(n for n in names if n != "i"), "s", "e")
+
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return cut(only(False)(batches))
+
+    return touched.mapInArrow(cut, schema).unionByName(keyed.mapInArrow(untouched, schema))

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.llm.anchors import (ROWS, Piece, Powers, Shape, bitmap, distinct_texts, hash_buckets, merged_spans, mix, open_places,
+from platewise.llm.anchors import (ROWS, Piece, Powers, Shape, bitmap, cut_documents, distinct_texts, hash_buckets, merged_spans, mix, open_places,
                                    places, repeated_grams, scan)
 from platewise.llm.common import own_names, persisted, removed, worker_state
 
@@ -129,13 +129,15 @@ class SuffixFamily:
             none = F.lit(None).cast(array.schema["first"].dataType)
             matched = matched.join(met, ["h", "ext"], "left_anti").unionByName(met.withColumn("first", none))
         self.levels.append((1, self._written(fresh)))
-        covered = persisted(_later(rows, matched), "covered")
+        matched_rows = persisted(matched, "matched")
+        covered = persisted(_later(rows, matched_rows), "covered")
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (_, b) = self.levels[-2:]
             self.levels[-2:] = [(2 * n, self._written(a.unionByName(b)))]
             removed(a)
             removed(b)
         removed(array)
+        removed(matched_rows)
         return covered
 
     def suffixes(self) -> DataFrame:
@@ -174,15 +176,18 @@ def repeats(docs: DataFrame, length: int = 100, batches: int = 4, bitmap_bits: i
         rows = persisted(part.mapInArrow(_scan(length, "runs", maps, piece), schema), "suffixes")
         covered.append(family.add(rows))
         removed(rows)
+    removed(grams)
 
     # what only shares a gram: eighths of the open runs, then windows of the open eighths
     found = family.suffixes()
     for step in ("parts", "windows"):
         maps.append(bitmap(places(open_places(found)), bitmap_bits))
         rows = persisted(texts.mapInArrow(_scan(length, step, maps, piece), schema), step)
+        removed(found)
         found = persisted(distinct_texts(rows), f"{step}-found")
         covered.append(persisted(_later(rows, found.filter("n_rows > 1")), "covered"))
         removed(rows)
+    removed(found)
     spans = covered[0]
     for c in covered[1:]:
         spans = spans.unionByName(c)
@@ -228,8 +233,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, batches: int = 4, bitmap_
     spans = persisted(repeats(rows, length, batches, bitmap_bits, key, text, piece), "spans").select(
         F.col(key).alias("i"), F.col("starts").alias("s"), F.col("ends").alias("e"))
     keep = [rows.columns[docs.columns.index(c)] for c in carry]
-    joined = rows.join(spans, F.col(key) == F.col("i"), "left").select(
-        *[F.col(c) for c in keep], F.col(text).cast("binary").alias("t"), "s", "e")
+    src = rows.select(*[F.col(c) for c in keep], F.col(key).alias("i"), F.col(text).cast("binary").alias("t"))
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in carry]).add("__n_bytes", "long").add(
         "__n_removed", "long").add("__n_spans", "long").add("__kept", "binary")
-    return joined.mapInArrow(_cut(carry), schema)
+    return cut_documents(src, spans, _cut(carry), schema)
