@@ -318,3 +318,85 @@ def test_suffix_dedup_empty_and_ties(spark, make):
     same = "".join(chr(97 + i * i % 26) + str(i) for i in range(120))
     out = suffixes.remove_repeats(make([(1, same), (1, same), (2, same)])).collect()
     assert sorted((r.doc_id, r["__n_removed"]) for r in out) == [(1, 0), (1, 0), (2, len(same))]
+
+
+# ---- columns of earlier queries, recomputed apart from the library
+
+def test_bpe_query_hashes(spark, make, tmp_path):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(x): int(n) for x, n in (line.split() for line in open(path, "rb") if line.strip())}
+    encoding = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rows = [(1, "the cat\n sat"), (2, None), (3, ""), (4, "ünï 你好 \U0001F600 <|endoftext|>"), (5, "a" * 3000), (5, "b")]
+    make(rows).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t in rows:
+        ids = encoding.encode_ordinary(t or "")
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted(tuple(r) for r in queries.op2_bpe(spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_packing_as_a_whole(spark, make):
+    """Every group packed again by trying all open bins; every piece placed once."""
+    from platewise.llm import packing
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 30, 200, 700, 5000, 9000]))) for i in range(120)] + [(7, None)]
+    caps = (64, 128, 512)
+    out = packing.pack(make(rows), capacities=caps, group=16).collect()
+    pieces = sorted((r.doc_id, r.start, r.length) for r in out)
+    want = []
+    for i, t in rows:
+        n = len((t or "").split()) + 1
+        want += [(i, s, min(512, n - s)) for s in range(0, n, 512)]
+    assert pieces == sorted(want)
+    opens = packing.opening(caps, 8192.0, 0.95)
+    groups = {}
+    for r in out:
+        groups.setdefault(r.bin >> 32, []).append(r)
+    assert len(groups) > 4
+    for rows_of in groups.values():
+        bins = []  # room, used, capacity opened
+        placed = {}
+        for r in sorted(rows_of, key=lambda r: (-r.length, r.doc_id, r.piece)):
+            fits = [(room, b) for b, (room, _, _) in enumerate(bins) if room >= r.length]
+            b = min(fits)[1] if fits else len(bins)
+            if not fits:
+                bins.append((opens[r.length], 0, opens[r.length]))
+            room, used, cap = bins[b]
+            placed.setdefault(b, []).append((r.length, used))
+            bins[b] = (room - r.length, used + r.length, cap)
+        got = {}
+        for r in rows_of:
+            got.setdefault(r.bin, []).append((r.length, r.offset))
+            assert r.capacity == min(c for c in caps if c >= r.used) and r.used == sum(x.length for x in rows_of if x.bin == r.bin)
+        assert sorted(sorted(x) for x in got.values()) == sorted(sorted(x) for x in placed.values())
+
+
+def test_sharding_as_a_whole(spark, make):
+    """The largest shard is the least possible over the ordered atoms; groups stay whole."""
+    from platewise.llm import sharding
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["same", "x" * rng.randint(0, 400), None])) for i in range(300)]
+    out = sharding.shard(make(rows), shards=7).collect()
+    assert len(out) == 300
+    atoms, shards, texts = {}, {}, {}
+    by_id = dict(rows)
+    for r in out:
+        atoms[r.atom] = atoms.get(r.atom, 0) + r["size"]
+        shards.setdefault(r.shard, []).append(r)
+        texts.setdefault(by_id[r.doc_id] or "", set()).add(r.shard)
+        assert (r["size"], r.text_crc32) == (len((by_id[r.doc_id] or "").encode()) + 16, zlib.crc32((by_id[r.doc_id] or "").encode()))
+    assert all(len(x) == 1 for x in texts.values())
+    assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in shards.values())
+    sizes = [n for _, n in sorted(atoms.items())]
+    best = [[0] + [10**9] * len(sizes)]  # least largest part of the first j atoms in k parts
+    for _ in range(7):
+        last = best[-1]
+        best.append([0] + [min(max(last[i], sum(sizes[i:j])) for i in range(j)) for j in range(1, len(sizes) + 1)])
+    assert max(sum(r["size"] for r in rs) for rs in shards.values()) == min(b[-1] for b in best)
