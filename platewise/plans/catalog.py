@@ -826,14 +826,15 @@ def stored_registry(spark: SparkSession, sf_dir: str, tables: dict[str, DataFram
     """Two candidates saved as bundles (medians fitted on the plant's history,
     background of 100 training rows), registered and activated in a stored registry."""
     from platewise.operators import bundle as BU
+    from platewise.operators.lookup import settled
 
-    history = LT.serving_frame(tables["plate"], tables["spec"], tables["furnace"], NZ.rolling_records(tables["coil"]))
+    history = settled(LT.serving_frame(tables["plate"], tables["spec"], tables["furnace"], NZ.rolling_records(tables["coil"])))
     medians, fallback = CL.fit_temp_imputer(history)
     b = Build(spark, sf_dir)
     keys = SP.background_sample(b.train.select("plate_no"), "plate_no", 100, 42).select("plate_no")
     sampled = history.join(keys, "plate_no", "left_semi")
-    background = FE.serving_features(CL.impute_group_median(sampled, global_after_group=False, medians=medians, fallback=fallback),
-                                     keep=["plate_no"])
+    background = settled(FE.serving_features(
+        CL.impute_group_median(sampled, global_after_group=False, medians=medians, fallback=fallback), keep=["plate_no"]))
     run = b.run.first()
     rows = []
     for mid, alg, intercept, coefs in CANDIDATES:
@@ -851,6 +852,22 @@ def stored_registry(spark: SparkSession, sf_dir: str, tables: dict[str, DataFram
     RG.append_activations(events, root)
 
 
+_PLANTS: dict[tuple[str, str], tuple[dict[str, DataFrame], str]] = {}
+
+
+def plant(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], str]:
+    """The plant as it stands before the stream starts: its static tables and the root of its
+    stored registry, written once per application and input folder."""
+    from platewise.streaming.ingest import run_folder
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PLANTS:
+        root, tables = run_folder(spark, "plant"), stream_tables(spark, sf_dir)
+        stored_registry(spark, sf_dir, tables, root)
+        _PLANTS[key] = tables, root
+    return _PLANTS[key]
+
+
 def write_arrivals(coil: DataFrame, path: str) -> None:
     """Rolling records as they arrive, in four waves of files: two thirds of the plates; the
     other third, mostly older, with records sent again; second records a day later
@@ -871,11 +888,10 @@ def run_rolling_stream(spark: SparkSession, sf_dir: str) -> str:
     from platewise.streaming import ingest as IN
 
     root = IN.run_folder(spark, "rolling-ingest")
-    t = stream_tables(spark, sf_dir)
-    stored_registry(spark, sf_dir, t, f"{root}/registry")
+    t, registry = plant(spark, sf_dir)
     write_arrivals(t["coil"], f"{root}/arrivals")
-    stream = spark.readStream.schema(IN.ROLLING_SCHEMA).option("maxFilesPerTrigger", 16).parquet(f"{root}/arrivals")
-    IN.start_rolling_ingest(stream, t["plate"], t["spec"], t["furnace"], None, f"{root}/registry", f"{root}/out").awaitTermination()
+    stream = spark.readStream.schema(IN.ROLLING_SCHEMA).option("maxFilesPerTrigger", 3).parquet(f"{root}/arrivals")
+    IN.start_rolling_ingest(stream, t["plate"], t["spec"], t["furnace"], None, registry, f"{root}/out").awaitTermination()
     return f"{root}/out"
 
 
@@ -958,12 +974,11 @@ def latest_logged_prediction(spark, sf_dir):
     from platewise.streaming import ingest as IN
 
     root = IN.run_folder(spark, "logged")
-    t = stream_tables(spark, sf_dir)
-    stored_registry(spark, sf_dir, t, root)
+    t, registry = plant(spark, sf_dir)
     frame = LT.serving_frame(t["plate"], t["spec"], t["furnace"], NZ.rolling_records(t["coil"]))
     again = driver.inspection_history(t["coil"]).select("plate_no", "inspected_at").join(
         t["coil"].select("plate_no", F.col("rolling_date").alias("d")), "plate_no").filter("inspected_at > d").drop("d")
-    versions = RG.stored(spark, root, "model_version")
+    versions = RG.stored(spark, registry, "model_version")
     out = IN.BatchOutputs(spark, f"{root}/out")
     for n, (mid, rows, at) in enumerate([(1, frame, "rolling_date"), (4, frame.join(again, "plate_no"), "inspected_at")]):
         path = versions.filter(F.col("id") == mid).first()["artifact_path"]
@@ -1168,12 +1183,9 @@ def what_if_active(spark, sf_dir):
     """Every plate under five readings, scored by the active version of the stored
     registry, with the rules and the three strongest contributions; nothing is written."""
     from platewise import api
-    from platewise.streaming.ingest import run_folder
 
-    root = run_folder(spark, "what-if")
-    stored_registry(spark, sf_dir, stream_tables(spark, sf_dir), root)
     asked = driver.coil(spark, sf_dir).drop("scale")
-    r = api.what_if(SC.scenario_grid(asked, SCENARIO_TEMPS), root, keep=["scenario_temp"])
+    r = api.what_if(SC.scenario_grid(asked, SCENARIO_TEMPS), plant(spark, sf_dir)[1], keep=["scenario_temp"])
     top = F.transform(F.slice("top_features", 1, 3), lambda x: x["feature"])
     return r.select("plate_no", "scenario_temp", "predicted_prob", "predicted_label", "model_version",
                     RU.rule_codes().alias("fired_rules"), F.array_join(top, ",").alias("top_features"))

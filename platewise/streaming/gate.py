@@ -6,14 +6,19 @@ history, so a record is judged without reading anything that was stored before.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# the processor travels to the workers with its code, so they needn't have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 ACCEPTED, SECOND, NO_PLATE, NO_FURNACE = "accepted", "second_rolling_record", "plate_missing", "furnace_record_missing"
 
