@@ -125,7 +125,7 @@ def _svm(n, **_):
     random Fourier map, and a linear SVM."""
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
     rbf = RandomFourier(inputCol="scaled", outputCol="mapped", dims=RBF_DIMS, seed=42)
-    svc = LinearSVC(labelCol="label", weightCol="weight", maxIter=200)
+    svc = LinearSVC(labelCol="label", weightCol="weight", maxIter=100, tol=1e-4)
     pipe = Pipeline(stages=[scaler, svc])
     grid, described = [], []
     for c, kernel in itertools.product([0.1, 1, 10], ["rbf", "linear"]):
