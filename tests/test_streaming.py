@@ -144,3 +144,27 @@ def test_rejected_labels_are_kept(spark):
     assert [(r.plate_no, r.user_id) for r in done.read("inspections", schema + ", user_id long").collect()] == [("P1", 1)]
     q = sorted((r.plate_no, r.inspector_email, r.reason) for r in done.read("quarantine", schema + ", reason string").collect())
     assert q == [("P1", "b@x", "inspector_missing"), ("P7", "a@x", "plate_missing")]
+
+
+def test_plate_judged_within_one_micro_batch(spark):
+    """Of several sound records in one micro-batch the earliest is accepted (NULL first), records
+    without a furnace record don't take the plate, plates of the history are taken."""
+    from platewise.streaming import gate as GA
+
+    t = dt.datetime(2024, 1, 1, 9)
+    rows = [("P1", True, True, False, t), ("P1", True, True, False, t - dt.timedelta(hours=1)), ("P1", True, True, True, t),
+            ("P2", True, False, False, t), ("P3", False, False, False, t), (None, False, False, False, t),
+            ("P4", True, True, False, t), ("P5", True, True, False, None), ("P5", True, True, False, t), ("P5", True, True, True, t)]
+    batch = spark.createDataFrame(rows, "plate_no string, has_plate boolean, has_furnace boolean, first_sound boolean, "
+                                        "rolling_date timestamp_ntz")
+    got = sorted(((r["plate_no"] or "", r["rolling_date"] is None, r["outcome"]) for r in GA.judged(
+        batch, ["plate_no", "rolling_date"]).collect()))
+    assert got == [("", False, GA.NO_PLATE), ("P1", False, GA.ACCEPTED), ("P1", False, GA.SECOND), ("P2", False, GA.NO_FURNACE),
+                   ("P3", False, GA.NO_PLATE), ("P4", False, GA.SECOND), ("P5", False, GA.SECOND), ("P5", True, GA.ACCEPTED)]
+
+
+def test_backlog_in_bounded_micro_batches(spark):
+    root = tempfile.mkdtemp(prefix="backlog-")
+    spark.range(0, 100, 1, 100).write.parquet(f"{root}/in")
+    assert IN.files_per_batch(spark, f"{root}/in") == 13
+    assert IN.files_per_batch(spark, f"{root}/in", least=50) == 50
