@@ -114,3 +114,20 @@ def test_active_version_scores(spark, sf001, tmp_path):
 def _second(c):
     from pyspark.ml.functions import vector_to_array
     return vector_to_array(c)[1]
+
+
+def test_splits_of_a_large_log_are_bounded(spark, tmp_path, monkeypatch):
+    """64 KB a split for a small log; a larger one has larger splits, not more than 512 of them."""
+    from platewise.plans import catalog as CA
+    from platewise.sources import process_log as PL
+
+    (tmp_path / "a.csv").write_text("x" * 1000)
+    (tmp_path / "b.csv").write_text("y" * 500)
+    assert PL.bytes_of(spark, f"{tmp_path}/*.csv") == 1500
+    seen = []
+    monkeypatch.setattr(PL, "parsed_lines", lambda s, p: seen.append(
+        int(s.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))) or s.range(1))
+    for size in (1500, 512 * 65_536 * 10):
+        monkeypatch.setattr(PL, "bytes_of", lambda s, p, size=size: size)
+        CA.parsed_in_small_splits(spark, f"{tmp_path}/*.csv")
+    assert seen == [65_536, 655_360]
