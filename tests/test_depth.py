@@ -236,3 +236,37 @@ def test_too_few_rows_to_train(spark):
     rows = few.select("plate_no", "rolling_date")
     with pytest.raises(ValueError, match="at least 50"):
         TR.train_compare(rows.withColumn("target", F.lit(1)))
+
+
+def test_attributions_by_patterns_of_conditions():
+    """A leaf's background is weighed once per pattern of met conditions, not once per row."""
+    import numpy as np
+
+    from platewise.operators import tree_attribution as TA
+
+    rng = np.random.default_rng(3)
+    for rows, conditions in ((500, 3), (20, 12), (0, 2)):
+        met = rng.integers(0, 2, (rows, conditions)).astype(float)
+        patterns, of_row = TA._patterns(met)
+        assert (patterns[of_row] == met).all()
+        assert len(patterns) == len({tuple(m) for m in met})
+
+
+def test_search_grid_is_the_cross_validation(spark):
+    """Same AUCs and choice as Spark's cross validation by the fold column."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.tuning import CrossValidator
+
+    from platewise.plans import training as TR
+
+    rows = [(Vectors.dense([i % 7, i % 11]), float(i % 7 > 3 or i % 11 == 5), 1.0, i % 3) for i in range(200)]
+    train = spark.createDataFrame(rows, ["features", "label", "weight", "fold"]).withColumn("fold", F.col("fold").cast("int"))
+    est = DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="weight", seed=42)
+    grid = [{est.maxDepth: d} for d in (1, 3)]
+    ev = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label", metricName="areaUnderROC")
+    model, best, aucs = TR.search_grid(train, est, grid, ev, 3, 2)
+    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=3, seed=42).fit(train)
+    assert aucs == pytest.approx(cv.avgMetrics) and best == 1
+    assert model.stages[-1].toDebugString.split("\n")[1:] == cv.bestModel.toDebugString.split("\n")[1:]
