@@ -42,13 +42,14 @@ class Powers:
     """Powers of the multiplier and of its inverse, kept in a worker."""
 
     def __init__(self, least: int):
-        self.n, self.least = 0, least
+        self.n, self.least = -1, least     # none yet, also for documents without words
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if self.n < n:
-            self.n = max(n, self.least)
-            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(self.n, m, np.uint64))])
+            n = max(n, self.least)
+            self.up, self.down = (np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, m, np.uint64))])
                                   for m in (MULTIPLIER, _INVERSE))
+            self.n = n
         return self.up, self.down
 
 
