@@ -31,15 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.llm.common import own_names, steps, worker_state
+from platewise.llm.common import own_names, worker_state
 
 UNKNOWN = "und"
-#: Texts that a worker parses together, and the least number worth reading in step.
+#: Texts that a worker parses together and their bytes (one text may have more), and the
+#: least number worth reading in step.
 IN_HAND = 3_000
+BYTES_IN_HAND = 4_000_000
 IN_STEP = 20
 
 
@@ -55,46 +58,44 @@ class SuffixAutomaton:
         self.code[[ord(c) for c in every]] = np.arange(len(every))
         self.size = np.array([len(t) for t in texts])
         self.roots: list[int] = []
-        tables, used = [], 0
+        self.table = array("i")  # grown in place: a copy of it is as large as all else in a worker
         for t in texts:
-            self.roots.append(used)
-            tables.append(self._table(self.coded(t).tolist(), used))
-            used += len(tables[-1]) // self.letters
-        self.table = array("i", b"".join(x.tobytes() for x in tables))
-        self.steps = np.frombuffer(self.table, np.int32) if used else np.zeros(0, np.int32)
+            self.roots.append(len(self.table) // self.letters)
+            self._add(self.coded(t), self.roots[-1])
+        self.steps = np.frombuffer(self.table, np.int32) if self.table else np.zeros(0, np.int32)
 
     def coded(self, text: str) -> np.ndarray:
         return self.code[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
 
-    def _table(self, codes: list[int], base: int) -> array:
-        width = self.letters
+    def _add(self, codes: np.ndarray, base: int) -> None:
+        width, nxt = self.letters, self.table
         none = array("i", [-1]) * width
-        nxt, link, length = array("i", none), [-1], [0]
+        nxt.extend(none)
+        link, length = array("i", [-1]), array("i", [0])  # of the states from ``base`` on
         last = 0
-        for c in codes:
+        for c in codes.tolist():
             cur = len(link)
             nxt.extend(none)
             length.append(length[last] + 1)
             link.append(0)
             p = last
-            while p != -1 and nxt[p * width + c] < 0:
-                nxt[p * width + c] = cur + base
+            while p != -1 and nxt[(p + base) * width + c] < 0:
+                nxt[(p + base) * width + c] = cur + base
                 p = link[p]
             if p != -1:
-                q = nxt[p * width + c] - base
+                q = nxt[(p + base) * width + c] - base
                 if length[q] == length[p] + 1:
                     link[cur] = q
                 else:
                     clone = len(link)
-                    nxt.extend(nxt[q * width:(q + 1) * width])
+                    nxt.extend(nxt[(q + base) * width:(q + base + 1) * width])
                     length.append(length[p] + 1)
                     link.append(link[q])
-                    while p != -1 and nxt[p * width + c] == q + base:
-                        nxt[p * width + c] = clone + base
+                    while p != -1 and nxt[(p + base) * width + c] == q + base:
+                        nxt[(p + base) * width + c] = clone + base
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        return nxt
 
     def _finish(self, codes: list[int], root: int, state: int) -> int:
         """Phrases from ``state`` to the end of one text."""
@@ -209,27 +210,40 @@ class Model:
         return out
 
 
+def in_hand(texts: pa.Array, rows: int = IN_HAND, size: int = BYTES_IN_HAND) -> Iterator[pa.Array]:
+    """The texts in slices of at most ``rows`` texts and, if more than one, ``size`` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < len(texts):
+        before = ends[i - 1] if i else 0
+        j = min(max(int(np.searchsorted(ends, before + size, "right")), i + 1), i + rows)
+        yield texts[i:j]
+        i = j
+
+
 def predict(docs: DataFrame, labelled: dict[str, list[str]], text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of ``docs`` (by default all that aren't named as a result)
     with ``__lang``, ``__score`` and ``__rate`` (phrases per character)."""
     shared, name = docs.sparkSession.sparkContext.broadcast(labelled), uuid.uuid4().hex
     carry = [c for c in docs.columns if c not in ("__lang", "__score", "__rate")] if carry is None else carry
     rows, (text, *kept) = own_names(docs, text_col, *carry)
+    sent = kept if text in kept else [*kept, text]  # a text that is carried isn't sent twice
+    place = sent.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_state(("langid", name), lambda: Model(shared.value))
         for b in batches:
             found: list[tuple] = []
-            for part in steps(iter([b]), IN_HAND):
-                found += model.predict(part.column(part.num_columns - 1).to_pylist())
+            for part in in_hand(b.column(place)):
+                found += model.predict(part.to_pylist())
             lang, score, rate = zip(*found, strict=True) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())],
+                [*b.columns[:len(kept)], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())],
                 names=[*carry, "__lang", "__score", "__rate"])
 
     schema = T.StructType([docs.schema[c] for c in carry]).add("__lang", "string").add("__score", "double").add(
         "__rate", "double")
-    return rows.select(*kept, F.col(text).alias("t")).mapInArrow(run, schema)
+    return rows.select(*sent).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -200,3 +202,38 @@ def test_language_held_out_accuracy(spark, sf001):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf001}/documents.parquet").collect()}
     out = [r for r in op10_language_id(spark, sf001).collect() if r.held_out]
     assert sum(truth[r.doc_id] == r.lang_pred for r in out) >= 0.95 * len(out) > 0
+
+
+def test_automata_are_built_in_little_more_than_their_table():
+    import tracemalloc
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=6000)) for _ in range(4)]
+    tracemalloc.start()
+    a = langid.SuffixAutomaton(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.6 * 4 * len(a.table) + 2_000_000, (peak, 4 * len(a.table))
+    apart = np.concatenate([langid.SuffixAutomaton([t]).phrases(texts) for t in texts], axis=1)
+    assert (a.phrases(texts) == apart).all()
+
+
+def test_texts_in_hand_are_bounded_by_bytes():
+    texts = pa.array(["a" * n if n else None for n in (5, 0, 3, 20, 1, 1, 1, 4)])
+    parts = [p.to_pylist() for p in langid.in_hand(texts, rows=3, size=8)]
+    assert sum(parts, []) == texts.to_pylist()
+    assert [[len(t or "") for t in p] for p in parts] == [[5, 0, 3], [20], [1, 1, 1], [4]]
+    assert list(langid.in_hand(pa.array([], pa.string()))) == []
+
+
+def test_a_carried_text_is_sent_once(make):
+    docs = make([(1, "der hund ist da", "de"), (2, "a dog is here", "en"), (3, None, "en")])
+    labelled = {"de": ["der hund ist da"], "en": ["a dog is here"]}
+    out = langid.predict(docs, labelled)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    sent = next(line for line in plan.splitlines() if "Project" in line)
+    assert sent.count("text") == 1, plan
+    assert [(r.doc_id, r.text, r["__lang"]) for r in out.orderBy("doc_id").collect()] == [
+        (1, "der hund ist da", "de"), (2, "a dog is here", "en"), (3, None, "und")]
+    assert [(r.doc_id, r["__lang"]) for r in langid.predict(docs, labelled, carry=["doc_id"]).orderBy("doc_id").collect()] == [
+        (1, "de"), (2, "en"), (3, "und")]
