@@ -338,3 +338,43 @@ def test_shallow_trees_are_read_off_the_deepest(spark):
     model, best, aucs = TR.search_prefixes(train, est, some, fam.size_param, ev, 2, 4)
     plain, place, one_by_one = TR.search_grid(train, est, some, ev, 2, 4)
     assert best == place and aucs == pytest.approx(one_by_one)
+
+
+def test_folds_are_ranked_without_the_model_columns(spark, sf001, monkeypatch):
+    from platewise.operators import splits as SP
+    from platewise.plans import catalog as CT
+
+    seen, fold = [], SP.stratified_folds
+    monkeypatch.setattr(SP, "stratified_folds", lambda df, *a: seen.append(df.columns) or fold(df, *a))
+    frame = CT.training_features(spark, sf001)
+    data = TR.prepare(frame)[0]
+    assert seen == [["plate_no", "target", "pos"]]
+    train = data.filter("split = 'train'")
+    wide = fold(train.drop("fold"), "target", "pos", 5).select("plate_no", "fold")
+    assert train.select("plate_no", "fold").exceptAll(wide).count() == 0 and train.count() == wide.count() > 0
+
+
+def test_families_with_equal_weights_share_their_rows(spark, sf001, monkeypatch):
+    from platewise.plans import catalog as CT
+
+    modes, weigh = [], TR.with_weights
+    monkeypatch.setattr(TR, "with_weights", lambda df, label, mode: modes.append(mode) or weigh(df, label, mode))
+    by = {f.name: f for f in TR.FAMILIES}
+    shallow = TR.grid_of("DecisionTree", [{"max_depth": 3, "min_samples_leaf": 10}])
+    families = [TR.Family("DecisionTree", shallow), TR.smaller_ensembles(by["GradientBoostingA"], [1], max_depth=3, learning_rate=0.1),
+                TR.Family("DecisionTree", shallow)]
+    rows = TR.train_compare(CT.training_features(spark, sf001), families).comparison.collect()
+    assert modes == ["balanced", "ratio"]
+    assert [r.algorithm for r in rows] == ["DecisionTree", "GradientBoostingA", "DecisionTree"] and rows[0] == rows[2]
+
+
+def test_random_features_of_a_frame(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from platewise.plans import kernel as KE
+
+    x = np.random.default_rng(2).normal(size=(30, 4))
+    df = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(x)], ["i", "x"])
+    got = KE.RandomFourier(inputCol="x", outputCol="z", dims=7, seed=5).transform(df).orderBy("i").collect()
+    assert np.allclose([r.z.toArray() for r in got], KE.features(x, *KE.fourier_weights(4, 7, 0.0, 5)))
+    assert KE.RandomFourier(inputCol="x", outputCol="z", dims=7).transform(df.filter("i < 0")).count() == 0
