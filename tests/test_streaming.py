@@ -168,3 +168,14 @@ def test_backlog_in_bounded_micro_batches(spark):
     spark.range(0, 100, 1, 100).write.parquet(f"{root}/in")
     assert IN.files_per_batch(spark, f"{root}/in") == 13
     assert IN.files_per_batch(spark, f"{root}/in", least=50) == 50
+
+
+def test_the_log_is_stored_once_for_its_arrivals(spark, sf001):
+    from platewise.plans import catalog as CT
+    from platewise.sources import driver
+
+    coil = CT.stream_tables(spark, sf001)["coil"]
+    assert not any(f.startswith(("file:" + sf001, sf001)) for f in coil.inputFiles())
+    assert "Join" not in coil._jdf.queryExecution().optimizedPlan().toString()
+    direct = driver.coil(spark, sf001)
+    assert coil.count() == direct.count() and coil.exceptAll(direct).count() == 0
