@@ -11,12 +11,16 @@ claims to be, each computed from the rows by aggregates and none by the learner
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TASKS_PER_CORE = 2
+
 
 def logistic_gradient(train: DataFrame, model, cols: list[str]) -> DataFrame:
     """(feature, slope): derivative of mean weighted log-loss plus penalty with respect to the
@@ -61,11 +65,6 @@ def _reaches(path: list[tuple], cols: list[str]) -> Column:
     return ok
 
 
-def _gini(pos: Column, neg: Column) -> Column:
-    n = pos + neg
-    return F.when(n > 0, 1.0 - (pos / n) * (pos / n) - (neg / n) * (neg / n)).otherwise(0.0)
-
-
 def leaf_shares(train: DataFrame, nodes: list[dict], cols: list[str]) -> DataFrame:
     """(node, holds): the stored weights of both classes of each leaf are those of its rows."""
     leaves = [n for n in nodes if n["leaf"]]
@@ -78,39 +77,84 @@ def leaf_shares(train: DataFrame, nodes: list[dict], cols: list[str]) -> DataFra
     return sums.select(F.explode(F.array(*items)).alias("x")).select("x.*")
 
 
+def few_values(train: DataFrame, cols: list[str], few: int) -> dict[str, np.ndarray]:
+    """The values, in order, of each column with at most ``few`` of them.  A task gives up a column
+    with more, so what it sends is bounded."""
+    d = len(cols)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[np.ndarray | None] = [np.empty(0)] * d
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
+            for j in range(d):
+                if seen[j] is not None:
+                    v = np.union1d(seen[j], x[:, j])
+                    seen[j] = v if len(v) <= few else None
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(d), pa.int32()), "v": pa.array(
+            [None if v is None else v.tolist() for v in seen], pa.list_(pa.float64()))})
+
+    values: list[set | None] = [set() for _ in cols]
+    for r in _spread(train.select(_vector(cols))).mapInArrow(task, "i int, v array<double>").collect():
+        i = r["i"]
+        values[i] = None if values[i] is None or r["v"] is None else values[i] | set(r["v"])
+    return {c: np.array(sorted(v)) for c, v in zip(cols, values, strict=True) if v is not None and len(v) <= few}
+
+
+def _vector(cols: list[str]) -> Column:
+    return F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("x")
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """No more tasks than keep the cores busy: each of them sends its sums to the driver."""
+    return rows.coalesce(TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def best_splits(train: DataFrame, nodes: list[dict], cols: list[str], few: int = 32) -> DataFrame:
     """(node, holds): no threshold on a feature with at most ``few`` values, both sides not
-    empty, gains more than the split of the inner node.  Rows become (node, feature, value)
-    counts; what is ordered afterwards is ``few`` values per node and feature."""
-    inner = [n for n in nodes if not n["leaf"]]
-    values = train.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in cols]).first().asDict()
-    small = [c for c in cols if values[c] <= few]
-    at = F.array_compact(F.array(*[F.when(_reaches(n["path"], cols), F.lit(n["id"])) for n in inner]))
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast("double").alias("v")) for c in small])
-    counts = train.select(F.explode(at).alias("node"), pairs.alias("p"), "label", "weight").select(
-        "node", F.explode("p").alias("p"), "label", "weight").groupBy("node", "p.feature", "p.v").agg(
-        F.sum(F.when(F.col("label") == 1, F.col("weight")).otherwise(0.0)).alias("pos"),
-        F.sum(F.when(F.col("label") == 0, F.col("weight")).otherwise(0.0)).alias("neg"))
-    group = counts.groupBy("node", "feature").agg(F.array_sort(F.collect_list(F.struct("v", "pos", "neg"))).alias("x"))  # few entries
-    def total(field: str) -> Column:
-        return F.aggregate("x", F.lit(0.0), lambda a, e: a + e[field])
-
-    group = group.withColumns({"tp": total("pos"), "tn": total("neg")})
-    cut = F.transform(F.sequence(F.lit(1), F.size("x")), lambda i: F.aggregate(
-        F.slice("x", 1, i), F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("n")),
-        lambda a, e: F.struct((a["p"] + e["pos"]).alias("p"), (a["n"] + e["neg"]).alias("n"))))
-
-    def gain(c: Column) -> Column:
-        lp, ln, rp, rn = c["p"], c["n"], F.col("tp") - c["p"], F.col("tn") - c["n"]
-        n = F.col("tp") + F.col("tn")
-        return _gini(F.col("tp"), F.col("tn")) - (lp + ln) / n * _gini(lp, ln) - (rp + rn) / n * _gini(rp, rn)
-
-    # the cut after the last value leaves nothing on the right
-    gains = F.transform(F.slice(cut, 1, F.greatest(F.size("x") - 1, F.lit(0))), gain)
-    best = group.filter(F.size("x") > 1).select("node", F.array_max(gains).alias("g")).groupBy("node").agg(F.max("g").alias("best"))
-    chosen = train.sparkSession.createDataFrame([(n["id"], float(n["gain"])) for n in inner] or [(-1, math.inf)], "node int, gain double")
-    return chosen.join(best, "node", "left").filter("node >= 0").select(
-        "node", (F.coalesce("best", F.lit(0.0)) <= F.col("gain") + 1e-9).alias("holds"))
+    empty, gains more than the split of the inner node.  A task adds up the weights of the rows
+    by leaf, feature and value; the sums of an inner node are those of the leaves below it."""
+    inner, leaves = [n for n in nodes if not n["leaf"]], [n for n in nodes if n["leaf"]]
+    values = few_values(train, cols, few)
+    small = [(cols.index(c), v) for c, v in values.items()]
+    first = np.concatenate([[0], np.cumsum([len(v) for _, v in small])]).astype(np.int64)
+    paths, d, shape = [n["path"] for n in leaves], len(cols), (2, len(leaves), int(first[-1]))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
+            y, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("label", "weight"))
+            leaf = np.zeros(len(x), dtype=np.int64)
+            for i, path in enumerate(paths):
+                here = np.ones(len(x), dtype=bool)
+                for f, at, left in path:
+                    here &= (x[:, f] <= at) == left
+                leaf[here] = i
+            row = ((y != 1) * shape[1] + leaf) * shape[2]
+            for (f, v), start in zip(small, first, strict=False):
+                total += np.bincount(row + start + np.searchsorted(v, x[:, f]), weights=w, minlength=total.size).reshape(shape)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
+
+    rows = _spread(train.select(_vector(cols), F.col("label").cast("double").alias("label"), F.col("weight").cast("double").alias("weight")))
+    sums = sum((np.frombuffer(r["sums"]).reshape(shape) for r in rows.mapInArrow(task, "sums binary").collect()), np.zeros(shape))
+
+    def gini(pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+        n = np.where(pos + neg > 0, pos + neg, 1.0)
+        return np.where(pos + neg > 0, 1.0 - (pos / n) ** 2 - (neg / n) ** 2, 0.0)
+
+    out = []
+    for n in inner:
+        below = [i for i, p in enumerate(paths) if p[:len(n["path"])] == n["path"]]
+        here, best = sums[:, below].sum(axis=1), 0.0
+        for start, end in zip(first[:-1], first[1:], strict=True):
+            (lp, ln), (tp, tn) = np.cumsum(here[:, start:end - 1], axis=1), here[:, start:end].sum(axis=1)
+            rp, rn, size = tp - lp, tn - ln, tp + tn
+            # the values of a node may be fewer than those of the feature: both sides have rows
+            some = (lp + ln > 1e-9 * size) & (rp + rn > 1e-9 * size)
+            gain = gini(tp, tn) - (lp + ln) / size * gini(lp, ln) - (rp + rn) / size * gini(rp, rn)
+            best = max(best, float(gain[some].max(initial=0.0)))
+        out.append((n["id"], bool(best <= n["gain"] + 1e-9)))
+    return train.sparkSession.createDataFrame(out, "node int, holds boolean")
 
 
 def fold_layout(folds: DataFrame, label: str) -> DataFrame:
